@@ -7,18 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import quality
+from framelake.llm import bpe, quality, token_output
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), vocabulary())
+
+
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, ranked, starts = token_output.write_tokens(documents(spark, sf_dir), vocabulary())
+    return token_output.read_tokens(blocks, ranked, starts)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op9_token_id_output": op9_token_id_output,
     "op7_quality_rules": op7_quality_rules,
 }
 
