@@ -186,20 +186,22 @@ def per_worker(kind: str, path: str, make: Callable[[str], object]):
 class ChunkIds:
     """Token ids of chunks, kept between batches of a worker; `encode_new` gives the ids of new distinct pieces."""
 
-    def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], most: int = 700_000):
-        self.splitter, self.encode_new, self.most = splitter, encode_new, most
-        self.piece_ids: dict[str, bytes] = {}
+    def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], width: str = "<u4", most: int = 500_000):
+        self.splitter, self.encode_new, self.width, self.most = splitter, encode_new, width, most
+        self.known: dict[str, bytes] = {}
 
     def of(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each distinct chunk as little-endian unsigned 32-bit integers."""
-        if len(self.piece_ids) > self.most:
-            self.piece_ids.clear()
-        known, split = self.piece_ids, self.splitter.split
-        cut = [split(c) for c in chunks]
-        new = {p for parts in cut for p in parts if p.__class__ is str and p not in known}
+        """Ids of each distinct chunk as little-endian unsigned integers of numpy type `width`."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        known, split, kind = self.known, self.splitter.split, np.dtype(self.width)
+        cut = {c: split(c) for c in chunks if c not in known}
+        new = {p for parts in cut.values() for p in parts if p.__class__ is str and p not in known}
         for piece, ids in self.encode_new(sorted(new)).items():
-            known[piece] = np.array(ids, "<u4").tobytes()
-        return [b"".join([known[p] if p.__class__ is str else p.to_bytes(4, "little") for p in parts]) for parts in cut]
+            known[piece] = b"".join([i.to_bytes(kind.itemsize, "little") for i in ids])
+        for chunk, parts in cut.items():
+            known[chunk] = b"".join([known[p] if p.__class__ is str else p.to_bytes(kind.itemsize, "little") for p in parts])
+        return [known[c] for c in chunks]
 
 
 def chunk_ids(path: str) -> ChunkIds:
@@ -215,11 +217,11 @@ def token_texts(path: str) -> dict[int, str]:
     return per_worker("texts", path, make)
 
 
-def encoded(texts: pa.Array, ids_of: ChunkIds) -> Iterator[tuple[list[bytes], np.ndarray, list[int]]]:
+def encoded(texts: pa.Array, ids_of: ChunkIds) -> tuple[list[bytes], np.ndarray, list[int]]:
     """Distinct chunks' ids, then for all texts the row offsets and codes into them."""
     offsets, words = words_of(texts)
     coded = words.dictionary_encode()
-    return ids_of.of(coded.dictionary.to_pylist()), offsets, coded.indices.to_pylist()
+    return ids_of.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), offsets, coded.indices.to_numpy().tolist()
 
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:

@@ -25,15 +25,15 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 BLOCKS = "part int, local_start long, doc_ids binary, counts binary, control binary, data binary"
 
 
-def library_ids(path: str) -> ChunkIds:
+def library_ids(path: str, width: str) -> ChunkIds:
     """Ids of chunks by the tokenizers library; every distinct piece is encoded once in a worker."""
 
     def make(p: str) -> ChunkIds:
         splitter = Splitter(p)
         model = splitter.tokenizer.model
-        return ChunkIds(splitter, lambda words: {w: [t.id for t in model.tokenize(w)] for w in words})
+        return ChunkIds(splitter, lambda words: {w: [t.id for t in model.tokenize(w)] for w in words}, width)
 
-    return per_worker("library", path, make)
+    return per_worker(f"library{width}", path, make)
 
 
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -65,11 +65,10 @@ def tokenise(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
     """doc_id and the ids of the text and `end_id`, as little-endian unsigned integers of numpy type `width`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = library_ids(path), np.array([end_id], width).tobytes()
+        ids_of, end = library_ids(path, width), np.array([end_id], width).tobytes()
         for whole in batches:
             for batch in pieces(whole):
                 ids, offsets, codes = encoded(batch.column("text"), ids_of)
-                ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids]
                 out = [b"".join([ids[c] for c in codes[a:b]]) + end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
