@@ -246,10 +246,10 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
                     rows["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(said).hexdigest())
                     if keep_ids:
-                        rows["ids"].append(np.frombuffer(raw, "<u4").tolist())
+                        rows["ids"].append(np.frombuffer(raw, "<i4"))
                         rows["decoded"].append(said.decode())
-                kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int64()), "decoded": pa.string()} if keep_ids else {})
+                kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if keep_ids else {})
                 yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), *(pa.array(rows[k], kind) for k, kind in kinds.items())], names=["doc_id", *kinds])
 
-    more = ", ids array<long>, decoded string" if keep_ids else ""
+    more = ", ids array<int>, decoded string" if keep_ids else ""
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

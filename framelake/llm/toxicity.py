@@ -114,29 +114,52 @@ def _descend(one, two, y: np.ndarray, width: int, ridge: float, swap_penalty: fl
     return w, b
 
 
+class Scorer:
+    """Scores the texts of a record batch."""
+
+    def __init__(self, model: Model):
+        order = sorted(model.weights)
+        self.place, self.weights, self.bias = {f: k for k, f in enumerate(order)}, np.array([model.weights[f] for f in order] or [0.0]), model.bias
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        place = self.place
+        offsets, words = words_of(texts)
+        coded = words.dictionary_encode()
+        hits = [[k for f in word_features(w) if (k := place.get(f)) is not None] for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        codes = coded.indices.to_numpy()
+        some = np.array([bool(x) for x in hits], bool)
+        at = np.nonzero(some[codes])[0] if len(codes) else np.empty(0, int)
+        rows = np.searchsorted(offsets, at, "right") - 1
+        pairs = {(r, k) for r, c in zip(rows.tolist(), codes[at].tolist(), strict=True) for k in hits[c]}
+        found = np.array(sorted(pairs), int).reshape(-1, 2)
+        z = self.bias + np.bincount(found[:, 0], self.weights[found[:, 1]], len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id and score in 0..1 over the whole text. Null texts are empty; rows stand for themselves."""
-    order = sorted(model.weights)
-    place, weights, bias = {f: k for k, f in enumerate(order)}, np.array([model.weights[f] for f in order] or [0.0]), model.bias
+    scorer = Scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                offsets, words = words_of(batch.column("text"))
-                coded = words.dictionary_encode()
-                hits = [[k for f in word_features(w) if (k := place.get(f)) is not None] for w in coded.dictionary.to_pylist()]
-                codes = coded.indices.to_numpy()
-                some = np.array([bool(x) for x in hits], bool)
-                at = np.nonzero(some[codes])[0] if len(codes) else np.empty(0, int)
-                rows = np.searchsorted(offsets, at, "right") - 1
-                pairs = {(r, k) for r, c in zip(rows.tolist(), codes[at].tolist(), strict=True) for k in hits[c]}
-                found = np.array(sorted(pairs), int).reshape(-1, 2)
-                z = bias + np.bincount(found[:, 0], weights[found[:, 1]], batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text")))], names=["doc_id", "score"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The documents that score under `limit`, with all their columns."""
+    scorer = Scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                yield batch.filter(pa.array(scorer(batch.column("text")) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """The fifth of the documents, by a checksum of doc_id, whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
