@@ -39,14 +39,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batch: pa.RecordBatch, max_bytes: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, max_bytes: int = 4 << 20, max_rows: int = 1 << 20):
     """Slices of a record batch with about `max_bytes` of text each, so that memory follows the slice, not the batch."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < len(sizes):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
+        stop = min(start + max_rows, max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
