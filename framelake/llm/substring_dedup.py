@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from framelake.llm.common import mix, pieces, word_hashes, words_of
-from framelake.llm.windows import Runs, covered, gather, later_windows, removed_windows, window_runs, with_ranges
+from framelake.llm.windows import Runs, covered, gather, later_windows, removed_windows, unpacked, window_runs, with_ranges
 
 #: Words of the runs whose least hash is a window's minimiser.
-GRAM = 6
+GRAM = 4
 
 
 def spaced(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +79,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -
         for whole in batches:
             for batch in pieces(whole):
                 rows: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-                for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                    words = (text or "").encode().split()
+                for text, ranges in zip(unpacked(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+                    words = text.split()
                     gone = covered(ranges, len(words), window) if ranges else None
                     kept = b" ".join(words if gone is None else [w for w, x in zip(words, gone.tolist(), strict=True) if not x])
                     rows["n_words"].append(len(words))

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from framelake.llm.common import mix, pieces
-from framelake.llm.windows import Runs, covered, gather, removed_windows, window_runs, with_ranges
+from framelake.llm.windows import Runs, covered, gather, removed_windows, unpacked, window_runs, with_ranges
 
 #: Bytes of the runs whose least hash is a window's minimiser; bytes of a text that are looked at together.
-GRAM, CHUNK = 32, 1 << 20
+GRAM, CHUNK = 16, 1 << 20
 
 
 def split_bytes(window: int):
@@ -188,8 +188,8 @@ def remove_repeats(docs: DataFrame, window: int = 100, keep_text: bool = False)
         for whole in batches:
             for batch in pieces(whole):
                 rows: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-                for text, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                    kept = text = text or b""
+                for text, ranges in zip(unpacked(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+                    kept = text
                     removed = spans = 0
                     if ranges:
                         gone = covered(ranges, len(text), window)

@@ -22,6 +22,10 @@ from framelake.llm.common import mix, partitions, pieces
 PLACE = np.uint64((1 << 26) - 1)
 
 
+#: Compression of packed strings and of texts on their way.
+LEVEL = 4
+
+
 @dataclass
 class Runs:
     """Super-k-mers: minimiser, document, first unit, number of windows, and the packed bytes one after the other."""
@@ -39,9 +43,10 @@ class Runs:
         return Runs(*(getattr(self, f.name)[chosen] for f in fields(self)[:-1]), gather(self.packed, (ends - self.length)[chosen], self.length[chosen]))
 
     def dump(self) -> bytes:
+        """Compressed; of the minimiser 32 bits, enough to tell groups of one bucket apart, and of the places the steps."""
         n = np.array([len(self.least)], "<i8")
-        columns = [n, self.least.astype("<u8"), self.doc.astype("<i8"), self.start.astype("<i4"), self.count.astype("<i4"), self.length.astype("<i4"), self.packed]
-        return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in columns))
+        columns = [n, (self.least >> np.uint64(32)).astype("<u4"), np.diff(self.doc, prepend=0).astype("<i8"), np.diff(self.start, prepend=0).astype("<i4"), self.count.astype("<i4"), self.length.astype("<i4"), self.packed]
+        return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(x.tobytes() for x in columns))
 
     @staticmethod
     def load(raws: list[bytes]) -> Runs:
@@ -49,10 +54,11 @@ class Runs:
         for raw in raws:
             data = zstandard.ZstdDecompressor().decompress(raw)
             n, at, columns = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
-            for kind in ("<u8", "<i8", "<i4", "<i4", "<i4"):
+            for kind in ("<u4", "<i8", "<i4", "<i4", "<i4"):
                 columns.append(np.frombuffer(data, kind, n, at))
                 at += n * np.dtype(kind).itemsize
-            parts.append([*columns, np.frombuffer(data, np.uint8, -1, at)])
+            least, doc, start, count, length = columns
+            parts.append([least.astype(np.uint64), np.cumsum(doc), np.cumsum(start, dtype=np.int64), count.astype(np.int64), length.astype(np.int64), np.frombuffer(data, np.uint8, -1, at)])
         return Runs(*map(np.concatenate, zip(*parts, strict=True)))
 
 
@@ -220,9 +226,24 @@ def later_windows(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, same: Cal
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, text and the list of packed ranges of each document (null: none)."""
+    """doc_id, packed text (see `unpacked`) and the list of packed ranges of each document (null: none)."""
     lists = ranges.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, "doc_id", "left")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
+        for whole in batches:
+            for batch in pieces(whole):
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else compressor.compress(t) for t in texts], pa.binary())], names=["doc_id", "text"])
+
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, text binary")
+    return packed.join(lists, "doc_id", "left")
+
+
+def unpacked(texts: pa.Array) -> list[bytes]:
+    """The texts' bytes; null is empty."""
+    decompressor = zstandard.ZstdDecompressor()
+    return [b"" if t is None else decompressor.decompress(t) for t in texts.to_pylist()]
 
 
 def covered(ranges: list[bytes] | None, units: int, window: int) -> np.ndarray:
