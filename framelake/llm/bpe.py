@@ -19,10 +19,6 @@ from pyspark.sql import DataFrame
 
 from framelake.llm.common import pieces, words_of
 
-#: Plain Latin words with plain punctuation after them: lower-casing and splitting need no Unicode tables here.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;<=>?@|~-]*)")
-
-
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -30,6 +26,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+#: ASCII marks but the apostrophe: after a word, a run of them is one piece.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
 class Splitter:
     """Cuts a white-space-free chunk into the pieces that the vocabulary's normaliser and pre-tokeniser give.
 
@@ -46,18 +46,27 @@ class Splitter:
         spec = json.load(open(path, encoding="utf-8"))
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_added = re.compile("|".join(map(re.escape, self.added)) or r"(?!)")
-        self.symbols = byte_symbols()
+        symbols = byte_symbols()
+        #: plain Latin letters lower-case without Unicode tables; each stands for the symbols of its bytes
+        self.latin = {k: "".join(symbols[b] for b in chr(k).lower().encode()) for k in range(0xC0, 0x100) if k not in (0xD7, 0xF7)}
+        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def _general(self, text: str) -> list[str]:
         normal = self.tokenizer.normalizer.normalize_str(text)
         return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def word(self, chunk: str) -> str | None:
+        """The one piece of a chunk of plain Latin letters; None for others."""
+        if chunk.isascii():
+            return chunk.lower() if chunk.isalpha() else None
+        return chunk.lower().translate(self.latin) if self.plain.fullmatch(chunk) else None
+
     def split(self, chunk: str) -> list[str | int]:
-        if simple := SIMPLE.fullmatch(chunk):
-            word, tail = simple[1].lower(), simple[2]
-            if not word.isascii():
-                word = "".join(self.symbols[b] for b in word.encode())
-            return [word, tail] if tail else [word]
+        if (word := self.word(chunk)) is not None:
+            return [word]
+        bare = chunk.rstrip(MARKS)
+        if len(bare) < len(chunk) and (word := self.word(bare)) is not None:
+            return [word, chunk[len(bare) :]]
         if "<|" not in chunk:
             return self._general(chunk)
         out: list[str | int] = []
@@ -186,7 +195,7 @@ def per_worker(kind: str, path: str, make: Callable[[str], object]):
 class ChunkIds:
     """Token ids of chunks, kept between batches of a worker; `encode_new` gives the ids of new distinct pieces."""
 
-    def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], width: str = "<u4", most: int = 500_000):
+    def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], width: str = "<u4", most: int = 700_000):
         self.splitter, self.encode_new, self.width, self.most = splitter, encode_new, width, most
         self.known: dict[str, bytes] = {}
 
@@ -194,14 +203,15 @@ class ChunkIds:
         """Ids of each distinct chunk as little-endian unsigned integers of numpy type `width`."""
         if len(self.known) > self.most:
             self.known.clear()
-        known, split, kind = self.known, self.splitter.split, np.dtype(self.width)
-        cut = {c: split(c) for c in chunks if c not in known}
-        new = {p for parts in cut.values() for p in parts if p.__class__ is str and p not in known}
+        known, split, wide = self.known, self.splitter.split, np.dtype(self.width).itemsize
+        out = [known.get(c) for c in chunks]  # a chunk that is a known piece is done
+        cut = [(k, split(c)) for k, (c, ids) in enumerate(zip(chunks, out, strict=True)) if ids is None]
+        new = {p for _, parts in cut for p in parts if p.__class__ is str and p not in known}
         for piece, ids in self.encode_new(sorted(new)).items():
-            known[piece] = b"".join([i.to_bytes(kind.itemsize, "little") for i in ids])
-        for chunk, parts in cut.items():
-            known[chunk] = b"".join([known[p] if p.__class__ is str else p.to_bytes(kind.itemsize, "little") for p in parts])
-        return [known[c] for c in chunks]
+            known[piece] = b"".join([i.to_bytes(wide, "little") for i in ids])
+        for k, parts in cut:
+            out[k] = known[parts[0]] if len(parts) == 1 and parts[0].__class__ is str else b"".join([known[p] if p.__class__ is str else p.to_bytes(wide, "little") for p in parts])
+        return out
 
 
 def chunk_ids(path: str) -> ChunkIds:

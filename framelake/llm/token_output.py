@@ -36,15 +36,30 @@ def library_ids(path: str, width: str) -> ChunkIds:
     return per_worker(f"library{width}", path, make)
 
 
-def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit numbers."""
-    n = len(ranks)
+def encode(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of consecutive documents with `counts` tokens each, and the data bytes of each document."""
     more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-n // 4) * 4, np.uint8)
-    padded[:n] = more
+    slots = -(-counts // 4) * 4
+    ends = np.cumsum(counts)
+    padded = np.zeros(int(slots.sum()), np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(np.cumsum(slots) - slots - (ends - counts), counts)] = more
     control = padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    split = ranks.astype("<u4").view(np.uint8).reshape(n, 4)
-    return control.tobytes(), split[np.arange(4, dtype=np.uint8) <= more[:, None]].tobytes()
+    split = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
+    before = np.concatenate(([0], np.cumsum(more + np.int64(1))))
+    return control, split[np.arange(4, dtype=np.uint8) <= more[:, None]], before[ends] - before[ends - counts]
+
+
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed numbers, and how many each row has; no row may be null."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def cut(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Stretches of bytes as an array of binaries."""
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def decode(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -81,8 +96,8 @@ def token_counts(tokens: DataFrame, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                seen = np.bincount(np.frombuffer(raw.as_buffer(), width))
+            if batch.num_rows:
+                seen = np.bincount(flat(batch.column("ids"), width)[0])
                 if len(seen) > len(total):
                     total = np.pad(total, (0, len(seen) - len(total)))
                 total[: len(seen)] += seen
@@ -107,15 +122,12 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int =
     rank_of[ranked] = np.arange(len(ranked))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, control, data = [], [], []
-            for raw in batch.column("ids"):
-                ranks = rank_of[np.frombuffer(raw.as_buffer(), width)]
-                c, d = encode(ranks)
-                counts.append(len(ranks))
-                control.append(c)
-                data.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n", "control", "data"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                ids, counts = flat(batch.column("ids"), width)
+                control, data, sizes = encode(rank_of[ids], counts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), cut(control, -(-counts // 4)), cut(data, sizes)], names=["doc_id", "n", "control", "data"])
 
     coded = tokens.mapInArrow(code, "doc_id long, n long, control binary, data binary")
     parts = min(4 * partitions(spark), 1024)
