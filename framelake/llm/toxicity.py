@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on words and word beginnings, regularised against reacting to group mentions.
 
-In labelled texts that mention a group, the mention is swapped for another group's; the fit penalises the squared change
-of the score between the two, so neutral mentions do not make a text look toxic.
+In labelled texts that mention a group, the mention is swapped for another group's or for people in general; the fit
+penalises the squared change of the score between the two, so neutral mentions do not make a text look toxic.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from framelake.llm.common import pieces, staged, words_of
 
 #: Neutral names of groups that are swapped for each other.
 IDENTITIES = ("women", "men", "girls", "boys", "christians", "muslims", "jews", "hindus", "atheists", "immigrants", "refugees", "natives", "gays", "lesbians", "africans", "asians", "europeans", "mexicans", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres")
+#: Stands in for any group.
+ANYONE = "people"
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 6)
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -39,10 +41,12 @@ class Model:
     bias: float
 
 
-def swapped(word: str, shift: int) -> str | None:
-    """The word with another group's name in it, or None if it names no group."""
+def swapped(word: str, draw: int) -> str | None:
+    """What stands for a group's name in the swapped text: for even draws people in general, else another group. None for other words."""
     bare = word.strip(EDGE).lower()
-    return IDENTITIES[(IDENTITIES.index(bare) + shift) % len(IDENTITIES)] if bare in IDENTITIES else None
+    if bare not in IDENTITIES:
+        return None
+    return ANYONE if draw % 2 == 0 else IDENTITIES[(IDENTITIES.index(bare) + 1 + draw // 2 % (len(IDENTITIES) - 1)) % len(IDENTITIES)]
 
 
 def labelled_features(rows: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def labelled_features(rows: DataFrame) -> DataFrame:
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     words = set((text or "").split())
                     own.append(sorted({f for w in words for f in word_features(w)}))
-                    swaps = {w: s for w in words if (s := swapped(w, 1 + (doc_id or 0) % (len(IDENTITIES) - 1)))}
+                    swaps = {w: s for w in words if (s := swapped(w, doc_id))}
                     other.append(sorted({f for w in words for f in word_features(swaps.get(w, w))}) if swaps else None)
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, kind), pa.array(other, kind)], names=["doc_id", "label", "own", "other"])
