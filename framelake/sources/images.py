@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def read_frame_images(spark: SparkSession, root: str, frames: DataFrame) -> DataFrame:
     """Frames with image (HWC bytes), height, width and load_status: ok, read_fail for broken files, missing_file without one."""
     images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
     # the file's path after the root
-    relative = F.substring_index(F.col("image.origin"), base, -1)
+    relative = F.substring_index(F.col("image.origin"), root.rstrip("/") + "/", -1)
     loaded = images.select(relative.alias("frame_path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("image"))
     status = F.when(F.col("height").isNull(), "missing_file").when(F.col("height") < 0, "read_fail").otherwise("ok")
     return frames.join(loaded, "frame_path", "left").withColumn("load_status", status)
