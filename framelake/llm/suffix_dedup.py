@@ -30,12 +30,12 @@ def split_bytes(window: int):
         chunks = [(k, at, text[at : at + CHUNK + window - 1]) for k, text in enumerate(texts) for at in range(0, max(1, len(text) - window + 1), CHUNK)]
         while chunks:
             held, size = [], 0
-            while chunks and (not held or size + len(chunks[-1][2]) <= 2 * CHUNK):
+            while chunks and (not held or size + len(chunks[-1][2]) <= 3 * CHUNK):
                 held.append(chunks.pop())
                 size += len(held[-1][2])
             data = np.frombuffer(b"".join([x[2] for x in held]), np.uint8)
             length = np.array([len(x[2]) for x in held])
-            row, first = np.repeat(np.arange(len(held)), length), np.cumsum(length) - length
+            row, first = np.repeat(np.arange(len(held), dtype=np.int32), length), np.cumsum(length) - length
             start, count, least = window_runs(hashes[data], row, first, window, GRAM)
             own = row[start] if len(start) else np.empty(0, int)
             doc, base = doc_ids[np.array([x[0] for x in held])], np.array([x[1] for x in held])

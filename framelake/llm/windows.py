@@ -150,7 +150,7 @@ def ranges_of(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(doc[begins], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "ranges"])
 
 
-def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch], Iterator[Runs]], resolve: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], piece: int, expansion: float, bucket_bytes: int = 24 << 20) -> DataFrame:
+def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch], Iterator[Runs]], resolve: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], piece: int, expansion: float, bucket_bytes: int = 32 << 20) -> DataFrame:
     """doc_id and packed ranges of windows that also start earlier, several rows a document.
 
     `split` gives the super-k-mers of a record batch; `resolve` the (doc, first window, number) of later windows among
@@ -160,7 +160,7 @@ def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch], Iterator[
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    buckets = max(4 * partitions(spark), int(total * expansion) // bucket_bytes)
+    buckets = max(2 * partitions(spark), int(total * expansion) // bucket_bytes)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -209,7 +209,7 @@ def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch], Iterator[
         if held:
             yield from bucket()
 
-    placed = rows.mapInArrow(pack, "bucket int, doc_id long, ranges binary, runs binary").repartition(max(partitions(spark), buckets // 8), "bucket").sortWithinPartitions("bucket")
+    placed = rows.mapInArrow(pack, "bucket int, doc_id long, ranges binary, runs binary").repartition(max(partitions(spark), buckets // 4), "bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(settle, "doc_id long, ranges binary")
 
 
