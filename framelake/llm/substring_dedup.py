@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from framelake.llm.common import mix, pieces, word_hashes, words_of
-from framelake.llm.windows import Runs, covered, gather, later_windows, removed_windows, unpacked, window_runs, with_ranges
+from framelake.llm.windows import Runs, covered, gather, later_windows, removed_windows, spread, unpacked, window_runs, with_ranges
 
 #: Words of the runs whose least hash is a window's minimiser.
 GRAM = 4
@@ -30,10 +30,11 @@ def spaced(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split_words(window: int):
-    def split(batch: pa.RecordBatch) -> Iterator[Runs]:
+    def split(batch: pa.RecordBatch, often: np.ndarray) -> Iterator[Runs]:
         offsets, words = words_of(batch.column("text"))
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        start, count, least = window_runs(word_hashes(words), row, offsets, window, GRAM)
+        units = word_hashes(words)
+        start, count, least = spread(window_runs(units, row, window, GRAM), units, window, often)
         text, at = spaced(words)
         begin, stop = at[start], at[start + count + window - 1]
         doc = batch.column("doc_id").to_numpy()[row[start]] if len(start) else np.empty(0, np.int64)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from framelake.llm.common import mix, pieces
-from framelake.llm.windows import Runs, covered, gather, removed_windows, unpacked, window_runs, with_ranges
+from framelake.llm.windows import Runs, covered, gather, removed_windows, spread, unpacked, window_runs, with_ranges
 
 #: Bytes of the runs whose least hash is a window's minimiser; bytes of a text that are looked at together.
 GRAM, CHUNK = 16, 1 << 20
@@ -24,7 +24,7 @@ GRAM, CHUNK = 16, 1 << 20
 def split_bytes(window: int):
     hashes = mix(np.arange(1, 257, dtype=np.uint64))
 
-    def split(batch: pa.RecordBatch) -> Iterator[Runs]:
+    def split(batch: pa.RecordBatch, often: np.ndarray) -> Iterator[Runs]:
         doc_ids, texts = batch.column("doc_id").to_numpy(), batch.column("text").cast(pa.binary()).to_pylist()
         # long texts in overlapping chunks: each window lies in one
         chunks = [(k, at, text[at : at + CHUNK + window - 1]) for k, text in enumerate(texts) for at in range(0, max(1, len(text) - window + 1), CHUNK)]
@@ -36,7 +36,8 @@ def split_bytes(window: int):
             data = np.frombuffer(b"".join([x[2] for x in held]), np.uint8)
             length = np.array([len(x[2]) for x in held])
             row, first = np.repeat(np.arange(len(held), dtype=np.int32), length), np.cumsum(length) - length
-            start, count, least = window_runs(hashes[data], row, first, window, GRAM)
+            units = hashes[data]
+            start, count, least = spread(window_runs(units, row, window, GRAM), units, window, often)
             own = row[start] if len(start) else np.empty(0, int)
             doc, base = doc_ids[np.array([x[0] for x in held])], np.array([x[1] for x in held])
             yield Runs(least, doc[own], start - first[own] + base[own], count, count + window - 1, gather(data, start, count + window - 1))

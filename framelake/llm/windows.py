@@ -81,12 +81,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_runs(units: np.ndarray, row: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(units: np.ndarray, row: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the first unit in the flat array, number of windows, minimiser) of each super-k-mer.
 
     All windows of a super-k-mer hold the same occurrence of their minimiser, so no two of them are equal.
 
-    `units`: hashes of all units; `row`: the row of each; `first`: where each row begins.
+    `units`: hashes of all units; `row`: the row of each.
     """
     n = len(units) - window + 1
     if n <= 0:
@@ -110,6 +110,42 @@ def window_runs(units: np.ndarray, row: np.ndarray, first: np.ndarray, window: i
     return start, count, grams[(least[start] & PLACE).astype(np.int64)]
 
 
+def spread(runs: tuple[np.ndarray, np.ndarray, np.ndarray], units: np.ndarray, window: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers (as of `window_runs`) of minimisers that are among `often` become windows of their own.
+
+    Such a window goes by the hash of its own units: equal ones still meet, and all others part.
+    """
+    start, count, least = runs
+    own = np.isin(least, often)
+    if not own.any():
+        return runs
+    n = count[own]
+    places = np.repeat(start[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    hashes = np.zeros(len(places), np.uint64)
+    for k in range(window):
+        hashes = hashes * np.uint64(0xC2B2AE3D27D4EB4F) + units[places + k]
+    return np.concatenate((start[~own], places)), np.concatenate((count[~own], np.ones(len(places), count.dtype))), np.concatenate((least[~own], mix(hashes)))
+
+
+def frequent_minimisers(rows: DataFrame, split: Callable[[pa.RecordBatch, np.ndarray], Iterator[Runs]], piece: int, one_in: int = 64, distinct: int = 256, most: int = 4096) -> np.ndarray:
+    """Minimisers with `distinct` different super-k-mers or more among one document in `one_in`, the `most` frequent at most.
+
+    This only decides how work is dealt: whichever minimisers it names, the result is the same.
+    """
+    none = np.empty(0, np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, piece):
+                for runs in split(batch, none):
+                    least, n = np.unique(runs.least[~repeated_within(runs)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(least[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["least", "n"])
+
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).mapInArrow(count, "least long, n long")
+    found = sample.groupBy("least").agg(F.sum("n").alias("n")).filter(F.col("n") >= distinct).orderBy(F.desc("n"), "least").limit(most).collect()
+    return np.array([r.least for r in found], np.int64).view(np.uint64)
+
+
 def repeated_within(runs: Runs) -> np.ndarray:
     """Mask of super-k-mers that equal an earlier one among these: minimiser, length and bytes alike."""
     again = np.zeros(len(runs.least), bool)
@@ -150,22 +186,24 @@ def ranges_of(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(doc[begins], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "ranges"])
 
 
-def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch], Iterator[Runs]], resolve: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], piece: int, expansion: float, bucket_bytes: int = 32 << 20) -> DataFrame:
+def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch, np.ndarray], Iterator[Runs]], resolve: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], piece: int, expansion: float, bucket_bytes: int = 32 << 20) -> DataFrame:
     """doc_id and packed ranges of windows that also start earlier, several rows a document.
 
-    `split` gives the super-k-mers of a record batch; `resolve` the (doc, first window, number) of later windows among
+    `split` gives the super-k-mers of a record batch, given minimisers to spread (see `spread`); `resolve` the (doc, first window, number) of later windows among
     the super-k-mers of one bucket, of which equal ones have been left out. Buckets are as many as the text asks for.
-    Super-k-mers that equal an earlier one of their task are settled there, so copies don't pile up in a bucket.
+    Super-k-mers that equal an earlier one of their task are settled there, so copies don't pile up in a bucket; a passage
+    that many documents hold in different surroundings has frequent minimisers, whose windows are spread.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(2 * partitions(spark), int(total * expansion) // bucket_bytes)
+    often = frequent_minimisers(rows, split, piece)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, piece):
-                for runs in split(batch):
+                for runs in split(batch, often):
                     again = repeated_within(runs)
                     settled = ranges_of(runs.doc[again], runs.start[again], runs.count[again])
                     n = settled.num_rows

@@ -273,6 +273,28 @@ def test_repeated_words(docs, texts):
         assert (out[k].n_words, out[k].n_removed, out[k].kept) == (len(words), sum(gone), " ".join(w for w, g in zip(words, gone, strict=True) if not g))
 
 
+def test_spread_minimisers_change_nothing(docs, monkeypatch):
+    """All minimisers of some documents count as frequent."""
+    from framelake.llm import windows
+
+    for operator, split in ((suffix_dedup, suffix_dedup.split_bytes(100)), (substring_dedup, substring_dedup.split_words(20))):
+        usual = {tuple(r) for r in operator.remove_repeats(docs).collect()}
+        own = docs.filter("doc_id % 2 = 0 and text is not null").select("doc_id", "text").toArrow()
+        often = np.concatenate([r.least for b in own.combine_chunks().to_batches() for r in split(b, np.empty(0, np.uint64))])
+        monkeypatch.setattr(windows, "frequent_minimisers", lambda *a, **k: often)  # noqa: B023
+        assert {tuple(r) for r in operator.remove_repeats(docs).collect()} == usual
+        monkeypatch.undo()
+
+
+def test_frequent_minimisers_are_found(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, f"{' '.join(f'a{k}x{j}' for j in range(30))} {passage} {' '.join(f'b{k}x{j}' for j in range(30))}") for k in range(40)]
+    from framelake.llm import windows
+
+    found = windows.frequent_minimisers(spark.createDataFrame(rows, "doc_id long, text string"), substring_dedup.split_words(20), 4 << 20, one_in=1, distinct=30)
+    assert 0 < len(found) < 10
+
+
 def test_repeats_without_order_or_rows(spark, empty):
     text = "some words that stand here more than once " * 10
     odd = spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")
