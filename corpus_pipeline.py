@@ -7,33 +7,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontaminate, minhash, secrets, toxicity
-from framelake.llm.common import staged
+from framelake.llm.common import small_batches, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the classifier learns from the labels of these documents outside the held-out fifth."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out())
     return toxicity.keep_civil(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near-duplicates."""
+    small_batches(spark)
     gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
     return docs.join(staged(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
+    small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
+    small_batches(spark)
     return secrets.mask(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and what they decode to, for every document."""
+    small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 

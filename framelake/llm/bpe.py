@@ -134,7 +134,7 @@ class PrefixTrie:
         """True if the encoding of both tokens' text is these two tokens."""
         key = (left, right)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             known = self.fits[key] = self._meets(left, right, float("inf"))
         return known
@@ -195,7 +195,7 @@ def per_worker(kind: str, path: str, make: Callable[[str], object]):
 class ChunkIds:
     """Token ids of chunks, kept between batches of a worker; `encode_new` gives the ids of new distinct pieces."""
 
-    def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], width: str = "<u4", most: int = 700_000):
+    def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], width: str = "<u4", most: int = 500_000):
         self.splitter, self.encode_new, self.width, self.most = splitter, encode_new, width, most
         self.known: dict[str, bytes] = {}
 

@@ -35,6 +35,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hands Python at most `rows` rows at a time: texts are long, and a batch is in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,6 +51,8 @@ def pieces(batch: pa.RecordBatch, max_bytes: int = 4 << 20, max_rows: int = 1 <<
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
+    if len(sizes):
+        max_bytes = -(-int(ends[-1]) // max(1, -(-int(ends[-1]) // max_bytes)))  # slices of about the same size
     while start < len(sizes):
         before = ends[start - 1] if start else 0
         stop = min(start + max_rows, max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right"))))

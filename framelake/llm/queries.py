@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontaminate, minhash, quality, secrets, sharding, substring_dedup, suffix_dedup, token_output, toxicity
+from framelake.llm.common import small_batches
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -80,4 +82,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"words AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS ws FROM documents)"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_minhash_near_dedup": f"""
+WITH RECURSIVE {WORDS.format(text=LOWER)},
+ sets AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN array_to_string(list_slice(ws, i, i + 4), ' ') ELSE array_to_string(ws, ' ') END AS shingle
+  FROM words, generate_series(1, greatest(len(ws) - 4, 1)) s(i) WHERE len(ws) > 0),
+ sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)),
+ reach AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT CASE WHEN v = a THEN b ELSE a END, c FROM reach JOIN links ON v = a OR v = b),
+ components AS (SELECT v, min(c) AS component_id FROM reach GROUP BY v)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN components ON v = d.doc_id""",
+    "op7_quality_rules": rf"""
+WITH {WORDS.format(text="coalesce(text, '')")},
+ lines AS (SELECT doc_id, coalesce(source, '') AS host, text, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]'))) AS line FROM words),
+ keyed AS (SELECT *, trim(regexp_replace(lower(line), '[ 	-
+]+', ' ', 'g')) AS norm FROM lines),
+ hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT text) AS n_texts FROM words GROUP BY 1),
+ often AS (SELECT k.host, norm FROM keyed k JOIN hosts h ON h.host = k.host GROUP BY k.host, norm HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) >= 0.002 * any_value(n_texts)),
+ lost AS (SELECT doc_id, sum(length(line)) AS in_lines, sum(CASE WHEN o.norm IS NOT NULL THEN length(line) ELSE 0 END) AS n_common_chars, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM keyed k LEFT JOIN often o ON o.host = k.host AND o.norm = k.norm GROUP BY doc_id),
+ grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM words, generate_series(1, len(ws) - 2) s(i)),
+ repeats AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM grams, range(3) r(j) WHERE n > 1 GROUP BY doc_id),
+ facts AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_common_chars, 0)::BIGINT AS n_common_chars, coalesce(in_lines, 0) AS in_lines
+  FROM words w LEFT JOIN lost l ON l.doc_id = w.doc_id LEFT JOIN repeats r ON r.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_common_chars,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_common_chars <= 0.5 * in_lines AS kept FROM facts""",
+    "op10_substring_dedup": f"""
+WITH {WORDS.format(text="coalesce(text, '')")},
+ windows AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(ws, i, i + 19), ' ') ORDER BY doc_id, i) AS turn FROM words, generate_series(1, len(ws) - 19) s(i)),
+ gone AS (SELECT DISTINCT doc_id, i + j AS p FROM windows, range(20) r(j) WHERE turn > 1),
+ placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM words),
+ kept AS (SELECT a.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY a.p) AS rest FROM placed a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+}

@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     chosen = staged(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample), "labels")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    rows = staged(labelled_features(rows.limit(2 * sample)), "labelled")
+    rows = staged(labelled_features(rows), "labelled")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < positive < n:
         return Model({}, 10.0 if positive else -10.0)
