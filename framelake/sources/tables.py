@@ -133,9 +133,9 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.select("accuracy", "balanced_accuracy", "f1", "precision", "recall", counts, labels, preds, probs).coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """run, stage, epoch, loss, accuracy, f1, auc from run documents with one list of epochs per stage."""
+def read_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """run, stage, epoch, loss, accuracy, f1, auc from run documents (one a file, or one a line) with a list of epochs per stage."""
     epoch = "struct<loss:double,accuracy:double,f1:double,auc:double,learning_rates:array<double>>"
-    runs = spark.read.schema(f"run string, train array<{epoch}>, val array<{epoch}>").json(path, multiLine=True)
+    runs = spark.read.schema(f"run string, train array<{epoch}>, val array<{epoch}>").json(path, multiLine=multi_line)
     stages = [runs.select("run", F.lit(s).alias("stage"), F.posexplode(s).alias("epoch", "e")).select("run", "stage", (F.col("epoch") + 1).alias("epoch"), "e.*") for s in ("train", "val")]
     return stages[0].unionByName(stages[1])
