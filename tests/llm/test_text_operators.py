@@ -460,3 +460,20 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
 def test_all_operators_have_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    import compare
+
+    folder = "/root/testdata/sf0.001"
+    assert compare.differences(compare.connect(folder), queries.QUERIES[name](spark, folder), queries.ORACLE_SQL[name]) is None
+
+
+def test_extra_columns_do_not_clash(spark):
+    """Columns that operators use inside may be in the input already."""
+    names = ["row", "key", "bucket", "shard", "n", "bands", "ranges", "text_crc32", "host", "facts", "size", "spans"]
+    rows = [(k, "some words of a text that goes on " * (k + 1), "s", *([7] * len(names))) for k in range(4)]
+    wide = spark.createDataFrame(rows, "doc_id int, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    runs = [sharding.shard_documents(wide, 2), secrets.scan(wide), bpe.encode_documents(wide, VOCABULARY), suffix_dedup.remove_repeats(wide), minhash.near_duplicates(wide), quality.quality_filter(wide), substring_dedup.remove_repeats(wide)]
+    assert all(df.count() == 4 for df in runs) and secrets.mask(wide).columns == wide.columns
