@@ -26,6 +26,8 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+#: Bytes of text whose distinct chunks are worked out together.
+PIECE = 8 << 20
 #: ASCII marks but the apostrophe: after a word, a run of them is one piece.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -47,8 +49,8 @@ class Splitter:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_added = re.compile("|".join(map(re.escape, self.added)) or r"(?!)")
         symbols = byte_symbols()
-        #: plain Latin letters lower-case without Unicode tables; each stands for the symbols of its bytes
-        self.latin = {k: "".join(symbols[b] for b in chr(k).lower().encode()) for k in range(0xC0, 0x100) if k not in (0xD7, 0xF7)}
+        #: the bytes of lower-case Latin letters that don't stand for themselves
+        self.shifted = [(chr(b), symbols[b]) for b in (0x9F, 0xA0, 0xAD)]
         self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def _general(self, text: str) -> list[str]:
@@ -59,7 +61,12 @@ class Splitter:
         """The one piece of a chunk of plain Latin letters; None for others."""
         if chunk.isascii():
             return chunk.lower() if chunk.isalpha() else None
-        return chunk.lower().translate(self.latin) if self.plain.fullmatch(chunk) else None
+        if not self.plain.fullmatch(chunk):
+            return None
+        word = chunk.lower().encode().decode("latin-1")
+        for byte, symbol in self.shifted:
+            word = word.replace(byte, symbol)
+        return word
 
     def split(self, chunk: str) -> list[str | int]:
         if (word := self.word(chunk)) is not None:
@@ -244,7 +251,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, texts = chunk_ids(path), token_texts(path)
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, PIECE):
                 ids, offsets, codes = encoded(batch.column("text"), ids_of)
                 spoken = [" ".join([texts[i] for i in np.frombuffer(x, "<u4").tolist()]).encode() for x in ids]
                 rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}

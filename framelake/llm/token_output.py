@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.bpe import ChunkIds, Splitter, encoded, per_worker
+from framelake.llm.bpe import PIECE, ChunkIds, Splitter, encoded, per_worker
 from framelake.llm.common import partitions, pieces, staged
 
 #: For each control byte the byte counts of its four tokens.
@@ -82,7 +82,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = library_ids(path, width), np.array([end_id], width).tobytes()
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, PIECE):
                 ids, offsets, codes = encoded(batch.column("text"), ids_of)
                 out = [b"".join([ids[c] for c in codes[a:b]]) + end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
