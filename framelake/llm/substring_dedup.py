@@ -60,7 +60,7 @@ def resolve_words(window: int):
             for k in range(window):
                 hashes = hashes * np.uint64(0xC2B2AE3D27D4EB4F) + units[place + k]
         span = np.arange(window)
-        later = later_windows(hashes, doc, at, lambda a, b: (codes[place[a][:, None] + span] == codes[place[b][:, None] + span]).all(1) if len(a) < 1 << 20 else np.array([(codes[place[a] + k] == codes[place[b] + k]).all() for k in range(window)]))
+        later = later_windows(lambda x: codes[place[x][:, None] + span], hashes, doc, at)
         return doc[later], at[later], np.ones(int(later.sum()), np.int64)
 
     return resolve

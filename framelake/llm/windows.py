@@ -251,15 +251,21 @@ def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch, np.ndarray
     return placed.mapInArrow(settle, "doc_id long, ranges binary")
 
 
-def later_windows(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Mask of windows that equal an earlier one by (doc, at), given their hashes and an exact comparison of two lists of windows."""
+def later_windows(windows: Callable[[np.ndarray], np.ndarray], hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Mask of windows that equal an earlier one by (doc, at).
+
+    They are sorted by hash, and neighbours of one hash are compared unit by unit; `windows` gives the units of some of
+    them, a row each. Should two different windows have one hash, they are sorted by their units instead.
+    """
     order = np.lexsort((at, doc, hashes))
-    sorted_hashes = hashes[order]
-    alike = sorted_hashes[1:] == sorted_hashes[:-1]
+    alike = np.nonzero(hashes[order[1:]] == hashes[order[:-1]])[0]
+    for k in range(0, len(alike), step):
+        own = alike[k : k + step]
+        if (windows(order[own + 1]) != windows(order[own])).any():
+            _, kind = np.unique(windows(np.arange(len(hashes))), axis=0, return_inverse=True)
+            return later_windows(lambda x: np.zeros((len(x), 1)), kind.ravel(), doc, at)
     later = np.zeros(len(hashes), bool)
-    later[order[1:][alike]] = True
-    if not same(order[1:][alike], order[:-1][alike]).all():
-        raise ArithmeticError("two different windows have one hash")
+    later[order[alike + 1]] = True
     return later
 
 

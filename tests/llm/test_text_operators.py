@@ -286,6 +286,16 @@ def test_spread_minimisers_change_nothing(docs, monkeypatch):
         monkeypatch.undo()
 
 
+def test_equal_hashes_of_different_windows():
+    from framelake.llm.windows import later_windows
+
+    units = np.array([[1, 2], [3, 4], [1, 2], [3, 4], [5, 6]])
+    doc, at = np.array([9, 1, 4, 1, 0]), np.array([0, 7, 0, 2, 0])
+    for hashes in ([1, 1, 1, 1, 1], [1, 2, 1, 2, 3]):
+        later = later_windows(lambda x: units[x], np.array(hashes, np.uint64), doc, at)
+        assert later.tolist() == [True, True, False, False, False]
+
+
 def test_frequent_minimisers_are_found(spark):
     passage = " ".join(f"p{k}" for k in range(40))
     rows = [(k, f"{' '.join(f'a{k}x{j}' for j in range(30))} {passage} {' '.join(f'b{k}x{j}' for j in range(30))}") for k in range(40)]
