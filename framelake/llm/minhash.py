@@ -91,7 +91,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, max_rows=2048):
+            for batch in pieces(whole, 2 << 20, 1024):
                 n = batch.num_rows
                 row, gram = shingle_sets(batch.column("text"))
                 sizes = np.bincount(row, minlength=n)
