@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from framelake.llm.common import mix, pieces
-from framelake.llm.windows import Runs, covered, gather, removed_windows, spread, unpacked, window_runs, with_ranges
+from framelake.llm.windows import Runs, covered, gather, removed_windows, repeated_within, spread, unpacked, window_runs, with_ranges
 
 #: Bytes of the runs whose least hash is a window's minimiser; bytes of a text that are looked at together.
 GRAM, CHUNK = 16, 1 << 20
@@ -150,6 +150,9 @@ def resolve_bytes(window: int):
         runs = repeated_stretches(runs, window)
         if not len(runs.least):
             return runs.doc, runs.start, runs.count
+        again = repeated_within(runs)  # copies of a stretch are settled; its first one stands for them
+        copies = runs.doc[again], runs.start[again], runs.count[again]
+        runs = runs.take(np.nonzero(~again)[0])
         begin = np.cumsum(runs.length) - runs.length
         data = np.zeros(len(runs.packed) + len(begin), np.int64)  # a zero after each stretch
         inside = np.ones(len(data), bool)
@@ -170,7 +173,7 @@ def resolve_bytes(window: int):
         kind[sorted_windows] = np.cumsum(differs)
         order = np.lexsort((at, doc, kind))
         later = order[1:][kind[order[1:]] == kind[order[:-1]]]
-        return doc[later], at[later], np.ones(len(later), np.int64)
+        return tuple(map(np.concatenate, zip(copies, (doc[later], at[later], np.ones(len(later), np.int64)), strict=True)))
 
     return resolve
 
