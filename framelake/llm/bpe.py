@@ -204,20 +204,34 @@ class ChunkIds:
 
     def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], width: str = "<u4", most: int = 500_000):
         self.splitter, self.encode_new, self.width, self.most = splitter, encode_new, width, most
+        #: Ids by raw chunk (those that are their only piece), and by piece where a chunk of that spelling may have other
+        #: ids: 'fÃ¼r' is the piece of 'für', but as a chunk it has pieces of its own.
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def of(self, chunks: list[str]) -> list[bytes]:
         """Ids of each distinct chunk as little-endian unsigned integers of numpy type `width`."""
-        if len(self.known) > self.most:
+        if len(self.known) + len(self.pieces) > self.most:
             self.known.clear()
-        known, split, wide = self.known, self.splitter.split, np.dtype(self.width).itemsize
-        out = [known.get(c) for c in chunks]  # a chunk that is a known piece is done
+            self.pieces.clear()
+        known, pieces, split, wide = self.known, self.pieces, self.splitter.split, np.dtype(self.width).itemsize
+        out = [known.get(c) for c in chunks]
         cut = [(k, split(c)) for k, (c, ids) in enumerate(zip(chunks, out, strict=True)) if ids is None]
-        new = {p for _, parts in cut for p in parts if p.__class__ is str and p not in known}
+
+        def place(piece: str) -> dict[str, bytes]:
+            """A lower-case ASCII word is its own piece (`Splitter.word`), so it is kept as a chunk."""
+            return known if piece.isascii() and piece.isalpha() and piece.islower() else pieces
+
+        new = {p for _, parts in cut for p in parts if p.__class__ is str and p not in place(p)}
         for piece, ids in self.encode_new(sorted(new)).items():
-            known[piece] = b"".join([i.to_bytes(wide, "little") for i in ids])
+            place(piece)[piece] = b"".join([i.to_bytes(wide, "little") for i in ids])
         for k, parts in cut:
-            out[k] = known[parts[0]] if len(parts) == 1 and parts[0].__class__ is str else b"".join([known[p] if p.__class__ is str else p.to_bytes(wide, "little") for p in parts])
+            if len(parts) == 1 and parts[0].__class__ is str:
+                out[k] = place(parts[0])[parts[0]]
+                if parts[0] == chunks[k]:
+                    known[chunks[k]] = out[k]
+            else:
+                out[k] = b"".join([place(p)[p] if p.__class__ is str else p.to_bytes(wide, "little") for p in parts])
         return out
 
 

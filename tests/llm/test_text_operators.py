@@ -176,6 +176,19 @@ def test_tokens_equal_the_library(docs, texts):
         at += len(raw)
 
 
+def test_chunks_spelt_like_known_pieces():
+    """'fÃ¼r' is spelt like the piece of 'für'; batches of one worker must not mix them up, in either order."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    model = library.model
+    for encode_new in (bpe.PrefixTrie(VOCABULARY).encode, lambda words: {w: [t.id for t in model.tokenize(w)] for w in words}):
+        for texts in (("für café", "fÃ¼r cafÃ©", "für café"), ("fÃ¼r cafÃ©", "für café", "fÃ¼r cafÃ©")):
+            ids_of = bpe.ChunkIds(bpe.Splitter(VOCABULARY), encode_new)
+            for text in texts:
+                assert np.frombuffer(b"".join(ids_of.of(text.split())), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_control_bytes_round_trip():
     r = np.random.default_rng(1)
     for top in (200, 70_000, 2**25, 2**32):
