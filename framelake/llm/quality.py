@@ -67,26 +67,36 @@ def common_lines(measured: DataFrame, min_docs: int, min_share: float) -> DataFr
     return counts.join(texts, "host").filter(F.col("n_docs") >= min_share * F.col("n_texts")).select("line_key", "n_docs")
 
 
-def quality_filter(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, min_docs: int = 20, min_share: float = 0.002, max_lost_share: float = 0.5) -> DataFrame:
+def without_lines(text: Column, host: Column, keys: Column) -> Column:
+    """`text` without its lines of those keys; lines without a word stay, null is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    rest = F.filter(F.split(whole, "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(keys, F.xxhash64(host, normalised_line(x)))))
+    return F.when(keys.isNull(), whole).otherwise(F.array_join(rest, "\n"))
+
+
+def quality_filter(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, min_docs: int = 20, min_share: float = 0.002, max_lost_share: float = 0.5, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, the metrics of `document_metrics`, base_failed, n_common_chars, kept.
 
     base_failed: fewer than `min_words` words, or more than `max_repeat_pct` % of the words in repeated 3-word windows.
-    Lines that `common_lines` finds are removed; a document that loses more than `max_lost_share` of its characters in
-    lines with a word is depleted and not kept. Null hosts form one host; null texts have no lines and fail the base rule.
-    Copies of a row are judged each for itself. Repeated doc_ids stay separate rows.
+    Lines that `common_lines` finds are removed, and with `keep_text` the rest is in `kept_text`, for documents that are
+    not kept too; a document that loses more than `max_lost_share` of its characters in lines with a word is depleted and
+    not kept. Null hosts form one host; null texts have no lines and fail the base rule. Copies of a row are judged each
+    for itself. Repeated doc_ids stay separate rows.
     """
     owner = F.coalesce(F.col(host).cast("string"), F.lit(""))
     rows = docs.select("doc_id", "text", owner.alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), line_facts(owner).alias("facts"))
-    measured = staged(document_metrics(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "quality")
+    found = document_metrics(rows)
+    measured = staged((found if keep_text else found.drop("text")).withColumn("row", F.monotonically_increasing_id()), "quality")
     common = staged(common_lines(measured, min_docs, min_share), "common_lines").select("line_key")
     hit = measured.select("row", F.inline("facts")).join(common, "line_key", "left_semi")
-    lost = hit.groupBy("row").agg(F.sum("n").alias("lost"))
+    lost = hit.groupBy("row").agg(F.sum("n").alias("lost"), *([F.collect_set("line_key").alias("keys")] if keep_text else []))
     in_lines = F.aggregate("facts.n", F.lit(0).cast("long"), lambda a, x: a + x)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    return (
-        measured.select("doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", in_lines.alias("in_lines"))
+    judged = (
+        measured.select("doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", in_lines.alias("in_lines"), *(["text", "host"] if keep_text else []))
         .join(lost, "row", "left")
         .withColumns({"base_failed": failed, "n_common_chars": F.coalesce("lost", F.lit(0).cast("long"))})
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_common_chars") <= max_lost_share * F.col("in_lines")))
         .drop("row", "lost", "in_lines")
     )
+    return judged.withColumn("kept_text", without_lines(F.col("text"), F.col("host"), F.col("keys"))).drop("text", "host", "keys") if keep_text else judged

@@ -425,6 +425,23 @@ def test_common_lines_deplete(spark, empty):
     assert quality.quality_filter(empty).collect() == []
 
 
+def test_common_lines_leave_the_text(spark):
+    r = random.Random(2)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    notices = ["All rights are kept by 1999 Some Company", "Click here  to subscribe"]
+    own = {k: [line() for _ in range(6)] for k in range(25)}
+    rows = [(k, "\n".join([notices[0].upper() if k % 2 else notices[0], *x[:3], "", " ", f" {notices[1]}\t", *x[3:], notices[0]]), "a") for k, x in own.items()]
+    rows += [(100, rows[0][1], "b"), (101, None, "a"), (102, "", "a"), (103, notices[0], "a"), (104, notices[0] + "\n", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = by_id(quality.quality_filter(docs, keep_text=True))
+    for k, x in own.items():
+        assert out[k].kept and out[k].kept_text == "\n".join([*x[:3], "", " ", *x[3:]])
+        assert out[k].n_common_chars == sum(len(t) for t in rows[k][1].split("\n") if t.strip()) - sum(map(len, x))
+    assert [out[k].kept_text for k in range(100, 105)] == [rows[0][1], "", "", "", notices[0] + "\n"]
+    plain = quality.quality_filter(docs)
+    assert "kept_text" not in plain.columns and by_id(plain) == by_id(quality.quality_filter(docs, keep_text=True).drop("kept_text"))
+
+
 # toxicity
 
 
