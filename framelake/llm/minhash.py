@@ -20,8 +20,8 @@ from framelake.llm.common import gram_hashes, mix, partitions, pieces, staged, w
 #: A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 < 0.00001.
 SHINGLE, WIDTH, ROWS, BANDS = 5, 1024, 4, 32
 #: Two bits of each coordinate serve estimates. At similarity 0.75 they agree in a share of 0.8125, with a standard
-#: deviation of 0.0122; four of these below lies the least share at which a pair is verified.
-LEAST_AGREEMENT = 0.764
+#: deviation of 0.0122; six of these below lies the least share at which a pair is verified.
+LEAST_AGREEMENT = 0.739
 BLOCK = 2048
 
 

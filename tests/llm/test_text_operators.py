@@ -385,6 +385,15 @@ def test_sketches_fill_and_estimate():
     assert abs((coordinates[0] == coordinates[1]).mean() - 0.75) < 0.06
 
 
+def test_estimates_lose_less_than_the_banding():
+    """At similarity 0.75, against the exact binomial tail of coordinates whose two bits agree."""
+    import math
+
+    n, p = minhash.WIDTH, 0.75 + 0.25 / 4
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil(minhash.LEAST_AGREEMENT * n)))
+    assert lost < 1e-8 < (1 - 0.75**minhash.ROWS) ** minhash.BANDS
+
+
 def test_near_duplicates_of_odd_rows(spark, empty):
     assert minhash.near_duplicates(empty).collect() == []
     rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (7, "A B c d e f"), (9, None)], "doc_id long, text string")
