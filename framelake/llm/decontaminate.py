@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import pieces, staged
+from framelake.llm.common import pieces, returning
+
+#: Bytes of benchmark items in one automaton, which takes some forty times that in each Python worker.
+BLOCK = 4 << 20
 
 
 def normal(text: str | None) -> str:
@@ -27,10 +31,13 @@ class Item:
     text: str
     budget: int
 
-    def __post_init__(self):
-        self.masks: dict[str, int] = {}
+    @cached_property
+    def masks(self) -> dict[str, int]:
+        """Of each character the bits of its places; made when the item's first piece is hit."""
+        out: dict[str, int] = {}
         for k, c in enumerate(self.text):
-            self.masks[c] = self.masks.get(c, 0) | 1 << k
+            out[c] = out.get(c, 0) | 1 << k
+        return out
 
     def distance(self, window: str) -> int:
         """Least edit distance between the item and any stretch of `window` (Myers, one machine of len(item) bits)."""
@@ -108,20 +115,22 @@ def blocks(benchmark: DataFrame, share: float, min_chars: int, block_bytes: int)
     for k in range(n):
         own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         texts = [(r.item_id, normal(r.text)) for r in own.orderBy("item_id", "text").collect()]
-        yield [(i, t, int(len(t) * share)) for i, t in texts if len(t) >= min_chars]
+        yield [(i, t, int(len(t) * share)) for i, t in texts if len(t) >= max(min_chars, 1)]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = 1 / 12, min_chars: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = 1 / 12, min_chars: int = 0, block_bytes: int = BLOCK) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, item_chars.
 
-    The budget is `share` of the item's normalised characters, rounded down. Items shorter than `min_chars` characters
-    are ordinary phrases and are left out, as are items and documents that are null. A benchmark above `block_bytes` is
-    taken in blocks, one pass over the documents each. Repeated items and repeated doc_ids give rows of their own.
+    The budget is `share` of the item's normalised characters, rounded down, so items under 1 / `share` characters are
+    found verbatim only, wherever they stand. Callers who take short items for ordinary phrases can leave out those under
+    `min_chars` characters. Items without a character, null items and null documents match nothing. A benchmark above
+    `block_bytes` is taken in blocks, one pass over the documents each. Repeated items and repeated doc_ids give rows of
+    their own; other columns are not read.
     """
     out = None
     for block in blocks(benchmark, share, min_chars, block_bytes):
         found = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_search(docs, block), "doc_id long, item_id long, distance long, item_chars long")
-        out = found if out is None else out.unionByName(staged(found, "matches"))
+        out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long, item_chars long")
 
 
@@ -136,11 +145,11 @@ def _search(docs: DataFrame, block: list[tuple[int, str, int]]):
                 names = ["doc_id", "item_id", "distance", "item_chars"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=names)
 
-    return run
+    return returning(run)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = 1 / 12, min_chars: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
-    """The documents in which no item is found (see `matches`), with all their columns; null texts stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 1 / 12, min_chars: int = 0, block_bytes: int = BLOCK) -> DataFrame:
+    """The documents in which no item is found (see `matches`), with all their columns; null texts and repeated rows stay."""
     for block in blocks(benchmark, share, min_chars, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -150,5 +159,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 1 / 12, min_char
                 for batch in pieces(whole):
                     yield batch.filter(pa.array([not finder.find(normal(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(returning(run), docs.schema)
     return docs
