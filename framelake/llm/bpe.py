@@ -9,7 +9,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from framelake.llm.common import pieces, words_of
+from framelake.llm.common import pieces, returning, words_of
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -26,14 +28,30 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
-#: Bytes of text whose distinct chunks are worked out together.
-PIECE = 8 << 20
+#: Bytes of text whose distinct chunks are worked out together; words that share one trie.
+PIECE, TRIE_WORDS = 4 << 20, 8192
 #: ASCII marks but the apostrophe: after a word, a run of them is one piece.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Latin letters whose lower case and byte symbols are known without the library.
+LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+#: The normaliser and the split pattern for which texts may be cut at white space, and words and marks be
+#: told apart, before the library sees them.
+NORMALISER = ["NFC", "Replace \\s+", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_spec(spec: dict) -> None:
+    """Refuses vocabulary files that normalise or split in another way than `Splitter` and `ChunkIds` count on."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    named = [f"{x['type']} {x['pattern'].get('Regex')}" if x["type"] == "Replace" else x["type"] for x in steps]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    patterns = [x.get("pattern", {}).get("Regex") if x["type"] == "Split" else x["type"] for x in splits]
+    if named != NORMALISER or patterns != [PATTERN, "ByteLevel"] or spec.get("decoder") or spec["model"].get("unk_token"):
+        raise ValueError("a byte-level BPE vocabulary with lower case, dropped white space and no decoder is needed")
 
 
 class Splitter:
-    """Cuts a white-space-free chunk into the pieces that the vocabulary's normaliser and pre-tokeniser give.
+    """Cuts white-space-free chunks into the pieces that the vocabulary's normaliser and pre-tokeniser give.
 
     Added tokens inside a chunk come out as their id. Chunks are cut at ASCII white space only, which the normaliser
     drops, so a text's pieces are those of its chunks.
@@ -46,34 +64,25 @@ class Splitter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
+        check_spec(spec)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_added = re.compile("|".join(map(re.escape, self.added)) or r"(?!)")
         symbols = byte_symbols()
         #: the bytes of lower-case Latin letters that don't stand for themselves
         self.shifted = [(chr(b), symbols[b]) for b in (0x9F, 0xA0, 0xAD)]
-        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def _general(self, text: str) -> list[str]:
         normal = self.tokenizer.normalizer.normalize_str(text)
         return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def word(self, chunk: str) -> str | None:
-        """The one piece of a chunk of plain Latin letters; None for others."""
-        if chunk.isascii():
-            return chunk.lower() if chunk.isalpha() else None
-        if not self.plain.fullmatch(chunk):
-            return None
-        word = chunk.lower().encode().decode("latin-1")
+    def symbols(self, word: str) -> str:
+        """The byte symbols of a word of lower-case Latin letters, which is one piece."""
+        word = word.encode().decode("latin-1")
         for byte, symbol in self.shifted:
             word = word.replace(byte, symbol)
         return word
 
     def split(self, chunk: str) -> list[str | int]:
-        if (word := self.word(chunk)) is not None:
-            return [word]
-        bare = chunk.rstrip(MARKS)
-        if len(bare) < len(chunk) and (word := self.word(bare)) is not None:
-            return [word, chunk[len(bare) :]]
         if "<|" not in chunk:
             return self._general(chunk)
         out: list[str | int] = []
@@ -105,13 +114,21 @@ class PrefixTrie:
             else:
                 self.inner[text] = token
         self.size = {v: len(k) for k, v in [*self.inner.items(), *self.final.items()]}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         # a token that its own text doesn't encode to never occurs in an encoding
         for table in (self.inner, self.final):
             for text, token in [x for x in table.items() if x[1] in self.parts]:
                 if not self._reachable(token):
                     del table[text]
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.reach = {id(table): self._reach(table) for table in (self.inner, self.final)}
+
+    @staticmethod
+    def _reach(table: dict[str, int]) -> dict[str, int]:
+        """The length of the longest token for each end of three symbols."""
+        out: dict[str, int] = {}
+        for text in table:
+            out[text[-3:]] = max(len(text), out.get(text[-3:], 0))
+        return out
 
     def _reachable(self, token: int) -> bool:
         a, b = self.parts[token]
@@ -139,9 +156,9 @@ class PrefixTrie:
 
     def adjoin(self, left: int, right: int) -> bool:
         """True if the encoding of both tokens' text is these two tokens."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 300_000:
+            if len(self.fits) > 150_000:
                 self.fits.clear()
             known = self.fits[key] = self._meets(left, right, float("inf"))
         return known
@@ -149,20 +166,28 @@ class PrefixTrie:
     def last_token(self, text: str, table: dict[str, int], before: list[int]) -> int:
         """The last token of `text`; before[n] is that of its first n symbols."""
         n = len(text)
-        for start in range(max(0, n - self.longest), n):
+        for start in range(max(0, n - self.reach[id(table)].get(text[-3:], 2)), n):
             token = table.get(text[start:])
             if token is not None and (start == 0 or self.adjoin(before[start], token)):
                 return token
         raise ValueError(f"no encoding for {text!r}")
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
-        """Token ids of each distinct non-empty word."""
+        """Token ids of each distinct non-empty word, by tries of `TRIE_WORDS` neighbours in order, so that tries stay small."""
+        words = sorted(words)
+        out: dict[str, list[int]] = {}
+        for k in range(0, len(words), TRIE_WORDS):
+            out |= self.encode_trie(words[k : k + TRIE_WORDS])
+        return out
+
+    def encode_trie(self, words: list[str]) -> dict[str, list[int]]:
+        """Token ids of each word, by one trie."""
         root: dict = {}
         for word in words:
             node = root
             for symbol in word[:-1]:
                 node = node.setdefault(symbol, {})
-            node.setdefault("", set()).add(word[-1])
+            node[""] = node.get("", "") + word[-1]
         out: dict[str, list[int]] = {}
         last = [-1]
         stack: list[tuple[int, str, dict]] = [(0, "", root)]
@@ -199,40 +224,73 @@ def per_worker(kind: str, path: str, make: Callable[[str], object]):
     return _loaded[kind, path]
 
 
-class ChunkIds:
-    """Token ids of chunks, kept between batches of a worker; `encode_new` gives the ids of new distinct pieces."""
-
-    def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], width: str = "<u4", most: int = 500_000):
-        self.splitter, self.encode_new, self.width, self.most = splitter, encode_new, width, most
-        #: Ids by raw chunk (those that are their only piece), and by piece where a chunk of that spelling may have other
-        #: ids: 'fÃ¼r' is the piece of 'für', but as a chunk it has pieces of its own.
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def of(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each distinct chunk as little-endian unsigned integers of numpy type `width`."""
-        if len(self.known) + len(self.pieces) > self.most:
-            self.known.clear()
-            self.pieces.clear()
-        known, pieces, split, wide = self.known, self.pieces, self.splitter.split, np.dtype(self.width).itemsize
-        out = [known.get(c) for c in chunks]
-        cut = [(k, split(c)) for k, (c, ids) in enumerate(zip(chunks, out, strict=True)) if ids is None]
-
-        def place(piece: str) -> dict[str, bytes]:
-            """A lower-case ASCII word is its own piece (`Splitter.word`), so it is kept as a chunk."""
-            return known if piece.isascii() and piece.isalpha() and piece.islower() else pieces
-
-        new = {p for _, parts in cut for p in parts if p.__class__ is str and p not in place(p)}
-        for piece, ids in self.encode_new(sorted(new)).items():
-            place(piece)[piece] = b"".join([i.to_bytes(wide, "little") for i in ids])
-        for k, parts in cut:
-            if len(parts) == 1 and parts[0].__class__ is str:
-                out[k] = place(parts[0])[parts[0]]
-                if parts[0] == chunks[k]:
-                    known[chunks[k]] = out[k]
+class Kept:
+    """Values of the keys that were asked for of late: at most two generations of `most` entries."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, keys: list[str], make: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> list[bytes]:
+        """The values of distinct keys; `make` gives those of new ones."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = [k for k in keys if k not in young]
+        new = []
+        for key in missing:
+            if (value := old.get(key)) is None:
+                new.append(key)
             else:
-                out[k] = b"".join([place(p)[p] if p.__class__ is str else p.to_bytes(wide, "little") for p in parts])
-        return out
+                young[key] = value
+        young.update(make(new))
+        return [young[k] for k in keys]
+
+
+class ChunkIds:
+    """Token ids of chunks; `encode_new` gives those of new distinct pieces, and a worker keeps some between batches.
+
+    Pieces and whole chunks are kept apart: 'fÃ¼r' is the piece of 'für', but as a chunk it has pieces of its own.
+    """
+
+    def __init__(self, splitter: Splitter, encode_new: Callable[[list[str]], dict[str, list[int]]], width: str = "<u4", most: int = 100_000):
+        self.splitter, self.encode_new, self.width = splitter, encode_new, width
+        self.pieces, self.chunks = Kept(most), Kept(most // 4)
+
+    def _encode(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        encoded = self.encode_new(pieces)
+        raw = np.fromiter(chain.from_iterable(encoded.values()), self.width).tobytes()
+        ends = list(accumulate(map(len, encoded.values()), initial=0))
+        size = np.dtype(self.width).itemsize
+        return zip(encoded, (raw[size * a : size * b] for a, b in pairwise(ends)), strict=True)
+
+    def _encode_chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        cut = [self.splitter.split(c) for c in chunks]
+        names = list({p: None for parts in cut for p in parts if p.__class__ is str})
+        known = dict(zip(names, self.pieces.of(names, self._encode), strict=True))
+        for chunk, parts in zip(chunks, cut, strict=True):
+            yield chunk, b"".join([known[p] if p.__class__ is str else np.array(p, self.width).tobytes() for p in parts])
+
+    def of(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each distinct chunk as packed unsigned integers of numpy type `width`.
+
+        Latin words with or without marks behind them are taken apart in whole columns; other chunks go one by one.
+        """
+        bare = pc.utf8_rtrim(chunks, MARKS)
+        plain = pc.match_substring_regex(bare, f"^{LATIN}$")
+        words = pc.utf8_lower(bare.filter(plain)).dictionary_encode()
+        marks = pc.replace_substring_regex(chunks.filter(plain), f"^{LATIN}", "", max_replacements=1).dictionary_encode()
+        symbols = [w if w.isascii() else self.splitter.symbols(w) for w in words.dictionary.to_pylist()]
+        tails = marks.dictionary.to_pylist()
+        word_ids = pa.array(self.pieces.of(symbols, self._encode), pa.large_binary()).take(words.indices)
+        tail_ids = {"": b""} | dict(zip(some := [t for t in tails if t], self.pieces.of(some, self._encode), strict=True))
+        mark_ids = pa.array([tail_ids[t] for t in tails], pa.large_binary()).take(marks.indices)
+        others = chunks.filter(pc.invert(plain)).to_pylist()
+        other_ids = pa.array(self.chunks.of(others, self._encode_chunks), pa.large_binary())
+        both = pa.concat_arrays([pc.binary_join_element_wise(word_ids, mark_ids, pa.scalar(b"", pa.large_binary())), other_ids])
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        return both.take(pa.array(np.where(is_plain, np.cumsum(is_plain) - 1, len(words) + np.cumsum(~is_plain) - 1)))
 
 
 def chunk_ids(path: str) -> ChunkIds:
@@ -240,47 +298,59 @@ def chunk_ids(path: str) -> ChunkIds:
     return per_worker("trie", path, lambda p: ChunkIds(Splitter(p), PrefixTrie(p).encode))
 
 
-def token_texts(path: str) -> dict[int, str]:
-    def make(p: str) -> dict[int, str]:
+def token_texts(path: str) -> pa.Array:
+    """Of each id the token's string and a space; ids that the file leaves out are empty."""
+
+    def make(p: str) -> pa.Array:
         spec = json.load(open(p, encoding="utf-8"))
-        return {v: k for k, v in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        texts = {v: k for k, v in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        return pa.array([texts[k].encode() + b" " if k in texts else b"" for k in range(max(texts) + 1)], pa.large_binary())
 
     return per_worker("texts", path, make)
 
 
-def encoded(texts: pa.Array, ids_of: ChunkIds) -> tuple[list[bytes], np.ndarray, list[int]]:
-    """Distinct chunks' ids, then for all texts the row offsets and codes into them."""
+def flat_ids(texts: pa.Array, ids_of: ChunkIds) -> tuple[np.ndarray, memoryview]:
+    """The packed ids of all texts one after the other, and where each text's begin and end in bytes."""
     offsets, words = words_of(texts)
     coded = words.dictionary_encode()
-    return ids_of.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), offsets, coded.indices.to_numpy().tolist()
+    taken = ids_of.of(coded.dictionary).take(coded.indices)
+    bounds, data = spans(taken)
+    return bounds[offsets], data
+
+
+def spans(packed: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Ends of the values of a large binary array without nulls (a zero before them), and their bytes."""
+    data = packed.buffers()[2]
+    return np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, 8 * packed.offset), memoryview(data) if data else memoryview(b"")
 
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with `keep_ids` ids and decoded.
 
     `path`: a byte-level BPE vocabulary file with word ends and no decoder, for which decoding joins the tokens' strings
-    with spaces. Null texts are empty. Each row stands for itself: repeated or null doc_ids change nothing.
+    with spaces; files that normalise or split otherwise are refused (`check_spec`). Null texts are empty. Each row
+    stands for itself: repeated or null doc_ids change nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, texts = chunk_ids(path), token_texts(path)
         for whole in batches:
             for batch in pieces(whole, PIECE):
-                ids, offsets, codes = encoded(batch.column("text"), ids_of)
-                spoken = [" ".join([texts[i] for i in np.frombuffer(x, "<u4").tolist()]).encode() for x in ids]
-                rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-                for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    own = codes[start:stop]
-                    raw = b"".join([ids[c] for c in own])
-                    said = b" ".join([s for c in own if (s := spoken[c])])
-                    rows["n_tokens"].append(len(raw) // 4)
-                    rows["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-                    rows["decoded_sha256"].append(hashlib.sha256(said).hexdigest())
-                    if keep_ids:
-                        rows["ids"].append(np.frombuffer(raw, "<i4"))
-                        rows["decoded"].append(said.decode())
-                kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if keep_ids else {})
-                yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), *(pa.array(rows[k], kind) for k, kind in kinds.items())], names=["doc_id", *kinds])
+                bounds, raw = flat_ids(batch.column("text"), ids_of)
+                ids = np.frombuffer(raw, "<i4", bounds[-1] // 4)
+                starts, ends = bounds[:-1].tolist(), bounds[1:].tolist()
+                at, said = spans(texts.take(pa.array(ids)))
+                spoken = [said[a : b - 1] if b > a else b"" for a, b in zip(at[bounds[:-1] // 4].tolist(), at[bounds[1:] // 4].tolist(), strict=True)]
+                columns = {
+                    "doc_id": pc.cast(batch.column("doc_id"), pa.int64()),
+                    "n_tokens": pa.array(np.diff(bounds) // 4),
+                    "ids_sha256": pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(starts, ends, strict=True)], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in spoken], pa.string()),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array((bounds // 4).astype(np.int32)), pa.array(ids))
+                    columns["decoded"] = pa.array([bytes(x) for x in spoken], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     more = ", ids array<int>, decoded string" if keep_ids else ""
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(returning(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

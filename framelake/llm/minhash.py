@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import gram_hashes, mix, partitions, pieces, staged, word_hashes, words_of
+from framelake.llm.common import gram_hashes, mix, partitions, pieces, returning, staged, word_hashes, words_of
 
 #: Words of a shingle; coordinates of a sketch (a power of two); coordinates of a band and bands.
 #: A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 < 0.00001.
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 arrays = [batch.column("doc_id"), pa.array(sizes), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.ListArray.from_arrays(ends, banded[some].astype(np.int64).ravel()), pa.array([x.tobytes() for x in raw], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, low long, high long, bands array<long>, bytes binary")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(returning(run), "doc_id long, n_shingles long, low long, high long, bands array<long>, bytes binary")
 
 
 def estimates(pairs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def estimates(pairs: DataFrame) -> DataFrame:
                 near = agreement(one, two) >= LEAST_AGREEMENT
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return pairs.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "bytes_a", "bytes_b").mapInArrow(returning(run), "a long, b long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                             b.append(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(returning(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def across(members: DataFrame) -> DataFrame:
                 if len(other):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[at], doc[other])), pa.array(np.maximum(doc[at], doc[other]))], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(returning(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

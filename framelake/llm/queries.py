@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontaminate, minhash, quality, secrets, sharding, substring_dedup, suffix_dedup, token_output, toxicity
-from framelake.llm.common import small_batches
+from framelake.llm.common import shared_dir, small_batches
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +39,9 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, ranked, starts = token_output.write_tokens(documents(spark, sf_dir), vocabulary())
-    return token_output.read_tokens(blocks, ranked, starts)
+    folder = f"{shared_dir(spark)}/framelake/{uuid.uuid4().hex}/token_files"
+    token_output.write_tokens(documents(spark, sf_dir), vocabulary(), folder)
+    return token_output.read_tokens(spark, folder)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

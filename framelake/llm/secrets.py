@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import pieces
+from framelake.llm.common import pieces, returning
 
 #: Kinds in the order in which spans of one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
@@ -151,7 +151,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = [[{"kind": k, "start": a, "stop": b} for a, b, k in find_secrets(t or "")] for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(returning(run), f"doc_id long, spans {SPANS}")
 
 
 def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -171,5 +171,5 @@ def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                         texts[k] = "".join([*out, text[at:]])
                 yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type)) if changed else batch
 
-    masked = docs.mapInArrow(run, docs.schema)
+    masked = docs.mapInArrow(returning(run), docs.schema)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from framelake.llm.common import mix, pieces, word_hashes, words_of
+from framelake.llm.common import mix, pieces, returning, word_hashes, words_of
 from framelake.llm.windows import Runs, covered, gather, later_windows, removed_windows, spread, unpacked, window_runs, with_ranges
 
 #: Words of the runs whose least hash is a window's minimiser.
@@ -91,4 +91,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -
                 kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.string()} if keep_text else {})
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[k], kind) for k, kind in kinds.items())], names=["doc_id", *kinds])
 
-    return with_ranges(docs, ranges).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))
+    return with_ranges(docs, ranges).mapInArrow(returning(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))

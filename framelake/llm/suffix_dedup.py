@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from framelake.llm.common import mix, pieces
+from framelake.llm.common import mix, pieces, returning
 from framelake.llm.windows import Runs, covered, gather, removed_windows, repeated_within, spread, unpacked, window_runs, with_ranges
 
 #: Bytes of the runs whose least hash is a window's minimiser; bytes of a text that are looked at together.
@@ -204,4 +204,4 @@ def remove_repeats(docs: DataFrame, window: int = 100, keep_text: bool = False)
                 kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if keep_text else {})
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[k], kind) for k, kind in kinds.items())], names=["doc_id", *kinds])
 
-    return with_ranges(docs, ranges).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
+    return with_ranges(docs, ranges).mapInArrow(returning(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))

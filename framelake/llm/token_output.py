@@ -1,23 +1,25 @@
 """Token-id files: ids ranked by frequency, coded in one to four bytes with the lengths in separate control bytes.
 
-A file is a Parquet table of blocks. A block holds documents in ascending doc_id order: their ids, numbers of tokens,
-control bytes (two bits a token, each document from a new byte on) and data bytes, with the place of its first token
-in its part; parts follow each other by number.
+A corpus is a folder of three Parquet tables. `blocks`: documents in ascending doc_id order, with their ids, numbers of
+tokens, control bytes (two bits a token, each document from a new byte on) and data bytes, and the place of the block's
+first token in its part. `parts`: the tokens before each part; parts follow each other by number. `ranks`: the token id
+of each rank.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.bpe import PIECE, ChunkIds, Splitter, encoded, per_worker
-from framelake.llm.common import partitions, pieces, staged
+from framelake.llm.bpe import PIECE, ChunkIds, Splitter, flat_ids, local_file, per_worker
+from framelake.llm.common import drop_staged, partitions, pieces, returning, staged
 
 #: For each control byte the byte counts of its four tokens.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -76,6 +78,12 @@ def decode(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
+def ids_in(path: str) -> int:
+    """One more than the greatest token id of the vocabulary file."""
+    spec = json.load(open(local_file(path), encoding="utf-8"))
+    return 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
     """doc_id and the ids of the text and `end_id`, as little-endian unsigned integers of numpy type `width`."""
 
@@ -83,11 +91,11 @@ def tokenise(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
         ids_of, end = library_ids(path, width), np.array([end_id], width).tobytes()
         for whole in batches:
             for batch in pieces(whole, PIECE):
-                ids, offsets, codes = encoded(batch.column("text"), ids_of)
-                out = [b"".join([ids[c] for c in codes[a:b]]) + end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                bounds, raw = flat_ids(batch.column("text"), ids_of)
+                out = [b"".join((raw[a:b], end)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(returning(run), "doc_id long, ids binary")
 
 
 def token_counts(tokens: DataFrame, width: str) -> DataFrame:
@@ -107,17 +115,19 @@ def token_counts(tokens: DataFrame, width: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int = 49_408, block_tokens: int = 1 << 20) -> tuple[DataFrame, list[int], dict[int, int]]:
-    """Writes the corpus; returns the blocks, the ids by rank, and the number of tokens before each part.
+def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, block_tokens: int = 1 << 20) -> None:
+    """Writes the corpus to the new folder `folder`.
 
-    The rank table has at most `vocabulary` entries and the parts are a few for each shuffle partition; nothing else
-    passes through the driver. Null texts are empty and consist of the end id; null doc_ids come first.
+    The rank table is at most as long as the vocabulary file and the parts are a few for each shuffle partition; nothing
+    else passes through the driver. Null texts are empty and consist of the end id; null doc_ids come first, and rows of
+    one doc_id are in order of their number of tokens and then of their bytes.
     """
-    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    tokens = tokenise(docs, path, end_id, width)
+    most = max(ids_in(path), end_id + 1)
+    width = "<u2" if most <= 1 << 16 else "<u4"
     spark = docs.sparkSession
-    tokens = staged(tokens, "tokens")
-    ranked = [row.id for row in token_counts(tokens, width).orderBy(F.desc("n"), "id").limit(vocabulary).collect()]
+    tokens = staged(tokenise(docs, path, end_id, width), "tokens")
+    ranked = [row.id for row in token_counts(tokens, width).orderBy(F.desc("n"), "id").collect()]
+    spark.createDataFrame(list(enumerate(ranked)), "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
 
@@ -129,11 +139,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int =
                 control, data, sizes = encode(rank_of[ids], counts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), cut(control, -(-counts // 4)), cut(data, sizes)], names=["doc_id", "n", "control", "data"])
 
-    coded = tokens.mapInArrow(code, "doc_id long, n long, control binary, data binary")
+    coded = tokens.mapInArrow(returning(code), "doc_id long, n long, control binary, data binary")
     parts = min(4 * partitions(spark), 1024)
     bounds = sorted(set(tokens.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)))
     part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    placed = coded.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)).repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id")
+    placed = coded.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)).repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "n", "data")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, start, held, tokens_held = -1, 0, [], 0
@@ -155,10 +165,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int =
         if held:
             yield block()
 
-    blocks = staged(placed.mapInArrow(pack, BLOCKS), "token_file")
-    totals = part_totals(blocks)
-    starts = dict(zip(sorted(totals), accumulate([0, *(totals[k] for k in sorted(totals))]), strict=False))
-    return blocks, ranked, starts
+    placed.mapInArrow(returning(pack), BLOCKS).write.parquet(f"{folder}/blocks")
+    drop_staged(tokens)
+    totals = part_totals(spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"))
+    starts = zip(sorted(totals), accumulate([0, *(totals[k] for k in sorted(totals))]), strict=False)
+    spark.createDataFrame(list(starts), "part int, start long").coalesce(1).write.parquet(f"{folder}/parts")
 
 
 def part_totals(blocks: DataFrame) -> dict[int, int]:
@@ -172,8 +183,11 @@ def part_totals(blocks: DataFrame) -> dict[int, int]:
     return {row.part: row.n for row in blocks.select("part", "counts").mapInArrow(run, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()}
 
 
-def read_tokens(blocks: DataFrame, ranked: list[int], starts: dict[int, int], keep_ids: bool = False) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32, and with `keep_ids` ids."""
+def read_tokens(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
+    """One row per document from the folder alone: doc_id, start, n_tokens, ids_crc32, and with `keep_ids` ids."""
+    ranked = [r.id for r in spark.read.schema("rank long, id long").parquet(f"{folder}/ranks").orderBy("rank").collect()]
+    starts = {r.part: r.start for r in spark.read.schema("part int, start long").parquet(f"{folder}/parts").collect()}
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     by_rank = np.array([*ranked, 0], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,4 +207,4 @@ def read_tokens(blocks: DataFrame, ranked: list[int], starts: dict[int, int], ke
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))
+    return blocks.mapInArrow(returning(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import pieces, staged, words_of
+from framelake.llm.common import pieces, returning, staged, words_of
 
 #: Neutral names of groups that are swapped for each other.
 IDENTITIES = ("women", "men", "girls", "boys", "christians", "muslims", "jews", "hindus", "atheists", "immigrants", "refugees", "natives", "gays", "lesbians", "africans", "asians", "europeans", "mexicans", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres")
@@ -64,7 +64,7 @@ def labelled_features(rows: DataFrame) -> DataFrame:
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, kind), pa.array(other, kind)], names=["doc_id", "label", "own", "other"])
 
-    return rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, own array<long>, other array<long>")
+    return rows.select("doc_id", "label", "text").mapInArrow(returning(run), "doc_id long, label int, own array<long>, other array<long>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 20_000, features: int = 1024, ridge: float = 1e-4, swap_penalty: float = 1.0, steps: int = 400) -> Model:
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for batch in pieces(whole):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text")))], names=["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(returning(run), "doc_id long, score double")
 
 
 def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
@@ -161,7 +161,7 @@ def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
             for batch in pieces(whole):
                 yield batch.filter(pa.array(scorer(batch.column("text")) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
 
 
 def held_out() -> Column:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import mix, partitions, pieces
+from framelake.llm.common import mix, partitions, pieces, returning
 
 
 #: Low bits that hold a place in a flat array of units.
@@ -141,7 +141,7 @@ def frequent_minimisers(rows: DataFrame, split: Callable[[pa.RecordBatch, np.nda
                     least, n = np.unique(runs.least[~repeated_within(runs)], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(least[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["least", "n"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).mapInArrow(count, "least long, n long")
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).mapInArrow(returning(count), "least long, n long")
     found = sample.groupBy("least").agg(F.sum("n").alias("n")).filter(F.col("n") >= distinct).orderBy(F.desc("n"), "least").limit(most).collect()
     return np.array([r.least for r in found], np.int64).view(np.uint64)
 
@@ -247,8 +247,8 @@ def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch, np.ndarray
         if held:
             yield from bucket()
 
-    placed = rows.mapInArrow(pack, "bucket int, doc_id long, ranges binary, runs binary").repartition(max(partitions(spark), buckets // 4), "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(settle, "doc_id long, ranges binary")
+    placed = rows.mapInArrow(returning(pack), "bucket int, doc_id long, ranges binary, runs binary").repartition(max(partitions(spark), buckets // 4), "bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(returning(settle), "doc_id long, ranges binary")
 
 
 def later_windows(windows: Callable[[np.ndarray], np.ndarray], hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, step: int = 1 << 18) -> np.ndarray:
@@ -280,7 +280,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else compressor.compress(t) for t in texts], pa.binary())], names=["doc_id", "text"])
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, text binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(returning(pack), "doc_id long, text binary")
     return packed.join(lists, "doc_id", "left")
 
 

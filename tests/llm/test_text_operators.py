@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,12 +160,13 @@ def test_masking_keeps_documents_and_columns(docs):
 # tokens
 
 
-def test_tokens_equal_the_library(docs, texts):
+def test_tokens_equal_the_library(docs, texts, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(VOCABULARY)
     out = by_id(bpe.encode_documents(docs, VOCABULARY, keep_ids=True))
-    files = by_id(token_output.read_tokens(*token_output.write_tokens(docs, VOCABULARY, block_tokens=500), keep_ids=True))
+    token_output.write_tokens(docs, VOCABULARY, f"{tmp_path}/corpus", block_tokens=500)
+    files = by_id(token_output.read_tokens(docs.sparkSession, f"{tmp_path}/corpus", keep_ids=True))
     at = 0
     for k, t, *_ in texts:
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -186,7 +188,7 @@ def test_chunks_spelt_like_known_pieces():
         for texts in (("für café", "fÃ¼r cafÃ©", "für café"), ("fÃ¼r cafÃ©", "für café", "fÃ¼r cafÃ©")):
             ids_of = bpe.ChunkIds(bpe.Splitter(VOCABULARY), encode_new)
             for text in texts:
-                assert np.frombuffer(b"".join(ids_of.of(text.split())), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+                assert np.frombuffer(b"".join(ids_of.of(pa.array(text.split())).to_pylist()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_control_bytes_round_trip():
@@ -198,12 +200,63 @@ def test_control_bytes_round_trip():
         assert (token_output.decode(control, data, counts) == numbers).all() and sizes.sum() == len(data)
 
 
-def test_tokens_of_nothing_and_null_ids(spark, empty):
+def test_tokens_of_nothing_and_null_ids(spark, empty, tmp_path):
     assert bpe.encode_documents(empty, VOCABULARY).collect() == []
-    assert token_output.read_tokens(*token_output.write_tokens(empty, VOCABULARY)).collect() == []
-    odd = spark.createDataFrame([(None, "b"), (5, "a"), (5, "a")], "doc_id long, text string")
-    rows = token_output.read_tokens(*token_output.write_tokens(odd, VOCABULARY)).orderBy("start").collect()
-    assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 2), (5, 2, 2), (5, 4, 2)]
+    token_output.write_tokens(empty, VOCABULARY, f"{tmp_path}/empty")
+    assert token_output.read_tokens(spark, f"{tmp_path}/empty").collect() == []
+    odd = spark.createDataFrame([(None, "b"), (5, "a b"), (5, "a"), (5, "a")], "doc_id long, text string")
+    token_output.write_tokens(odd, VOCABULARY, f"{tmp_path}/odd")
+    rows = token_output.read_tokens(spark, f"{tmp_path}/odd").orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 2), (5, 2, 2), (5, 4, 2), (5, 6, 3)]
+
+
+def vocabulary_file(folder, change) -> str:
+    spec = json.load(open(VOCABULARY, encoding="utf-8"))
+    change(spec)
+    with open(f"{folder}/changed.json", "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    return f"{folder}/changed.json"
+
+
+def test_wide_vocabularies(spark, tmp_path):
+    """Ids above two bytes, and an end id above all others, come back from the files."""
+
+    def widen(spec):
+        spec["model"]["vocab"] = {k: v + (100_000 if v > 500 else 0) for k, v in spec["model"]["vocab"].items()}
+        spec["added_tokens"] = []
+
+    path = vocabulary_file(tmp_path, widen)
+    docs = spark.createDataFrame([(k, f"some longer words about number {k} café") for k in range(30)], "doc_id long, text string")
+    token_output.write_tokens(docs, path, f"{tmp_path}/wide", end_id=300_000)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    out = by_id(token_output.read_tokens(spark, f"{tmp_path}/wide", keep_ids=True))
+    for k, text in docs.collect():
+        assert out[k].ids == [*library.encode(text, add_special_tokens=False).ids, 300_000]
+    assert max(i for r in out.values() for i in r.ids[:-1]) > 1 << 16
+
+
+def test_other_kinds_of_vocabulary_are_refused(tmp_path):
+    def cased(spec):
+        spec["normalizer"]["normalizers"].pop()
+
+    with pytest.raises(ValueError, match="lower case"):
+        bpe.Splitter(vocabulary_file(tmp_path, cased))
+
+
+def test_kept_values_turn_over():
+    """Whatever a worker has forgotten is encoded again."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    ids_of = bpe.ChunkIds(bpe.Splitter(VOCABULARY), bpe.PrefixTrie(VOCABULARY).encode, most=3)
+    r = random.Random(3)
+    for _ in range(20):
+        text = " ".join(r.choice(["one", "Two,", "three...", "für", "x1y", "Ünder!", "don't", "seven", "...", "12"]) for _ in range(5))
+        bounds, raw = bpe.flat_ids(pa.array([text, None, ""]), ids_of)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == want and (bounds // 4).tolist() == [0, len(want), len(want), len(want)]
 
 
 # decontamination
@@ -222,7 +275,7 @@ def distance(item: str, text: str) -> int:
 def test_edited_items_are_found(spark):
     r = random.Random(4)
     words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
-    items = [(k, words(12).upper() + "\n" + words(3)) for k in range(6)] + [(6, "too short"), (7, None), (None, words(20))]
+    items = [(k, words(12).upper() + "\n" + words(3)) for k in range(6)] + [(6, "Too  short"), (7, None), (None, words(20)), (8, " "), (9, "k?")]
     rows = []
     for k in range(60):
         text = list(decontaminate.normal(items[k % 6][1]))
@@ -230,20 +283,25 @@ def test_edited_items_are_found(spark):
             at = r.randrange(len(text))
             text[at : at + r.randint(0, 1)] = r.choice("xyz ")
         rows.append((k, words(5) + "  " + "".join(text) + "\n" + words(5)))
-    rows += [(90, words(100)), (91, None), (92, ""), (93, "too short")]
+    rows += [(90, words(100)), (91, None), (92, ""), (93, "it is TOO\nshort for most"), (94, "k ?"), (95, words(30) + " k? " + words(3)), (96, "too shor")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = {}
     for d, t in rows:
-        for i, x in items[:6]:
+        for i, x in [*items[:7], items[10]]:
             item = decontaminate.normal(x)
             if (e := distance(item, decontaminate.normal(t))) <= len(item) // 12:
                 want[d, i] = e
     for size in (16 << 20, 300):
         found = decontaminate.matches(docs, benchmark, block_bytes=size).collect()
         assert {(f.doc_id, f.item_id): f.distance for f in found} == want and len(found) == len(want) > 15
+    assert {(93, 6), (95, 9)} < set(want) and not {94, 96} & {d for d, _ in want}
     kept = {x.doc_id for x in decontaminate.clean(docs, benchmark).collect()}
     assert kept == {d for d, _ in rows} - {d for d, _ in want}
+    long_only = {(f.doc_id, f.item_id) for f in decontaminate.matches(docs, benchmark, min_chars=24).collect()}
+    assert long_only == {(d, i) for d, i in want if i < 6}
+    wide = docs.selectExpr("doc_id", "text", "7 as item_id", "'x' as distance", "doc_id as item_chars")
+    assert decontaminate.clean(wide, benchmark).columns == wide.columns and decontaminate.matches(wide, benchmark).count() == len(want)
     assert decontaminate.matches(docs, benchmark.limit(0)).collect() == [] and decontaminate.matches(docs.limit(0), benchmark).collect() == []
 
 
@@ -502,7 +560,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
     _, component = brute_components([tuple(r) for r in docs.collect()])
     item = decontaminate.normal(docs.filter("doc_id = 0").first().text)
     want = {k for k, c in component.items() if k == c}
-    if len(item) >= 24:
+    if item:
         want -= {r.doc_id for r in docs.collect() if item in decontaminate.normal(r.text)}
     assert set(out) == want
 
