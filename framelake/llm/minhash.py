@@ -2,7 +2,7 @@
 
 Equal shingle sets are collapsed first. Bands then name candidates. In a first round each band's members are compared
 with its smallest document; where a band still holds several components, its members are compared across components in
-blocks inside tasks, so that no link needs a band's pairs to be listed.
+blocks inside tasks, the closest pairs of two components first, so that no link needs a band's pairs to be listed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import gram_hashes, mix, partitions, pieces, returning, staged, word_hashes, words_of
+from framelake.llm.common import drop_staged, gram_hashes, mix, partitions, pieces, returning, staged, word_hashes, words_of
 
 #: Words of a shingle; coordinates of a sketch (a power of two); coordinates of a band and bands.
 #: A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 < 0.00001.
@@ -23,6 +23,10 @@ SHINGLE, WIDTH, ROWS, BANDS = 5, 1024, 4, 32
 #: deviation of 0.0122; six of these below lies the least share at which a pair is verified.
 LEAST_AGREEMENT = 0.739
 BLOCK = 2048
+#: Pairs of two components in a block of a band that are compared before all others.
+CLOSEST = 4
+#: Edges of a vertex that meet in one task.
+HUB = 4096
 
 
 def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -113,14 +117,14 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(returning(run), "doc_id long, n_shingles long, low long, high long, bands array<long>, bytes binary")
 
 
-def estimates(pairs: DataFrame) -> DataFrame:
+def estimates(pairs: DataFrame, least_agreement: float) -> DataFrame:
     """Of pairs with both sketches' bytes, those whose coordinates agree often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, WIDTH // 4) for k in ("bytes_a", "bytes_b"))
-                near = agreement(one, two) >= LEAST_AGREEMENT
+                near = agreement(one, two) >= least_agreement
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return pairs.select("a", "b", "bytes_a", "bytes_b").mapInArrow(returning(run), "a long, b long")
@@ -185,20 +189,69 @@ def components(links: DataFrame) -> DataFrame:
     """v and the least vertex c reachable from it, for the vertices of `links` (a, b)."""
     edges = staged(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
     labels = staged(edges.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("u", "v").alias("c")), "labels")
+    # a hub's edges are dealt over as many parts as their number asks for, and its label goes to each of them
+    parts = edges.groupBy("u").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    wide = staged(parts.filter("parts > 1"), "hubs")
+    hubs = wide.select(F.col("u").alias("v"), "parts")
+    dealt = staged(edges.join(wide, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "edges")
+    drop_staged(edges)
     while True:
-        heard = edges.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("heard"))
+        told = labels.join(hubs, "v", "left").select(F.col("v").alias("u"), "c", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        heard = dealt.join(told, ["u", "part"]).groupBy("v").agg(F.min("c").alias("heard"))
         least = labels.join(heard, "v").select("v", "c", F.least("c", "heard").alias("least"))
         jump = labels.select(F.col("v").alias("least"), F.col("c").alias("beyond"))
+        before = labels
         after = staged(least.join(jump, "least", "left").select("v", F.coalesce("beyond", "least").alias("c"), (F.coalesce("beyond", "least") < F.col("c")).alias("changed")), "labels")
-        labels = after.select("v", "c")
+        drop_staged(before)
+        labels = after
         if not after.filter("changed").limit(1).count():
-            return labels
-
-
-def across(members: DataFrame) -> DataFrame:
+            drop_staged(dealt, wide)
+            return after
+
+
+class Best:
+    """Pairs of documents, of which for each two components only the `closest` go on (None: all)."""
+
+    def __init__(self, closest: int | None, most: int = 1 << 16):
+        self.closest, self.most, self.held, self.number = closest, most, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        """Components, documents and agreement of some pairs."""
+        self.held.append(columns)
+        self.number += len(columns[4])
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        if self.number > self.most:
+            if self.closest is None:
+                yield from self.rest()
+            else:
+                self.cut()
+
+    def cut(self) -> None:
+        one, two, a, b, alike = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((b, a, -alike, two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+        begins = np.nonzero(new)[0]
+        turn = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+        kept = order[turn < self.closest]
+        self.held, self.number = [tuple(x[kept] for x in (one, two, a, b, alike))], len(kept)
+        self.most = max(self.most, 2 * self.number)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            if self.closest is not None:
+                self.cut()
+            a, b = (np.concatenate([x[k] for x in self.held]) for k in (2, 3))
+            self.held, self.number = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def across(members: DataFrame, least_agreement: float, closest: int | None = None) -> DataFrame:
     """Pairs (a, b) of different components in one band whose sketches agree, each in its first shared band only.
 
-    `members`: band, doc, c, bands, bytes. Large bands are cut into blocks by hash, and pairs of blocks meet in tasks.
+    `members`: band, doc, c, bands, bytes. Large bands are cut into blocks by hash, and pairs of blocks meet in tasks. With
+    `closest`, of each two components that meet there only so many pairs, those that agree best.
     """
     spark = members.sparkSession
     counts = members.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).filter(F.col("least") < F.col("most"))
@@ -218,22 +271,29 @@ def across(members: DataFrame) -> DataFrame:
             raw = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, WIDTH // 4)
             earlier = band & (BANDS - 1)
             left = np.nonzero(block == i)[0]
+            best = Best(closest)
             for at in left.tolist():
                 other = (comp != comp[at]) & (block == j) & ((doc > doc[at]) | (i != j))
                 other = np.nonzero(other)[0]
-                other = other[agreement(raw[other], raw[at]) >= LEAST_AGREEMENT]
-                other = other[~(bands[other, :earlier] == bands[at, :earlier]).any(1)]
+                alike = agreement(raw[other], raw[at])
+                near = alike >= least_agreement
+                other, alike = other[near], alike[near]
+                first = ~(bands[other, :earlier] == bands[at, :earlier]).any(1)
+                other, alike = other[first], alike[first]
                 if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[at], doc[other])), pa.array(np.maximum(doc[at], doc[other]))], names=["a", "b"])
+                    best.add(np.minimum(comp[at], comp[other]), np.maximum(comp[at], comp[other]), np.minimum(doc[at], doc[other]), np.maximum(doc[at], doc[other]), alike)
+                    yield from best.full()
+            yield from best.rest()
 
     return placed.mapInArrow(returning(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id of its near-duplicates), kept.
 
     Links join documents of similarity 0.75 or more on 5-word shingles. Texts without words have no shingles and no
     links. A null doc_id has no component and is kept; doc_ids are taken as unique, rows that repeat one share its component.
+    Candidates whose sketches agree in a share below `least_agreement` are not compared; 0 compares all of them.
     """
     found = staged(sketches(docs), "sketches")
     some = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -247,14 +307,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     raw = candidates.select("doc", "bytes")
     pairs = members.filter("a < b").select("a", "b").distinct()
     pairs = pairs.join(raw.toDF("a", "bytes_a"), "a").join(raw.toDF("b", "bytes_b"), "b")
-    links = staged(verified(staged(estimates(pairs), "pairs"), texts), "links")
+    near = staged(estimates(pairs, least_agreement), "pairs")
+    links = staged(verified(near, texts), "links")
     labels = components(links)
-    labelled = candidates.join(labels, F.col("doc") == F.col("v"), "left").select("doc", F.coalesce("c", "doc").alias("c"), "bands", "bytes")
-    mixed = members.select("band", F.col("b").alias("doc")).join(labelled, "doc")
-    more = staged(verified(staged(across(mixed), "pairs"), texts), "links")
-    labels = components(links.unionByName(more))
+    # most components that belong together are found by their closest pairs; in the last turn all other pairs are compared
+    for closest in (CLOSEST, CLOSEST, None):
+        labelled = candidates.join(labels, F.col("doc") == F.col("v"), "left").select("doc", F.coalesce("c", "doc").alias("c"), "bands", "bytes")
+        mixed = members.select("band", F.col("b").alias("doc")).join(labelled, "doc")
+        far = staged(across(mixed, least_agreement, closest), "pairs")
+        more = staged(verified(far.distinct(), texts), "links")
+        drop_staged(far, labels)
+        both = staged(links.unionByName(more), "links")
+        drop_staged(links, more)
+        links, labels = both, components(both)
+    drop_staged(leaders, members, candidates, texts, near)
     named = sets.select("low", "high", "n_shingles", "doc").join(labels, F.col("doc") == F.col("v"), "left").select("low", "high", "n_shingles", F.coalesce("c", "doc").alias("component"))
     named = staged(named, "components")
+    drop_staged(labels, links, sets)
     out = found.select("doc_id", "n_shingles", "low", "high").join(named, ["low", "high", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
