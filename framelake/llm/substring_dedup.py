@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from framelake.llm.common import mix, pieces, returning, word_hashes, words_of
-from framelake.llm.windows import Runs, covered, gather, later_windows, removed_windows, spread, unpacked, window_runs, with_ranges
+from framelake.llm.windows import Runs, covered, gather, later_windows, removed_windows, repeated, repeated_within, spread, unpacked, window_runs, with_ranges
 
-#: Words of the runs whose least hash is a window's minimiser.
-GRAM = 4
+#: Words of the runs whose least hash is a window's minimiser; words of a batch that are looked at together.
+GRAM, CHUNK = 4, 1 << 22
 
 
 def spaced(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -32,22 +32,30 @@ def spaced(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def split_words(window: int):
     def split(batch: pa.RecordBatch, often: np.ndarray) -> Iterator[Runs]:
         offsets, words = words_of(batch.column("text"))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        units = word_hashes(words)
-        start, count, least = spread(window_runs(units, row, window, GRAM), units, window, often)
-        text, at = spaced(words)
-        begin, stop = at[start], at[start + count + window - 1]
-        doc = batch.column("doc_id").to_numpy()[row[start]] if len(start) else np.empty(0, np.int64)
-        yield Runs(least, doc, start - offsets[row[start]] if len(start) else start, count, stop - begin, gather(text, begin, stop - begin))
+        doc_ids, row = batch.column("doc_id").to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        for low in range(0, max(1, len(words) - window + 1), CHUNK):  # overlapping, so that each window lies in one chunk
+            own, home = words.slice(low, CHUNK + window - 1), row[low : low + CHUNK + window - 1]
+            units = word_hashes(own)
+            start, count, least, _ = spread(window_runs(units, home, window, GRAM), units, window, often)
+            text, at = spaced(own)
+            begin, stop = at[start], at[start + count + window - 1]
+            yield Runs(least, np.zeros_like(start), doc_ids[home[start]], low + start - offsets[home[start]], count, stop - begin, gather(text, begin, stop - begin))
 
     return split
 
 
 def resolve_words(window: int):
     def resolve(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorts all windows of the bucket; the words are coded by number, so equality is exact."""
+        """Sorts all windows of the bucket; the words are coded by number, so equality is exact.
+
+        Of equal super-k-mers only the first one's windows are sorted: all windows of the others are later ones.
+        """
+        again = repeated_within(runs)
+        copies = runs.doc[again], runs.start[again], runs.count[again]
+        runs = runs.take(np.nonzero(~again)[0])
+        runs = runs.take(np.nonzero(repeated(runs.least))[0])
         if not len(runs.least):
-            return runs.doc, runs.start, runs.count
+            return copies
         words = pa.array(runs.packed.tobytes().decode().split(" ")[:-1]).dictionary_encode()
         codes = words.indices.to_numpy().astype(np.int64)
         number = runs.count + window - 1
@@ -61,7 +69,7 @@ def resolve_words(window: int):
                 hashes = hashes * np.uint64(0xC2B2AE3D27D4EB4F) + units[place + k]
         span = np.arange(window)
         later = later_windows(lambda x: codes[place[x][:, None] + span], hashes, doc, at)
-        return doc[later], at[later], np.ones(int(later.sum()), np.int64)
+        return tuple(map(np.concatenate, zip(copies, (doc[later], at[later], np.ones(int(later.sum()), np.int64)), strict=True)))
 
     return resolve
 

@@ -1,8 +1,8 @@
 """Repeated byte strings across documents, by suffix arrays.
 
-Strings that share a minimiser meet in a bucket (see `windows`). There the stretches whose windows occur more than once
-are laid end to end, their suffix array is built, and neighbours with a common prefix of a whole window form the classes
-of equal windows.
+Strings that share a minimiser meet in a bucket (see `windows`). There they are laid end to end as blocks of bytes counted
+from the minimiser on, the suffix array of the blocks is built, and neighbours with common prefixes form the classes of
+equal strings and equal windows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from framelake.llm.common import mix, pieces, returning
-from framelake.llm.windows import Runs, covered, gather, removed_windows, repeated_within, spread, unpacked, window_runs, with_ranges
+from framelake.llm.windows import Runs, covered, gather, later_windows, removed_windows, repeated, spread, unpacked, window_runs, with_ranges
 
 #: Bytes of the runs whose least hash is a window's minimiser; bytes of a text that are looked at together.
 GRAM, CHUNK = 16, 1 << 20
@@ -37,46 +37,14 @@ def split_bytes(window: int):
             length = np.array([len(x[2]) for x in held])
             row, first = np.repeat(np.arange(len(held), dtype=np.int32), length), np.cumsum(length) - length
             units = hashes[data]
-            start, count, least = spread(window_runs(units, row, window, GRAM), units, window, often)
+            start, count, least, at = spread(window_runs(units, row, window, GRAM), units, window, often)
             own = row[start] if len(start) else np.empty(0, int)
             doc, base = doc_ids[np.array([x[0] for x in held])], np.array([x[1] for x in held])
-            yield Runs(least, doc[own], start - first[own] + base[own], count, count + window - 1, gather(data, start, count + window - 1))
+            yield Runs(least, at - start, doc[own], start - first[own] + base[own], count, count + window - 1, gather(data, start, count + window - 1))
 
     return split
 
 
-def window_hashes(data: np.ndarray, window: int) -> np.ndarray:
-    """A hash of the `window` bytes from each place on."""
-    if len(data) < window:
-        return np.empty(0, np.uint64)
-    have, grams = 1, mix(data.astype(np.uint64) + np.uint64(1))
-    factor = np.uint64(0xC2B2AE3D27D4EB4F)
-    with np.errstate(over="ignore"):
-        while have < window:
-            step = min(have, window - have)
-            grams = grams[: len(grams) - step] * factor + mix(grams[step:])
-            have, factor = have + step, factor * np.uint64(0x9E3779B97F4A7C15)
-    return mix(grams)
-
-
-def repeated_stretches(runs: Runs, window: int) -> Runs:
-    """The parts of the super-k-mers whose windows may occur more than once, by hash; equal windows always stay."""
-    if not len(runs.least):
-        return runs
-    hashes = window_hashes(runs.packed, window)
-    begin = np.cumsum(runs.length) - runs.length
-    step = np.arange(int(runs.count.sum())) - np.repeat(np.cumsum(runs.count) - runs.count, runs.count)
-    owner, place = np.repeat(np.arange(len(begin)), runs.count), np.repeat(begin, runs.count) + step
-    _, code, number = np.unique(hashes[place], return_inverse=True, return_counts=True)
-    often = number[code] > 1
-    opens = often.copy()
-    opens[1:] &= ~(often[:-1] & (owner[1:] == owner[:-1]))
-    at = np.nonzero(opens)[0]
-    count = np.bincount((np.cumsum(opens) - 1)[often], minlength=len(at))
-    own = owner[at]
-    return Runs(runs.least[own], runs.doc[own], runs.start[own] + step[at], count, count + window - 1, gather(runs.packed, place[at], count + window - 1))
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of small non-negative integers in linear time, by grouping.
 
@@ -122,15 +90,19 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             last, pointers = j, 1
         if last >= 0:
             moved.setdefault((pointers, group[last]), []).append(last)
-        for pointers, old in sorted(moved, reverse=True) if len(moved) > 1 else moved:
-            own = moved[pointers, old]
-            left = size[old] - len(own)
-            if left:
-                new = old + left
-                start_of[new + len(own)], start_of[new] = new, old
-                members[new], size[new], size[old] = own, len(own), left
-                for j in own:
-                    group[j] = new
+        by_pointers: dict[int, list[int]] = {}
+        for pointers, old in moved:
+            by_pointers.setdefault(pointers, []).append(old)
+        for pointers in range(max(by_pointers, default=0), 0, -1):  # no more rounds than members
+            for old in by_pointers.get(pointers, ()):
+                own = moved[pointers, old]
+                left = size[old] - len(own)
+                if left:
+                    new = old + left
+                    start_of[new + len(own)], start_of[new] = new, old
+                    members[new], size[new], size[old] = own, len(own), left
+                    for j in own:
+                        group[j] = new
         end = start
     slot = list(range(n))  # of each group, the next slot to fill
     out, placed = [-1] * n, [False] * n
@@ -144,36 +116,137 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+class Bytes:
+    """The packed bytes of super-k-mers, read eight at a time from any place on."""
+
+    def __init__(self, packed: np.ndarray):
+        self.padded = np.concatenate((packed, np.zeros(8, np.uint8)))
+        self.words = np.ndarray((len(packed) + 1,), "<u8", self.padded, strides=(1,))
+
+    def stretches(self, at: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+        """The stretches of `length` bytes from `at` on as words; bytes beyond a stretch are zero."""
+        for k in range(0, int(length.max(initial=0)), 8):
+            left = np.clip(length - k, 0, 8)
+            shift = (np.uint64(64) - np.uint64(8) * left.astype(np.uint64)) & np.uint64(63)
+            word = self.words[np.minimum(at + k, len(self.words) - 1)]
+            yield np.where(left > 0, word & (np.uint64(0xFFFFFFFFFFFFFFFF) >> shift), np.uint64(0))
+
+    def hashes(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = length.astype(np.uint64)
+        for word in self.stretches(at, length):
+            out = mix(out * np.uint64(31) + word)
+        return out
+
+    def same(self, one: np.ndarray, two: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """For pairs of stretches of equal length, whether their bytes are the same."""
+        out = np.ones(len(one), bool)
+        for a, b in zip(self.stretches(one, length), self.stretches(two, length), strict=True):
+            out &= a == b
+        return out
+
+
+def block_names(data: Bytes, at: np.ndarray, size: int) -> np.ndarray:
+    """A number for each block of `size` bytes from the places `at` on, the same for equal blocks only."""
+    wide = [data.words[at + k] for k in range(0, size, 8)]
+    mixed = np.zeros(len(at), np.uint64)
+    for x in wide:
+        mixed = mix(mixed * np.uint64(31) + x)
+    _, first, name = np.unique(mixed, return_index=True, return_inverse=True)
+    if any((x != x[first[name]]).any() for x in wide):  # two blocks with one hash
+        _, name = np.unique(np.stack(wide, 1), axis=0, return_inverse=True)
+    return name.ravel()
+
+
+class Letters:
+    """Super-k-mers as strings of blocks of `size` bytes, counted from each one's minimiser on, and their suffix array.
+
+    All windows of a super-k-mer hold its minimiser, so equal windows lie alike around it: they are made of the same
+    blocks and of a few bytes before and after them.
+    """
+
+    def __init__(self, runs: Runs, size: int):
+        self.size, self.data = size, Bytes(runs.packed)
+        self.begin = np.cumsum(runs.length) - runs.length
+        self.lead = runs.anchor % size  # bytes before the first block
+        self.blocks = (runs.length - self.lead) // size
+        self.first = np.cumsum(self.blocks + 1) - self.blocks - 1  # each one's first letter; a zero follows its last
+        owner = np.repeat(np.arange(len(self.blocks)), self.blocks)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(self.blocks) - self.blocks, self.blocks)
+        self.text = np.zeros(int(self.blocks.sum()) + len(self.blocks), np.int64)
+        self.text[self.first[owner] + number] = block_names(self.data, self.begin[owner] + self.lead[owner] + size * number, size) + 1
+        self.order = suffix_array(self.text)
+
+    def prefix_classes(self, depth: int) -> np.ndarray:
+        """For each number of letters up to `depth`, the class of each suffix among those that begin with the same ones."""
+        padded = np.concatenate((self.text, np.zeros(depth, np.int64)))
+        differs, out = np.zeros(len(self.text), bool), np.empty((depth, len(self.text)), np.int64)
+        for d in range(depth):
+            differs[1:] |= padded[self.order[1:] + d] != padded[self.order[:-1] + d]
+            out[d, self.order] = np.cumsum(differs)
+        return out
+
+    def equal_runs(self, runs: Runs) -> np.ndarray:
+        """Mask of the super-k-mers that equal an earlier one.
+
+        Equal ones are neighbours in the suffix array, with the same letters to the end, and have the same bytes before and
+        after these. Of the others, windows are still compared one by one.
+        """
+        whole = np.full(len(self.text), -1)
+        whole[self.first] = np.arange(len(self.first))
+        ordered = whole[self.order]
+        ordered = ordered[ordered >= 0]
+        now, before = ordered[1:], ordered[:-1]
+        same = (self.blocks[now] == self.blocks[before]) & (self.lead[now] == self.lead[before]) & (runs.length[now] == runs.length[before])
+        for d in range(int(self.blocks.max(initial=0))):
+            some = np.nonzero(same & (self.blocks[now] > d))[0]
+            same[some] = self.text[self.first[now[some]] + d] == self.text[self.first[before[some]] + d]
+        kind = np.empty(len(self.first), np.int64)
+        kind[ordered] = np.cumsum(np.concatenate(([True], ~same)))
+        end = self.begin + self.lead + self.size * self.blocks
+        tail = runs.length - self.lead - self.size * self.blocks
+        around = mix(self.data.hashes(self.begin, self.lead)) ^ self.data.hashes(end, tail)
+        order = np.lexsort((runs.start, runs.doc, around, kind))
+        now, before = order[1:], order[:-1]
+        alike = np.nonzero((kind[now] == kind[before]) & (around[now] == around[before]))[0]
+        now, before = now[alike], before[alike]
+        again = np.zeros(len(self.first), bool)
+        again[now[self.data.same(self.begin[before], self.begin[now], self.lead[now]) & self.data.same(end[before], end[now], tail[now])]] = True
+        return again
+
+
 def resolve_bytes(window: int):
+    size = next((x for x in (32, 8) if window >= 2 * x - 1), None)
+    if size is None or window < GRAM:
+        raise ValueError(f"windows of {window} bytes are too short")
+
     def resolve(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of equal windows of the bucket all but the first, as neighbours in the suffix array of the repeated stretches."""
-        runs = repeated_stretches(runs, window)
-        if not len(runs.least):
-            return runs.doc, runs.start, runs.count
-        again = repeated_within(runs)  # copies of a stretch are settled; its first one stands for them
+        """Of equal windows all but the first, from neighbours in one suffix array over all super-k-mers (see `Letters`)."""
+        letters = Letters(runs, size)
+        again = letters.equal_runs(runs)
         copies = runs.doc[again], runs.start[again], runs.count[again]
-        runs = runs.take(np.nonzero(~again)[0])
-        begin = np.cumsum(runs.length) - runs.length
-        data = np.zeros(len(runs.packed) + len(begin), np.int64)  # a zero after each stretch
-        inside = np.ones(len(data), bool)
-        inside[begin + runs.length + np.arange(len(begin))] = False
-        data[inside] = runs.packed.astype(np.int64) + 1
-        step = np.arange(int(runs.count.sum())) - np.repeat(np.cumsum(runs.count) - runs.count, runs.count)
-        place = np.repeat(begin + np.arange(len(begin)), runs.count) + step
-        window_at = np.full(len(data), -1)
-        window_at[place] = np.arange(len(place))
-        sorted_windows = window_at[suffix_array(data)]
-        sorted_windows = sorted_windows[sorted_windows >= 0]
-        doc, at = np.repeat(runs.doc, runs.count), np.repeat(runs.start, runs.count) + step
-        differs = np.zeros(len(place), bool)
-        here, before = place[sorted_windows[1:]], place[sorted_windows[:-1]]
-        for k in range(window):
-            differs[1:] |= data[here + k] != data[before + k]
-        kind = np.empty(len(place), np.int64)
-        kind[sorted_windows] = np.cumsum(differs)
-        order = np.lexsort((at, doc, kind))
-        later = order[1:][kind[order[1:]] == kind[order[:-1]]]
-        return tuple(map(np.concatenate, zip(copies, (doc[later], at[later], np.ones(len(later), np.int64)), strict=True)))
+        # the windows of the others, as the letters that they hold and the bytes around these
+        rest = np.nonzero(~again)[0]
+        count = runs.count[rest]
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        own = np.repeat(rest, count)
+        head = (letters.lead[own] - step) % size
+        depth = (window - head) // size
+        kind = letters.prefix_classes(window // size)[depth - 1, letters.first[own] + (step + head - letters.lead[own]) // size]
+        kind = (kind * (window // size + 1) + depth) * size + head  # windows of one kind hold the same letters in the same places
+        often = repeated(kind)
+        own, step, head, depth, kind = (x[often] for x in (own, step, head, depth, kind))
+        place = letters.begin[own] + step
+        tail = head + size * depth
+        around = mix(letters.data.hashes(place, head)) ^ letters.data.hashes(place + tail, window - tail)
+        doc, at = runs.doc[own], runs.start[own] + step
+        order = np.lexsort((at, doc, around, kind))
+        now, before = order[1:], order[:-1]
+        alike = np.nonzero((kind[now] == kind[before]) & (around[now] == around[before]))[0]
+        now, before = now[alike], before[alike]
+        if not (letters.data.same(place[before], place[now], head[now]) & letters.data.same(place[before] + tail[before], place[now] + tail[now], window - tail[now])).all():
+            # different bytes with one hash: all of these windows are sorted by their bytes instead
+            now = np.nonzero(later_windows(lambda x: runs.packed[place[x][:, None] + np.arange(window)], kind.astype(np.uint64), doc, at))[0]
+        return tuple(map(np.concatenate, zip(copies, (doc[now], at[now], np.ones(len(now), np.int64)), strict=True)))
 
     return resolve
 

@@ -28,9 +28,11 @@ LEVEL = 4
 
 @dataclass
 class Runs:
-    """Super-k-mers: minimiser, document, first unit, number of windows, and the packed bytes one after the other."""
+    """Super-k-mers: minimiser and its place after the first unit, document, first unit, number of windows, and the packed
+    bytes one after the other."""
 
     least: np.ndarray
+    anchor: np.ndarray
     doc: np.ndarray
     start: np.ndarray
     count: np.ndarray
@@ -38,14 +40,18 @@ class Runs:
     packed: np.ndarray
 
     def take(self, chosen: np.ndarray) -> Runs:
-        ends = np.cumsum(self.length)
-        chosen = np.asarray(chosen)
-        return Runs(*(getattr(self, f.name)[chosen] for f in fields(self)[:-1]), gather(self.packed, (ends - self.length)[chosen], self.length[chosen]))
+        ends = np.concatenate(([0], np.cumsum(self.length)))
+        strings = pa.Array.from_buffers(pa.large_binary(), len(self.length), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.packed))])
+        data = strings.take(pa.array(chosen)).buffers()[2]
+        return Runs(*(getattr(self, f.name)[chosen] for f in fields(self)[:-1]), np.frombuffer(data or b"", np.uint8))
 
     def dump(self) -> bytes:
-        """Compressed; of the minimiser 32 bits, enough to tell groups of one bucket apart, and of the places the steps."""
+        """Compressed; of the minimiser 32 bits, enough to tell most groups of one bucket apart, and of the places the steps.
+
+        Places and lengths fit 32 bits, as no text reaches 2^31 bytes; steps between documents' places may wrap and wrap back.
+        """
         n = np.array([len(self.least)], "<i8")
-        columns = [n, (self.least >> np.uint64(32)).astype("<u4"), np.diff(self.doc, prepend=0).astype("<i8"), np.diff(self.start, prepend=0).astype("<i4"), self.count.astype("<i4"), self.length.astype("<i4"), self.packed]
+        columns = [n, (self.least >> np.uint64(32)).astype("<u4"), self.anchor.astype("<u2"), np.diff(self.doc, prepend=0).astype("<i8"), np.diff(self.start, prepend=0).astype("<i4"), self.count.astype("<i4"), self.length.astype("<i4"), self.packed]
         return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(x.tobytes() for x in columns))
 
     @staticmethod
@@ -54,11 +60,11 @@ class Runs:
         for raw in raws:
             data = zstandard.ZstdDecompressor().decompress(raw)
             n, at, columns = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
-            for kind in ("<u4", "<i8", "<i4", "<i4", "<i4"):
+            for kind in ("<u4", "<u2", "<i8", "<i4", "<i4", "<i4"):
                 columns.append(np.frombuffer(data, kind, n, at))
                 at += n * np.dtype(kind).itemsize
-            least, doc, start, count, length = columns
-            parts.append([least.astype(np.uint64), np.cumsum(doc), np.cumsum(start, dtype=np.int64), count.astype(np.int64), length.astype(np.int64), np.frombuffer(data, np.uint8, -1, at)])
+            least, anchor, doc, start, count, length = columns
+            parts.append([least.astype(np.uint64), anchor.astype(np.int64), np.cumsum(doc), np.cumsum(start, dtype=np.int32).astype(np.int64), count.astype(np.int64), length.astype(np.int64), np.frombuffer(data, np.uint8, -1, at)])
         return Runs(*map(np.concatenate, zip(*parts, strict=True)))
 
 
@@ -81,8 +87,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_runs(units: np.ndarray, row: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the first unit in the flat array, number of windows, minimiser) of each super-k-mer.
+def window_runs(units: np.ndarray, row: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first unit in the flat array, number of windows, minimiser, its place) of each super-k-mer.
 
     All windows of a super-k-mer hold the same occurrence of their minimiser, so no two of them are equal.
 
@@ -90,7 +96,7 @@ def window_runs(units: np.ndarray, row: np.ndarray, window: int, k: int) -> tupl
     """
     n = len(units) - window + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     grams, have = units, 1
     factor = np.uint64(0xC2B2AE3D27D4EB4F)
     with np.errstate(over="ignore"):
@@ -107,15 +113,16 @@ def window_runs(units: np.ndarray, row: np.ndarray, window: int, k: int) -> tupl
     start = np.nonzero(begins)[0]
     place = np.cumsum(begins) - 1
     count = np.bincount(place[whole], minlength=len(start)) if len(start) else np.empty(0, np.int64)
-    return start, count, grams[(least[start] & PLACE).astype(np.int64)]
+    at = (least[start] & PLACE).astype(np.int64)
+    return start, count, grams[at], at
 
 
-def spread(runs: tuple[np.ndarray, np.ndarray, np.ndarray], units: np.ndarray, window: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spread(runs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], units: np.ndarray, window: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Super-k-mers (as of `window_runs`) of minimisers that are among `often` become windows of their own.
 
     Such a window goes by the hash of its own units: equal ones still meet, and all others part.
     """
-    start, count, least = runs
+    start, count, least, at = runs
     own = np.isin(least, often)
     if not own.any():
         return runs
@@ -124,7 +131,7 @@ def spread(runs: tuple[np.ndarray, np.ndarray, np.ndarray], units: np.ndarray, w
     hashes = np.zeros(len(places), np.uint64)
     for k in range(window):
         hashes = hashes * np.uint64(0xC2B2AE3D27D4EB4F) + units[places + k]
-    return np.concatenate((start[~own], places)), np.concatenate((count[~own], np.ones(len(places), count.dtype))), np.concatenate((least[~own], mix(hashes)))
+    return np.concatenate((start[~own], places)), np.concatenate((count[~own], np.ones(len(places), count.dtype))), np.concatenate((least[~own], mix(hashes))), np.concatenate((at[~own], np.repeat(at[own], n)))
 
 
 def frequent_minimisers(rows: DataFrame, split: Callable[[pa.RecordBatch, np.ndarray], Iterator[Runs]], piece: int, one_in: int = 64, distinct: int = 256, most: int = 4096) -> np.ndarray:
@@ -175,6 +182,33 @@ def _groups(order: np.ndarray, same: np.ndarray) -> Iterator[np.ndarray]:
         yield order[start : stop + 1]
 
 
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Mask of the keys that occur more than once."""
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
+def by_minimiser(runs: Runs, most_bytes: int = 4 << 20) -> Iterator[Runs]:
+    """The super-k-mers whose minimiser others have too, in portions of about `most_bytes` with all of their minimisers."""
+    order = np.nonzero(repeated(runs.least))[0]
+    order = order[np.argsort(runs.least[order], kind="stable")]
+    least, ends = runs.least[order], np.cumsum(runs.length[order])
+    cuts = np.append(np.nonzero(least[1:] != least[:-1])[0] + 1, len(order))
+    start = 0
+    while start < len(order):
+        reached = np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes, "right")
+        stop = cuts[max(np.searchsorted(cuts, reached, "right") - 1, np.searchsorted(cuts, start, "right"))]
+        yield runs.take(order[start:stop])
+        start = int(stop)
+
+
+RANGES = pa.schema([("doc_id", pa.int64()), ("ranges", pa.binary())])
+
+
 def ranges_of(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     """Rows of removed windows: for each document its (first window, number of windows) pairs, packed."""
     order = np.lexsort((start, doc))
@@ -183,16 +217,17 @@ def ranges_of(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Recor
     begins = np.concatenate(([0], cuts)).astype(int) if len(doc) else np.empty(0, int)
     pairs = np.stack((start, count), 1).astype("<i4").reshape(-1, 2)
     packed = [x.tobytes() for x in np.split(pairs, cuts)] if len(doc) else []
-    return pa.RecordBatch.from_arrays([pa.array(doc[begins], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "ranges"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[begins], pa.int64()), pa.array(packed, pa.binary())], schema=RANGES)
 
 
 def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch, np.ndarray], Iterator[Runs]], resolve: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], piece: int, expansion: float, bucket_bytes: int = 32 << 20) -> DataFrame:
     """doc_id and packed ranges of windows that also start earlier, several rows a document.
 
-    `split` gives the super-k-mers of a record batch, given minimisers to spread (see `spread`); `resolve` the (doc, first window, number) of later windows among
-    the super-k-mers of one bucket, of which equal ones have been left out. Buckets are as many as the text asks for.
-    Super-k-mers that equal an earlier one of their task are settled there, so copies don't pile up in a bucket; a passage
-    that many documents hold in different surroundings has frequent minimisers, whose windows are spread.
+    `split` gives the super-k-mers of a record batch, given minimisers to spread (see `spread`); `resolve` the (doc, first
+    window, number) of later windows among super-k-mers, of which all with one minimiser are there. Buckets are as many as
+    the text asks for. Before they travel, super-k-mers that are equal in one slice of a task are combined: the first one
+    goes on, the others are later ones whatever else there is, so copies don't pile up in a bucket. A passage that many
+    documents hold in different surroundings has frequent minimisers, whose windows are spread.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
@@ -222,16 +257,9 @@ def removed_windows(docs: DataFrame, split: Callable[[pa.RecordBatch, np.ndarray
         held: list[bytes] = []
         at = -1
 
-        def bucket() -> pa.RecordBatch:
-            runs = Runs.load(held)
-            _, code, number = np.unique(runs.least, return_inverse=True, return_counts=True)
-            runs = runs.take(np.nonzero(number[code] > 1)[0])
-            again = repeated_within(runs)
-            later = ranges_of(runs.doc[again], runs.start[again], runs.count[again])
-            distinct = runs.take(np.nonzero(~again)[0])
-            _, code, number = np.unique(distinct.least, return_inverse=True, return_counts=True)
-            rest = ranges_of(*resolve(distinct.take(np.nonzero(number[code] > 1)[0])))
-            return pa.Table.from_batches([later, rest]).combine_chunks().to_batches()
+        def bucket() -> list[pa.RecordBatch]:
+            later = [ranges_of(*resolve(own)) for own in by_minimiser(Runs.load(held))]
+            return pa.Table.from_batches(later, RANGES).combine_chunks().to_batches()
 
         for batch in batches:
             passed = batch.filter(batch.column("doc_id").is_valid())
