@@ -1,8 +1,9 @@
 """Secret scan: patterns propose, structure confirms.
 
-Patterns give the base kinds. Beyond them, runs of base64 or hex are decoded and reported only if the bytes parse: DER
-private keys whose nested lengths fill each other exactly, OpenSSH key files with length-prefixed fields, and signed
-tokens whose header and payload are JSON objects and whose header names an algorithm.
+Patterns give the base kinds. Beyond them, base64 or hex is decoded wherever a key may begin, also inside a longer run and
+over line ends, and reported only if the bytes parse: DER private keys whose nested lengths fill each other exactly,
+OpenSSH key files with length-prefixed fields, PEM files around or below either, and signed tokens whose header and
+payload are JSON objects and whose header names an algorithm. A key's own lengths say where it ends.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +30,20 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{44,}={0,2}")
+#: Line ends, also as they are written inside strings.
+BREAK = r"(?:\r?\n|\\r\\n|\\n)[ \t]*"
+#: Base64 runs, over line ends, in both alphabets.
+RUNS = tuple(re.compile(rf"[{c}]{{40,}}(?:{BREAK}[{c}]+)*={{0,2}}") for c in ("A-Za-z0-9+/", r"A-Za-z0-9_\-"))
+#: Where a DER sequence of the first few items of a key, the OpenSSH magic or a PEM file may begin, as base64 and as hex.
+BASE64_START = re.compile(r"(?=(M[A-I])|(b3BlbnNzaC1rZXktdjEA)|(LS0tLS1CRUdJTi))")
+HEX_START = re.compile(r"(?=(30(?:82|81|[2-7]))|(6f70656e7373682d6b65792d763100))", re.IGNORECASE)
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
+#: Header of an encrypted PEM body: the cipher and its start value.
+DEK_INFO = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,32}\b")
+#: Object identifiers that begin the algorithms of encrypted keys (PKCS#5 and PKCS#12).
+ENCRYPTING = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+MAGIC = b"openssh-key-v1\0"
 
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
@@ -57,37 +70,60 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key: PKCS#1 (nine integers), PKCS#8 (version, algorithm, nested key) or SEC 1 (version 1, key octets)."""
+    """A private key: PKCS#1 (nine integers), DSA (six), PKCS#8 (version, algorithm, nested key; or encrypted) or SEC 1 (version 1, key octets)."""
     top = der_items(data)
-    if not top or len(top) != 1 or top[0][0] != SEQUENCE or not (items := der_items(top[0][1])) or items[0][0] != INTEGER:
+    if not top or len(top) != 1 or top[0][0] != SEQUENCE or not (items := der_items(top[0][1])):
         return False
     tags = [tag for tag, _ in items]
+    if tags == [SEQUENCE, OCTETS]:
+        algorithm = der_items(items[0][1])
+        return bool(algorithm) and algorithm[0][0] == OBJECT and algorithm[0][1].startswith(ENCRYPTING) and len(items[1][1]) >= 16
+    if tags[0] != INTEGER:
+        return False
     if len(items) >= 9 and tags[:9] == [INTEGER] * 9:
         return all(content for _, content in items[:9])
+    if tags == [INTEGER] * 6:
+        return items[0][1] == b"\0" and len(items[1][1]) >= 60 and 18 <= len(items[2][1]) <= 33 and all(content for _, content in items)
     if tags[1:3] == [SEQUENCE, OCTETS]:
         algorithm = der_items(items[1][1])
         return bool(algorithm and algorithm[0][0] == OBJECT and der_items(items[2][1]))
     return items[0][1] == b"\1" and tags[1:2] == [OCTETS] and len(items[1][1]) in (24, 28, 32, 48, 66)
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key file: magic, then cipher, kdf, kdf options, key count and keys, each with its length."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
-    for k in range(5):
-        if at + 4 > len(data):
-            return False
-        size = int.from_bytes(data[at : at + 4])
-        if k == 3:  # the number of keys
-            if not 1 <= size <= 64:
-                return False
-            size = 0
-        at += 4 + size
-        if at > len(data):
-            return False
-    return True
+def der_size(data: bytes) -> int:
+    """The bytes of the DER sequence that `data` begins with, by its header; 0 if no key begins like that."""
+    if len(data) < 8 or data[0] != SEQUENCE:
+        return 0
+    wide = data[1] & 0x7F if data[1] >= 0x80 else 0
+    if wide > 4 or data[1] == 0x80:
+        return 0
+    after = data[2 + wide]
+    if after not in (INTEGER, SEQUENCE) or after == INTEGER and data[3 + wide] != 1:
+        return 0
+    return 2 + wide + (int.from_bytes(data[2 : 2 + wide]) if wide else data[1])
+
+
+def ssh_size(data: bytes) -> int:
+    """The bytes of the OpenSSH private key file that `data` begins with: magic, cipher, kdf, kdf options, number of keys,
+    the public keys and, unless the data end there, the private part, each with its length; 0 if they don't fit."""
+    if not data.startswith(MAGIC):
+        return 0
+    at = len(MAGIC)
+
+    def skip(fields: int) -> None:
+        nonlocal at
+        for _ in range(fields):
+            at += 4 + (int.from_bytes(data[at : at + 4]) if at + 4 <= len(data) else len(data))
+
+    skip(3)
+    keys = int.from_bytes(data[at : at + 4])
+    if at + 4 > len(data) or not 1 <= keys <= 64:
+        return 0
+    at += 4
+    skip(keys)
+    if at != len(data):
+        skip(1)
+    return at if at <= len(data) else 0
 
 
 def from_base64(text: str, url: bool = False) -> bytes | None:
@@ -100,8 +136,90 @@ def from_base64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
-def key_kind(data: bytes | None) -> str | None:
-    return None if not data else "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+def key_size(data: bytes | None, exact: bool = False) -> tuple[int, str] | None:
+    """(bytes, kind) of the key that `data` begins with, or with `exact` is; None without one."""
+    if not data:
+        return None
+    if (size := der_size(data)) and size <= len(data) and is_der_key(data[:size]):
+        found = size, "der"
+    elif size := ssh_size(data):
+        found = size, "ssh"
+    else:
+        return None
+    return None if exact and found[0] != len(data) else found
+
+
+def is_pem_body(body: str) -> bool:
+    """The base64 between the marks is a key, or, under headers that say so, an encrypted one."""
+    body = body.replace("\\r\\n", "\n").replace("\\n", "\n")
+    lines = [line.strip() for line in body.splitlines()]
+    encrypted = "Proc-Type: 4,ENCRYPTED" in body and DEK_INFO.search(body)
+    data = from_base64("".join(line for line in lines if ":" not in line).replace(" ", ""))
+    return bool(data) and (bool(encrypted) and len(data) % 8 == 0 or key_size(data, exact=True) is not None)
+
+
+class Folded:
+    """A run of characters over line ends, as one string; places in it lead back to the text."""
+
+    def __init__(self, text: str, start: int, stop: int):
+        self.parts, self.starts = [], []
+        at = start
+        for m in re.finditer(BREAK, text[start:stop]):
+            self._add(text, at, start + m.start())
+            at = start + m.end()
+        self._add(text, at, stop)
+        self.chars = "".join(self.parts)
+
+    def _add(self, text: str, start: int, stop: int) -> None:
+        self.starts.append((sum(map(len, self.parts[-1:])) + (self.starts[-1][0] if self.starts else 0), start))
+        self.parts.append(text[start:stop])
+
+    def place(self, k: int) -> int:
+        """The text's place of character `k`."""
+        joined, start = self.starts[bisect_right(self.starts, (k, 1 << 62)) - 1]
+        return start + k - joined
+
+
+def keys_in_base64(chars: str) -> Iterator[tuple[int, int, str]]:
+    """(first character, end, kind) of the keys in a string of base64, wherever they begin."""
+    done = 0
+    for m in BASE64_START.finditer(chars):
+        at = m.start()
+        if at < done:
+            continue
+        if m[1]:
+            size = der_size(from_base64(chars[at : at + 16]) or b"")
+            stop = at + -(-size * 4 // 3)  # characters that hold the bytes
+            if not size or stop > len(chars):
+                continue
+            found = key_size((from_base64(chars[at : at + -(-size // 3) * 4]) or from_base64(chars[at:stop]) or b"")[:size])
+        elif m[2]:
+            found = key_size(from_base64(chars[at : at + (len(chars) - at) // 4 * 4]) or from_base64(chars[at:]))
+        else:
+            body = chars[at : at + (len(chars.rstrip("=")) - at) // 4 * 4]
+            tail = chars[at:].rstrip("=")
+            raw = (from_base64(tail) or from_base64(body) or b"").decode("latin-1")
+            inner = PEM.match(raw)
+            found = (inner.end(), "pem") if inner and is_pem_body(inner[2]) else None
+        if found:
+            done = at + -(-found[0] * 4 // 3)
+            while done < len(chars) and chars[done] == "=" and (done - at) % 4:
+                done += 1
+            yield at, done, found[1]
+
+
+def keys_in_hex(digits: str) -> Iterator[tuple[int, int, str]]:
+    """The same for a string of hex digits."""
+    done = 0
+    for m in HEX_START.finditer(digits):
+        at = m.start()
+        if at < done:
+            continue
+        own = digits[at : at + (len(digits) - at) // 2 * 2]
+        size = der_size(bytes.fromhex(own[:16])) if m[1] else len(own) // 2
+        if size and 2 * size <= len(own) and (found := key_size(bytes.fromhex(own[: 2 * size]))):
+            done = at + 2 * found[0]
+            yield at, done, found[1]
 
 
 def is_signed_token(text: str) -> bool:
@@ -122,14 +240,16 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    if "-----BEGIN " in text:
-        found += [(*m.span(), "pem") for m in PEM.finditer(text) if key_kind(from_base64("".join(m[2].split())))]
-    for m in HEX_ANY.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
-            found.append((*m.span(), kind))
-    for m in BASE64.finditer(text):
-        if m[0][0] in "MLb" and (kind := key_kind(from_base64(m[0]))):  # a DER sequence or the OpenSSH magic begins so
-            found.append((*m.span(), kind))
+    pems = [m.span() for m in PEM.finditer(text) if is_pem_body(m[2])] if "-----BEGIN " in text else []
+    found += [(*span, "pem") for span in pems]
+    keys = {(m.start() + a, m.start() + b, kind) for m in HEX_ANY.finditer(text) for a, b, kind in keys_in_hex(m[0])}
+    for pattern, url in zip(RUNS, (False, True), strict=True):
+        for m in pattern.finditer(text):
+            mark = m[0].find("----")  # of a PEM file, whose dashes the second alphabet has
+            run = Folded(text, m.start(), m.end() if mark < 0 else m.start() + mark)
+            chars = run.chars.replace("-", "+").replace("_", "/") if url else run.chars
+            keys |= {(run.place(a), run.place(b - 1) + 1, kind) for a, b, kind in keys_in_base64(chars)}
+    found += [x for x in keys if not any(a <= x[0] and x[1] <= b for a, b in pems)]  # a PEM file's key is that file
     if "eyJ" in text:
         found += [(*m.span(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
