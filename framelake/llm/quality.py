@@ -56,15 +56,14 @@ def line_facts(host: Column) -> Column:
 
 
 def common_lines(measured: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """Line keys that at least `min_docs` distinct texts of one host hold, and at least `min_share` of its texts.
+    """Line keys that at least `min_docs` distinct documents of one host hold, and at least `min_share` of its documents.
 
-    `measured` has host, content (hash of the text) and facts (`line_facts`). Equal texts of a host count as one document,
-    so that copies do not turn their own lines into boilerplate.
+    `measured` has host, document (a number of the document) and facts (`line_facts`). Copies are documents like others.
     """
-    texts = measured.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
-    seen = measured.select("host", "content", F.explode("facts.line_key").alias("line_key")).distinct()
+    documents = measured.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("in_host"))
+    seen = measured.select("host", "document", F.explode(F.array_distinct("facts.line_key")).alias("line_key")).distinct()
     counts = seen.groupBy("host", "line_key").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    return counts.join(texts, "host").filter(F.col("n_docs") >= min_share * F.col("n_texts")).select("line_key", "n_docs")
+    return counts.join(documents, "host").filter(F.col("n_docs") >= min_share * F.col("in_host")).select("line_key", "n_docs")
 
 
 def without_lines(text: Column, host: Column, keys: Column) -> Column:
@@ -80,13 +79,15 @@ def quality_filter(docs: DataFrame, host: str = "source", min_words: int = 50, m
     base_failed: fewer than `min_words` words, or more than `max_repeat_pct` % of the words in repeated 3-word windows.
     Lines that `common_lines` finds are removed, and with `keep_text` the rest is in `kept_text`, for documents that are
     not kept too; a document that loses more than `max_lost_share` of its characters in lines with a word is depleted and
-    not kept. Null hosts form one host; null texts have no lines and fail the base rule. Copies of a row are judged each
-    for itself. Repeated doc_ids stay separate rows.
+    not kept. Null hosts form one host; null texts have no lines and fail the base rule. Rows that repeat a doc_id are one
+    document where documents are counted, and are judged each for itself; a row without doc_id is a document of its own.
     """
     owner = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    rows = docs.select("doc_id", "text", owner.alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), line_facts(owner).alias("facts"))
+    rows = docs.select("doc_id", "text", owner.alias("host"), line_facts(owner).alias("facts"))
     found = document_metrics(rows)
-    measured = staged((found if keep_text else found.drop("text")).withColumn("row", F.monotonically_increasing_id()), "quality")
+    numbered = (found if keep_text else found.drop("text")).withColumn("row", F.monotonically_increasing_id())
+    document = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(F.lit("row"), "row"))
+    measured = staged(numbered.withColumn("document", document), "quality")
     common = staged(common_lines(measured, min_docs, min_share), "common_lines").select("line_key")
     hit = measured.select("row", F.inline("facts")).join(common, "line_key", "left_semi")
     lost = hit.groupBy("row").agg(F.sum("n").alias("lost"), *([F.collect_set("line_key").alias("keys")] if keep_text else []))

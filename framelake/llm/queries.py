@@ -21,11 +21,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), shards=40)
 
 
-def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def secret_columns(docs: DataFrame) -> DataFrame:
+    """The contract's columns of `secrets.scan`."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
-    return secrets.scan(documents(spark, sf_dir)).select("doc_id", *map(count, secrets.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return secrets.scan(docs).select("doc_id", *map(count, secrets.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_columns(documents(spark, sf_dir))
 
 
 def vocabulary() -> str:
@@ -104,8 +109,8 @@ WITH {WORDS.format(text="coalesce(text, '')")},
 ]'))) AS line FROM words),
  keyed AS (SELECT *, trim(regexp_replace(lower(line), '[ 	-
 ]+', ' ', 'g')) AS norm FROM lines),
- hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT text) AS n_texts FROM words GROUP BY 1),
- often AS (SELECT k.host, norm FROM keyed k JOIN hosts h ON h.host = k.host GROUP BY k.host, norm HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) >= 0.002 * any_value(n_texts)),
+ hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT doc_id) AS in_host FROM words GROUP BY 1),
+ often AS (SELECT k.host, norm FROM keyed k JOIN hosts h ON h.host = k.host GROUP BY k.host, norm HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) >= 0.002 * any_value(in_host)),
  lost AS (SELECT doc_id, sum(length(line)) AS in_lines, sum(CASE WHEN o.norm IS NOT NULL THEN length(line) ELSE 0 END) AS n_common_chars, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM keyed k LEFT JOIN often o ON o.host = k.host AND o.norm = k.norm GROUP BY doc_id),
  grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM words, generate_series(1, len(ws) - 2) s(i)),

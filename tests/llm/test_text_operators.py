@@ -98,14 +98,80 @@ def test_sharding_finds_the_smallest_capacity(spark):
         assert max(load.values()) == capacity
 
 
-def test_sharding_gives_oversized_groups_shards_of_their_own(spark):
-    rows = [(k, "big" if k < 50 else f"text number {k}") for k in range(150)]
-    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
-    load = Counter()
-    for r in out:
-        load[r.shard] += r.size
-    assert len(load) == 5 and {r.shard for r in out if r.doc_id < 50} == {4}
-    assert max(v for k, v in load.items() if k != 4) < 1.2 * min(v for k, v in load.items() if k != 4)
+def brute_sharding(rows, shards: int) -> list[list[int]]:
+    """Groups in order of their key, cut greedily at the smallest capacity; large groups by themselves where nothing grows."""
+    groups: dict[int, int] = defaultdict(int)
+    for key, size in rows:
+        groups[key] += size
+    order = sorted(groups)
+
+    def fill(capacity: int, alone: frozenset, most: int):
+        out, load = [[]], 0
+        for key in order:
+            if key in alone:
+                out += [[key], []]
+                load = 0
+                continue
+            if groups[key] > capacity:
+                return None
+            if load + groups[key] > capacity and out[-1]:
+                out.append([])
+                load = 0
+            out[-1].append(key)
+            load += groups[key]
+        out = [x for x in out if x]
+        return out if sum(x[0] not in alone for x in out) <= most else None
+
+    def least(alone: frozenset, most: int):
+        low, high = 1, sum(groups.values()) + 1
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if fill(middle, alone, most) is not None else (middle + 1, high)
+        return low, fill(low, alone, most)
+
+    large, total = [], sum(groups.values())
+    for key in sorted(groups, key=lambda k: (-groups[k], k))[: (shards - 1) // 2]:
+        if groups[key] * (shards - len(large)) <= total:
+            break
+        large.append(key)
+        total -= groups[key]
+    capacity, plain = least(frozenset(), shards)
+    if large:
+        rest, apart = least(frozenset(large), shards - len(large))
+        if max(rest, groups[large[0]]) <= capacity:
+            return apart
+    return plain
+
+
+@pytest.mark.parametrize("case", ["even", "one hot", "many hot", "few", "nulls"])
+def test_sharding_against_brute_force(spark, case):
+    r = random.Random(case)
+    rows = [(k, f"text number {r.randrange(400)} " * r.randint(1, 9)) for k in range(300)]
+    if case == "one hot":
+        rows += [(1000 + k, "hot text " * 20) for k in range(200)]
+    if case == "many hot":
+        rows += [(1000 + k, f"hot {k % 4} " * 30 * (1 + k % 4)) for k in range(200)]
+    if case == "few":
+        rows = rows[:3] + [(5, None), (6, "")]
+    if case == "nulls":
+        rows = [(None if k % 3 else k, None if k % 5 == 0 else t) for k, t in rows] + rows[:50]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = [(x.key, x.size) for x in docs.select(sharding.group_key(F.col("text")).alias("key"), (F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("size")).collect()]
+    want = brute_sharding(keyed, 7)
+    home = {key: n for n, x in enumerate(want) for key in x}
+    out = sharding.shard_documents(docs, 7).collect()
+    load, slots = Counter(), defaultdict(list)
+    for x in out:
+        load[x.shard] += x.size
+        slots[x.shard].append(x.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    expected = Counter()
+    for key, size in keyed:
+        expected[home[key]] += size
+    assert load == expected and len(out) == len(rows)
+    whole = Counter((x.doc_id, x.size, x.text_crc32, x.shard) for x in out)
+    by_text = {t or "": home[k] for (_, t), k in zip(docs.collect(), [x.key for x in docs.select(sharding.group_key(F.col("text")).alias("key")).collect()], strict=True)}
+    assert whole == Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), by_text[t or ""]) for d, t in rows)
 
 
 def test_sharding_of_nothing(empty):
@@ -141,6 +207,118 @@ def test_structures_decide():
     assert "pem" in {k for _, _, k in secrets.find_secrets(pem)}
 
 
+def dsa_key() -> bytes:
+    return der(0x30, b"".join(der(2, x) for x in (b"\0", b"p" * 128, b"q" * 20, b"g" * 128, b"y" * 128, b"x" * 20)))
+
+
+def encrypted_key() -> bytes:
+    pbes2 = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b""))
+    return der(0x30, pbes2 + der(4, b"c" * 80))
+
+
+def small_key() -> bytes:
+    """PKCS#8 of 48 bytes, as of a short curve."""
+    return der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, b"k" * 32)))
+
+
+def ssh_key() -> bytes:
+    return b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4) + x for x in (b"none", b"none", b"")) + (1).to_bytes(4) + b"".join(len(x).to_bytes(4) + x for x in (b"p" * 40, b"k" * 90))
+
+
+KEYS = {"pkcs1": private_key(), "dsa": dsa_key(), "encrypted": encrypted_key(), "small": small_key(), "ssh": ssh_key()}
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_keys_wherever_they_begin(name):
+    """Glued to other characters, wrapped, written inside strings, in the other alphabet, as hex, or as a whole file."""
+    key, kind = KEYS[name], "ssh" if name == "ssh" else "der"
+    plain = base64.b64encode(key).decode()
+    bare = plain.rstrip("=")
+
+    def spans(text: str, kinds=("der", "ssh")) -> list[tuple[str, str]]:
+        return [(k, text[a:b]) for a, b, k in secrets.find_secrets(text) if k in kinds]
+
+    assert spans(f"see {plain} end") == [(kind, plain)]
+    for front in ("path/", "x", "xy", "xyz", "M", "MII", "A" * 50):
+        assert spans(f"é {front}{plain} end") == [(kind, plain)], front
+    assert spans(f"{plain}, {plain}") == [(kind, plain)] * 2
+    if len(key) % 3 == 0:
+        assert spans(f"{bare}tail/of/other/characters") == [(kind, bare)]
+    for end in ("\n", "\r\n", "\\n", "\n  "):
+        wrapped = end.join(plain[k : k + 64] for k in range(0, len(plain), 64))
+        assert spans(f"key:\n{wrapped}\n\nNext paragraph") == [(kind, wrapped)], end
+    url = base64.urlsafe_b64encode(key).decode()
+    assert spans(f"see {url} end")[0][0] == kind
+    assert spans(f"see {key.hex()} end") == [(kind, key.hex())] and spans(f"see ab{key.hex().upper()}00 end") == [(kind, key.hex().upper())]
+    broken = bytearray(key)
+    broken[3] ^= 1
+    assert not spans(f"see {base64.b64encode(bytes(broken)).decode()} end")
+    # files
+    title = "OPENSSH PRIVATE KEY" if name == "ssh" else "ENCRYPTED PRIVATE KEY" if name == "encrypted" else "PRIVATE KEY"
+    for end in ("\n", "\\n"):
+        pem = end.join([f"-----BEGIN {title}-----", *(plain[k : k + 64] for k in range(0, len(plain), 64)), f"-----END {title}-----"])
+        assert spans(f"a {pem} b", ("pem", "der", "ssh")) == [("pem", pem)], end
+    whole = base64.b64encode(pem.replace("\\n", "\n").encode()).decode()
+    assert spans(f"data={whole};", ("pem", "der", "ssh")) == [("pem", whole)]
+    false = f"-----BEGIN {title}-----\n{base64.b64encode(key[:-1]).decode()}\n-----END {title}-----"
+    assert not spans(false, ("pem", "der", "ssh"))
+
+
+def test_encrypted_pem_headers():
+    body = base64.b64encode(b"c" * 128).decode()
+    good = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert [x[2] for x in secrets.find_secrets(good) if x[2] == "pem"] == ["pem"]
+    assert not [x for x in secrets.find_secrets(good.replace("DEK-Info", "Comment")) if x[2] == "pem"]
+
+
+def test_secret_query_against_brute_force(spark):
+    """All columns: patterns as the contract words them, keys by trying every stretch of base64 or hex."""
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("ABMIabz019+/") for _ in range(n))
+    small = base64.b64encode(small_key()).decode()
+    texts = [f"{noise(3)} {noise(k % 5)}{small}{noise(0)} password = {noise(12)} {noise(50)}" for k in range(12)]
+    texts += [f"{small_key().hex()} and {noise(20)}AKIA{'Z' * 14} token:'{'x' * (6 + k)}'" for k in range(4)]
+    texts += [None, "", "é" * 50 + " api-key: not, api_key: yes_this_is API_KEY='SECRET' secret=passwd=12345678", noise(300), "\x0b\x1c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").createOrReplaceTempView("secret_texts")
+
+    def brute(text: str) -> tuple:
+        found = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 8]
+        found += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        found += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        base = sorted(found, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[2])))
+        for pattern, decode, unit in (("[A-Za-z0-9+/]{40,}={0,2}", lambda x: base64.b64decode(x, validate=True), 4), ("[0-9A-Fa-f]{64,}", bytes.fromhex, 2)):
+            for m in re.finditer(pattern, text):
+                for a in range(m.start(), m.end()):
+                    for b in range(a + 64, m.end() + 1):
+                        if (b - a) % unit == 0:
+                            try:
+                                data = decode(text[a:b])
+                            except ValueError:
+                                continue
+                            if secrets.is_der_key(data):
+                                found.append((a, b, "der"))
+        order = ["assign", "access", "hex", "pem", "der", "ssh", "jwt"]
+        joined = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], order.index(x[2]))))
+        number = Counter(k for _, _, k in base)
+        return number["assign"], number["access"], number["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)
+
+    out = by_id(queries.secret_columns(spark.table("secret_texts")))
+    want = {k: brute(t or "") for k, t in enumerate(texts)}
+    assert {k: (x.n_assign, x.n_access, x.n_hex, x.base_sha256, x.spans) for k, x in out.items()} == want
+    assert sum("der" in x[4] for x in want.values()) >= 16
+    # the base columns of a whole table
+    folder = "/root/testdata/sf0.001"
+    table = by_id(queries.op2_secret_scan(spark, folder))
+    for x in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect():
+        row = table[x.doc_id]
+        pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        spans = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(pattern, x.text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", x.text) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", x.text) if len(m[0]) >= 32]
+        assert row.base_sha256 == hashlib.sha256(",".join(s for _, _, s in sorted(spans)).encode()).hexdigest()
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+
+
 def test_base_kinds_and_digest(spark):
     t = 'é password: "hunter2x" secret=short token = abcdefgh1 AKIAABCDEFGH1234 AKIA12 0123456789abcdef0123456789abcdef0 Kpassword=12345678'
     rows = [(1, t), (2, None), (3, ""), (4, t)]
@@ -149,6 +327,7 @@ def test_base_kinds_and_digest(spark):
     base = [(s.kind, t[s.start : s.stop]) for s in found[1].spans]
     assert base == [("assign", 'password: "hunter2x'), ("assign", "token = abcdefgh1"), ("access", "AKIAABCDEFGH1234"), ("hex", "0123456789abcdef0123456789abcdef0"), ("assign", "password=12345678")]
     assert found[2].spans == found[3].spans == [] and found[4].spans == found[1].spans
+    assert secrets.scan(spark.table("secret_docs").limit(0)).collect() == [] and secrets.mask(spark.table("secret_docs").limit(0)).collect() == []
 
 
 def test_masking_keeps_documents_and_columns(docs):
@@ -452,11 +631,40 @@ def test_estimates_lose_less_than_the_banding():
     assert lost < 1e-8 < (1 - 0.75**minhash.ROWS) ** minhash.BANDS
 
 
+def test_recall_against_all_rows(spark):
+    """Every document with an id divisible by 50 against all rows of a table, by DuckDB: no link is lost."""
+    import compare
+
+    folder = "/root/testdata/sf0.1"
+    lower = queries.LOWER
+    sql = rf"""WITH w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     s AS (SELECT DISTINCT doc_id, hash(array_to_string(CASE WHEN len(ws) >= 5 THEN list_slice(ws, i, i + 4) ELSE ws END, ' ')) AS h FROM w, generate_series(1, greatest(len(ws) - 4, 1)) t(i) WHERE len(ws) > 0),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY ALL)
+     SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)"""
+    links = compare.connect(folder).execute(sql).fetchall()
+    found = {r.doc_id: r.component_id for r in queries.op6_minhash_near_dedup(spark, folder).collect()}
+    assert len(links) > 50 and [x for x in links if found[x[0]] != found[x[1]]] == []
+
+
+def test_without_the_estimate(docs):
+    """The exact way compares all candidates of the bands, and finds the same here."""
+    assert by_id(minhash.near_duplicates(docs, least_agreement=0.0)) == by_id(minhash.near_duplicates(docs))
+
+
+def test_hubs_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB", 3)
+    links = [(0, k) for k in range(1, 40)] + [(50 + k, 51 + k) for k in range(20)] + [(39, 90)]
+    found = {r.v: r.c for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {k: 0 for k in [*range(40), 90]} | {k: 50 for k in range(50, 71)}
+
+
 def test_near_duplicates_of_odd_rows(spark, empty):
     assert minhash.near_duplicates(empty).collect() == []
     rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (7, "A B c d e f"), (9, None)], "doc_id long, text string")
     found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect()}
     assert found == {None: (2, None, True), 4: (2, 4, True), 7: (2, 4, False), 9: (0, 9, True)}
+    twice = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (2, "other words altogether in this text")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(twice).collect())[:2] == [(1, 1, True), (1, 1, True)] and minhash.near_duplicates(twice).count() == 4
 
 
 # quality
@@ -489,6 +697,13 @@ def test_common_lines_deplete(spark, empty):
     rows += [(k, "\n".join(line() for _ in range(4)), "a") for k in range(100, 130)] + [(k, rows[0][1].replace("1999", "2001"), "b") for k in range(200, 203)]
     out = by_id(quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, source string")))
     assert not any(out[k].kept for k in range(30)) and all(out[k].kept for k in [*range(30, 60), *range(100, 130), *range(200, 203)])
+    # equal documents count one by one, rows of one doc_id once, and rows without one each
+    foot = "body of the text with words\nfooter of this page"
+    copies = [(k, foot, "c") for k in range(19)] + [(5, foot, "c")] * 5 + [(k, foot, "d") for k in range(20)] + [(None, foot, "e")] * 20
+    common = defaultdict(set)
+    for x in quality.quality_filter(spark.createDataFrame(copies, "doc_id long, text string, source string").withColumn("row", F.lit(1))).collect():
+        common[x.doc_id].add(x.n_common_chars)
+    assert common[18] == {0, len(foot) - 1} and common[19] == {len(foot) - 1} and common[None] == {len(foot) - 1}
     assert quality.quality_filter(empty).collect() == []
 
 
@@ -535,10 +750,42 @@ def test_toxicity_learns_and_ignores_groups(spark):
     free = toxicity.fit(docs, marks.filter(~toxicity.held_out()), swap_penalty=0.0)
     feature = toxicity.word_features("women")[0]
     assert abs(model.weights[feature]) < abs(free.weights[feature])
+    # neutral mentions, in sentences without anything else
+    neutral = spark.createDataFrame([(k, f"word{k} the {x} met word{k + 1} today") for k, x in enumerate(toxicity.LANGUAGE)], "doc_id long, text string")
+    of = lambda m: [x.score for x in toxicity.score(neutral, m).collect()]
+    assert not any(x >= 0.5 for x in of(model)) and np.ptp(of(model)) < np.ptp(of(free))
+    # other numbers for the same documents change nothing
+    again = toxicity.fit(docs.withColumn("doc_id", 90_000 - F.col("doc_id")), marks.filter(~toxicity.held_out()).withColumn("doc_id", 90_000 - F.col("doc_id")))
+    assert again.bias == pytest.approx(model.bias) and again.weights == pytest.approx(model.weights)
     kept = {x.doc_id for x in toxicity.keep_civil(docs, model).collect()}
     assert kept == {k for k, s in scores.items() if s < 0.5}
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Ranking and errors on the fifth of the labels that the query doesn't learn from."""
+    folder = "/root/testdata/sf0.1"
+    out = queries.op8_toxicity(spark, folder).filter("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("score", "predicted", "toxic").filter("toxic is not null").collect()
+    good, bad = np.array([r.score for r in out if not r.toxic]), np.array([r.score for r in out if r.toxic])
+    auc = (good[:, None] < bad).mean() + (good[:, None] == bad).mean() / 2
+    assert len(bad) > 50 and auc > 0.97
+    assert np.mean([r.predicted for r in out if not r.toxic]) < 0.02 and np.mean([r.predicted for r in out if r.toxic]) > 0.9
+
+
+def test_toxicity_details(spark):
+    assert toxicity.swapped("Women,", 0, True) == "people" and toxicity.swapped("juden", 5, False) in toxicity.IDENTITIES["de"] and toxicity.swapped("word", 1, True) is None
+    # one tokeniser: an ideographic space is part of a word, in learning as in scoring
+    rows = spark.createDataFrame([(k, "vile\u3000idiot here" if k % 2 else "kind words here") for k in range(200)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(rows, marks)
+    assert toxicity.word_features("vile\u3000idiot")[0] in model.weights and toxicity.word_features("idiot")[0] not in model.weights
+    # repeated doc_ids: the sample's bound holds, extra columns stay
+    many = rows.unionByName(rows).unionByName(rows).withColumns({"label": F.lit("x"), "own": F.lit(1)})
+    assert toxicity.fit(many, marks, sample=100).weights
+    kept = toxicity.keep_civil(many, model)
+    assert kept.columns == many.columns and kept.count() == 300
+    assert toxicity.keep_civil(many.limit(0), model).count() == 0
+
+
 def test_toxicity_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {x.score >= 0.5 for x in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {False}
