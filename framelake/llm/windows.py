@@ -26,6 +26,10 @@ PLACE = np.uint64((1 << 26) - 1)
 LEVEL = 4
 
 
+#: Types of the numbers of packed super-k-mers.
+KINDS = ("<u4", "<u2", "<i8", "<i4", "<i4", "<i4")
+
+
 @dataclass
 class Runs:
     """Super-k-mers: minimiser and its place after the first unit, document, first unit, number of windows, and the packed
@@ -50,21 +54,24 @@ class Runs:
 
         Places and lengths fit 32 bits, as no text reaches 2^31 bytes; steps between documents' places may wrap and wrap back.
         """
-        n = np.array([len(self.least)], "<i8")
-        columns = [n, (self.least >> np.uint64(32)).astype("<u4"), self.anchor.astype("<u2"), np.diff(self.doc, prepend=0).astype("<i8"), np.diff(self.start, prepend=0).astype("<i4"), self.count.astype("<i4"), self.length.astype("<i4"), self.packed]
-        return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(x.tobytes() for x in columns))
+        values = self.least >> np.uint64(32), self.anchor, np.diff(self.doc, prepend=0), np.diff(self.start, prepend=0), self.count, self.length - self.count
+        # first bytes of all numbers, then second bytes and so on: most are zero
+        columns = [x.astype(kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T for x, kind in zip(values, KINDS, strict=True)]
+        return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([len(self.least).to_bytes(8, "little"), *(x.tobytes() for x in columns), self.packed.tobytes()]))
 
     @staticmethod
     def load(raws: list[bytes]) -> Runs:
         parts = []
         for raw in raws:
             data = zstandard.ZstdDecompressor().decompress(raw)
-            n, at, columns = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
-            for kind in ("<u4", "<u2", "<i8", "<i4", "<i4", "<i4"):
-                columns.append(np.frombuffer(data, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            least, anchor, doc, start, count, length = columns
-            parts.append([least.astype(np.uint64), anchor.astype(np.int64), np.cumsum(doc), np.cumsum(start, dtype=np.int32).astype(np.int64), count.astype(np.int64), length.astype(np.int64), np.frombuffer(data, np.uint8, -1, at)])
+            n, at, columns = int.from_bytes(data[:8], "little"), 8, []
+            for kind in KINDS:
+                size = np.dtype(kind).itemsize
+                columns.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+                at += n * size
+            least, anchor, doc, start, count, more = columns
+            count = count.astype(np.int64)
+            parts.append([least.astype(np.uint64), anchor.astype(np.int64), np.cumsum(doc), np.cumsum(start, dtype=np.int32).astype(np.int64), count, count + more, np.frombuffer(data, np.uint8, -1, at)])
         return Runs(*map(np.concatenate, zip(*parts, strict=True)))
 
 
