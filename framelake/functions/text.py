@@ -13,8 +13,8 @@ CATEGORY_LABELS = {
     "FaceShifter": 0,
     "FaceSwap": 0,
     "NeuralTextures": 0,
-    "DeepFakeDetection": 0,
     "Celeb-real": 1,
+    "YouTube-real": 1,
     "Celeb-synthesis": 0,
 }
 SPLITS = ("train", "val", "test")
@@ -126,19 +126,44 @@ def frame_position(frame_path: Column | str, *fields: Column | str) -> Column:
     return F.coalesce(F.when(F.trim(first).rlike(r"^\d+$"), F.trim(first).try_cast("bigint")), digits.try_cast("bigint"), F.lit(NO_POSITION).cast("bigint"))
 
 
-def text_label(label: Column | str) -> Column:
+def text_label(label: Column | str, polarity: str = "fake") -> Column:
+    """0 or 1 from the words real, original and fake; `polarity` names the kind that 1 stands for. Null for other texts."""
     low = F.lower(text(label))
-    return F.when(low.isin("real", "original", "0"), 0).when(low.isin("fake", "1"), 1)
+    real, fake = (0, 1) if polarity == "fake" else (1, 0)
+    return F.when(low.isin("real", "original"), real).when(low == "fake", fake)
 
 
-def resolve_label(cls: Column | str, binary_label: Column | str, label: Column | str, invert: bool = False, strict: bool = False) -> Column:
-    """0 or 1 from the class part, else the numeric field, else the text; unresolved is -1, or an error if `strict`."""
-    number = lambda x: F.when(F.trim(_col(x).cast("string")).try_cast("int").isin(0, 1), F.trim(_col(x).cast("string")).try_cast("int"))
-    found = F.coalesce(number(cls), number(binary_label), text_label(label))
+def digit_label(field: Column | str) -> Column:
+    """0 or 1 of a field that holds just that; null for anything else."""
+    shown = _col(field).cast("string")
+    return F.when(shown.isin("0", "1"), shown.cast("int"))
+
+
+def resolve_label(cls: Column | str, binary_label: Column | str, label: Column | str, invert: bool = False, strict: bool = False, polarity: str = "fake") -> Column:
+    """0 or 1 of a sample: its class part, else the numeric field, else the text.
+
+    A class part that is there decides: a bad one is unresolved, whatever the other fields say. Unresolved is -1, or an
+    error if `strict`.
+    """
+    part = F.trim(_col(cls).cast("string"))
+    from_part = F.when(part.rlike(r"^[+-]?\d+$"), part.try_cast("bigint"))
+    found = F.when(part.isNotNull(), F.when(from_part.isin(0, 1), from_part.cast("int"))).otherwise(F.coalesce(digit_label(binary_label), text_label(label, polarity)))
     found = 1 - found if invert else found
     return F.coalesce(found, F.raise_error(F.lit("no label")).cast("int") if strict else F.lit(-1))
 
 
+def crop_label(label: Column | str, binary_label: Column | str) -> Column:
+    """What a frame's crop is labelled: the label's text if there is one, else the numeric field; 0 real, 1 fake, -1 unknown."""
+    first = F.coalesce(F.nullif(_col(label).cast("string"), F.lit("")), _col(binary_label).cast("string"))
+    low = F.lower(text(first))
+    return F.when(low.isin("real", "original", "0"), 0).when(low.isin("fake", "1"), 1).otherwise(-1)
+
+
+def clip_label(binary_label: Column | str, label: Column | str) -> Column:
+    """What a clip's frame is labelled: the numeric field, else the text; 0 real, 1 fake, -1 unknown."""
+    return F.coalesce(digit_label(text(binary_label)), text_label(label), F.lit(-1))
+
+
 def clip_label_text(binary_label: Column | str) -> Column:
     return F.when(_col(binary_label) == 1, "fake").otherwise("real")
 
@@ -148,5 +173,10 @@ def first_meta(meta: Column | str, *keys: str) -> Column:
     return F.coalesce(*[filled(_col(meta)[k]) for k in keys])
 
 
+def draw(*parts: Column | str) -> Column:
+    """A number in 0 .. 2^32 - 1 from a hash of the parts, the same on every run and machine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[_col(p).cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
 def safe_name(x: Column | str) -> Column:
     return F.regexp_replace(text(x), r"[^A-Za-z0-9_.-]+", "_")

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.scores import center_candidates
-from framelake.functions.text import clip_label_text
+from framelake.functions.scores import OF_EIGHT, center_candidates, default_position, inside_clip
+from framelake.functions.text import clip_label_text, draw
 
 
-def build_clips(frames: DataFrame, by: list[str], clip_len: int = 8, frame_stride: int = 1, clip_stride: int = 6, video_path: str = "video_id") -> DataFrame:
+def build_clips(frames: DataFrame, by: list[str], clip_len: int = 8, frame_stride: int = 1, clip_stride: int = 6, video_path: str = "video_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per clip of frames that follow each other at `frame_stride`.
 
     Frames (frame_number, original_frame_index, key, timestamp, binary_label) are ordered in each video; windows start at
-    every `clip_stride`-th position, and only windows without gaps get a clip number.
+    every `clip_stride`-th position, and only windows without gaps get a clip number. `carry`: columns that a clip takes
+    from its first frame.
     """
-    need = (clip_len - 1) * frame_stride + 1
     order = Window.partitionBy(*by).orderBy("frame_number", "original_frame_index", "key")
     frame = F.struct("frame_number", "original_frame_index", "timestamp", "key")
-    placed = frames.withColumns({"clip_start": F.row_number().over(order) - 1, "_ahead": F.collect_list(frame).over(order.rowsBetween(0, need - 1))})
-    starts = placed.filter((F.col("clip_start") % clip_stride == 0) & (F.size("_ahead") == need))
-    picked = starts.withColumn("_own", F.filter("_ahead", lambda _, i: i % frame_stride == 0)).drop("_ahead")
+    ahead = {f"_frame{k}": F.lead(frame, k * frame_stride).over(order) for k in range(1, clip_len)}
+    placed = frames.withColumns({"clip_start": F.row_number().over(order) - 1, "_frame0": frame, **ahead})
+    starts = placed.filter((F.col("clip_start") % clip_stride == 0) & F.col(f"_frame{clip_len - 1}").isNotNull())
+    picked = starts.withColumn("_own", F.array(*[F.col(f"_frame{k}") for k in range(clip_len)])).drop(*[f"_frame{k}" for k in range(clip_len)])
     numbers = F.col("_own.frame_number")
     steps = F.zip_with(F.slice(numbers, 2, clip_len - 1), F.slice(numbers, 1, clip_len - 1), lambda b, a: b - a)
     whole = picked.filter(F.forall(steps, lambda d: d == max(1, frame_stride)))
@@ -40,7 +41,8 @@ def build_clips(frames: DataFrame, by: list[str], clip_len: int = 8, frame_strid
         F.col("_own.timestamp").alias("timestamps"),
         F.col("_own.key").alias("source_keys"),
         F.array(*map(F.lit, centers)).cast("array<int>").alias("center_candidate_indices"),
-        F.lit(centers[len(centers) // 2] if centers else 0).alias("default_center_index"),
+        F.lit(default_position(centers)).alias("default_center_index"),
+        *carry,
     )
 
 
@@ -51,8 +53,13 @@ def clip_build_stats(frames: DataFrame, clips: DataFrame, by: list[str], split:
     return counted.groupBy(split).agg(F.sum("frames").alias("frames"), F.count("*").alias("videos"), F.coalesce(F.sum("clips"), F.lit(0).cast("long")).alias("clips"), F.count_if(F.col("clips").isNull()).alias("videos_without_clips"))
 
 
-def choose_spatial_index(candidates, default, clip_len, training: bool = False, seed: int = 0, epoch: int = 0, key: str = "key"):
-    """Training: a candidate by a hash of key, seed and epoch; else the stored default if it lies inside the clip, else the middle candidate."""
+def choose_spatial_index(candidates, default, clip_len, training: bool = False, seed: int = 0, epoch: int = 0, key: str = "key", fallback: tuple[int, ...] = tuple(OF_EIGHT)):
+    """Training: a candidate by a hash of key, seed and epoch; else the stored default if it lies inside the clip, else the middle candidate.
+
+    Candidates outside the clip don't count; without any (or a null list) those of `fallback` do, and then the clip's middle.
+    """
+    middle = F.array(F.greatest(F.lit(0), F.floor(clip_len / 2).cast("int")))
+    valid = F.coalesce(inside_clip(candidates, clip_len), inside_clip(F.array(*map(F.lit, fallback)).cast("array<int>"), clip_len), middle)
     if training:
-        return F.element_at(candidates, (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(epoch)), F.size(candidates)) + 1).cast("int"))
-    return F.when((default >= 0) & (default < clip_len), default).otherwise(F.element_at(candidates, (F.size(candidates) / 2).cast("int") + 1))
+        return F.element_at(valid, (draw(key, F.lit(seed), F.lit(epoch)) % F.size(valid) + 1).cast("int"))
+    return F.when((default >= 0) & (default < clip_len), default).otherwise(F.element_at(valid, (F.size(valid) / 2).cast("int") + 1))

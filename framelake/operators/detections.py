@@ -39,11 +39,12 @@ def main_face(candidates, before: list[int] | None) -> int:
     return max(range(len(value)), key=lambda k: (value[k], -k))
 
 
-def choose_main_face(found: DataFrame, by: list[str]) -> DataFrame:
-    """Adds `chosen` (bbox, score, landmarks; null without a face) to keyframes with pos and `candidates`.
+def choose_main_face(found: DataFrame, by: list[str], settled: str | None = None) -> DataFrame:
+    """Adds `chosen` (bbox, score, landmarks; null without a face) to frames with pos and `candidates`.
 
-    In order of pos, each video remembers the last chosen box; frames without candidates leave it as it is. Videos are
-    dealt by key and sorted, and a task holds one frame and one box at a time.
+    In order of pos, each video remembers the last box; frames without candidates leave it as it is. Frames whose box is
+    known already, in the column `settled`, hand that one on and get no other. Videos are dealt by key and sorted, and a
+    task holds one frame and one box at a time.
     """
     columns = found.columns
     kind = found.schema["candidates"].dataType.elementType.simpleString()
@@ -53,20 +54,48 @@ def choose_main_face(found: DataFrame, by: list[str]) -> DataFrame:
         video, box = None, None
         for rows in batches:
             chosen = []
-            for key, candidates in zip(rows[by].itertuples(index=False), rows["candidates"], strict=True):
+            known = rows[settled] if settled else [None] * len(rows)
+            for key, candidates, own in zip(rows[by].itertuples(index=False), rows["candidates"], known, strict=True):
                 if key != video:
                     video, box = key, None
-                if candidates is None or not len(candidates):
-                    chosen.append(None)
-                    continue
-                face = candidates[main_face(candidates, box)]
-                box = face["bbox"]
+                face = None
+                if own is not None:
+                    box = own
+                elif candidates is not None and len(candidates):
+                    face = candidates[main_face(candidates, box)]
+                    box = face["bbox"]
                 chosen.append(face)
             yield rows.assign(chosen=pd.Series(chosen, index=rows.index, dtype=object))
 
     return ordered.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in found.schema)}, chosen {kind}").select(*columns, "chosen")
 
 
+def second_pass(frames: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Frames of `interpolate_detections` whose unresolved rows get a detection of their own.
+
+    `found`: by, pos and `candidates` of the frames outside good keyframes (with status missing_file, read_fail or
+    detect_error where there is such a column and something failed). The last box before, whatever gave it, decides among
+    candidates. A frame without candidates has no face; one without a row in `found` stays unresolved.
+    """
+    failed = F.col("_status") if "status" in found.columns else F.lit(None).cast("string")
+    own = found.select(*by, "pos", "candidates", *([F.col("status").alias("_status")] if "status" in found.columns else []), F.lit(True).alias("_tried"))
+    joined = frames.join(own, [*by, "pos"], "left")
+    open_ = F.col("status").isNull() & F.col("_tried").isNotNull()
+    asked = joined.withColumns({"candidates": F.when(open_ & failed.isNull(), F.col("candidates")), "_settled": F.when(F.col("status") == "ok", F.col("bbox")), "_open": F.coalesce(open_, F.lit(False)), "_failed": failed})
+    chosen = choose_main_face(asked, by, "_settled")
+    face = F.col("chosen")
+    return chosen.withColumns(
+        {
+            "status": F.when(~F.col("_open"), F.col("status")).otherwise(F.coalesce("_failed", F.when(face.isNotNull(), "ok").otherwise("no_face"))),
+            "source": F.when(face.isNotNull(), "detected").otherwise(F.col("source")),
+            "bbox": F.coalesce(face["bbox"], "bbox"),
+            "num_faces": F.when(face.isNotNull(), F.size("candidates").cast(frames.schema["num_faces"].dataType)).otherwise(F.col("num_faces")),
+            "confidence": F.when(face.isNotNull(), face["score"]).otherwise(F.col("confidence")),
+            "landmarks": F.when(face.isNotNull(), face["landmarks"]).otherwise(F.col("landmarks")),
+        }
+    ).select(*frames.columns)
+
+
 def interpolate_detections(positioned: DataFrame, detections: DataFrame, by: list[str]) -> DataFrame:
     """Frames with their detection: keyframes keep theirs; frames between two good keyframes get the box between them.
 
@@ -102,23 +131,32 @@ def with_crop(frames: DataFrame, height: str = "height", width: str = "width", c
     return frames.withColumn("crop_box", square_crop_box(F.col("bbox"), F.col(height), F.col(width), crop_scale))
 
 
-def detection_stats(frames: DataFrame, by: list[str]) -> DataFrame:
-    """Per video and in total (all `by` null): frames, detected, no_face, missing_file, read_fail, detect_error, unresolved,
-    interpolated, direct, crop_fail, written."""
-    status = lambda s: F.count_if(F.col("status") == s)
-    cropped = F.col("crop_box").isNotNull()
+def detection_stats(frames: DataFrame, by: list[str], existing: str | None = None, skip_no_face: bool = True) -> DataFrame:
+    """Per video and in total (all `by` null): frames, processed, detected, no_face, missing_file, read_fail, detect_error,
+    unresolved, interpolated, direct, crop_fail, written, skipped_no_face, skipped_existing.
+
+    Frames whose column `existing` is true were written before: they count as frames, for what gave them a box, and as
+    skipped_existing, and all other counters are of the frames that are left.
+    """
+    there = F.coalesce(F.col(existing), F.lit(False)) if existing else F.lit(False)
+    counted = lambda c: F.count_if(~there & c)
+    status, cropped = F.col("status"), F.col("crop_box").isNotNull()
+    no_face = counted(status == "no_face")
     return frames.groupingSets([[F.col(c) for c in by], []], *by).agg(
         F.count("*").alias("frames"),
-        status("ok").alias("detected"),
-        status("no_face").alias("no_face"),
-        status("missing_file").alias("missing_file"),
-        status("read_fail").alias("read_fail"),
-        status("detect_error").alias("detect_error"),
-        F.count_if(F.col("status").isNull()).alias("unresolved"),
+        F.count_if(~there).alias("processed"),
+        counted(status == "ok").alias("detected"),
+        no_face.alias("no_face"),
+        counted(status == "missing_file").alias("missing_file"),
+        counted(status == "read_fail").alias("read_fail"),
+        counted(status == "detect_error").alias("detect_error"),
+        counted(status.isNull()).alias("unresolved"),
         F.count_if(F.col("source") == "interpolated").alias("interpolated"),
         F.count_if(F.col("source") == "detected").alias("direct"),
-        F.count_if((F.col("status") == "ok") & ~cropped).alias("crop_fail"),
-        F.count_if((F.col("status") == "ok") & cropped).alias("written"),
+        counted((status == "ok") & ~cropped).alias("crop_fail"),
+        counted((status == "ok") & cropped).alias("written"),
+        (no_face if skip_no_face else F.lit(0).cast("long")).alias("skipped_no_face"),
+        F.count_if(there).alias("skipped_existing"),
     )
 
 

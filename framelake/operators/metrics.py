@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Thresholds that are tried beside the probabilities themselves.
+#: Thresholds that are tried beside the probabilities themselves.
 DEFAULT_THRESHOLDS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50)
 
 
@@ -43,15 +43,38 @@ def binary_metrics(preds: DataFrame, threshold: float = 0.5, by: list[str] | Non
     return counts.withColumns({**rates(tp, fp, fn, tn), "labels_negative": tn + fp, "labels_positive": tp + fn, "preds_negative": tn + fn, "preds_positive": tp + fp})
 
 
-def running_counts(preds: DataFrame, by: list[str]) -> DataFrame:
+#: Ranges of probability that are summed for themselves.
+RANGES = 256
+
+
+def _range_of(prob: Column, edges: list[float]) -> Column:
+    """The number of edges at or below the probability, as a tree of comparisons."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(prob < edges[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return tree(0, len(edges))
+
+
+def running_counts(preds: DataFrame, by: list[str], extra: tuple[float, ...] = ()) -> DataFrame:
     """Per distinct probability: pos, neg and their sums over it and all greater ones (tp, fp), with the totals p and n.
 
-    The sums run over ranges of probability: each range is summed for itself and the ranges' totals, a bounded number of
-    rows, are added on. No group passes through one task however many probabilities it has.
+    The sums run over ranges of probability between quantiles of all rows: each range is summed for itself and the
+    ranges' totals, a bounded number of rows, are added on. So no task gets more than a small share of the rows, unless
+    they are one probability, which is one row here. `extra` thresholds are probabilities that no row has (`own` is false).
     """
-    grouped = preds.groupBy(*by, "prob_positive").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    cell = F.least(F.greatest(F.floor(F.col("prob_positive") * 1024), F.lit(0)), F.lit(1023)).cast("int")
-    placed = grouped.withColumn("_cell", cell)
+    edges = preds.agg(F.percentile_approx("prob_positive", [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("edges")).first().edges
+    label, own = F.col("label"), F.lit(True)
+    rows = preds.select(*by, "prob_positive", (label == 1).cast("int").alias("_pos"), (label == 0).cast("int").alias("_neg"), own.alias("own"))
+    if extra:
+        thresholds = F.explode(F.array(*[F.lit(float(t)) for t in extra])).alias("prob_positive")
+        groups = preds.select(*by).distinct() if by else preds.sparkSession.range(1)
+        rows = rows.unionByName(groups.select(*by, thresholds, F.lit(0).alias("_pos"), F.lit(0).alias("_neg"), F.lit(False).alias("own")))
+    grouped = rows.groupBy(*by, "prob_positive").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"), F.max("own").alias("own"))
+    placed = grouped.withColumn("_cell", _range_of(F.col("prob_positive"), sorted(set(edges or []))))
     inside = Window.partitionBy(*by, "_cell").orderBy(F.desc("prob_positive"))
     cells = placed.groupBy(*by, "_cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = Window.partitionBy(*by).orderBy(F.desc("_cell"))
@@ -65,7 +88,7 @@ def running_counts(preds: DataFrame, by: list[str]) -> DataFrame:
         F.sum("_n").over(whole).alias("n"),
     )
     summed = placed.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
-    return summed.join(totals, [*by, "_cell"]).select(*by, F.col("prob_positive").alias("threshold"), "pos", "neg", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "p", "n")
+    return summed.join(totals, [*by, "_cell"]).select(*by, F.col("prob_positive").alias("threshold"), "own", "pos", "neg", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "p", "n")
 
 
 def roc_auc(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -77,35 +100,39 @@ def roc_auc(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return run.groupBy(*by).agg(area.alias("_twice"), F.first("p").alias("p"), F.first("n").alias("n")).select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("_twice") / 2.0 / (F.col("p").cast("double") * F.col("n"))).otherwise(float("nan")).alias("auc"))
 
 
-def threshold_curve(preds: DataFrame, by: list[str] | None = None, extra: tuple[float, ...] = ()) -> DataFrame:
-    """Counts and rates at each distinct probability, and at `extra` thresholds between them (prediction: prob >= threshold)."""
-    by = by or []
-    run = running_counts(preds, by).select(*by, "threshold", "tp", "fp", "p", "n")
-    if extra:
-        # a threshold between probabilities counts what the next higher probability counts
-        totals = preds.groupBy(*by).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-        hits = [F.count_if((F.col("prob_positive") >= t) & (F.col("label") == y)).alias(f"_{y}_{k}") for k, t in enumerate(extra) for y in (1, 0)]
-        wide = preds.groupBy(*by).agg(*hits)
-        rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_1_{k}").alias("tp"), F.col(f"_0_{k}").alias("fp")) for k, t in enumerate(extra)]))
-        more = wide.select(*by, rows.alias("r")).select(*by, "r.*")
-        joined = more.join(totals, by) if by else more.crossJoin(totals)
-        run = run.unionByName(joined.select(*by, "threshold", "tp", "fp", "p", "n")).dropDuplicates([*by, "threshold"])
+def threshold_curve(preds: DataFrame, by: list[str] | None = None, extra: tuple[float, ...] = (), keep_own: bool = False) -> DataFrame:
+    """Counts and rates at each distinct probability, and at `extra` thresholds between them (prediction: prob >= threshold).
+
+    `keep_own` adds own, false at thresholds that are no row's probability.
+    """
+    run = running_counts(preds, by or [], extra).select(*(by or []), "threshold", "own", "tp", "fp", "p", "n")
     tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
-    return run.withColumns({"fn": p - tp, "tn": n - fp, "tpr": _ratio(tp, p), "fpr": _ratio(fp, n), "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, p)}).drop("p", "n")
+    curve = run.withColumns({"fn": p - tp, "tn": n - fp, "tpr": _ratio(tp, p), "fpr": _ratio(fp, n), "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, p)}).drop("p", "n")
+    return curve if keep_own else curve.drop("own")
+
+
+ONE_CLASS = "Only one class exists in labels; cannot compute ROC-based threshold."
 
 
 def best_thresholds(preds: DataFrame) -> DataFrame:
-    """One row per criterion: threshold, score and the metrics there.
+    """One row per criterion: threshold, score and the metrics there; warning is null.
 
     Youden looks at the probabilities and keeps the highest of equal thresholds; F1 and balanced accuracy look at the
-    probabilities and the default ones within 0..1 and keep the lowest. With one class only there is no row.
+    probabilities and the default ones within 0..1 and keep the lowest. With less than two classes there is one row with
+    a warning and nothing else. One pass over the running counts serves all three.
     """
-    own = threshold_curve(preds).withColumn("_own", F.lit(True))
-    every = threshold_curve(preds, extra=DEFAULT_THRESHOLDS).filter(F.col("threshold").between(0.0, 1.0)).withColumn("_own", F.lit(False))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    measured = own.unionByName(every).filter((tp + fn > 0) & (fp + tn > 0)).withColumns({**rates(tp, fp, fn, tn), "youden": F.col("tpr") - F.col("fpr")})
-    first = lambda name, own_only, sign: measured.filter(F.col("_own") == own_only).agg(F.max_by(F.struct("threshold", F.col(name).alias("score"), "tn", "fp", "fn", "tp", "accuracy", "f1", "balanced_accuracy", "precision", "recall"), F.struct(F.col(name), sign * F.col("threshold"))).alias("r")).select(F.lit(name).alias("criterion"), "r.*").filter("threshold is not null")
-    return first("youden", True, 1).unionByName(first("f1", False, -1)).unionByName(first("balanced_accuracy", False, -1))
+    curve = threshold_curve(preds, extra=DEFAULT_THRESHOLDS, keep_own=True)
+    measured = curve.withColumns({**rates(tp, fp, fn, tn), "youden": F.col("tpr") - F.col("fpr")})
+    both, listed = (tp + fn > 0) & (fp + tn > 0), F.col("threshold").between(0.0, 1.0)
+
+    def best(name: str, allowed: Column, sign: int) -> Column:
+        shown = F.struct(F.lit(name).alias("criterion"), "threshold", F.col(name).alias("score"), "tn", "fp", "fn", "tp", "accuracy", "f1", "balanced_accuracy", "precision", "recall")
+        return F.max_by(F.when(both & allowed, shown), F.when(both & allowed, F.struct(F.col(name), sign * F.col("threshold"))))
+
+    found = measured.agg(F.array(best("youden", F.col("own"), 1), best("f1", listed, -1), best("balanced_accuracy", listed, -1)).alias("rows"))
+    some = F.filter("rows", lambda r: r.isNotNull())
+    return found.select(F.explode_outer(F.when(F.size(some) > 0, some)).alias("r")).select("r.*", F.when(F.col("r").isNull(), ONE_CLASS).alias("warning"))
 
 
 def average_precision(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -142,6 +169,22 @@ def failures(preds: DataFrame, threshold: float = 0.5, most: int | None = None)
     return wrong if most is None else wrong.orderBy(F.desc(F.abs(F.col("prob_positive") - threshold)), "key").limit(most)
 
 
+def failure_report(preds: DataFrame, threshold: float = 0.5, most: int | None = None, examples: int = 12) -> DataFrame:
+    """One row: threshold, a summary of counts, the wrong predictions and right examples, as nested lists in order of key.
+
+    The lists are the feature: give `most` to bound the failures that a report names; the summary counts all.
+    """
+    wrong = failures(preds, threshold, most).select("key", "kind", "label", "prob_positive")
+    right = correct_examples(preds, examples, threshold).select("key", "label", "prob_positive")
+    listed = lambda df: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("rows"))
+    w, r = listed(wrong).withColumnRenamed("rows", "failures"), listed(right).withColumnRenamed("rows", "correct_examples")
+    one = failure_summary(preds, threshold).withColumn("_", F.lit(0))
+    joined = one.join(F.broadcast(w.withColumn("_", F.lit(0))), "_").join(F.broadcast(r.withColumn("_", F.lit(0))), "_")
+    of = lambda y: F.size(F.filter("correct_examples", lambda x: x["label"] == y)).alias("correct_real_saved" if y == 0 else "correct_fake_saved")
+    summary = F.struct(F.col("scanned").alias("total_scanned"), "false_positives", "false_negatives", F.size("failures").alias("failures_saved"), F.size("correct_examples").alias("correct_saved"), of(0), of(1))
+    return joined.select(F.lit(threshold).alias("threshold"), summary.alias("summary"), "failures", "correct_examples")
+
+
 def correct_examples(preds: DataFrame, n: int = 12, threshold: float = 0.5) -> DataFrame:
     """About n/2 right predictions of each class, in order of key."""
     right = preds.filter((F.col("prob_positive") >= threshold) == (F.col("label") == 1))

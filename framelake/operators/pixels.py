@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.text import draw
+
 #: Channel means and deviations of the usual image normalisation.
 MEAN, STD = np.array([0.485, 0.456, 0.406], np.float32), np.array([0.229, 0.224, 0.225], np.float32)
 
@@ -61,13 +63,13 @@ def require_valid(validated: DataFrame) -> DataFrame:
 
 def augment_parameters(seed: int, epoch: int, key: str = "key") -> dict[str, Column]:
     """flip, contrast and brightness of a clip from a hash of key, seed and epoch, so that a retry gives the same."""
-    draw = lambda k: F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(epoch), F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
-    return {"flip": draw(0) < 0.5, "contrast": 0.8 + 0.4 * draw(1), "brightness": (draw(2) - 0.5) * 40.0}
+    share = lambda k: draw(key, F.lit(seed), F.lit(epoch), F.lit(k)) / float(1 << 32)
+    return {"flip": share(0) < 0.5, "contrast": 0.8 + 0.4 * share(1), "brightness": (share(2) - 0.5) * 40.0}
 
 
 def augmented(rgb: np.ndarray, flip: bool, contrast: float, brightness: float) -> np.ndarray:
     """One clip (T,3,H,W): mirrored, contrast about each frame's channel means, brightness, clamped."""
-    out = rgb[..., ::-1].astype(np.float32) if flip else rgb.astype(np.float32)
+    out = (rgb[..., ::-1] if flip else rgb).astype(np.float64)
     mean = out.mean(axis=(2, 3), keepdims=True)
     return np.clip((out - mean) * contrast + mean + brightness, 0, 255).round().astype(np.uint8)
 

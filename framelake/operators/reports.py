@@ -48,6 +48,50 @@ def status_report(frames: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def pipeline_status(manifest: DataFrame, frames: DataFrame, audit: DataFrame, shards: DataFrame, files: DataFrame | None = None, split: str | None = None) -> DataFrame:
+    """How far detection has come, as rows (metric, category, n); category is null for metrics over all.
+
+    `manifest`: category, video. `frames`: category, video, key, and frame_path if `files` (frame_path) is given. `audit`
+    and `shards`: keys of finished samples. `split` keeps manifest and frame rows of that split. Videos and keys count
+    once however often they are listed; a frame is detected if the audit or a shard holds its key.
+    """
+    if split is not None:
+        manifest, frames = (x.filter(normalize_split("split") == split.strip().lower()) for x in (manifest, frames))
+    audit_keys, shard_keys = audit.select("key").distinct(), shards.select("key").distinct()
+    done = audit_keys.union(shard_keys).distinct().withColumn("_done", F.lit(1).cast("long"))
+    marked = frames.select(text("category").alias("category"), "video", "key").join(done, "key", "left").withColumn("_done", F.coalesce("_done", F.lit(0)))
+    by_key = marked.groupBy("video", "key").agg(F.max("_done").alias("_done"))
+    videos = by_key.groupBy("video").agg(F.count("*").alias("keys"), F.sum("_done").alias("found"))
+    full = F.col("found") == F.col("keys")
+    sums = videos.agg(
+        F.count("*").alias("videos_with_frames"),
+        F.coalesce(F.sum("found"), F.lit(0)).alias("detected_frames"),
+        F.count_if(F.col("found") > 0).alias("videos_with_detections"),
+        F.count_if(full).alias("fully_detected"),
+        F.count_if(~full & (F.col("found") > 0)).alias("partially_detected"),
+        F.count_if(F.col("found") == 0).alias("not_detected"),
+    )
+    named = lambda df, metric: df.agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("category"), "n")
+    listed = manifest.select("video").distinct()
+    parts = [
+        named(listed, "manifest_videos"),
+        named(frames, "frame_rows"),
+        named(audit_keys, "audit_keys"),
+        named(shard_keys, "shard_keys"),
+        named(listed.join(frames.select("video").distinct(), "video", "left_anti"), "videos_without_frames"),
+        sums.unpivot([], sums.columns, "metric", "n").select("metric", F.lit(None).cast("string").alias("category"), "n"),
+        manifest.groupBy(text("category").alias("category")).agg(F.count("*").alias("n")).select(F.lit("manifest_videos").alias("metric"), "category", "n"),
+        marked.groupBy("category").agg(F.count("*").alias("n")).select(F.lit("frame_rows").alias("metric"), "category", "n"),
+        marked.filter("_done = 1").groupBy("category").agg(F.count("*").alias("n")).select(F.lit("detected_frames").alias("metric"), "category", "n"),
+    ]
+    if files is not None:
+        parts.append(named(frames.join(files.select("frame_path").distinct(), "frame_path", "left_anti"), "missing_frame_files"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def subset_counts(frames: DataFrame) -> DataFrame:
     return frames.groupBy("category").agg(F.countDistinct("video_id").alias("videos"), F.count("*").alias("frames"))
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.text import CATEGORY_LABELS
-
-#: Frame rates and categories that stand in by number.
+#: Frame rates and categories that stand in by number; the last category has no label.
 RATES = (23.976, 25.0, 29.97, 30.0, 4.0)
-CATEGORIES = (*CATEGORY_LABELS, "Unlisted")
+CATEGORIES = ("original", "Deepfakes", "Face2Face", "FaceShifter", "FaceSwap", "NeuralTextures", "Celeb-real", "YouTube-real", "Celeb-synthesis", "DeepFakeDetection")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import text
-from framelake.operators import clips, history, metrics, pixels, reports, user
+from framelake.operators import history, metrics, pixels, reports, user
 from framelake.plans import bindings as B
 from framelake.plans.registry import query
 from framelake.plans.tables import PIXEL_CLIPS, _stacked
-from framelake.sources import shards, tables
+from framelake.sources import images, shards, tables
 from framelake.sources.staging import scratch
 
 
@@ -75,7 +75,7 @@ def s16_history_files(spark, sf_dir):
 @query("SELECT key, 2::BIGINT AS parts, 4 * 192 AS rgb_bytes FROM st", PIXEL_CLIPS)
 def s11_shard_files(spark, sf_dir):
     """Clips as tar shards in the shared folder, and read back."""
-    path = scratch(spark, "shards").removeprefix("file://")
+    path = scratch(spark, "shards")
     stacked = _stacked(spark, sf_dir)
     parts = F.create_map(F.lit("rgb.npy"), F.col("rgb"), F.lit("json"), F.to_json(F.struct("key", "length")).cast("binary"))
     shards.write_shards(stacked.select(F.substring_index("key", "/", 1).alias("video"), "key", parts.alias("parts")), path, maxcount=50)
@@ -85,7 +85,7 @@ def s11_shard_files(spark, sf_dir):
 
 @query("SELECT 'all' AS split, count(*)::BIGINT AS clips FROM st", PIXEL_CLIPS)
 def s10_count_shard_samples(spark, sf_dir):
-    path = scratch(spark, "shards").removeprefix("file://")
+    path = scratch(spark, "shards")
     doc = F.create_map(F.lit("json"), F.lit("{}").cast("binary"))
     shards.write_shards(_stacked(spark, sf_dir).select(F.substring_index("key", "/", 1).alias("video"), "key", doc.alias("parts")), path)
     counted = reports.count_clips(shards.shard_members(shards.read_shards(spark, f"{path}/shard-*.tar"), "all"))
@@ -129,10 +129,43 @@ def w10_selection_metric(spark, sf_dir):
     return out.select("run", "epoch", "m.name", F.round("m.value", 6).alias("value"))
 
 
-def x3_choose_spatial_index_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-seeded choice among the candidates."""
-    middle = F.array(F.lit(2), F.lit(3), F.lit(4), F.lit(5))
-    return B.frames(spark, sf_dir).select("event_id", clips.choose_spatial_index(middle, F.lit(4), F.lit(8), training=True, seed=1, epoch=2).alias("spatial_index"))
+PATHS = f"p AS (SELECT {B._sql_list(B.CATEGORIES)}[(c_custkey % 10 + 1)::INTEGER] AS category, 'v' || c_custkey AS video_id, ['mp4', 'AVI', 'txt', 'webm'][(c_custkey % 4 + 1)::INTEGER] AS ending, c_custkey % 7 = 0 AS deep FROM customer)"
 
 
-query()(x3_choose_spatial_index_training)
+@query("SELECT category, category || '/' || video_id || '.' || ending AS video_path, video_id FROM p WHERE category <> 'DeepFakeDetection' AND ending <> 'txt' AND NOT deep", PATHS)
+def s1_known_videos(spark, sf_dir):
+    """Of a file listing the videos directly under known category folders."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("v"), k.cast("string"), F.lit("."), B._pick(("mp4", "AVI", "txt", "webm"), k % 4))
+    path = F.concat_ws("/", B._pick(B.CATEGORIES, k % 10), F.when(k % 7 == 0, "more"), name)
+    return tables.known_videos(B.table(spark, sf_dir, "customer").select(path.alias("video_path")))
+
+
+@query("SELECT DISTINCT category || '/' || o_custkey || '.mp4' AS video_path FROM (SELECT o_orderpriority AS category, o_custkey FROM orders WHERE o_orderkey % 5 <> 0)".replace("o_orderpriority AS category", "left(o_orderpriority, 1) AS category"))
+def s3_official_test_list(spark, sf_dir):
+    path = scratch(spark, "official")
+    named = F.concat_ws("/", F.substring("o_orderpriority", 1, 1), F.concat(F.col("o_custkey").cast("string"), F.lit(".mp4")))
+    line = F.when(F.col("o_orderkey") % 5 == 0, "1").otherwise(F.concat(F.lit(" 1 \t"), named, F.lit("  more")))
+    B.table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    return tables.read_official_test_list(spark, path)
+
+
+@query("SELECT event_id::VARCHAR || '.jpg' AS frame_path, CASE event_id % 7 WHEN 0 THEN 'missing_file' WHEN 1 THEN 'read_fail' ELSE 'ok' END AS load_status, CASE WHEN event_id % 7 > 1 THEN 8 WHEN event_id % 7 = 1 THEN -1 END::INTEGER AS height FROM frames", B.FRAMES)
+def s9_frame_images(spark, sf_dir):
+    """Frames with what their files gave."""
+    e = F.col("event_id")
+    f = B.frames(spark, sf_dir).select(F.concat(e.cast("string"), F.lit(".jpg")).alias("frame_path"), "event_id")
+    size = F.when(e % 7 == 1, -1).otherwise(8)
+    loaded = f.filter(e % 7 != 0).select("frame_path", size.alias("height"), size.alias("width"), F.lit(b"").alias("image"))
+    return images.with_images(f.select("frame_path"), loaded).select("frame_path", "load_status", "height")
+
+
+@query("SELECT key, CASE WHEN k % 3 = 0 THEN 'test' WHEN k % 3 = 1 THEN 'val' ELSE 'train' END AS split, CASE WHEN k % 3 = 1 THEN 2 ELSE 1 END AS version FROM frames", B.FRAMES)
+def s12_guarded_output(spark, sf_dir):
+    """Output of three splits, one of which is replaced."""
+    path = scratch(spark, "guarded")
+    split = F.when(F.col("k") % 3 == 0, "test").when(F.col("k") % 3 == 1, "val").otherwise("train")
+    rows = B.frames(spark, sf_dir).select("key", split.alias("split"), F.lit(1).alias("version"))
+    tables.guarded_write(rows, path)
+    tables.guarded_write(rows.filter("split = 'val'").withColumn("version", F.lit(2)), path, overwrite=True)
+    return spark.read.parquet(path).select("key", "split", "version")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions import geometry, scores, text
+from framelake.functions import geometry, samples, scores, text
 from framelake.plans import bindings as B
 from framelake.plans.registry import query
 
@@ -16,7 +16,11 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "customer").withColumn("category", B._pick(B.CATEGORIES, F.col("c_custkey") % 10))
 
 
-@query("SELECT c_custkey, CASE category WHEN 'original' THEN 1 WHEN 'Celeb-real' THEN 1 ELSE 0 END::INTEGER AS binary_label FROM c WHERE category <> 'Unlisted'", CUSTOMERS)
+@query(
+    """SELECT c_custkey, v::INTEGER AS binary_label FROM c JOIN (VALUES ('original', 1), ('Deepfakes', 0), ('Face2Face', 0), ('FaceShifter', 0), ('FaceSwap', 0), ('NeuralTextures', 0),
+    ('Celeb-real', 1), ('YouTube-real', 1), ('Celeb-synthesis', 0)) m(name, v) ON name = category""",
+    CUSTOMERS,
+)
 def p1_category_label(spark, sf_dir):
     labelled = customers(spark, sf_dir).withColumn("binary_label", text.category_label("category"))
     return labelled.filter("binary_label is not null").select("c_custkey", "binary_label")
@@ -106,17 +110,19 @@ def p9_coercions(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN (conv_id % 2)::INTEGER END, CASE WHEN turn % 3 = 1 AND conv_id % 3 < 2 THEN (conv_id % 3)::INTEGER END,
+    """SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN CASE WHEN conv_id % 4 < 2 THEN (conv_id % 4)::INTEGER ELSE -1 END END, CASE WHEN turn % 3 = 1 AND conv_id % 3 < 2 THEN (conv_id % 3)::INTEGER END,
     CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 END, -1)::INTEGER AS label,
-    coalesce(1 - CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 END, -1)::INTEGER AS inverted FROM conversations"""
+    coalesce(1 - CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 END, -1)::INTEGER AS inverted, coalesce(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 END, -1)::INTEGER AS real_is_one,
+    CASE WHEN role = 'user' THEN 0 WHEN role = 'assistant' THEN 1 ELSE -1 END::INTEGER AS of_crop,
+    coalesce(CASE WHEN conv_id % 3 < 2 THEN (conv_id % 3)::INTEGER END, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 END, -1)::INTEGER AS of_clip FROM conversations"""
 )
 def p10_resolve_label(spark, sf_dir):
     c, t = F.col("conv_id"), F.col("turn")
     name = F.when(F.col("role") == "user", " Real").when(F.col("role") == "assistant", "fake").otherwise(F.col("role"))
-    cls = F.when(t % 3 == 0, (c % 2).cast("string"))
+    cls = F.when(t % 3 == 0, F.concat(F.lit(" "), (c % 4).cast("string")))  # 2 and 3 are bad class parts, which no other field mends
     field = F.when(t % 3 == 1, (c % 3).cast("string"))
     none = F.lit(None).cast("string")
-    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.resolve_label(cls, field, name).alias("label"), text.resolve_label(none, none, name, invert=True).alias("inverted"))
+    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.resolve_label(cls, field, name).alias("label"), text.resolve_label(none, none, name, invert=True).alias("inverted"), text.resolve_label(none, none, name, polarity="real").alias("real_is_one"), text.crop_label(name, (c % 3).cast("string")).alias("of_crop"), text.clip_label(F.concat((c % 3).cast("string"), F.lit(" ")), name).alias("of_clip"))
 
 
 BOXES = B.FRAMES + ", b AS (SELECT event_id, k, floor(value)::INTEGER AS v FROM frames)"
@@ -209,9 +215,9 @@ def p19_center_candidates(spark, sf_dir):
     return B.frames(spark, sf_dir).select("event_id", scores.default_center(own).alias("default_center"), F.size(valid).alias("n_valid"))
 
 
-@query("SELECT run, epoch, least(1.0, (epoch + 1) / 5.0)::DOUBLE AS factor FROM history WHERE epoch <= 8", B.HISTORY)
+@query("SELECT run, epoch, least(1.0, (epoch + 1) / 5.0)::DOUBLE AS factor FROM history", B.HISTORY)
 def p20_warmup_factor(spark, sf_dir):
-    return B.history(spark, sf_dir).filter("epoch <= 8").select("run", "epoch", scores.warmup_factor(F.col("epoch"), 5).alias("factor"))
+    return B.history(spark, sf_dir).select("run", "epoch", scores.warmup_factor(F.col("epoch"), 5).alias("factor"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN frame_number WHEN event_id % 3 = 1 THEN event_id ELSE 1000000000000 END::BIGINT AS position FROM frames", B.FRAMES)

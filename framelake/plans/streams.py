@@ -54,3 +54,17 @@ def r2_stream_clips(spark, sf_dir):
     frames = spark.readStream.schema("video string, frame_number long, key string").parquet(path)
     out = drained(streams.stream_clips(frames), spark)
     return out.filter(~F.col("late")).select("video", "clip_id", "clip_start", F.col("frame_numbers")[0].alias("first"))
+
+
+@query(
+    """SELECT video_id AS video, (row_number() OVER (PARTITION BY video_id ORDER BY clip_start) - 1)::BIGINT AS clip_id, clip_start::BIGINT AS clip_start, array_to_string([nums[1], nums[3], nums[5]], ',') AS frame_numbers FROM o WHERE clip_start % 4 = 0 AND len(nums) = 5 AND nums[3] - nums[1] = 2 AND nums[5] - nums[3] = 2""",
+    B.KEPT + ", o AS (SELECT video_id, row_number() OVER w - 1 AS clip_start, array_agg(frame_number) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS nums FROM kept WINDOW w AS (PARTITION BY video_id ORDER BY frame_number))",
+)
+def r2_stream_strided_clips(spark, sf_dir):
+    """Every second frame of each window."""
+    path = scratch(spark, "frames")
+    B.kept_frames(spark, sf_dir).select(F.col("video_id").alias("video"), "frame_number", "key").write.parquet(path)
+    streams.use_rocksdb(spark)
+    frames = spark.readStream.schema("video string, frame_number long, key string").parquet(path)
+    out = drained(streams.stream_clips(frames, clip_len=3, clip_stride=4, frame_stride=2), spark)
+    return out.filter(~F.col("late")).select("video", "clip_id", "clip_start", F.array_join(F.col("frame_numbers").cast("array<string>"), ",").alias("frame_numbers"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions import text
+from framelake.functions import samples, text
 from framelake.operators import clips, detections, history, metrics, pixels, reports, resume, sampling, splits
 from framelake.plans import bindings as B
 from framelake.plans.registry import query
@@ -78,12 +80,12 @@ def w4_contiguous_prefix(spark, sf_dir):
     return sampling.contiguous_prefix(B.kept_frames(spark, sf_dir), ["video_id"]).select("video_id", "prefix")
 
 
-@query("SELECT p.video_id, p.frame_number, p.original_frame_index, v.binary_label FROM plan p JOIN videos v ON p.video_id = v.video_id WHERE p.frame_number % 2 = 0 AND p.frame_number <= 260", SAMPLED)
+@query("SELECT p.video_id, p.frame_number, p.original_frame_index, v.binary_label FROM plan p JOIN videos v ON p.video_id = v.video_id WHERE p.frame_number % 2 = 0", SAMPLED)
 def j4_rebuild_frames(spark, sf_dir):
     v = B.videos(spark, sf_dir)
     plan = sampling.sample_frames(v)
     # files 0, 2, 4, … up to the length in source frames: those beyond the plan go
-    files = v.select("category", "video_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("num_frames"), F.lit(1)).cast("int"), F.lit(2))).alias("frame_number")).filter("frame_number <= 260")
+    files = v.select("category", "video_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("num_frames"), F.lit(1)).cast("int"), F.lit(2))).alias("frame_number"))
     return resume.rebuild_frames(files, v, plan).select("video_id", F.col("frame_number").cast("long").alias("frame_number"), "original_frame_index", "binary_label")
 
 
@@ -192,6 +194,30 @@ def a3_status_report(spark, sf_dir):
     return reports.status_report(B.frames(spark, sf_dir).withColumn("detected", found.cast("int")), ["video_id"])
 
 
+STATUS = B.FRAMES + """, m AS (SELECT DISTINCT category, category || '/' || video_id AS video FROM frames), f AS (SELECT category, category || '/' || video_id AS video, key FROM frames WHERE video_id::BIGINT % 10 <> 0),
+ au AS (SELECT DISTINCT key FROM frames WHERE event_id % 3 = 0 AND event_type <> 'error' OR video_id::BIGINT % 6 = 1), sh AS (SELECT key FROM frames WHERE event_id % 7 = 0 AND video_id::BIGINT % 4 <> 2),
+ d AS (SELECT f.*, key IN (SELECT key FROM au) OR key IN (SELECT key FROM sh) AS done FROM f), v AS (SELECT video, count(*) AS n, count(*) FILTER (WHERE done) AS k FROM d GROUP BY video)"""
+
+
+@query(
+    """SELECT 'manifest_videos' AS metric, NULL::VARCHAR AS category, count(*)::BIGINT AS n FROM m UNION ALL SELECT 'frame_rows', NULL, count(*) FROM f UNION ALL SELECT 'audit_keys', NULL, count(*) FROM au UNION ALL SELECT 'shard_keys', NULL, count(*) FROM sh
+    UNION ALL SELECT 'videos_without_frames', NULL, count(*) FROM m WHERE video NOT IN (SELECT video FROM f) UNION ALL SELECT 'videos_with_frames', NULL, count(*) FROM v UNION ALL SELECT 'detected_frames', NULL, sum(k) FROM v
+    UNION ALL SELECT 'videos_with_detections', NULL, count(*) FROM v WHERE k > 0 UNION ALL SELECT 'fully_detected', NULL, count(*) FROM v WHERE k = n UNION ALL SELECT 'partially_detected', NULL, count(*) FROM v WHERE k > 0 AND k < n
+    UNION ALL SELECT 'not_detected', NULL, count(*) FROM v WHERE k = 0 UNION ALL SELECT 'missing_frame_files', NULL, count(*) FROM f WHERE length(key) % 5 = 0 UNION ALL SELECT 'manifest_videos', category, count(*) FROM m GROUP BY category
+    UNION ALL SELECT 'frame_rows', category, count(*) FROM f GROUP BY category UNION ALL SELECT 'detected_frames', category, count(*) FROM d WHERE done GROUP BY category""",
+    STATUS,
+)
+def a3_pipeline_status(spark, sf_dir):
+    """Manifest, frames, audit, shards and file listing as they come."""
+    video = F.concat_ws("/", "category", "video_id")
+    f = B.frames(spark, sf_dir).withColumns({"video": video, "frame_path": F.col("key")})
+    number, event = F.col("video_id").cast("long"), F.col("event_id")
+    audit = f.filter(((event % 3 == 0) & (F.col("event_type") != "error")) | (number % 6 == 1))
+    files = f.filter(F.length("key") % 5 != 0)
+    manifest = f.select("category", "video").distinct()
+    return reports.pipeline_status(manifest, f.filter(number % 10 != 0), audit.select("key").union(audit.select("key")), f.filter((event % 7 == 0) & (number % 4 != 2)), files)
+
+
 @query("SELECT category, count(DISTINCT video_id)::BIGINT AS videos, count(*)::BIGINT AS frames FROM kept GROUP BY category", B.KEPT)
 def a4_subset_counts(spark, sf_dir):
     return reports.subset_counts(B.kept_frames(spark, sf_dir))
@@ -218,15 +244,23 @@ def a6_class_balance(spark, sf_dir):
 
 
 @query(
-    """SELECT category, video_id, count(*)::BIGINT AS frames, count(*) FILTER (WHERE source IS NOT NULL)::BIGINT AS detected, count(*) FILTER (WHERE status = 'no_face')::BIGINT AS no_face, count(*) FILTER (WHERE source IS NULL AND status IS NULL)::BIGINT AS unresolved,
-    count(*) FILTER (WHERE source = 'interpolated')::BIGINT AS interpolated, count(*) FILTER (WHERE source = 'detected')::BIGINT AS direct FROM i2 GROUP BY GROUPING SETS ((category, video_id), ())""",
-    INTERPOLATED + ", i2 AS (SELECT 'cat' || (video_id::BIGINT % 5) AS category, * FROM i)",
+    """SELECT category, video_id, count(*)::BIGINT AS frames, count(*) FILTER (WHERE NOT e)::BIGINT AS processed, count(*) FILTER (WHERE NOT e AND st = 'ok')::BIGINT AS detected, count(*) FILTER (WHERE NOT e AND st = 'no_face')::BIGINT AS no_face,
+    count(*) FILTER (WHERE NOT e AND st = 'missing_file')::BIGINT AS missing_file, count(*) FILTER (WHERE NOT e AND st = 'read_fail')::BIGINT AS read_fail, count(*) FILTER (WHERE NOT e AND st = 'detect_error')::BIGINT AS detect_error,
+    count(*) FILTER (WHERE NOT e AND st IS NULL)::BIGINT AS unresolved, count(*) FILTER (WHERE source = 'interpolated')::BIGINT AS interpolated, count(*) FILTER (WHERE source = 'detected')::BIGINT AS direct,
+    count(*) FILTER (WHERE NOT e AND st = 'ok' AND k % 11 = 0)::BIGINT AS crop_fail, count(*) FILTER (WHERE NOT e AND st = 'ok' AND k % 11 <> 0)::BIGINT AS written, count(*) FILTER (WHERE NOT e AND st = 'no_face')::BIGINT AS skipped_no_face,
+    count(*) FILTER (WHERE e)::BIGINT AS skipped_existing FROM i2 GROUP BY GROUPING SETS ((category, video_id), ())""",
+    INTERPOLATED
+    + """, i2 AS (SELECT p.category, p.video_id, p.k, p.event_id % 9 = 0 AS e, i.source, CASE WHEN i.source IS NOT NULL THEN 'ok' WHEN i.status IS NULL THEN CASE p.event_id % 8 WHEN 1 THEN 'missing_file' WHEN 2 THEN 'read_fail' WHEN 3 THEN 'detect_error' END ELSE i.status END AS st
+ FROM positioned p JOIN i ON i.video_id = p.video_id AND i.pos = p.pos)""",
 )
 def a7_detection_stats(spark, sf_dir):
+    """All counters; some open frames fail in several ways, some boxes give no crop, some frames were written before."""
     by = ["category", "video_id"]
+    event = F.col("event_id")
     found = detections.interpolate_detections(B.positioned(spark, sf_dir), B.detections(spark, sf_dir), by)
-    sized = detections.with_crop(found.withColumns({"height": F.lit(480), "width": F.lit(640)}))
-    return detections.detection_stats(sized, by).select(*by, "frames", "detected", "no_face", "unresolved", "interpolated", "direct")
+    failing = F.when(event % 8 == 1, "missing_file").when(event % 8 == 2, "read_fail").when(event % 8 == 3, "detect_error")
+    sized = detections.with_crop(found.withColumns({"height": F.lit(480), "width": F.when(F.col("k") % 11 != 0, 640).otherwise(0), "status": F.coalesce("status", failing), "existing": event % 9 == 0}))
+    return detections.detection_stats(sized, by, "existing")
 
 
 @query(
@@ -289,14 +323,24 @@ BEST = B.PREDS + """, t AS (SELECT DISTINCT prob_positive AS threshold, true AS
  z AS (SELECT *, tp / p - fp / n AS youden, CASE WHEN tp + fp + p > 0 THEN 2 * tp / (tp + fp + p) ELSE 0 END AS f1, (tp / p + (n - fp) / n) / 2 AS bal FROM q WHERE own IS NOT NULL)"""
 
 
+SHOWN = """round(threshold, 6) AS threshold, round({0}, 6) AS score, (n - fp)::BIGINT AS tn, fp::BIGINT AS fp, (p - tp)::BIGINT AS fn, tp::BIGINT AS tp, round((tp + n - fp) / (p + n), 6) AS accuracy, round(f1, 6) AS f1,
+ round(bal, 6) AS balanced_accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(tp / p, 6) AS recall, NULL::VARCHAR AS warning"""
+
+
 @query(
-    """SELECT * FROM (SELECT 'youden' AS criterion, round(threshold, 6) AS threshold, round(youden, 6) AS score, tp::BIGINT AS tp, fp::BIGINT AS fp FROM z WHERE own ORDER BY youden DESC, z.threshold DESC LIMIT 1)
-    UNION ALL SELECT * FROM (SELECT 'f1', round(threshold, 6), round(f1, 6), tp::BIGINT, fp::BIGINT FROM z ORDER BY z.f1 DESC, z.threshold LIMIT 1)
-    UNION ALL SELECT * FROM (SELECT 'balanced_accuracy', round(threshold, 6), round(bal, 6), tp::BIGINT, fp::BIGINT FROM z ORDER BY bal DESC, z.threshold LIMIT 1)""",
+    f"""SELECT * FROM (SELECT 'youden' AS criterion, {SHOWN.format("youden")} FROM z WHERE own ORDER BY z.youden DESC, z.threshold DESC LIMIT 1)
+    UNION ALL SELECT * FROM (SELECT 'f1', {SHOWN.format("z.f1")} FROM z ORDER BY z.f1 DESC, z.threshold LIMIT 1)
+    UNION ALL SELECT * FROM (SELECT 'balanced_accuracy', {SHOWN.format("bal")} FROM z ORDER BY bal DESC, z.threshold LIMIT 1)""",
     BEST,
 )
 def a12_best_thresholds(spark, sf_dir):
-    return metrics.best_thresholds(B.preds(spark, sf_dir)).select("criterion", F.round("threshold", 6).alias("threshold"), F.round("score", 6).alias("score"), "tp", "fp")
+    out = metrics.best_thresholds(B.preds(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("threshold", "score", "accuracy", "f1", "balanced_accuracy", "precision", "recall")})
+
+
+@query("SELECT NULL::VARCHAR AS criterion, NULL::DOUBLE AS threshold, NULL::BIGINT AS tp, 'Only one class exists in labels; cannot compute ROC-based threshold.' AS warning FROM preds HAVING count(*) FILTER (WHERE label = 1) = 0 OR count(*) FILTER (WHERE label = 0) = 0", B.PREDS.replace("(k >= 50)::INTEGER AS label", "1 AS label"))
+def a12_one_class(spark, sf_dir):
+    return metrics.best_thresholds(B.preds(spark, sf_dir).withColumn("label", F.lit(1))).select("criterion", "threshold", "tp", "warning")
 
 
 @query("SELECT round(sum(pos / p * tp / (tp + fp)), 6) AS average_precision FROM k", CURVE)
@@ -338,6 +382,19 @@ def a17_failure_summary(spark, sf_dir):
     return metrics.failure_summary(B.preds(spark, sf_dir))
 
 
+@query(
+    """SELECT (SELECT count(*) FROM preds)::BIGINT AS total_scanned, (SELECT count(*) FROM w WHERE kind = 'FP')::BIGINT AS false_positives, (SELECT count(*) FROM w WHERE kind = 'FN')::BIGINT AS false_negatives, (SELECT count(*) FROM w)::INTEGER AS failures_saved,
+    (SELECT count(*) FROM e)::INTEGER AS correct_saved, (SELECT count(*) FROM e WHERE label = 0)::INTEGER AS correct_real_saved, (SELECT count(*) FROM e WHERE label = 1)::INTEGER AS correct_fake_saved,
+    (SELECT md5(string_agg(key || kind || label, ',' ORDER BY key)) FROM w) AS failures_md5, (SELECT string_agg(key, ',' ORDER BY key) FROM e) AS correct_keys""",
+    B.PREDS + """, w AS (SELECT key, label, CASE WHEN label = 0 THEN 'FP' ELSE 'FN' END AS kind FROM preds WHERE (prob_positive >= 0.2) <> (label = 1)),
+ e AS (SELECT key, label FROM (SELECT key, label, row_number() OVER (PARTITION BY label ORDER BY key) AS r FROM preds WHERE (prob_positive >= 0.2) = (label = 1)) WHERE r <= 6)""",
+)
+def a17_failure_report(spark, sf_dir):
+    out = metrics.failure_report(B.preds(spark, sf_dir), 0.2)
+    named = F.transform("failures", lambda x: F.concat(x["key"], x["kind"], x["label"].cast("string")))
+    return out.select("summary.*", F.md5(F.array_join(named, ",")).alias("failures_md5"), F.array_join("correct_examples.key", ",").alias("correct_keys"))
+
+
 @query("SELECT key, CASE WHEN label = 0 THEN 'FP' ELSE 'FN' END AS kind FROM preds WHERE (prob_positive >= 0.5) <> (label = 1)", B.PREDS)
 def l3_failures(spark, sf_dir):
     return metrics.failures(B.preds(spark, sf_dir)).select("key", "kind")
@@ -372,6 +429,34 @@ def w6_choose_main_face(spark, sf_dir):
     return out.select("video_id", F.col("pos").cast("long").alias("pos"), F.col("chosen.bbox")[0].alias("x1"), F.col("chosen.bbox")[3].alias("y2"))
 
 
+OVERLAP = "(greatest(0, least(b.box[3], f.prev[3]) - greatest(b.box[1], f.prev[1])) * greatest(0, least(b.box[4], f.prev[4]) - greatest(b.box[2], f.prev[2])))::DOUBLE"
+RESOLVED = INTERPOLATED + f""", own AS (SELECT p.category, p.video_id, p.pos, p.k, p.value, p.event_type, i.source, i.status, CASE WHEN source = 'interpolated' THEN list_transform(range(1, 5), lambda x: round_even((1 - t) * a.bbox[x] + t * b.bbox[x], 0)::INTEGER) ELSE i.bbox END AS known
+ FROM positioned p JOIN i ON i.video_id = p.video_id AND i.pos = p.pos), faces AS (SELECT category, video_id, pos, j, [k + 5 * j, floor(value)::INTEGER % 200, k + 5 * j + 30 + (k + 11 * j) % 50, floor(value)::INTEGER % 200 + 35 + 2 * j] AS box, ((k + j) % 7) / 7.0::DOUBLE AS score
+ FROM own, range(3) r(j) WHERE status IS NULL AND source IS NULL AND event_type <> 'view' AND j < 1 + k % 3),
+ walk AS (SELECT DISTINCT category, video_id, -1::BIGINT AS pos, NULL::INTEGER[] AS box, NULL::INTEGER[] AS prev FROM own
+ UNION ALL SELECT n.category, n.video_id, n.pos, n.best, coalesce(n.best, n.prev) FROM (SELECT c.category, c.video_id, c.pos, f.prev, coalesce(c.known, (SELECT arg_max(b.box, {{'v': CASE WHEN f.prev IS NOT NULL AND {OVERLAP} > 0 THEN {OVERLAP} / ((b.box[3] - b.box[1]) * (b.box[4] - b.box[2]) + (f.prev[3] - f.prev[1]) * (f.prev[4] - f.prev[2]) - {OVERLAP}) ELSE 0 END * 1000000
+  + (b.box[3] - b.box[1]) * (b.box[4] - b.box[2]) + 10.0 * b.score, 'j': -b.j}}) FROM faces b WHERE b.category = c.category AND b.video_id = c.video_id AND b.pos = c.pos)) AS best FROM walk f JOIN own c ON c.category = f.category AND c.video_id = f.video_id AND c.pos = f.pos + 1) n)"""
+
+
+@query(
+    """SELECT o.video_id, o.pos, CASE WHEN o.source IS NOT NULL THEN o.source WHEN w.box IS NOT NULL THEN 'detected' END AS source, CASE WHEN w.box IS NOT NULL THEN 'ok' ELSE coalesce(o.status, 'no_face') END AS status, array_to_string(w.box, ',') AS bbox,
+    CASE WHEN o.source IS NULL AND o.status IS NULL AND w.box IS NOT NULL THEN 1 + o.k % 3 END::INTEGER AS faces_now FROM own o JOIN walk w ON w.category = o.category AND w.video_id = o.video_id AND w.pos = o.pos""",
+    "RECURSIVE " + RESOLVED,
+)
+def w6_second_pass(spark, sf_dir):
+    """Frames outside good keyframes get a detection of their own, chosen by the last box before them."""
+    by = ["category", "video_id"]
+    found = detections.interpolate_detections(B.positioned(spark, sf_dir), B.detections(spark, sf_dir), by)
+    k, v = F.col("k"), F.floor("value").cast("int")
+    face = lambda j: F.struct(F.array(k + 5 * j, v % 200, k + 5 * j + 30 + (k + 11 * j) % 50, v % 200 + 35 + 2 * j).alias("bbox"), ((k + j) % 7 / 7).alias("score"), F.lit(None).cast("map<string,array<double>>").alias("landmarks"))
+    some = F.when(F.col("event_type") != "view", F.slice(F.array(face(0), face(1), face(2)), F.lit(1), 1 + k % 3))
+    asked = found.filter("status is null").select(*by, "pos", some.alias("candidates"))
+    before = found.select(*by, "pos", F.col("status").alias("_before"))
+    out = detections.second_pass(found, asked, by).join(before, [*by, "pos"])
+    now = F.when(F.col("_before").isNull() & (F.col("status") == "ok"), F.col("num_faces").cast("int"))
+    return out.select("video_id", F.col("pos").cast("long").alias("pos"), "source", "status", F.concat_ws(",", F.col("bbox").cast("array<string>")).alias("bbox"), now.alias("faces_now")).withColumn("bbox", F.nullif("bbox", F.lit("")))
+
+
 @query("SELECT video_id, pos, status FROM detections", B.DETECTIONS)
 def w5_keyframes(spark, sf_dir):
     return B.detections(spark, sf_dir).select("video_id", F.col("pos").cast("long").alias("pos"), "status")
@@ -393,6 +478,36 @@ def w7_build_clips(spark, sf_dir):
     return out.select("category", "video_id", "key", "clip_id", "clip_start", "binary_label", "label", joined("frame_numbers"), joined("original_frame_indices"), "default_center_index")
 
 
+@query(
+    """SELECT video_id || '/clip_' || lpad(clip_id::VARCHAR, 6, '0') AS key, lower('TRAIN') AS split, category, video_id, 'v' || video_id AS video_name, binary_label, CASE WHEN binary_label = 1 THEN 'fake' ELSE 'real' END AS label, 8 AS clip_length, 1 AS frame_stride, 6 AS clip_stride,
+    clip_start::INTEGER AS clip_start, 7 AS num_differences, array_to_string(nums, ',') AS frame_numbers, array_to_string(idx, ',') AS original_frame_indices, array_to_string(list_transform(nums, lambda x: x::VARCHAR || '.0'), ',') AS timestamps,
+    array_to_string(list_transform(nums, lambda x: category || '/' || video_id || '/' || x), ',') AS source_keys, '2,3,4,5' AS center_candidate_indices, 4 AS default_center_index, 5.0::DOUBLE AS extraction_fps, 25.0::DOUBLE AS video_fps,
+    240 + k AS height, 320 AS width, 'uint8' AS rgb_dtype, 'uint8' AS diff_dtype FROM clips""",
+    WINDOWS,
+)
+def p17_clip_documents(spark, sf_dir):
+    """Clips' whole metadata written as JSON and read again."""
+    more = {"split": F.lit("train"), "video_name": F.concat(F.lit("v"), F.col("video_id")), "extraction_fps": F.lit(5.0), "video_fps": F.lit(25.0), "height": 240 + F.col("k"), "width": F.lit(320)}
+    made = clips.build_clips(B.kept_frames(spark, sf_dir).withColumns(more), ["category", "video_id"], carry=tuple(more))
+    back = samples.clip_json(made).select(samples.parse_sample_json("json").alias("d")).select("d.*").drop("spatial_sampling_note")
+    lists = ("frame_numbers", "original_frame_indices", "timestamps", "source_keys", "center_candidate_indices")
+    return back.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in lists})
+
+
+@query(
+    """SELECT 'cat' || (video_id::BIGINT % 5) || '/' || video_id || '/' || pos AS key, video_id, pos::VARCHAR AS frame_number, source AS bbox_source, CASE WHEN source = 'interpolated' THEN round_even((1 - t) * a.bbox[1] + t * b.bbox[1], 0)::INTEGER ELSE bbox[1] END AS bbox_x1,
+    CASE WHEN source = 'interpolated' THEN greatest(a.num_faces, b.num_faces) ELSE num_faces END::INTEGER AS num_faces, 1.3::DOUBLE AS crop_scale, 5 AS detect_every_k, '224,224' AS aligned_size, '' AS label FROM i WHERE source IS NOT NULL""",
+    INTERPOLATED,
+)
+def p17_crop_documents(spark, sf_dir):
+    """Frame crops' whole metadata written as JSON and read again."""
+    found = detections.interpolate_detections(B.positioned(spark, sf_dir), B.detections(spark, sf_dir), ["category", "video_id"]).filter("status = 'ok'")
+    cropped = detections.with_crop(found.withColumns({"height": F.lit(480), "width": F.lit(640)}))
+    written = samples.crop_json(cropped, 1.3, 5, ".jpg", (224, 224))
+    back = written.select(samples.parse_sample_json("json", samples.CROP_FIELDS).alias("d")).select("d.*")
+    return back.select("key", "video_id", "frame_number", "bbox_source", "bbox_x1", "num_faces", "crop_scale", "detect_every_k", F.array_join(F.col("aligned_size").cast("array<string>"), ",").alias("aligned_size"), "label")
+
+
 DUPLICATES = """f AS (SELECT l_orderkey AS video_id, l_linenumber AS frame_number, l_partkey AS original_frame_index, l_suppkey || '/' || l_extendedprice || '/' || l_quantity || '/' || strftime(l_shipdate, '%Y%m%d') AS key FROM lineitem),
  o AS (SELECT video_id, row_number() OVER w - 1 AS clip_start, array_agg(frame_number) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS nums FROM f WINDOW w AS (PARTITION BY video_id ORDER BY frame_number, original_frame_index, key))"""
 
@@ -462,13 +577,12 @@ def l4_first_n_missing(spark, sf_dir):
     return reports.first_n_missing(B.frames(spark, sf_dir).filter("event_type = 'error'").select("key"))
 
 
-def l5_seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT key FROM frames", B.FRAMES)
+def l5_seeded_shuffle(spark, sf_dir):
+    """A permutation: the same rows in another order."""
     return pixels.seeded_shuffle(B.frames(spark, sf_dir), seed=42, epoch=3).select("key")
 
 
-query()(l5_seeded_shuffle)
-
-
 @query(
     """SELECT 'done' AS keys, count(*)::BIGINT AS n FROM frames WHERE event_id % 3 = 0 OR event_id % 7 = 0 UNION ALL SELECT 'done_and_known', count(*)::BIGINT FROM frames WHERE (event_id % 3 = 0 OR event_id % 7 = 0) AND event_type <> 'error'
     UNION ALL SELECT 'not_done', count(*)::BIGINT FROM frames WHERE event_id % 3 <> 0 AND event_id % 7 <> 0 AND event_type <> 'error' UNION ALL SELECT 'not_known', count(*)::BIGINT FROM frames WHERE (event_id % 3 = 0 OR event_id % 7 = 0) AND event_type = 'error'""",
@@ -494,11 +608,12 @@ PIXEL_CLIPS = B.PIXELS + """, g AS (SELECT *, row_number() OVER (PARTITION BY vi
 
 
 @query(
-    """SELECT key, 4 AS length, md5(string_agg(hex_frame, '' ORDER BY t)) AS rgb_md5 FROM (SELECT key, t, repeat(array_to_string(list_transform(px[t], lambda p: lpad(printf('%X', p), 2, '0')), ''), 3) AS hex_frame FROM st, range(1, 5) r(t)) GROUP BY key""",
+    """SELECT key, 4 AS length, md5(string_agg(hex_frame, '' ORDER BY t)) AS rgb_md5, md5(string_agg(hex_change, '' ORDER BY t)) AS diff_md5 FROM (SELECT key, t, repeat(array_to_string(list_transform(px[t], lambda p: lpad(printf('%X', p), 2, '0')), ''), 3) AS hex_frame,
+    CASE WHEN t > 1 THEN repeat(array_to_string(list_transform(range(1, 65), lambda i: lpad(printf('%X', abs(px[t][i] - px[t - 1][i])), 2, '0')), ''), 3) END AS hex_change FROM st, range(1, 5) r(t)) GROUP BY key""",
     PIXEL_CLIPS,
 )
 def x1_stack_clips(spark, sf_dir):
-    return _stacked(spark, sf_dir).select("key", "length", F.md5(F.hex("rgb")).alias("rgb_md5"))
+    return _stacked(spark, sf_dir).select("key", "length", F.md5(F.hex("rgb")).alias("rgb_md5"), F.md5(F.hex("diff")).alias("diff_md5"))
 
 
 @query("SELECT key, CASE WHEN substr(key, -1) = '1' THEN 'rgb size' WHEN substr(key, -1) = '2' THEN 'missing diff' END AS error FROM st", PIXEL_CLIPS)
@@ -508,24 +623,60 @@ def x2_validate_clips(spark, sf_dir):
     return pixels.validate_clips(damaged, 4).select("key", "error")
 
 
-@query("SELECT event_id, CASE WHEN k % 10 < 8 THEN k % 10 ELSE 4 END::INTEGER AS spatial_index FROM frames", B.FRAMES)
+INDICES = "CASE k % 4 WHEN 0 THEN [2, 3, 4, 5] WHEN 1 THEN [-1, 9, 6] WHEN 2 THEN []::INTEGER[] ELSE [8, 9] END"
+DRAW = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+
+
+def _indices() -> F.Column:
+    """Candidate lists of several kinds: good, partly outside, empty, all outside."""
+    k = F.col("k") % 4
+    return F.when(k == 0, F.array(*map(F.lit, (2, 3, 4, 5)))).when(k == 1, F.array(*map(F.lit, (-1, 9, 6)))).when(k == 2, F.array().cast("array<int>")).otherwise(F.array(F.lit(8), F.lit(9)))
+
+
+@query(
+    "SELECT event_id, CASE WHEN k % 10 < 8 THEN k % 10 WHEN k % 4 = 1 THEN 6 ELSE 4 END::INTEGER AS spatial_index, CASE WHEN k % 10 < 3 THEN k % 10 WHEN k % 4 = 0 THEN 2 ELSE 2 END::INTEGER AS of_three, CASE WHEN k % 10 < 2 THEN k % 10 ELSE 1 END::INTEGER AS of_two FROM frames",
+    B.FRAMES,
+)
 def x3_choose_spatial_index(spark, sf_dir):
-    middle = F.array(F.lit(2), F.lit(3), F.lit(4), F.lit(5))
-    return B.frames(spark, sf_dir).select("event_id", clips.choose_spatial_index(middle, F.col("k") % 10, F.lit(8)).alias("spatial_index"))
+    """Candidates that don't fit the clip give way to the usual ones, and those to the clip's middle."""
+    default = F.col("k") % 10
+    return B.frames(spark, sf_dir).select("event_id", *[clips.choose_spatial_index(_indices(), default, F.lit(n)).alias(c) for n, c in ((8, "spatial_index"), (3, "of_three"), (2, "of_two"))])
+
+
+@query(f"SELECT event_id, CASE WHEN k % 4 = 1 THEN 6 ELSE 2 + {DRAW.format("key || '|1|2'")} % 4 END::INTEGER AS spatial_index FROM frames", B.FRAMES)
+def x3_choose_spatial_index_training(spark, sf_dir):
+    """Hash-seeded choice among the candidates."""
+    return B.frames(spark, sf_dir).select("event_id", clips.choose_spatial_index(_indices(), F.lit(4), F.lit(8), training=True, seed=1, epoch=2).alias("spatial_index"))
+
+
+def _whole_numbers(df: DataFrame) -> DataFrame:
+    """key, the spatial frame's pixels and the temporal differences as whole numbers again, joined by commas."""
+
+    def run(batches):
+        for rows in batches:
+            spatial = [np.frombuffer(x, "<f4").reshape(3, -1) * pixels.STD[:, None] + pixels.MEAN[:, None] for x in rows["spatial"]]
+            whole = lambda x: ",".join(map(str, np.rint(x.ravel() * 255).astype(int).tolist()))
+            yield pd.DataFrame({"key": rows["key"], "spatial": [whole(x) for x in spatial], "temporal": [whole(np.frombuffer(x, "<f4")) for x in rows["temporal"]]})
+
+    return df.mapInPandas(run, "key string, spatial string, temporal string")
 
 
-def x4_augment_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pixels.prepare_clips(_stacked(spark, sf_dir).withColumn("spatial_index", F.lit(2)), training=True, seed=1)
-    return out.select("key", F.length("spatial").alias("spatial_bytes"), F.md5("temporal").alias("temporal_md5"))
+AUGMENTED = PIXEL_CLIPS + f""", dr AS (SELECT key, px, {DRAW.format("key || '|1|0|0'")} / 4294967296.0::DOUBLE < 0.5 AS flip, 0.8::DOUBLE + 0.4::DOUBLE * ({DRAW.format("key || '|1|0|1'")} / 4294967296.0::DOUBLE) AS contrast, ({DRAW.format("key || '|1|0|2'")} / 4294967296.0::DOUBLE - 0.5) * 40.0::DOUBLE AS brightness FROM st),
+ mi AS (SELECT key, contrast, brightness, list_transform(px, lambda f: list_transform(range(64), lambda i: f[CASE WHEN flip THEN (i // 8) * 8 + 7 - i % 8 ELSE i END + 1])) AS px FROM dr),
+ au AS (SELECT key, list_transform(px, lambda f: list_transform(f, lambda p: round_even(least(greatest((p - list_sum(f) / 64.0::DOUBLE) * contrast + list_sum(f) / 64.0::DOUBLE + brightness, 0), 255), 0)::INTEGER)) AS px FROM mi)"""
+FLAT = """SELECT key, array_to_string(list_concat(px[3], px[3], px[3]), ',') AS spatial, array_to_string(flatten(list_transform(range(1, 4), lambda t: flatten(list_transform(range(3), lambda c: list_transform(range(1, 65), lambda i: abs(px[t + 1][i] - px[t][i])))))), ',') AS temporal FROM """
 
 
-query()(x4_augment_clips)
+@query(FLAT + "au", AUGMENTED)
+def x4_augment_clips(spark, sf_dir):
+    """One mirroring, contrast and brightness for a whole clip, and the differences taken again."""
+    return _whole_numbers(pixels.prepare_clips(_stacked(spark, sf_dir).withColumn("spatial_index", F.lit(2)), training=True, seed=1))
 
 
-@query("SELECT key, 768 AS spatial_bytes, (4 * 3 * 192) AS temporal_bytes FROM st", PIXEL_CLIPS)
+@query(FLAT + "st", PIXEL_CLIPS)
 def x5_normalize(spark, sf_dir):
-    out = pixels.prepare_clips(_stacked(spark, sf_dir).withColumn("spatial_index", F.lit(2)))
-    return out.select("key", F.length("spatial").alias("spatial_bytes"), F.length("temporal").alias("temporal_bytes"))
+    """The normalised floats turn into the same pixels again."""
+    return _whole_numbers(pixels.prepare_clips(_stacked(spark, sf_dir).withColumn("spatial_index", F.lit(2))))
 
 
 @query("SELECT category AS shard, b::BIGINT AS batch, array_to_string(list_sort(array_agg(key)), ',') AS keys FROM (SELECT category, key, (row_number() OVER (PARTITION BY category ORDER BY key) - 1) // 32 AS b FROM frames) GROUP BY category, b HAVING count(*) = 32", B.FRAMES)
@@ -534,15 +685,22 @@ def x6_batch_samples(spark, sf_dir):
     return pixels.batch_samples(own, 32, drop_last=True).select("shard", "batch", F.array_join("keys", ",").alias("keys"))
 
 
-def x7_crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The crop box of `x7` is columns 0 to 6 and rows 1 to 7 of each image.
+CROPPED = B.PIXELS + """, g AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) - 1 AS n FROM pixels), spot AS (SELECT i, greatest(least((i + 0.5) * 7 / 4.0::DOUBLE - 0.5, 6), 0) AS v FROM range(4) r(i)),
+ co AS (SELECT key, n % 5 <> 0 AS ok, a.i AS i, b.i AS j, a.v - floor(a.v) AS fy, b.v - floor(b.v) AS fx, pixels[((1 + floor(a.v)) * 8 + floor(b.v) + 1)::INTEGER]::DOUBLE AS p, pixels[((1 + floor(a.v)) * 8 + least(floor(b.v) + 1, 6) + 1)::INTEGER]::DOUBLE AS q,
+ pixels[((1 + least(floor(a.v) + 1, 6)) * 8 + floor(b.v) + 1)::INTEGER]::DOUBLE AS r, pixels[((1 + least(floor(a.v) + 1, 6)) * 8 + least(floor(b.v) + 1, 6) + 1)::INTEGER]::DOUBLE AS s FROM g, spot a, spot b)"""
+
+
+@query(
+    "SELECT key, CASE WHEN any_value(ok) THEN 'ok' ELSE 'crop_fail' END AS status, CASE WHEN any_value(ok) THEN string_agg(repeat(lpad(printf('%X', round_even((p * (1 - fx) + q * fx) * (1 - fy) + (r * (1 - fx) + s * fx) * fy, 0)::INTEGER), 2, '0'), 3), '' ORDER BY i, j) END AS crop FROM co GROUP BY key",
+    CROPPED,
+)
+def x7_crop_pixels(spark, sf_dir):
     from framelake.functions.geometry import square_crop_box
 
     box = F.array(F.lit(1), F.lit(2), F.lit(5), F.lit(7))
     own = B.images(spark, sf_dir).withColumn("crop_box", F.when(F.col("frame_number") % 5 != 0, square_crop_box(box, F.col("height"), F.col("width"), 1.3)))
-    return pixels.crop_pixels(own, 4, 4).select("key", "status", F.md5("crop").alias("crop_md5"))
-
-
-query()(x7_crop_pixels)
+    return pixels.crop_pixels(own, 4, 4).select("key", "status", F.hex("crop").alias("crop"))
 
 
 @query("SELECT event_id, value IS NOT NULL AS has_value, category || '|' || video_id || '|val' AS video_key FROM frames", B.FRAMES)

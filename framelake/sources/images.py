@@ -12,5 +12,10 @@ def read_frame_images(spark: SparkSession, root: str, frames: DataFrame) -> Data
     # the file's path after the root
     relative = F.substring_index(F.col("image.origin"), root.rstrip("/") + "/", -1)
     loaded = images.select(relative.alias("frame_path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("image"))
+    return with_images(frames, loaded)
+
+
+def with_images(frames: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Frames joined with images (frame_path, height, width, image) and load_status; a broken file has a negative height."""
     status = F.when(F.col("height").isNull(), "missing_file").when(F.col("height") < 0, "read_fail").otherwise("ok")
     return frames.join(loaded, "frame_path", "left").withColumn("load_status", status)

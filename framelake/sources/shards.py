@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
-import os
 import re
 import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -28,36 +29,46 @@ def member_key(name: str) -> tuple[str, str]:
     return folder + slash + stem, ending
 
 
+def store_of(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI (local, HDFS or an object store) and the path in it."""
+    return FileSystem.from_uri(uri)
+
+
 def samples_of(path: str) -> Iterator[tuple[str, str, dict[str, bytes]]]:
     """Samples of one shard, streamed member by member; only adjacent members join."""
-    with tarfile.open(path, "r|") as archive:
+    store, place = store_of(path)
+    shard = place.rpartition("/")[2]
+    with store.open_input_stream(place) as stream, tarfile.open(fileobj=stream, mode="r|") as archive:
         key, parts = None, {}
         for member in archive:
             if not member.isfile():
                 continue
             own, ending = member_key(member.name)
             if own != key and parts:
-                yield os.path.basename(path), key, parts
+                yield shard, key, parts
                 parts = {}
             key = own
             parts[ending] = archive.extractfile(member).read()
         if parts:
-            yield os.path.basename(path), key, parts
+            yield shard, key, parts
 
 
 def expand(pattern: str) -> list[str]:
     """Paths of a glob or `{000..009}` pattern; none is an error."""
-    import glob
-
     if found := re.search(r"\{(\d+)\.\.(\d+)\}", pattern):
         first, last = found.groups()
         names = [pattern.replace(found[0], str(k).zfill(len(first))) for k in range(int(first), int(last) + 1)]
     else:
         names = [pattern]
-    paths = sorted(p for name in names for p in glob.glob(name))
+    paths = []
+    for name in names:
+        folder, _, file = name.rpartition("/")
+        store, place = store_of(folder)
+        listed = store.get_file_info(FileSelector(place, allow_not_found=True))
+        paths += [f"{folder}/{x.base_name}" for x in listed if x.type == FileType.File and fnmatch.fnmatchcase(x.base_name, file)]
     if not paths:
         raise FileNotFoundError(f"no shard matches {pattern}")
-    return paths
+    return sorted(paths)
 
 
 class ShardSource(DataSource):
@@ -105,8 +116,9 @@ class ShardWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        files, archive, count, size = [], None, 0, 0
+        store, place = store_of(self.path)
+        store.create_dir(place, recursive=True)
+        files, archive, stream, count, size = [], None, None, 0, 0
         for batch in iterator:
             for row in batch.to_pylist():
                 parts = dict(row["parts"])
@@ -114,8 +126,10 @@ class ShardWriter(DataSourceArrowWriter):
                 if archive is None or count >= self.most or (count and size + bytes_now > self.most_bytes):
                     if archive:
                         archive.close()
-                    files.append(f"{self.path}/_part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(files):05d}.tar")
-                    archive, count, size = tarfile.open(files[-1], "w"), 0, 0
+                        stream.close()
+                    files.append(f"{place}/_part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(files):05d}.tar")
+                    stream = store.open_output_stream(files[-1])
+                    archive, count, size = tarfile.open(fileobj=stream, mode="w|"), 0, 0
                 for ending in sorted(parts):
                     info = tarfile.TarInfo(f"{row['key']}.{ending}")
                     info.size = len(parts[ending])
@@ -123,21 +137,25 @@ class ShardWriter(DataSourceArrowWriter):
                 count, size = count + 1, size + bytes_now
         if archive:
             archive.close()
+            stream.close()
         return Written(context.partitionId(), files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        there = [int(m[1]) for f in os.listdir(self.path) if (m := re.fullmatch(r"shard-(\d+)\.tar", f))] if os.path.isdir(self.path) else []
+        store, place = store_of(self.path)
+        listed = store.get_file_info(FileSelector(place, allow_not_found=True))
+        there = [int(m[1]) for x in listed if (m := re.fullmatch(r"shard-(\d+)\.tar", x.base_name))]
         at = max([self.first, *(n + 1 for n in there)])
         for message in sorted((m for m in messages if m), key=lambda m: m.task):
             for file in message.files:
-                os.rename(file, f"{self.path}/shard-{at:06d}.tar")
+                store.move(file, f"{place}/shard-{at:06d}.tar")
                 at += 1
 
     def abort(self, messages: list[Written | None]) -> None:
+        store, _ = store_of(self.path)
         for message in messages:
             for file in message.files if message else ():
-                if os.path.exists(file):
-                    os.remove(file)
+                if store.get_file_info(file).type == FileType.File:
+                    store.delete_file(file)
 
 
 def read_shards(spark: SparkSession, pattern: str) -> DataFrame:

@@ -11,9 +11,12 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder, or in a temporary one where none is configured."""
+    """A new path in the cluster's shared folder, or in a temporary one where a one-machine session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="framelake-"))
         base = _own[0]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from framelake.functions.text import CATEGORY_LABELS, filled, normalize_split, s
 
 #: File endings that count as videos.
 VIDEO_ENDINGS = ("mp4", "avi", "mov", "mkv", "webm")
+#: The columns of each kind of file, in order.
 MANIFEST = ["video_id", "video_path", "category", "binary_label", "compression", "split", "original_fps", "num_frames"]
 FRAMES = [
     "frame_path", "video_id", "video_path", "video_name", "category", "label", "binary_label", "split", "frame_number",
@@ -33,11 +37,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def list_videos(spark: SparkSession, root: str) -> DataFrame:
     """category, video_path (relative) and video_id of the video files directly under known category folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    # whole paths, with or without the scheme and authority that `root` names
+    below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root.rstrip("/")) + "/"
+    return known_videos(files.select(F.substring_index("path", below, -1).alias("video_path")))
+
+
+def known_videos(files: DataFrame) -> DataFrame:
+    """category, video_path and video_id of the paths (video_path, relative) that are videos directly under known category folders."""
     pattern = r"([^/]+)/([^/]+)\.([^./]+)$"
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    relative = F.substring(F.col("path"), F.lit(len(full) + 2), F.length("path"))
-    found = files.select(relative.alias("video_path")).filter(F.size(F.split("video_path", "/")) == 2)
+    found = files.select("video_path").filter(F.size(F.split("video_path", "/")) == 2)
     named = found.select(F.regexp_extract("video_path", pattern, 1).alias("category"), "video_path", F.regexp_extract("video_path", pattern, 2).alias("video_id"), F.lower(F.regexp_extract("video_path", pattern, 3)).alias("ending"))
     return named.filter(F.col("category").isin(*CATEGORY_LABELS) & F.col("ending").isin(*VIDEO_ENDINGS)).drop("ending")
 
@@ -68,11 +76,14 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 def read_official_test_list(spark: SparkSession, path: str) -> DataFrame:
     """video_path: the second word of each line; shorter lines are skipped, a missing file is an empty list."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(base):
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "video_path string")
     words = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter(F.size(words) >= 2).select(words[1].alias("video_path")).distinct()
+    return lines.filter(F.size(words) >= 2).select(words[1].alias("video_path")).distinct()
 
 
 def read_frame_metadata(spark: SparkSession, path: str, split: str | None = None, category: str | None = None, limit: int | None = None) -> DataFrame:
@@ -133,6 +144,11 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.select("accuracy", "balanced_accuracy", "f1", "precision", "recall", counts, labels, preds, probs).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_failure_report(df: DataFrame, path: str) -> None:
+    """The one row of `failure_report` as a JSON document."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """run, stage, epoch, loss, accuracy, f1, auc from run documents (one a file, or one a line) with a list of epochs per stage."""
     epoch = "struct<loss:double,accuracy:double,f1:double,auc:double,learning_rates:array<double>>"

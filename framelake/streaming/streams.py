@@ -48,8 +48,9 @@ class ClipBuilder(StatefulProcessor):
     A frame at or below the last one seen is late: it comes out by itself, marked so. Metadata only, never pixels.
     """
 
-    def __init__(self, clip_len: int = 8, clip_stride: int = 6):
-        self.clip_len, self.clip_stride = clip_len, clip_stride
+    def __init__(self, clip_len: int = 8, clip_stride: int = 6, frame_stride: int = 1):
+        self.clip_len, self.clip_stride, self.frame_stride = clip_len, clip_stride, frame_stride
+        self.need = (clip_len - 1) * frame_stride + 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.frames = handle.getListState("frames", "n long, key string")
@@ -66,14 +67,14 @@ class ClipBuilder(StatefulProcessor):
             last = n
             held.append((n, name))
             position += 1
-            start = position - self.clip_len
+            start = position - self.need
             if start < 0:
                 continue
-            window = held[-self.clip_len :]
-            if start % self.clip_stride == 0 and all(b[0] - a[0] == 1 for a, b in zip(window[:-1], window[1:], strict=True)):
+            window = held[-self.need :: self.frame_stride]
+            if start % self.clip_stride == 0 and all(b[0] - a[0] == self.frame_stride for a, b in zip(window[:-1], window[1:], strict=True)):
                 out.append((key[0], f"{key[0]}/clip_{clip:06d}", clip, start, [x[0] for x in window], [x[1] for x in window], False))
                 clip += 1
-            held = held[-(self.clip_len - 1) :]
+            held = held[-(self.need - 1) :]
         self.frames.put(held)
         self.at.update((position, clip, last))
         if out:
@@ -83,9 +84,9 @@ class ClipBuilder(StatefulProcessor):
         pass
 
 
-def stream_clips(frames: DataFrame, clip_len: int = 8, clip_stride: int = 6) -> DataFrame:
-    """Clips of a stream of frames (video, frame_number, key); needs the RocksDB state store."""
-    return frames.groupBy("video").transformWithStateInPandas(statefulProcessor=ClipBuilder(clip_len, clip_stride), outputStructType=CLIPS, outputMode="Append", timeMode="None")
+def stream_clips(frames: DataFrame, clip_len: int = 8, clip_stride: int = 6, frame_stride: int = 1) -> DataFrame:
+    """Clips of a stream of frames (video, frame_number, key), every `frame_stride`-th frame of a window; needs the RocksDB state store."""
+    return frames.groupBy("video").transformWithStateInPandas(statefulProcessor=ClipBuilder(clip_len, clip_stride, frame_stride), outputStructType=CLIPS, outputMode="Append", timeMode="None")
 
 
 def use_rocksdb(spark: SparkSession) -> None:

@@ -51,6 +51,14 @@ def test_names_and_labels(spark):
     assert [label("1", "0", "real"), label(None, "0", "fake"), label(None, "7", " Fake"), label(None, None, None), label(None, "1", None, invert=True)] == [1, 0, 1, -1, 0]
     with pytest.raises(Exception, match="no label"):
         label(None, None, "?", strict=True)
+    # a bad class part is not mended by other fields; only "0" and "1" are numeric labels
+    assert [label("2", "1", "fake"), label(" 1 ", None, None), label("x", "0", "real"), label(None, " 1", "real"), label(None, "01", "fake"), label(None, None, "1"), label(None, None, "real", polarity="real")] == [-1, 1, -1, 0, 1, -1, 1]
+    for bad in ("2", "x", ""):
+        with pytest.raises(Exception, match="no label"):
+            label(bad, "1", "fake", strict=True)
+    assert {c: one(spark, text.category_label(F.lit(c))) for c in ("original", "YouTube-real", "Celeb-real", "FaceSwap", "DeepFakeDetection", "x")} == {"original": 1, "YouTube-real": 1, "Celeb-real": 1, "FaceSwap": 0, "DeepFakeDetection": None, "x": None}
+    assert [one(spark, text.crop_label(F.lit(a), F.lit(b))) for a, b in (("Fake ", "0"), ("", "0"), (None, "1"), ("other", "1"))] == [1, 0, 1, -1]
+    assert [one(spark, text.clip_label(F.lit(a), F.lit(b))) for a, b in ((" 1", "real"), ("7", "Original"), (None, None))] == [1, 0, -1]
     assert one(spark, text.safe_int(F.lit("3.7"), 9)) == 9 and one(spark, text.safe_int_trunc(F.lit("3.7"))) == 3
 
 
@@ -92,6 +100,35 @@ def test_splits_follow_the_loop(spark, ratios):
         assert sorted(s for (c, _), s in got.items() if c == "d") == ["test", "train", "train", "train", "train", "train", "train", "train", "train", "val"]
 
 
+def test_phases_follow_the_loop():
+    """Runs of equal weights against one pick after the other, with ties and far apart deficits."""
+    r = random.Random(4)
+    for _ in range(3000):
+        ratios = r.choice([[0.8, 0.1, 0.1], [0.9, 0.1], [1.0], [0.25] * 4, [0.5, 0.3, 0.2]])
+        runs = [(w, r.randint(1, 40)) for w in sorted(r.sample(range(1, 12), r.randint(1, 4)), reverse=True)]
+        total = sum(w * n for w, n in runs)
+        targets, counts, want = [total * x for x in ratios], [0] * len(ratios), [0] * len(ratios)
+        for weight, n in runs:
+            found = splits.phases(targets, counts, weight, n)
+            assert len(found) <= len(ratios) and found[0][0] == 1
+            for rank in range(1, n + 1):
+                best = max(range(len(ratios)), key=lambda s: (targets[s] - want[s], -s))
+                want[best] += weight
+                first, turn = [p for p in found if p[0] <= rank][-1]
+                assert turn[(rank - first) % len(turn)] == best
+            assert counts == want
+
+
+def test_many_groups_of_one_weight(spark):
+    """A million groups of one category and weight: a few phases, no stretch for each of them."""
+    import time
+
+    df = spark.range(1_000_000).select(F.lit("c").alias("category"), F.concat(F.lit("g"), "id").alias("split_group"))
+    began = time.perf_counter()
+    shares = {r.split: r["count"] for r in splits.assign_group_splits(df).groupBy("split").count().collect()}
+    assert shares == {"train": 800_000, "val": 100_000, "test": 100_000} and time.perf_counter() - began < 120
+
+
 def test_sampling_follows_the_loop(spark):
     def loop(fps, n, target):
         out, due = [], 0.0
@@ -153,6 +190,25 @@ def test_main_face_keeps_to_the_last_box():
     assert detections.main_face([faces[0], faces[0]], None) == 0
 
 
+def test_second_pass(spark):
+    """Frames outside good keyframes: the last box decides, failures keep their name, frames that were not tried stay open."""
+    frames = detections.with_position(spark.createDataFrame([("o", "v", k) for k in range(7)], "category string, video_id string, frame_number long"), KEY, ["frame_number"])
+    keys = spark.createDataFrame([("o", "v", 0, "ok", 1, 0.9, [0, 0, 10, 10]), ("o", "v", 2, "no_face", None, None, None)], "category string, video_id string, pos int, status string, num_faces int, confidence double, bbox array<int>").withColumn("landmarks", F.lit(None).cast("map<string,array<double>>"))
+    found = detections.interpolate_detections(frames, keys, KEY)
+    faces = "array(named_struct('bbox', array(1, 1, 9, 9), 'score', 0.5D, 'landmarks', cast(null as map<string,array<double>>)), named_struct('bbox', array(50, 50, 90, 90), 'score', 0.7D, 'landmarks', cast(null as map<string,array<double>>)))"
+    tried = found.filter("pos in (1, 3, 4, 5)").select(*KEY, "pos", F.when(F.col("pos") != 4, F.expr(faces)).alias("candidates"), F.when(F.col("pos") == 5, "read_fail").alias("status"))
+    out = {r.pos: r for r in detections.second_pass(found, tried, KEY).collect()}
+    assert {k: (r.status, r.source, r.bbox, r.num_faces) for k, r in out.items()} == {
+        0: ("ok", "detected", [0, 0, 10, 10], 1),
+        1: ("ok", "detected", [1, 1, 9, 9], 2),
+        2: ("no_face", None, None, None),
+        3: ("ok", "detected", [1, 1, 9, 9], 2),
+        4: ("no_face", None, None, None),
+        5: ("read_fail", None, None, None),
+        6: (None, None, None, None),
+    }
+
+
 def test_user_detector(spark):
     class Detector:
         def detect_faces(self, image, threshold):
@@ -212,7 +268,7 @@ def test_metrics_against_numpy(spark):
     assert found["youden"].threshold == pytest.approx(max(t for t, v in youden.items() if v > max(youden.values()) - 1e-12))
     f1 = {t: 2 * ((p >= t) & (y == 1)).sum() / ((p >= t).sum() + y.sum()) for t in np.unique([*p, *metrics.DEFAULT_THRESHOLDS])}
     assert found["f1"].threshold == pytest.approx(min(t for t, v in f1.items() if v > max(f1.values()) - 1e-12))
-    assert math.isnan(metrics.roc_auc(df.filter("label = 1")).first().auc) and metrics.best_thresholds(df.filter("label = 1")).count() == 0
+    assert math.isnan(metrics.roc_auc(df.filter("label = 1")).first().auc) and [r.warning is not None and r.criterion is None for r in metrics.best_thresholds(df.filter("label = 1")).collect()] == [True]
     m = metrics.binary_metrics(df, 0.5).first()
     assert m.tp == ((p >= 0.5) & (y == 1)).sum() and m.prob_std == pytest.approx(p.std())
 
