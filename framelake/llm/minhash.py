@@ -186,29 +186,46 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v and the least vertex c reachable from it, for the vertices of `links` (a, b)."""
+    """v and the least vertex c reachable from it, for the vertices of `links` (a, b).
+
+    The edges of a hub are dealt over as many parts as their number asks for, and its label goes to each of them.
+    """
     edges = staged(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
     labels = staged(edges.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("u", "v").alias("c")), "labels")
-    # a hub's edges are dealt over as many parts as their number asks for, and its label goes to each of them
-    parts = edges.groupBy("u").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
-    wide = staged(parts.filter("parts > 1"), "hubs")
-    hubs = wide.select(F.col("u").alias("v"), "parts")
-    dealt = staged(edges.join(wide, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "edges")
-    drop_staged(edges)
+    wide = staged(edges.groupBy("u").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).filter("parts > 1"), "hubs")
+    hubs = not wide.isEmpty()
+    if hubs:
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = staged(edges.join(wide, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part")), "edges")
+        drop_staged(edges)
+        edges = dealt
     while True:
-        told = labels.join(hubs, "v", "left").select(F.col("v").alias("u"), "c", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        heard = dealt.join(told, ["u", "part"]).groupBy("v").agg(F.min("c").alias("heard"))
+        told = labels.select(F.col("v").alias("u"), "c")
+        if hubs:
+            told = told.join(wide, "u", "left").select("u", "c", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        heard = edges.join(told, ["u", "part"] if hubs else "u").groupBy("v").agg(F.min("c").alias("heard"))
         least = labels.join(heard, "v").select("v", "c", F.least("c", "heard").alias("least"))
         jump = labels.select(F.col("v").alias("least"), F.col("c").alias("beyond"))
-        before = labels
         after = staged(least.join(jump, "least", "left").select("v", F.coalesce("beyond", "least").alias("c"), (F.coalesce("beyond", "least") < F.col("c")).alias("changed")), "labels")
-        drop_staged(before)
+        drop_staged(labels)
         labels = after
-        if not after.filter("changed").limit(1).count():
-            drop_staged(dealt, wide)
+        if after.filter("changed").isEmpty():
+            drop_staged(edges, wide)
             return after
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (v, c) of `components` after further links."""
+    root = lambda k: labels.select(F.col("v").alias(k), F.col("c").alias(f"c{k}"))
+    both = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = components(both.filter("a <> b"))
+    old = labels.join(up.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select("v", F.coalesce("top", "c").alias("c"))
+    new = up.join(labels.select("v"), "v", "left_anti").select("v", "c")
+    out = staged(old.unionByName(new), "labels")
+    drop_staged(up, labels)
+    return out
+
+
 class Best:
     """Pairs of documents, of which for each two components only the `closest` go on (None: all)."""
 
@@ -310,17 +327,20 @@ def near_duplicates(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -
     near = staged(estimates(pairs, least_agreement), "pairs")
     links = staged(verified(near, texts), "links")
     labels = components(links)
-    # most components that belong together are found by their closest pairs; in the last turn all other pairs are compared
-    for closest in (CLOSEST, CLOSEST, None):
+    # most components that belong together are found by their closest pairs; then all other pairs are compared
+    tried = near.select("a", "b")
+    for closest in (CLOSEST, None):
         labelled = candidates.join(labels, F.col("doc") == F.col("v"), "left").select("doc", F.coalesce("c", "doc").alias("c"), "bands", "bytes")
         mixed = members.select("band", F.col("b").alias("doc")).join(labelled, "doc")
-        far = staged(across(mixed, least_agreement, closest), "pairs")
-        more = staged(verified(far.distinct(), texts), "links")
-        drop_staged(far, labels)
-        both = staged(links.unionByName(more), "links")
-        drop_staged(links, more)
-        links, labels = both, components(both)
-    drop_staged(leaders, members, candidates, texts, near)
+        far = staged(across(mixed, least_agreement, closest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if far.isEmpty():
+            continue
+        more = staged(verified(far, texts), "links")
+        if not more.isEmpty():
+            labels = joined(labels, more)
+        drop_staged(more)
+        tried = tried.unionByName(far)
+    drop_staged(leaders, members, candidates, texts)
     named = sets.select("low", "high", "n_shingles", "doc").join(labels, F.col("doc") == F.col("v"), "left").select("low", "high", "n_shingles", F.coalesce("c", "doc").alias("component"))
     named = staged(named, "components")
     drop_staged(labels, links, sets)
