@@ -1,4 +1,8 @@
-"""Corpus cleaning in stages, each written as Parquet and read again as the next one's documents."""
+"""Corpus cleaning in stages, each written as Parquet and read again as the next one's documents.
+
+Null and empty texts are clean in every stage: they stay, and encode to no tokens. Rows that repeat a row are judged alike
+and stay or go together. Further columns are kept up to the last stage. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near-duplicates."""
+    """One document, that of the least doc_id, of each group of near-duplicates; rows without doc_id stay."""
     small_batches(spark)
     gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
     return docs.join(staged(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
