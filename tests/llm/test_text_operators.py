@@ -523,6 +523,46 @@ def test_repeated_words(docs, texts):
         assert (out[k].n_words, out[k].n_removed, out[k].kept) == (len(words), sum(gone), " ".join(w for w, g in zip(words, gone, strict=True) if not g))
 
 
+def test_texts_longer_than_a_chunk(spark, monkeypatch):
+    """A text above the chunk size, with repeats across the chunks' edges, and one above a megabyte."""
+    r = random.Random(17)
+    base = "".join(r.choice("abcdefgh ") for _ in range(1 << 20))
+    long = base + base[4000:9000] + "x" * 300 + base[(1 << 20) - 700 :]
+    rows = [(1, long), (2, "start " + base[(1 << 19) : (1 << 19) + 500])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen: set[bytes] = set()
+    want = {}
+    for k, t in rows:
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 99):
+            key = raw[i : i + 100]
+            if key in seen:
+                gone[i : i + 100] = True
+            seen.add(key)
+        want[k] = hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest(), int(gone.sum())
+    assert {x.doc_id: (x.kept_sha256, x.n_removed) for x in suffix_dedup.remove_repeats(docs).collect()} == want and want[1][1] > 5500
+    seen, want = set(), {}
+    for k, t in rows:
+        words = t.split()
+        gone = [False] * len(words)
+        for i in range(len(words) - 19):
+            window = tuple(words[i : i + 20])
+            if window in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(window)
+        want[k] = sum(gone)
+    found = {x.doc_id: x.n_removed for x in substring_dedup.remove_repeats(docs).collect()}
+    assert found == want
+    # chunks of words in the driver's own process
+    batch = docs.toArrow().combine_chunks().to_batches()[0]
+    whole = list(substring_dedup.split_words(20)(batch, np.empty(0, np.uint64)))
+    monkeypatch.setattr(substring_dedup, "CHUNK", 500)
+    parts = list(substring_dedup.split_words(20)(batch, np.empty(0, np.uint64)))
+    places = lambda runs: sorted((d, a + k) for x in runs for d, a, n in zip(x.doc.tolist(), x.start.tolist(), x.count.tolist(), strict=True) for k in range(n))
+    assert len(parts) > 100 and places(parts) == places(whole)
+
+
 def test_spread_minimisers_change_nothing(docs, monkeypatch):
     """All minimisers of some documents count as frequent."""
     from framelake.llm import windows
@@ -795,21 +835,66 @@ def test_toxicity_without_labels(docs, empty, spark):
 # queries and pipeline
 
 
-def test_pipeline_stages(spark, docs, tmp_path):
+def test_pipeline_against_brute_force(spark, docs, texts, tmp_path):
+    """All five stages take effect: toxic documents, near copies, a benchmark passage, secrets, and every column of the end."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
+    r = random.Random(12)
+    word = lambda: f"word{r.randrange(400)}"
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(1000 + k, line(30) + (" vile scum" if k % 4 == 0 else "") + " " + line(5), "en", "src0", 0) for k in range(240)]
+    item = line(25)
+    rows += [(2000, line(20) + " " + item.upper() + "\n" + line(9), "en", "src1", 0), (2001, line(40) + f" key {base64.b64encode(small_key()).decode()} password=hunter2222 {line(3)}", "en", "src1", 0)]
+    rows += [(2002, f"only token: abcdefgh{k}", "en", None, 0) for k in range(1)] + [(2003, None, "en", "src1", 0), (2003, None, "en", "src1", 0)]
+    folder = str(tmp_path)
+    docs.unionByName(spark.createDataFrame(rows, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, item), (1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    labels = [(1000 + k, 1, int(k % 4 == 0)) for k in range(240)] + [(k, 1, 0) for k in range(20)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert len(corpus_pipeline.STAGES) == 5
+    out = corpus_pipeline.run(spark, folder)
+
+    whole = [tuple(x) for x in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").filter(~toxicity.held_out()))
+
+    def score(text) -> float:
+        seen = {f for w in WORD.findall(text or "") for f in toxicity.word_features(w)}
+        return 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in seen))))
+
+    civil = [x for x in whole if score(x[1]) < 0.5]
+    gone = {x[0] for x in whole} - {x[0] for x in civil}
+    assert {1000 + k for k in range(0, 240, 4)} == gone
+    _, component = brute_components(civil)
+    kept = [x for x in civil if component[x[0]] == x[0]]
+    assert len(kept) < len(civil) - 10
+    near = decontaminate.normal(item)
+    clean = [x for x in kept if distance(near, decontaminate.normal(x[1])) > len(near) // 12]
+    assert {x[0] for x in kept} - {x[0] for x in clean} == {2000}
+    library, want, masked = Tokenizer.from_file(VOCABULARY), [], 0
+    for doc_id, text, *_ in clean:
+        spans = [(a, b) for a, b, _ in secrets.find_secrets(text or "")]
+        said = list(text or "")
+        for n in range(len(said)):
+            if any(a <= n < b for a, b in spans):
+                said[n] = "" if any(a <= n - 1 < b for a, b in spans) and n else "[secret]"
+        masked += bool(spans)
+        ids = library.encode("".join(said), add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids, decoded))
+    assert masked >= 2
+    found = [tuple(x) for x in out.collect()]
+    assert sorted(found, key=lambda x: (x[0], x[4])) == sorted(want, key=lambda x: (x[0], x[4])) and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+
+
+def test_pipeline_of_nothing(spark, docs, tmp_path):
+    import corpus_pipeline
+
     folder = str(tmp_path)
-    docs.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(0, docs.filter("doc_id = 0").first().text)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    out = by_id(corpus_pipeline.run(spark, folder))
-    _, component = brute_components([tuple(r) for r in docs.collect()])
-    item = decontaminate.normal(docs.filter("doc_id = 0").first().text)
-    want = {k for k, c in component.items() if k == c}
-    if item:
-        want -= {r.doc_id for r in docs.collect() if item in decontaminate.normal(r.text)}
-    assert set(out) == want
+    docs.limit(0).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
 
 
 def test_all_operators_have_a_query():
@@ -824,10 +909,12 @@ def test_queries_against_sql(spark, name):
     assert compare.differences(compare.connect(folder), queries.QUERIES[name](spark, folder), queries.ORACLE_SQL[name]) is None
 
 
-def test_extra_columns_do_not_clash(spark):
+def test_extra_columns_do_not_clash(spark, tmp_path):
     """Columns that operators use inside may be in the input already."""
     names = ["row", "key", "bucket", "shard", "n", "bands", "ranges", "text_crc32", "host", "facts", "size", "spans"]
     rows = [(k, "some words of a text that goes on " * (k + 1), "s", *([7] * len(names))) for k in range(4)]
     wide = spark.createDataFrame(rows, "doc_id int, text string, source string, " + ", ".join(f"{c} int" for c in names))
     runs = [sharding.shard_documents(wide, 2), secrets.scan(wide), bpe.encode_documents(wide, VOCABULARY), suffix_dedup.remove_repeats(wide), minhash.near_duplicates(wide), quality.quality_filter(wide), substring_dedup.remove_repeats(wide)]
     assert all(df.count() == 4 for df in runs) and secrets.mask(wide).columns == wide.columns
+    token_output.write_tokens(wide.withColumns({"ids": F.lit(1), "part": F.lit(2)}), VOCABULARY, f"{tmp_path}/wide")
+    assert token_output.read_tokens(spark, f"{tmp_path}/wide").count() == 4
