@@ -30,6 +30,15 @@ def s5_frame_metadata_files(spark, sf_dir):
     return tables.read_frame_metadata(spark, path, split="TRAIN", category="cat1").select("frame_path", "video_id", "frame_number")
 
 
+@query("SELECT frame_path, video_id FROM (SELECT event_id::VARCHAR || '.jpg' AS frame_path, video_id, k FROM frames ORDER BY 1 LIMIT 700) WHERE k % 2 = 0", B.FRAMES)
+def s5_limited_frame_metadata(spark, sf_dir):
+    """The first rows in order of the frame path, and of these one split."""
+    path = scratch(spark, "frames")
+    named = B.frames(spark, sf_dir).select(F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("frame_path"), "video_id", "category", F.when(F.col("k") % 2 == 0, "train").otherwise("val").alias("split"))
+    named.write.csv(path, header=True)
+    return tables.read_frame_metadata(spark, path, split="train", limit=700).select("frame_path", "video_id")
+
+
 @query("SELECT video_id, event_id AS original_frame_index, CASE WHEN k % 2 = 0 THEN 'train' ELSE 'val' END AS split, category FROM frames", B.FRAMES)
 def s6_frame_tables(spark, sf_dir):
     path = scratch(spark, "frames")

@@ -146,10 +146,10 @@ def p11_boxes(spark, sf_dir):
     return boxes(spark, sf_dir).select("event_id", geometry.bbox_area(one).alias("area"), F.round(geometry.bbox_iou(one, two), 6).alias("iou"), shown.alias("clipped"))
 
 
-@query("SELECT event_id, round(least(1.0, 64.0 / greatest(k + 20, v % 300 + 1)), 6) AS scale, round_even(k / least(1.0, 64.0 / greatest(k + 20, v % 300 + 1)), 0)::INTEGER AS x1 FROM b", BOXES)
+@query("SELECT event_id, round(least(1.0, 64.0 / greatest(k + 20, v % 300 + 1)), 6) AS scale, round_even(k / least(1.0, 64.0 / greatest(k + 20, v % 300 + 1)), 0)::INTEGER AS x1, round(v / least(1.0, 64.0 / greatest(k + 20, v % 300 + 1)), 6) AS nose FROM b", BOXES)
 def p12_detection_scale(spark, sf_dir):
     scale = geometry.detection_scale(F.col("k") + 20, F.col("v") % 300 + 1, 64)
-    return boxes(spark, sf_dir).select("event_id", F.round(scale, 6).alias("scale"), geometry.rescale_bbox(F.col("one"), scale)[0].alias("x1"))
+    return boxes(spark, sf_dir).select("event_id", F.round(scale, 6).alias("scale"), geometry.rescale_bbox(F.col("one"), scale)[0].alias("x1"), F.round(geometry.rescale_landmarks(F.create_map(F.lit("nose"), F.array(F.col("v").cast("double"))), scale)["nose"][0], 6).alias("nose"))
 
 
 @query(

@@ -68,3 +68,15 @@ def r2_stream_strided_clips(spark, sf_dir):
     frames = spark.readStream.schema("video string, frame_number long, key string").parquet(path)
     out = drained(streams.stream_clips(frames, clip_len=3, clip_stride=4, frame_stride=2), spark)
     return out.filter(~F.col("late")).select("video", "clip_id", "clip_start", F.array_join(F.col("frame_numbers").cast("array<string>"), ",").alias("frame_numbers"))
+
+
+@query(
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, 'cat' || (user_id % 5) AS category, count(*)::BIGINT AS completed FROM events WHERE event_type <> 'error'
+    AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type <> 'error') GROUP BY 1, 2"""
+)
+def r3_hourly_status(spark, sf_dir):
+    """Hours that the watermark has passed."""
+    status = F.when(F.col("event_type") == "error", "failed").otherwise("complete")
+    audit = event_stream(spark, sf_dir).select(F.concat(F.lit("cat"), F.col("user_id") % 5).alias("category"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"))
+    out = drained(streams.stream_hourly_status(audit), spark)
+    return out.select(F.date_format("hour.start", "yyyy-MM-dd HH").alias("hour"), "category", "completed")

@@ -61,6 +61,12 @@ def j3_apply_splits(spark, sf_dir):
     return splits.apply_splits(v.drop("split"), splits.assign_splits(v), official).select("video_id", "split")
 
 
+@query("SELECT video_id, 'test' AS split FROM videos", B.VIDEOS)
+def j3_all_test(spark, sf_dir):
+    v = B.videos(spark, sf_dir)
+    return splits.apply_splits(v.drop("split"), splits.assign_splits(v), all_test=True).select("video_id", "split")
+
+
 SAMPLED = B.VIDEOS + """, plan AS (SELECT category, video_id, k::BIGINT AS frame_number, greatest(k, ceil((k * 0.2::DOUBLE - 1e-9) * original_fps))::BIGINT AS original_frame_index, original_fps, num_frames
  FROM videos, generate_series(0, 1200) t(k) WHERE num_frames > 0 AND greatest(k, ceil((k * 0.2::DOUBLE - 1e-9) * original_fps)) < num_frames)"""
 
@@ -89,21 +95,22 @@ def j4_rebuild_frames(spark, sf_dir):
     return resume.rebuild_frames(files, v, plan).select("video_id", F.col("frame_number").cast("long").alias("frame_number"), "original_frame_index", "binary_label")
 
 
-INTERPOLATED = B.DETECTIONS + """, j AS (SELECT p.category, p.video_id, p.pos, d.status, d.bbox, d.confidence, d.num_faces, CASE WHEN d.status = 'ok' THEN {'pos': p.pos, 'bbox': d.bbox, 'confidence': d.confidence, 'num_faces': d.num_faces} END AS rec
+INTERPOLATED = B.DETECTIONS + """, j AS (SELECT p.category, p.video_id, p.pos, d.status, d.bbox, d.confidence, d.num_faces, CASE WHEN d.status = 'ok' AND d.k % 7 <> 0 THEN d.k END AS mark,
+ CASE WHEN d.status = 'ok' THEN {'pos': p.pos, 'bbox': d.bbox, 'confidence': d.confidence, 'num_faces': d.num_faces, 'mark': CASE WHEN d.k % 7 <> 0 THEN d.k END} END AS rec
  FROM positioned p LEFT JOIN detections d ON p.category = d.category AND p.video_id = d.video_id AND p.pos = d.pos),
  n AS (SELECT *, last_value(rec IGNORE NULLS) OVER (PARTITION BY category, video_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(rec IGNORE NULLS) OVER (PARTITION BY category, video_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM j),
- i AS (SELECT video_id, pos, CASE WHEN status IS NULL AND a IS NOT NULL AND b IS NOT NULL THEN 'interpolated' WHEN status = 'ok' THEN 'detected' END AS source, status, (pos - a.pos) / (b.pos - a.pos)::DOUBLE AS t, a, b, bbox, confidence, num_faces FROM n)"""
+ i AS (SELECT video_id, pos, CASE WHEN status IS NULL AND a IS NOT NULL AND b IS NOT NULL THEN 'interpolated' WHEN status = 'ok' THEN 'detected' END AS source, status, (pos - a.pos) / (b.pos - a.pos)::DOUBLE AS t, a, b, bbox, confidence, num_faces, mark FROM n)"""
 
 
 @query(
     """SELECT video_id, pos, source, CASE WHEN source = 'interpolated' THEN 'ok' ELSE status END AS status, CASE WHEN source = 'interpolated' THEN round_even((1 - t) * a.bbox[1] + t * b.bbox[1], 0)::INTEGER ELSE bbox[1] END AS x1,
     CASE WHEN source = 'interpolated' THEN round_even((1 - t) * a.bbox[4] + t * b.bbox[4], 0)::INTEGER ELSE bbox[4] END AS y2, CASE WHEN source = 'interpolated' THEN greatest(a.num_faces, b.num_faces) ELSE num_faces END::INTEGER AS num_faces,
-    round(CASE WHEN source = 'interpolated' THEN least(a.confidence, b.confidence) ELSE confidence END, 5) AS confidence FROM i""",
+    round(CASE WHEN source = 'interpolated' THEN least(a.confidence, b.confidence) ELSE confidence END, 5) AS confidence, round(CASE WHEN source = 'interpolated' THEN (1 - t) * a.mark + t * b.mark ELSE mark END, 6)::DOUBLE AS nose FROM i""",
     INTERPOLATED,
 )
 def j5_interpolate_detections(spark, sf_dir):
     out = detections.interpolate_detections(B.positioned(spark, sf_dir), B.detections(spark, sf_dir), ["category", "video_id"])
-    return out.select("video_id", F.col("pos").cast("long").alias("pos"), "source", "status", F.col("bbox")[0].alias("x1"), F.col("bbox")[3].alias("y2"), F.col("num_faces").cast("int").alias("num_faces"), F.round("confidence", 5).alias("confidence"))
+    return out.select("video_id", F.col("pos").cast("long").alias("pos"), "source", "status", F.col("bbox")[0].alias("x1"), F.col("bbox")[3].alias("y2"), F.col("num_faces").cast("int").alias("num_faces"), F.round("confidence", 5).alias("confidence"), F.round(F.col("landmarks")["nose"][0], 6).alias("nose"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -16,10 +17,13 @@ def stream_new_samples(samples: DataFrame, audit_path: str, out_path: str, check
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(audit_path)
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
         # a batch that is run again finds its own audit rows of the attempt before and keeps those samples
-        done = spark.read.parquet(audit_path).filter(F.col("batch_id") != batch_id).select("key") if there else None
+        try:
+            done = spark.read.parquet(audit_path).filter(F.col("batch_id") != batch_id).select("key")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            done = None
         new = batch if done is None else batch.join(done, "key", "left_anti")
         new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path)
         written = spark.read.parquet(out_path).filter(F.col("batch_id") == batch_id)
