@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """A model from at most `sample` labelled rows (chosen by a hash of doc_id) and at most `features` features.
 
     Rows without label, doc_id or text teach nothing. Where documents or labels repeat a doc_id, each pair counts, and of
-    more than `sample` pairs those of the least hashes of their features are kept. Features are those that split the
+    more than `sample` pairs those of the least hashes are kept. Features are those that split the
     classes best (chi-squared) among those in enough documents, besides the group names. Without both classes all weights
     are zero. Texts that name a group come with `swaps` counterparts each.
     """
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     totals = F.count("*"), F.coalesce(F.sum("label"), F.lit(0))
     n, positive = rows.agg(*totals).first()
     if n > sample:  # repeated doc_ids
-        rows = staged(rows.orderBy(F.xxhash64("own", "label"), "doc_id").limit(sample), "labelled")
+        rows = staged(rows.orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label", F.xxhash64("own")).limit(sample), "labelled")
         n, positive = rows.agg(*totals).first()
     if not 0 < positive < n:
         return Model({}, 10.0 if positive else -10.0)
