@@ -22,6 +22,8 @@ SHINGLE, WIDTH, ROWS, BANDS = 5, 1024, 4, 32
 #: Two bits of each coordinate serve estimates. At similarity 0.75 they agree in a share of 0.8125, with a standard
 #: deviation of 0.0122; six of these below lies the least share at which a pair is verified.
 LEAST_AGREEMENT = 0.739
+#: Longer sketches of the documents that still meet others across components, and their limit, again six deviations below.
+LONG, LONG_AGREEMENT = 4096, 0.7759
 BLOCK = 2048
 #: Pairs of two components in a block of a band that are compared before all others.
 CLOSEST = 4
@@ -32,7 +34,13 @@ HUB = 4096
 def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Share of the coordinates whose two bits agree, for rows of packed bits."""
     differ = one ^ two
-    return 1 - np.bitwise_count((differ | differ >> np.uint8(1)) & np.uint8(0x55)).sum(1, dtype=np.int64) / WIDTH
+    return 1 - np.bitwise_count((differ | differ >> np.uint8(1)) & np.uint8(0x55)).sum(1, dtype=np.int64) / (4 * differ.shape[1])
+
+
+def two_bits(coordinates: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, packed in rows of bytes."""
+    bits = (mix(coordinates) & np.uint64(3)).astype(np.uint8).reshape(len(coordinates), -1, 4)
+    return bits @ np.array([1, 4, 16, 64], np.uint8)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +115,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for k in range(ROWS):
                     banded = mix(banded * np.uint64(31) + coordinates[:, k : BANDS * ROWS : ROWS])
                 banded = (banded >> np.uint64(7) << np.uint64(6)) >> np.uint64(1) | np.arange(BANDS, dtype=np.uint64)
-                two_bits = (mix(coordinates) & np.uint64(3)).astype(np.uint8).reshape(n, WIDTH // 4, 4)
-                raw = two_bits @ np.array([1, 4, 16, 64], np.uint8)
+                raw = two_bits(coordinates)
                 some = sizes > 0
                 ends = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
                 arrays = [batch.column("doc_id"), pa.array(sizes), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.ListArray.from_arrays(ends, banded[some].astype(np.int64).ravel()), pa.array([x.tobytes() for x in raw], pa.binary())]
@@ -117,6 +124,26 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(returning(run), "doc_id long, n_shingles long, low long, high long, bands array<long>, bytes binary")
 
 
+def long_sketches(texts: DataFrame) -> DataFrame:
+    """doc and two bits of each coordinate of its long sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 1 << 20, 256):
+                row, gram = shingle_sets(batch.column("text"))
+                raw = two_bits(sketch(row, gram, batch.num_rows, LONG))
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x.tobytes() for x in raw], pa.binary())], names=["doc", "bytes"])
+
+    return texts.select("doc", "text").mapInArrow(returning(run), "doc long, bytes binary")
+
+
+def across_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of the bands' members (band, b) those in bands with several components: band, doc, c and the band's size n."""
+    known = members.select("band", F.col("b").alias("doc")).join(labels.select(F.col("v").alias("doc"), "c"), "doc", "left").select("band", "doc", F.coalesce("c", "doc").alias("c"))
+    mixed = known.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).filter(F.col("least") < F.col("most"))
+    return known.join(mixed.select("band", "n"), "band")
+
+
 def estimates(pairs: DataFrame, least_agreement: float) -> DataFrame:
     """Of pairs with both sketches' bytes, those whose coordinates agree often enough."""
 
@@ -267,12 +294,11 @@ class Best:
 def across(members: DataFrame, least_agreement: float, closest: int | None = None) -> DataFrame:
     """Pairs (a, b) of different components in one band whose sketches agree, each in its first shared band only.
 
-    `members`: band, doc, c, bands, bytes. Large bands are cut into blocks by hash, and pairs of blocks meet in tasks. With
+    `members`: band, doc, c, n (see `across_bands`), bands, bytes. Large bands are cut into blocks by hash, and pairs of blocks meet in tasks. With
     `closest`, of each two components that meet there only so many pairs, those that agree best.
     """
     spark = members.sparkSession
-    counts = members.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).filter(F.col("least") < F.col("most"))
-    sized = members.join(counts.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
+    sized = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     dealt = sized.withColumn("block", block).select("band", "doc", "c", "block", "bands", "bytes", F.inline(meets))
@@ -285,7 +311,7 @@ def across(members: DataFrame, least_agreement: float, closest: int | None = Non
                 continue
             band, i, j = (group.column(k)[0].as_py() for k in ("band", "i", "j"))
             bands = np.stack(group.column("bands").combine_chunks().to_numpy(zero_copy_only=False))
-            raw = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, WIDTH // 4)
+            raw = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(len(doc), -1)
             earlier = band & (BANDS - 1)
             left = np.nonzero(block == i)[0]
             best = Best(closest)
@@ -328,11 +354,16 @@ def near_duplicates(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -
     links = staged(verified(near, texts), "links")
     labels = components(links)
     # most components that belong together are found by their closest pairs; then all other pairs are compared
-    tried = near.select("a", "b")
+    tried, long = near.select("a", "b"), None
     for closest in (CLOSEST, None):
-        labelled = candidates.join(labels, F.col("doc") == F.col("v"), "left").select("doc", F.coalesce("c", "doc").alias("c"), "bands", "bytes")
-        mixed = members.select("band", F.col("b").alias("doc")).join(labelled, "doc")
-        far = staged(across(mixed, least_agreement, closest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        mixed = staged(across_bands(members, labels), "mixed")
+        if long is None:  # the second turn's documents are among these
+            own = texts.withColumnRenamed("doc_id", "doc").join(mixed.select("doc").distinct(), "doc", "left_semi")
+            long = staged(long_sketches(own), "long")
+        meeting = mixed.join(candidates.select("doc", "bands"), "doc").join(long, "doc")
+        limit = LONG_AGREEMENT if least_agreement else 0.0
+        far = staged(across(meeting, limit, closest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        drop_staged(mixed)
         if far.isEmpty():
             continue
         more = staged(verified(far, texts), "links")
@@ -340,7 +371,7 @@ def near_duplicates(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -
             labels = joined(labels, more)
         drop_staged(more)
         tried = tried.unionByName(far)
-    drop_staged(leaders, members, candidates, texts)
+    drop_staged(leaders, members, candidates, texts, long)
     named = sets.select("low", "high", "n_shingles", "doc").join(labels, F.col("doc") == F.col("v"), "left").select("low", "high", "n_shingles", F.coalesce("c", "doc").alias("component"))
     named = staged(named, "components")
     drop_staged(labels, links, sets)

@@ -669,6 +669,8 @@ def test_estimates_lose_less_than_the_banding():
     n, p = minhash.WIDTH, 0.75 + 0.25 / 4
     lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil(minhash.LEAST_AGREEMENT * n)))
     assert lost < 1e-8 < (1 - 0.75**minhash.ROWS) ** minhash.BANDS
+    deviation = math.sqrt(p * (1 - p) / minhash.LONG)
+    assert (p - minhash.LONG_AGREEMENT) / deviation > 5.99
 
 
 def test_recall_against_all_rows(spark):
