@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.errors import AnalysisException
@@ -37,9 +38,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def list_videos(spark: SparkSession, root: str) -> DataFrame:
     """category, video_path (relative) and video_id of the video files directly under known category folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    # whole paths, with or without the scheme and authority that `root` names
-    below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root.rstrip("/")) + "/"
-    return known_videos(files.select(F.substring_index("path", below, -1).alias("video_path")))
+    # whole paths, with or without the scheme and authority that `root` names; a relative root is one of this machine
+    below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root if ":" in root else os.path.abspath(root)).rstrip("/") + "/"
+    return known_videos(files.select(F.substring("path", F.locate(below, F.col("path")) + len(below), F.length("path")).alias("video_path")))
 
 
 def known_videos(files: DataFrame) -> DataFrame:
