@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -
     links = staged(verified(near, texts), "links")
     labels = components(links)
     # most components that belong together are found by their closest pairs; then all other pairs are compared
-    tried, long = near.select("a", "b"), None
+    tried, seen, long = near.select("a", "b"), [near], None
     for closest in (CLOSEST, None):
         mixed = staged(across_bands(members, labels), "mixed")
         if long is None:  # the second turn's documents are among these
@@ -371,7 +371,8 @@ def near_duplicates(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -
             labels = joined(labels, more)
         drop_staged(more)
         tried = tried.unionByName(far)
-    drop_staged(leaders, members, candidates, texts, long)
+        seen.append(far)
+    drop_staged(leaders, members, candidates, texts, long, *seen)
     named = sets.select("low", "high", "n_shingles", "doc").join(labels, F.col("doc") == F.col("v"), "left").select("low", "high", "n_shingles", F.coalesce("c", "doc").alias("component"))
     named = staged(named, "components")
     drop_staged(labels, links, sets)
