@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, decontaminate, minhash, quality, repair, secrets, sharding, substring_dedup, suffix_dedup, token_output, toxicity
+from framelake.llm import bpe, decontaminate, minhash, quality, repair, secrets, sharding, substring_dedup, suffix_dedup, token_output, toxicity, vectors
 from framelake.llm.common import shared_dir, small_batches
 
 
@@ -81,6 +81,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_vector_near_dedup": op13_vector_near_dedup,
 }
 
 WORDS = r"words AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS ws FROM documents)"

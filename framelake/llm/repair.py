@@ -1,9 +1,10 @@
 """Repair of conversations: the cheapest edits that give their turns a legal order, by block tables (Four Russians).
 
 A conversation is a string of row symbols, and a state after each row says what the roles so far allow next. The cost to
-the end from every state is a vector; up to its least entry only few vectors exist. So a table holds, for each vector after a block of four symbols
-and each such block, the vector before it. Blocks are looked up from the end to the start; a block is expanded, backward,
-only where its edits are written down, and there the least letter that still reaches the least cost wins.
+the end from every state is a vector; up to its least entry only few vectors exist. So a table holds, for each vector
+after a block of four symbols and each such block, the vector before it. Blocks are looked up from the end to the start; a
+block is expanded, backward, only where its edits are written down, and there the least letter that still reaches the
+least cost wins.
 
 Rows are numbered by one range sort and cut into chunks, so that a conversation of any length spreads over tasks: a chunk
 gives its cost from state to state, a scan over these gives the vector behind each chunk and the state before it.
