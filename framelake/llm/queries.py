@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, decontaminate, minhash, quality, repair, secrets, sharding, substring_dedup, suffix_dedup, token_output, toxicity, vectors
+from framelake.llm import bpe, decontaminate, minhash, phrases, quality, repair, secrets, sharding, substring_dedup, suffix_dedup, token_output, toxicity, vectors
 from framelake.llm.common import shared_dir, small_batches
 
 
@@ -81,6 +81,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op13_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_vector_near_dedup": op13_vector_near_dedup,
 }
 
@@ -138,4 +143,16 @@ WITH {WORDS.format(text="coalesce(text, '')")},
  placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM words),
  kept AS (SELECT a.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY a.p) AS rest FROM placed a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY a.doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op12_phrase_mining": rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+ counts AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM words, generate_series(1, 5) s(k), generate_series(1, len(ws) - k + 1) t(i) GROUP BY ALL),
+ totals AS (SELECT lang, sum(f)::HUGEINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+ found AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE k > 1 AND f >= 100),
+ cuts AS (SELECT c.lang, c.phrase, c.k, c.a, j, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS score FROM found c JOIN generate_series(1, 4) s(j) ON j < c.k
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(ws, 1, j), ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(ws, j + 1, c.k), ' ') JOIN totals n ON n.lang = c.lang),
+ best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS turn FROM cuts),
+ left_over AS (SELECT * FROM best b WHERE turn = 1 AND NOT EXISTS (SELECT 1 FROM found d WHERE d.lang = b.lang AND d.k > b.k AND contains(' ' || d.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * d.a >= 100 * b.a)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
