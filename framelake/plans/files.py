@@ -52,11 +52,21 @@ def s6_frame_tables(spark, sf_dir):
 def s8_audit_files(spark, sf_dir):
     path = scratch(spark, "audit")
     audit = B.audit(spark, sf_dir).withColumn("split", text.normalize_split("split"))
-    for part in (0, 1):  # two appends
-        tables.append_audit(audit.filter(F.pmod(F.xxhash64("video_id"), F.lit(2)) == part), path)
+    for part in (0, 1, 1):  # two appends, one of them run again
+        tables.append_audit(audit.filter(F.pmod(F.xxhash64("video_id"), F.lit(2)) == part), path, write_id=f"part{part}")
     return tables.read_completed_videos(spark, path)
 
 
+@query("SELECT category, video_id, status, count(*)::BIGINT AS n FROM audit GROUP BY ALL", B.AUDIT)
+def s8_repeated_append(spark, sf_dir):
+    """Every row of an audit is there once, though its appends were run twice."""
+    path = scratch(spark, "audit")
+    audit = B.audit(spark, sf_dir).withColumn("split", text.normalize_split("split"))
+    for part in (0, 1, 0, 1):
+        tables.append_audit(audit.filter(F.pmod(F.xxhash64("video_id"), F.lit(2)) == part), path, write_id=f"part{part}")
+    return spark.read.parquet(path).groupBy("category", "video_id", "status").agg(F.count("*").alias("n"))
+
+
 @query("SELECT key, label, round(prob_positive, 6) AS prob_positive FROM preds", B.PREDS)
 def s14_prediction_files(spark, sf_dir):
     path = scratch(spark, "predictions")
@@ -81,26 +91,69 @@ def s16_history_files(spark, sf_dir):
     return back.select("run", "stage", F.col("epoch").cast("long").alias("epoch"), F.round("auc", 6).alias("auc"))
 
 
-@query("SELECT key, 2::BIGINT AS parts, 4 * 192 AS rgb_bytes FROM st", PIXEL_CLIPS)
+RGB_HEX = "array_to_string(list_transform(range(1, 5), lambda t: repeat(array_to_string(list_transform(px[t], lambda p: lpad(printf('%X', p), 2, '0')), ''), 3)), '')"
+
+
+@query(f"SELECT key, 2::BIGINT AS parts, md5({RGB_HEX}) AS rgb_md5, 4 AS length FROM st", PIXEL_CLIPS)
 def s11_shard_files(spark, sf_dir):
-    """Clips as tar shards in the shared folder, and read back."""
+    """Clips as tar shards in the shared folder, and read back; the same write once more adds nothing."""
     path = scratch(spark, "shards")
     stacked = _stacked(spark, sf_dir)
     parts = F.create_map(F.lit("rgb.npy"), F.col("rgb"), F.lit("json"), F.to_json(F.struct("key", "length")).cast("binary"))
-    shards.write_shards(stacked.select(F.substring_index("key", "/", 1).alias("video"), "key", parts.alias("parts")), path, maxcount=50)
+    for _ in range(2):
+        shards.write_shards(stacked.select(F.substring_index("key", "/", 1).alias("video"), "key", parts.alias("parts")), path, maxcount=50, write_id="clips")
     back = shards.read_shards(spark, f"{path}/shard-*.tar")
-    return back.select("key", F.size("parts").cast("long").alias("parts"), F.length(F.col("parts")["rgb.npy"]).alias("rgb_bytes"))
+    length = F.get_json_object(F.col("parts")["json"].cast("string"), "$.length").cast("int")
+    return back.select("key", F.size("parts").cast("long").alias("parts"), F.md5(F.hex(F.col("parts")["rgb.npy"])).alias("rgb_md5"), length.alias("length"))
+
+
+def labelled_shards(spark: SparkSession, sf_dir: str) -> str:
+    """Pattern of tars with pixels, JSON and, for every third clip, a class."""
+    path = scratch(spark, "shards")
+    n = F.substring("key", -6, 6).cast("int")
+    document = F.to_json(F.struct((F.floor(n / 2) % 2).alias("binary_label"))).cast("binary")
+    base = F.create_map(F.lit("rgb.npy"), F.col("rgb"), F.lit("json"), document)
+    classed = F.map_concat(base, F.create_map(F.lit("cls"), (n % 2).cast("string").cast("binary")))
+    parts = F.when(n % 3 == 0, classed).otherwise(base)
+    shards.write_shards(_stacked(spark, sf_dir).select(F.substring_index("key", "/", 1).alias("video"), "key", parts.alias("parts")), path, maxcount=20)
+    return f"{path}/shard-*.tar"
+
+
+LABELLED = PIXEL_CLIPS + ", lb AS (SELECT key, right(key, 6)::INTEGER AS n FROM st)"
 
 
 @query("SELECT 'all' AS split, count(*)::BIGINT AS clips FROM st", PIXEL_CLIPS)
 def s10_count_shard_samples(spark, sf_dir):
-    path = scratch(spark, "shards")
-    doc = F.create_map(F.lit("json"), F.lit("{}").cast("binary"))
-    shards.write_shards(_stacked(spark, sf_dir).select(F.substring_index("key", "/", 1).alias("video"), "key", doc.alias("parts")), path)
-    counted = reports.count_clips(shards.shard_members(shards.read_shards(spark, f"{path}/shard-*.tar"), "all"))
+    """Counted from the tars' indexes."""
+    counted = reports.count_clips(shards.shard_members(shards.read_shard_index(spark, labelled_shards(spark, sf_dir)), "all"))
     return counted.filter("split is not null").select("split", "clips")
 
 
+@query("SELECT part, count(*)::BIGINT AS n, sum(size)::BIGINT AS bytes FROM (SELECT 'rgb.npy' AS part, 768 AS size FROM lb UNION ALL SELECT 'json', 18 FROM lb UNION ALL SELECT 'cls', 1 FROM lb WHERE n % 3 = 0) GROUP BY part", LABELLED)
+def s10_shard_index(spark, sf_dir):
+    """Members and their sizes, without their bytes."""
+    return shards.read_shard_index(spark, labelled_shards(spark, sf_dir)).groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query(
+    "SELECT negative_count, positive_count, round(CASE WHEN negative_count > 0 AND positive_count > 0 THEN negative_count / positive_count END, 6) AS raw_pos_weight FROM (SELECT count(*) FILTER (WHERE label = 0)::BIGINT AS negative_count, count(*) FILTER (WHERE label = 1)::BIGINT AS positive_count FROM (SELECT CASE WHEN n % 3 = 0 THEN n % 2 ELSE (n // 2) % 2 END AS label FROM lb))",
+    LABELLED,
+)
+def s10_class_balance(spark, sf_dir):
+    """Class balance of tars of which only the label and JSON members are read."""
+    out = reports.class_balance(shards.read_shard_labels(spark, labelled_shards(spark, sf_dir)))
+    return out.select("negative_count", "positive_count", F.round("raw_pos_weight", 6).alias("raw_pos_weight"))
+
+
+@query(f"SELECT key, md5({RGB_HEX}) AS rgb_md5 FROM st WHERE key LIKE '3/%' OR key = '7/clip_000001'", PIXEL_CLIPS)
+def s10_pruned_samples(spark, sf_dir):
+    """Samples of one video and one more, pixels only; the filters reach the tars."""
+    pattern = labelled_shards(spark, sf_dir)
+    read = lambda: shards.read_shards(spark, pattern, ["rgb.npy"], split_bytes=64 << 10)
+    own = read().filter(F.col("key").startswith("3/")).unionByName(read().filter(F.col("key") == "7/clip_000001"))
+    return own.select("key", F.md5(F.hex(F.col("parts")["rgb.npy"])).alias("rgb_md5"))
+
+
 class BrightestPixel:
     """A stand-in detector: one box around the brightest pixel, none in dark images."""
 

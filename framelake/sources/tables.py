@@ -101,9 +101,16 @@ def write_frame_metadata(df: DataFrame, path: str) -> None:
     df.select(*FRAMES).write.mode("append").partitionBy("split", "category").parquet(path)
 
 
-def append_audit(df: DataFrame, path: str) -> None:
-    """One row per finished video or sample; each split has a folder of its own."""
-    df.write.mode("append").partitionBy("split").parquet(path)
+def append_audit(df: DataFrame, path: str, write_id: str | None = None) -> None:
+    """One row per finished video or sample; each split has a folder of its own.
+
+    With `write_id` the rows lie in a folder of that name, which an append that is run again replaces: each row is there once.
+    """
+    if write_id is None:
+        df.write.mode("append").partitionBy("split").parquet(path)
+    else:
+        named = df.withColumn("write_id", F.lit(write_id))
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "write_id").parquet(path)
 
 
 def read_completed_videos(spark: SparkSession, path: str) -> DataFrame:
