@@ -70,6 +70,45 @@ def r2_stream_strided_clips(spark, sf_dir):
     return out.filter(~F.col("late")).select("video", "clip_id", "clip_start", F.array_join(F.col("frame_numbers").cast("array<string>"), ",").alias("frame_numbers"))
 
 
+#: Parts that the frames arrive in; every third frame arrives up to 50 minutes after its time.
+ARRIVALS = 5
+ARRIVED = B.KEPT + """, a AS (SELECT *, epoch_ms(ts) AS at_ms, epoch_ms(ts) + CASE WHEN event_id % 3 = 0 THEN (event_id % 50) * 60000 ELSE 0 END AS came FROM kept),
+ s AS (SELECT min(came) AS lo, max(came) AS hi FROM a), p AS (SELECT a.*, least(((came - lo) * 5) // greatest(hi - lo, 1), 4) AS part FROM a, s)"""
+
+
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as a stream of files in order of their arrival."""
+    path = scratch(spark, "frames")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    came = at + F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 50 * 60000).otherwise(0)
+    rows = B.kept_frames(spark, sf_dir).select(F.col("video_id").alias("video"), "frame_number", "key", F.col("ts").cast("timestamp").alias("ts"), came.alias("came"))
+    ends = rows.agg(F.min("came").alias("lo"), F.max("came").alias("hi")).first()
+    part = F.least(F.floor((F.col("came") - ends.lo) * ARRIVALS / max(ends.hi - ends.lo, 1)), F.lit(ARRIVALS - 1))
+    for k in range(ARRIVALS):
+        rows.filter(part == k).drop("came").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("video string, frame_number long, key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    """SELECT video_id AS video, (row_number() OVER (PARTITION BY video_id ORDER BY clip_start) - 1)::BIGINT AS clip_id, clip_start::BIGINT AS clip_start, array_to_string(keys, ',') AS source_keys FROM o WHERE clip_start % 6 = 0 AND len(nums) = 8 AND nums[8] - nums[1] = 7""",
+    ARRIVED + """, passed AS (SELECT * FROM p WHERE at_ms <= (SELECT max(at_ms) FROM p) - 3600000),
+ o AS (SELECT video_id, row_number() OVER w - 1 AS clip_start, array_agg(frame_number) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS nums, array_agg(key) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS keys FROM passed WINDOW w AS (PARTITION BY video_id ORDER BY frame_number))""",
+)
+def r2_out_of_order_clips(spark, sf_dir):
+    """Frames that come within the hour of the watermark, in any order, give the clips of the batch up to the watermark."""
+    streams.use_rocksdb(spark)
+    out = drained(streams.stream_clips(arriving(spark, sf_dir), time="ts", delay="1 hour", idle_seconds=10**9), spark)
+    return out.filter(~F.col("late")).select("video", "clip_id", "clip_start", F.array_join("source_keys", ",").alias("source_keys"))
+
+
+@query("SELECT video_id AS video, key FROM p WHERE at_ms <= (SELECT max(q.at_ms) FROM p q WHERE q.part < p.part) - 300000", ARRIVED)
+def r2_late_frames(spark, sf_dir):
+    """With five minutes of patience, the frames that come after the watermark has passed them."""
+    streams.use_rocksdb(spark)
+    out = drained(streams.stream_clips(arriving(spark, sf_dir), time="ts", delay="5 minutes", idle_seconds=10**9), spark)
+    return out.filter("late").select("video", F.col("source_keys")[0].alias("key"))
+
+
 @query(
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, 'cat' || (user_id % 5) AS category, count(*)::BIGINT AS completed FROM events WHERE event_type <> 'error'
     AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type <> 'error') GROUP BY 1, 2"""

@@ -61,12 +61,16 @@ class ClipBuilder(StatefulProcessor):
         self.at = handle.getValueState("at", "position long, clip long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from made(self.advanced(key[0], sorted((int(r.frame_number), r.key) for batch in rows for r in batch.itertuples(index=False))))
+
+    def advanced(self, video: str, rows: list[tuple[int, str]]) -> list[tuple]:
+        """Clips and late frames of further frames, which are in order."""
         position, clip, last = self.at.get() if self.at.exists() else (0, 0, -1)
         held = list(self.frames.get())
         out = []
-        for n, name in sorted((int(r.frame_number), r.key) for batch in rows for r in batch.itertuples(index=False)):
+        for n, name in rows:
             if n <= last:
-                out.append((key[0], None, None, None, [n], [name], True))
+                out.append(late_frame(video, n, name))
                 continue
             last = n
             held.append((n, name))
@@ -76,21 +80,85 @@ class ClipBuilder(StatefulProcessor):
                 continue
             window = held[-self.need :: self.frame_stride]
             if start % self.clip_stride == 0 and all(b[0] - a[0] == self.frame_stride for a, b in zip(window[:-1], window[1:], strict=True)):
-                out.append((key[0], f"{key[0]}/clip_{clip:06d}", clip, start, [x[0] for x in window], [x[1] for x in window], False))
+                out.append((video, f"{video}/clip_{clip:06d}", clip, start, [x[0] for x in window], [x[1] for x in window], False))
                 clip += 1
             held = held[-(self.need - 1) :]
         self.frames.put(held)
         self.at.update((position, clip, last))
-        if out:
-            yield pd.DataFrame(out, columns=["video", "key", "clip_id", "clip_start", "frame_numbers", "source_keys", "late"])
+        return out
 
     def close(self) -> None:
         pass
 
 
-def stream_clips(frames: DataFrame, clip_len: int = 8, clip_stride: int = 6, frame_stride: int = 1) -> DataFrame:
-    """Clips of a stream of frames (video, frame_number, key), every `frame_stride`-th frame of a window; needs the RocksDB state store."""
-    return frames.groupBy("video").transformWithStateInPandas(statefulProcessor=ClipBuilder(clip_len, clip_stride, frame_stride), outputStructType=CLIPS, outputMode="Append", timeMode="None")
+def late_frame(video: str, n: int, key: str) -> tuple:
+    return video, None, None, None, [n], [key], True
+
+
+def made(out: list[tuple]) -> Iterator[pd.DataFrame]:
+    if out:
+        yield pd.DataFrame(out, columns=["video", "key", "clip_id", "clip_start", "frame_numbers", "source_keys", "late"])
+
+
+class TimedClipBuilder(ClipBuilder):
+    """Frames wait, in any order, until the watermark has passed them, and then go into clips in order of their number.
+
+    A frame that the watermark passed before it came is late. A video of which nothing has come for `idle` milliseconds of
+    event time behind its last frame loses its state; frames that still come for it are a new video.
+    """
+
+    def __init__(self, clip_len: int, clip_stride: int, frame_stride: int, idle: int):
+        super().__init__(clip_len, clip_stride, frame_stride)
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, n long, key string")
+        self.newest = handle.getValueState("newest", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        frames = [(None if pd.isna(r.at_ms) else int(r.at_ms), int(r.frame_number), r.key) for batch in rows for r in batch.itertuples(index=False)]
+        new = [f for f in frames if f[0] is not None and f[0] > passed]
+        if new:
+            newest = max(at for at, _, _ in new)
+            self.waiting.appendList(new)
+            self.newest.update((max(newest, self.newest.get()[0]) if self.newest.exists() else newest,))
+            self.handle.registerTimer(newest)
+        yield from made([late_frame(key[0], n, name) for at, n, name in frames if at is None or at <= passed])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = [f for f in waiting if f[0] <= passed]
+        if ready:
+            rest = [f for f in waiting if f[0] > passed]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            yield from made(self.advanced(key[0], sorted((n, name) for _, n, name in ready)))
+            waiting = rest
+        if not waiting and self.newest.exists():
+            gone = self.newest.get()[0] + self.idle
+            if gone <= passed:
+                for state in (self.frames, self.at, self.waiting, self.newest):
+                    state.clear()
+            elif ready:
+                self.handle.registerTimer(gone)
+
+
+def stream_clips(frames: DataFrame, clip_len: int = 8, clip_stride: int = 6, frame_stride: int = 1, time: str | None = None, delay: str = "1 hour", idle_seconds: float = 86_400) -> DataFrame:
+    """Clips of a stream of frames (video, frame_number, key), every `frame_stride`-th frame of a window; needs the RocksDB state store.
+
+    Without `time` the frames of a video must come in order, and its state stays. With it, the name of a timestamp column, frames may be `delay`
+    late: they come out in clips once the watermark has passed them, those that come later still are marked late (so are
+    frames without a time), and the state of a video goes `idle_seconds` of event time after its last frame.
+    """
+    if time is None:
+        return frames.groupBy("video").transformWithStateInPandas(statefulProcessor=ClipBuilder(clip_len, clip_stride, frame_stride), outputStructType=CLIPS, outputMode="Append", timeMode="None")
+    # the time goes on as a number: late rows are the processor's to report, and Spark would drop those of a time column
+    timed = frames.withWatermark(time, delay).select("video", "frame_number", "key", F.unix_millis(time).alias("at_ms"))
+    builder = TimedClipBuilder(clip_len, clip_stride, frame_stride, int(idle_seconds * 1000))
+    return timed.groupBy("video").transformWithStateInPandas(statefulProcessor=builder, outputStructType=CLIPS, outputMode="Append", timeMode="EventTime")
 
 
 def use_rocksdb(spark: SparkSession) -> None:

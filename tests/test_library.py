@@ -448,3 +448,33 @@ def test_late_frames_come_out_apart(spark, tmp_path):
         stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.clip_start for r in out.filter("not late").collect()) == [0, 2, 4] and [r.frame_numbers for r in out.filter("late").collect()] == [[2]]
+
+
+def test_frames_out_of_order_and_eviction(spark, tmp_path):
+    """Frames wait for the watermark, later ones come out apart, and the state of a video that is over goes."""
+    streams.use_rocksdb(spark)
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "video string, frame_number long, key string, ts timestamp"
+    rows = [
+        [("v", n, n) for n in (3, 1, 0, 2, 5)],
+        [("v", 4, 4), ("v", 7, 7), ("v", 6, 6), ("w", 0, 30)],  # the watermark stands before frame 4 yet
+        [("v", 2, 2), ("w", 1, 31), ("x", 0, None)],  # now behind all frames of v
+        [("w", 2, 100)],
+        [("z", 0, 500)],  # far behind w
+    ]
+    totals, clips, late = [], [], []
+
+    def keep(batch, n):
+        for r in batch.collect():
+            (late if r.late else clips).append((r.video, r.clip_start, r.frame_numbers))
+
+    for part in rows:
+        timed = spark.createDataFrame([(v, n, f"k{n}", at) for v, n, at in part], "video string, frame_number long, key string, at long")
+        timed.withColumn("ts", F.timestamp_seconds(F.col("at") + 1000)).drop("at").coalesce(1).write.mode("append").parquet(folder)
+        stream = streams.stream_clips(spark.readStream.schema(schema).parquet(folder), 4, 2, time="ts", delay="4 seconds", idle_seconds=50)
+        run = stream.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+        run.awaitTermination()
+        totals.append([p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]][-1])
+    assert sorted(clips) == [("v", 0, [0, 1, 2, 3]), ("v", 2, [2, 3, 4, 5]), ("v", 4, [4, 5, 6, 7])]
+    assert sorted(late) == [("v", None, [2]), ("x", None, [0])]
+    assert max(totals) > totals[-1]
