@@ -114,12 +114,31 @@ def class_balance(samples: DataFrame, by: list[str] | None = None, invert: bool
     return counts.withColumns({"raw_pos_weight": raw, "effective_pos_weight": effective})
 
 
-def metadata_complete(frames: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
-    """Per video of `expected` (column expected): whether its frame numbers are exactly 0 .. expected - 1, each once."""
-    own = frames.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct("frame_number").alias("distinct_rows"), F.min("frame_number").alias("first"), F.max("frame_number").alias("last"))
-    whole = (F.col("rows") == F.col("expected")) & (F.col("distinct_rows") == F.col("rows")) & (F.col("first") == 0) & (F.col("last") == F.col("expected") - 1)
-    joined = expected.join(own, by, "left")
-    return joined.select(*by, "expected", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.coalesce(whole, F.col("expected") == 0).alias("complete"))
+def exactly_numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the number of rows, and whether their frame numbers are exactly 0 .. rows - 1, each once."""
+    own = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct("frame_number").alias("_different"), F.min("frame_number").alias("_first"), F.max("frame_number").alias("_last"))
+    whole = (F.col("_different") == F.col("rows")) & (F.col("_first") == 0) & (F.col("_last") == F.col("rows") - 1)
+    return own.select(*by, "rows", F.coalesce(whole, F.lit(False)).alias("whole"))
+
+
+def metadata_complete(frames: DataFrame, expected: DataFrame, by: list[str], files: DataFrame | None = None) -> DataFrame:
+    """Per video of `expected` (column expected): whether its frame numbers are exactly 0 .. expected - 1, each once.
+
+    With `files` (by, frame_number) the numbers of its files must be so, too; their number is the column `files`.
+    """
+
+    def part(rows: DataFrame, name: str) -> DataFrame:
+        return exactly_numbered(rows, by).select(*by, F.col("rows").alias(name), F.col("whole").alias(f"_{name}"))
+
+    def good(name: str) -> Column:
+        return F.coalesce(F.col(f"_{name}") & (F.col(name) == F.col("expected")), F.col("expected") == 0)
+
+    joined = expected.join(part(frames, "rows"), by, "left")
+    count = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    if files is None:
+        return joined.select(*by, "expected", count("rows"), good("rows").alias("complete"))
+    both = joined.join(part(files.select(*by, "frame_number").distinct(), "files"), by, "left")
+    return both.select(*by, "expected", count("rows"), count("files"), (good("rows") & good("files")).alias("complete"))
 
 
 def first_per_group(samples: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.text import video_key
+from framelake.operators.reports import exactly_numbered
+from framelake.operators.sampling import expected_samples, sample_frames
+from framelake.sources.staging import scratch
 
 
 def completed_videos(audit: DataFrame) -> DataFrame:
@@ -70,3 +75,69 @@ def key_algebra(audit: DataFrame, shards: DataFrame, frames: DataFrame) -> DataF
     known = frames.select("key").distinct()
     named = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("keys"), "n")
     return named(done, "done").union(named(done.intersect(known), "done_and_known")).union(named(known.subtract(done), "not_done")).union(named(done.subtract(known), "not_known"))
+
+
+def video_states(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit: DataFrame, target_fps: int = 5) -> DataFrame:
+    """Where each video stands: video_key, expected, rows, files, complete, bootstrapped, action.
+
+    `manifest`: category, video_id, split, original_fps, num_frames. `frames`: rows written so far (category, video_id,
+    split, frame_number as text or number). `files`: frame files there are (category, video_id, frame_number). `audit`: category, video_id,
+    split, status.
+
+    A video is complete if the audit says so. An audit without complete videos is made up for: then those are complete
+    whose rows are numbered 0 .. expected - 1, each once, and whose files are numbered likewise. A rate or length that is
+    not known expects nothing and completes nothing. Actions: `keep` the rows; `rebuild` them from the files (complete,
+    without rows, all files there); `lost` (complete, without rows, files missing: nothing can be done, and the audit
+    stands); `extract` again, rows that there are go. Videos that only frames or the audit know have no expected number.
+    """
+    key = video_key("category", "video_id", "split").alias("video_key")
+    usable = (F.col("original_fps") > 0) & (F.col("num_frames") > 0)
+    expecting = expected_samples(manifest, target_fps).select(key, F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), F.when(usable, F.col("expected")).alias("expected"))
+    listed = expecting.groupBy("video_key", "category", "video_id").agg(F.max("expected").alias("expected"))
+    number = F.trim(F.col("frame_number").cast("string")).try_cast("long")
+    found = files.select(F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), number.alias("frame_number")).filter("frame_number is not null").distinct()
+    # numbers up to the expected one that have a file: all of them are there if these are as many
+    filed = listed.join(found, ["category", "video_id"], "left").groupBy("video_key").agg(F.first("expected").alias("expected"), F.count("frame_number").alias("files"), F.count_if(F.col("frame_number").between(0, F.col("expected") - 1)).alias("due"))
+    written = exactly_numbered(frames.select(key, number.alias("frame_number")), ["video_key"]).withColumnRenamed("whole", "numbered")
+    audited = audit.filter(F.lower(F.trim("status")) == "complete").select(key).distinct().withColumn("audited", F.lit(True))
+    none = audited.agg(F.count("*") == 0).scalar()
+    joined = filed.join(written, "video_key", "full_outer").join(audited, "video_key", "full_outer")
+    rows, counted = F.coalesce("rows", F.lit(0)), F.coalesce("files", F.lit(0))
+    all_there = (F.col("due") == F.col("expected")) & (F.col("expected") > 0)
+    whole = F.coalesce(F.col("numbered") & (F.col("rows") == F.col("expected")) & all_there & (F.col("files") == F.col("expected")), F.lit(False))
+    states = joined.select("video_key", "expected", rows.alias("rows"), counted.alias("files"), F.coalesce("audited", F.lit(False)).alias("audited"), (none & whole).alias("bootstrapped"), F.coalesce(all_there, F.lit(False)).alias("all_there"))
+    complete = F.col("audited") | F.col("bootstrapped")
+    action = F.when(~complete, "extract").when(F.col("rows") > 0, "keep").when(F.col("all_there"), "rebuild").otherwise("lost")
+    return states.select("video_key", "expected", "rows", "files", complete.alias("complete"), "bootstrapped", action.alias("action"))
+
+
+class Reconciled(NamedTuple):
+    """State of each video, audit rows that are still to be appended, and the frame rows that hold from now on."""
+
+    states: DataFrame
+    audit: DataFrame
+    frames: DataFrame
+
+
+def reconcile(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit: DataFrame, target_fps: int = 5) -> Reconciled:
+    """Brings audit, frame rows and files into agreement (see `video_states`).
+
+    `manifest` also has binary_label, `files` frame_path, and `frames` the columns category, video_id, split, frame_path,
+    frame_number, original_frame_index, timestamp, binary_label. Rows of videos that are to be extracted again are left out, those of
+    complete videos without rows come back from their files.
+    """
+    spark = manifest.sparkSession
+    path = scratch(spark, "video_states")
+    video_states(manifest, frames, files, audit, target_fps).write.parquet(path)
+    states = spark.read.parquet(path)
+    key = video_key("category", "video_id", "split")
+    listed = manifest.withColumn("video_key", key)
+    boot = listed.join(states.filter("bootstrapped").select("video_key"), "video_key", "left_semi")
+    entries = boot.select("category", "video_id", "split", F.lit("complete").alias("status")).distinct()
+    columns = ["category", "video_id", "split", "frame_path", "frame_number", "original_frame_index", "timestamp", "binary_label"]
+    kept = frames.withColumn("video_key", key).join(states.filter("action = 'keep'").select("video_key"), "video_key", "left_semi").select(*columns)
+    again = sample_frames(listed.join(states.filter("action = 'rebuild'").select("video_key"), "video_key", "left_semi"), target_fps)
+    own = files.select("category", "video_id", F.col("frame_number").cast("int").alias("frame_number"), "frame_path")
+    rebuilt = again.join(own, ["category", "video_id", "frame_number"])
+    same = [F.col(c).cast(kept.schema[c].dataType).alias(c) for c in columns]
+    return Reconciled(states, entries, kept.unionByName(rebuilt.select(*same)))

@@ -95,6 +95,67 @@ def j4_rebuild_frames(spark, sf_dir):
     return resume.rebuild_frames(files, v, plan).select("video_id", F.col("frame_number").cast("long").alias("frame_number"), "original_frame_index", "binary_label")
 
 
+PLANNED = B.VIDEOS + """, plan AS (SELECT category, video_id, lower(trim(split)) AS split, original_fps, binary_label, k::BIGINT AS frame_number, greatest(k, ceil((k * 1.0::DOUBLE - 1e-9) * original_fps))::BIGINT AS original_frame_index, video_id::BIGINT % 8 AS kind
+ FROM videos, generate_series(0, 1200) t(k) WHERE num_frames > 0 AND greatest(k, ceil((k * 1.0::DOUBLE - 1e-9) * original_fps)) < num_frames),
+ sizes AS (SELECT video_id, count(*) AS expected FROM plan GROUP BY video_id)"""
+
+
+def half_extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Videos, frame rows and files of an extraction at one frame a second that was cut off in several ways, by number modulo 8.
+
+    1: rows with a gap. 2: the last file missing. 3: a row twice. 4: a number that is none. 5: no rows. 6: no rows and no first
+    file. 7: a file too many. Others are whole.
+    """
+    v = B.videos(spark, sf_dir)
+    kind, n = F.col("video_id").cast("long") % 8, F.col("frame_number")
+    path = F.format_string("%s/%s_frame_%05d.jpg", "category", "video_id", "frame_number")
+    plan = sampling.sample_frames(v, 1).withColumn("frame_path", path)
+    text_number = F.when((kind == 4) & (n == 0), "x").otherwise(n.cast("string"))
+    rows = plan.filter(~kind.isin(5, 6) & ~((kind == 1) & (n == 2)))
+    rows = rows.select("category", "video_id", F.upper("split").alias("split"), "frame_path", text_number.alias("frame_number"), "original_frame_index", "timestamp", "binary_label")
+    rows = rows.unionByName(rows.filter((kind == 3) & (F.col("frame_number") == "0")))
+    sizes = sampling.expected_samples(v, 1).select("video_id", "expected")
+    files = plan.select("category", "video_id", "frame_number", "frame_path").join(sizes, "video_id").filter(~((kind == 2) & (n == F.col("expected") - 1)) & ~((kind == 6) & (n == 0)))
+    more = sampling.expected_samples(v, 1).filter((kind == 7) & (F.col("expected") > 0)).select("category", "video_id", F.col("expected").cast("int").alias("frame_number"))
+    return v, rows, files.drop("expected").unionByName(more.withColumn("frame_path", path))
+
+
+@query(
+    """SELECT category || '|' || v.video_id || '|' || lower(trim(split)) AS video_key, CASE WHEN num_frames > 0 THEN e END AS expected, n AS rows, f AS files, num_frames > 0 AND kind = 0 OR num_frames > 0 AND kind = 1 AND e < 3 AS complete,
+    CASE WHEN num_frames > 0 AND (kind = 0 OR kind = 1 AND e < 3) THEN 'keep' ELSE 'extract' END AS action FROM (SELECT v.*, kind, coalesce(expected, 0)::BIGINT AS e,
+    (CASE WHEN kind IN (5, 6) THEN 0 ELSE coalesce(expected, 0) - (kind = 1 AND coalesce(expected, 0) > 2)::INTEGER + (kind = 3 AND coalesce(expected, 0) > 0)::INTEGER END)::BIGINT AS n,
+    (CASE WHEN coalesce(expected, 0) = 0 THEN 0 ELSE expected - (kind IN (2, 6))::INTEGER + (kind = 7)::INTEGER END)::BIGINT AS f FROM (SELECT *, video_id::BIGINT % 8 AS kind FROM videos) v LEFT JOIN sizes s ON s.video_id = v.video_id) v""",
+    PLANNED,
+)
+def a8_video_states(spark, sf_dir):
+    """Manifest, rows and files of each video, and what is to be done, when there is no audit."""
+    v, rows, files = half_extracted(spark, sf_dir)
+    states = resume.video_states(v, rows, files, B.audit(spark, sf_dir).filter("status = ''"), 1)
+    return states.select("video_key", "expected", "rows", "files", "complete", "action")
+
+
+@query(
+    "SELECT v.category, v.video_id, v.split, 'complete' AS status FROM videos v JOIN sizes s ON s.video_id = v.video_id WHERE v.video_id::BIGINT % 8 = 0 OR v.video_id::BIGINT % 8 = 1 AND expected < 3",
+    PLANNED,
+)
+def s7_bootstrapped_audit(spark, sf_dir):
+    """The audit that whole rows and files make up for."""
+    v, rows, files = half_extracted(spark, sf_dir)
+    return resume.reconcile(v, rows, files, B.audit(spark, sf_dir).filter("status = ''"), 1).audit
+
+
+@query(
+    """SELECT category, video_id, split, category || '/' || video_id || '_frame_' || lpad(frame_number::VARCHAR, 5, '0') || '.jpg' AS frame_path, frame_number::VARCHAR AS frame_number, original_frame_index, round(original_frame_index / original_fps, 6) AS timestamp, binary_label FROM plan WHERE kind IN (0, 5)""",
+    PLANNED,
+)
+def j4_reconciled_frames(spark, sf_dir):
+    """Rows that hold: those of audited videos, from their files where there are none; gapped ones go."""
+    v, rows, files = half_extracted(spark, sf_dir)
+    audit = v.filter((F.col("video_id").cast("long") % 8).isin(0, 5, 6)).select("category", "video_id", "split", F.lit(" Complete").alias("status"))
+    out = resume.reconcile(v, rows, files, audit, 1).frames
+    return out.withColumns({"split": F.lower(F.trim("split")), "timestamp": F.round("timestamp", 6)})
+
+
 INTERPOLATED = B.DETECTIONS + """, j AS (SELECT p.category, p.video_id, p.pos, d.status, d.bbox, d.confidence, d.num_faces, CASE WHEN d.status = 'ok' AND d.k % 7 <> 0 THEN d.k END AS mark,
  CASE WHEN d.status = 'ok' THEN {'pos': p.pos, 'bbox': d.bbox, 'confidence': d.confidence, 'num_faces': d.num_faces, 'mark': CASE WHEN d.k % 7 <> 0 THEN d.k END} END AS rec
  FROM positioned p LEFT JOIN detections d ON p.category = d.category AND p.video_id = d.video_id AND p.pos = d.pos),

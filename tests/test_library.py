@@ -478,3 +478,32 @@ def test_frames_out_of_order_and_eviction(spark, tmp_path):
     assert sorted(clips) == [("v", 0, [0, 1, 2, 3]), ("v", 2, [2, 3, 4, 5]), ("v", 4, [4, 5, 6, 7])]
     assert sorted(late) == [("v", None, [2]), ("x", None, [0])]
     assert max(totals) > totals[-1]
+
+
+def test_reconcile(spark):
+    """As a directory with rows, files and an audit of several kinds would be taken up again."""
+    manifest = spark.createDataFrame([("c", f"v{k}", "train", 1, 5.0 if k != 8 else 0.0, 4) for k in range(10)], "category string, video_id string, split string, binary_label int, original_fps double, num_frames long")
+    numbers = {0: "0123", 1: "013", 2: "0123", 3: "00123", 5: "", 6: "", 7: "0123", 8: "0123", 9: ""}
+    columns = "category string, video_id string, split string, frame_path string, frame_number string, original_frame_index long, timestamp double, binary_label int"
+    frames = spark.createDataFrame([("c", f"v{k}", " Train", "p", n, int(n), 0.0, 1) for k, own in numbers.items() for n in own] + [("c", "gone", "train", "p", "0", 0, 0.0, 1)], columns)
+    filed = {0: "0123", 1: "0123", 2: "012", 3: "0123", 5: "0123", 6: "123", 7: "01234", 8: "0123", 9: "01234"}
+    files = spark.createDataFrame([("c", f"v{k}", int(n), f"c/v{k}_frame_0000{n}.jpg") for k, own in filed.items() for n in own], "category string, video_id string, frame_number int, frame_path string")
+    audit = lambda *done: spark.createDataFrame([("c", v, "TRAIN", "Complete ") for v in done] + [("c", "v1", "train", "failed")], "category string, video_id string, split string, status string")
+    states = {r.video_key: (r.complete, r.bootstrapped, r.action) for r in resume.video_states(manifest, frames, files, audit()).collect()}
+    assert states.pop("c|v0|train") == (True, True, "keep") and len(states) == 10 and set(states.values()) == {(False, False, "extract")}
+    out = resume.reconcile(manifest, frames, files, audit())
+    assert [(r.video_id, r.status) for r in out.audit.collect()] == [("v0", "complete")] and {r.video_id for r in out.frames.collect()} == {"v0"}
+    # an audit that knows a video is believed, and nothing is made up
+    out = resume.reconcile(manifest, frames, files, audit("v3", "v5", "v6", "v9", "gone"))
+    assert {r.video_key.split("|")[1]: r.action for r in out.states.filter("complete").collect()} == {"v3": "keep", "v5": "rebuild", "v6": "lost", "v9": "rebuild", "gone": "keep"}
+    assert out.audit.count() == 0
+    rows = sorted((r.video_id, r.frame_number, r.original_frame_index, r.frame_path) for r in out.frames.collect())
+    assert rows == sorted([("gone", "0", 0, "p"), *(("v3", n, int(n), "p") for n in "00123"), *((v, n, int(n), f"c/{v}_frame_0000{n}.jpg") for v in ("v5", "v9") for n in "0123")])
+    assert resume.video_states(manifest.limit(0), frames.limit(0), files.limit(0), audit().limit(0)).count() == 0
+
+
+def test_files_count_towards_completeness(spark):
+    numbers = lambda rows: spark.createDataFrame([(v, n) for v, own in rows.items() for n in own], "video_id string, frame_number long")
+    expected = spark.createDataFrame([("a", 3), ("b", 3), ("c", 3), ("d", 0)], "video_id string, expected long")
+    out = reports.metadata_complete(numbers({"a": [0, 1, 2], "b": [0, 1, 2], "c": [0, 1, 3]}), expected, ["video_id"], numbers({"a": [2, 1, 0, 0], "b": [0, 2], "c": [0, 1, 2]}))
+    assert {r.video_id: (r.rows, r.files, r.complete) for r in out.collect()} == {"a": (3, 3, True), "b": (3, 2, False), "c": (3, 3, False), "d": (0, 0, True)}
