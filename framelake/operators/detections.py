@@ -39,25 +39,86 @@ def main_face(candidates, before: list[int] | None) -> int:
     return max(range(len(value)), key=lambda k: (value[k], -k))
 
 
-def choose_main_face(found: DataFrame, by: list[str], settled: str | None = None) -> DataFrame:
+#: Positions of a video that are folded in one task.
+STRETCH = 8192
+
+
+class StretchMap:
+    """What a stretch of frames makes of the box before it: a map with an entry for each candidate of its first open frame.
+
+    That frame picks one of its candidates by the box before; all that follows in the stretch depends on that choice alone.
+    Frames without candidates are the identity, a frame whose box is known makes the map a constant.
+    """
+
+    def __init__(self) -> None:
+        self.first: list | None = None
+        self.boxes: list[list[int]] = []
+
+    def add(self, candidates, known) -> None:
+        if known is not None:
+            self.boxes = [list(known)] * max(1, len(self.boxes))
+        elif candidates is not None and len(candidates):
+            if self.boxes:
+                after = {key: list(candidates[main_face(candidates, key)]["bbox"]) for key in {tuple(box) for box in self.boxes}}
+                self.boxes = [after[tuple(box)] for box in self.boxes]
+            else:
+                self.first, self.boxes = [{"bbox": list(c["bbox"]), "score": c["score"]} for c in candidates], [list(c["bbox"]) for c in candidates]
+
+
+def choose_main_face(found: DataFrame, by: list[str], settled: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """Adds `chosen` (bbox, score, landmarks; null without a face) to frames with pos and `candidates`.
 
     In order of pos, each video remembers the last box; frames without candidates leave it as it is. Frames whose box is
-    known already, in the column `settled`, hand that one on and get no other. Videos are dealt by key and sorted, and a
-    task holds one frame and one box at a time.
+    known already, in the column `settled`, hand that one on and get no other. A long video spreads over tasks, `stretch`
+    positions each: every stretch gives its map of boxes (`StretchMap`), a scan over these maps, a few boxes each, gives the box
+    before every stretch, and then stretches are folded by themselves. Tasks hold one frame and a few boxes at a time.
     """
     columns = found.columns
     kind = found.schema["candidates"].dataType.elementType.simpleString()
-    ordered = found.repartition(*by).sortWithinPartitions(*by, "pos")
+    named = lambda fields: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    key = named(found.schema[c] for c in by)
+    ordered = found.withColumn("_stretch", F.floor(F.col("pos") / stretch)).repartition(*by, "_stretch").sortWithinPartitions(*by, "_stretch", "pos")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, StretchMap()
+        for rows in batches:
+            out = []
+            known = rows[settled] if settled else [None] * len(rows)
+            for place, candidates, box in zip(rows[[*by, "_stretch"]].itertuples(index=False, name=None), rows["candidates"], known, strict=True):
+                if place != at:
+                    if at:
+                        out.append((*at, own.first, own.boxes))
+                    at, own = place, StretchMap()
+                own.add(candidates, box)
+            yield pd.DataFrame(out, columns=[*by, "_stretch", "first", "boxes"])
+        if at:
+            yield pd.DataFrame([(*at, own.first, own.boxes)], columns=[*by, "_stretch", "first", "boxes"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, box = None, None
+        for rows in batches:
+            before = []
+            for place, first, boxes in zip(rows[by].itertuples(index=False, name=None), rows["first"], rows["boxes"], strict=True):
+                if place != video:
+                    video, box = place, None
+                before.append(box)
+                if len(boxes):
+                    box = list(boxes[0 if first is None else main_face(first, box)])
+            yield rows[[*by, "_stretch"]].assign(_before=pd.Series(before, index=rows.index, dtype=object))
+
+    mapped = ordered.mapInPandas(maps, f"{key}, _stretch long, first array<struct<bbox:array<int>,score:double>>, boxes array<array<int>>")
+    before = mapped.repartition(*by).sortWithinPartitions(*by, "_stretch").mapInPandas(scan, f"{key}, _stretch long, _before array<int>")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_stretch"]]
+    placed = ordered.alias("r").join(before.alias("b"), same).select("r.*", "b._before").sortWithinPartitions(*by, "_stretch", "pos")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, box = None, None
         for rows in batches:
             chosen = []
             known = rows[settled] if settled else [None] * len(rows)
-            for key, candidates, own in zip(rows[by].itertuples(index=False), rows["candidates"], known, strict=True):
-                if key != video:
-                    video, box = key, None
+            for place, candidates, own, start in zip(rows[[*by, "_stretch"]].itertuples(index=False, name=None), rows["candidates"], known, rows["_before"], strict=True):
+                if place != at:
+                    at, box = place, start
                 face = None
                 if own is not None:
                     box = own
@@ -65,9 +126,9 @@ def choose_main_face(found: DataFrame, by: list[str], settled: str | None = None
                     face = candidates[main_face(candidates, box)]
                     box = face["bbox"]
                 chosen.append(face)
-            yield rows.assign(chosen=pd.Series(chosen, index=rows.index, dtype=object))
+            yield rows.drop(columns="_before").assign(chosen=pd.Series(chosen, index=rows.index, dtype=object))
 
-    return ordered.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in found.schema)}, chosen {kind}").select(*columns, "chosen")
+    return placed.mapInPandas(run, f"{named(placed.drop('_before').schema)}, chosen {kind}").select(*columns, "chosen")
 
 
 def second_pass(frames: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:

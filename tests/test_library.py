@@ -507,3 +507,51 @@ def test_files_count_towards_completeness(spark):
     expected = spark.createDataFrame([("a", 3), ("b", 3), ("c", 3), ("d", 0)], "video_id string, expected long")
     out = reports.metadata_complete(numbers({"a": [0, 1, 2], "b": [0, 1, 2], "c": [0, 1, 3]}), expected, ["video_id"], numbers({"a": [2, 1, 0, 0], "b": [0, 2], "c": [0, 1, 2]}))
     assert {r.video_id: (r.rows, r.files, r.complete) for r in out.collect()} == {"a": (3, 3, True), "b": (3, 2, False), "c": (3, 3, False), "d": (0, 0, True)}
+
+
+def test_main_face_over_stretches(spark):
+    """A long video in stretches of 16 positions, over several tasks, as one fold from its first frame to its last."""
+    r = random.Random(11)
+    rows, want = [], {}
+    for video, length in ((None, 5), ("long", 700), ("short", 3), ("void", 40)):
+        box = None
+        for pos in range(0, 5 * length, 5):
+            some = None if video == "void" or r.random() < 0.3 else [(r.randrange(60), r.randrange(60)) for _ in range(r.randrange(1, 5))]
+            faces = some and [{"bbox": [x, y, x + 30 + r.randrange(9), y + 40], "score": r.random(), "landmarks": None} for x, y in some]
+            known = [r.randrange(50), 0, 60, 60] if faces is None and r.random() < 0.1 and video != "void" else None
+            face = None
+            if known:
+                box = known
+            elif faces:
+                face = faces[detections.main_face(faces, box)]
+                box = face["bbox"]
+            rows.append((video, pos, faces, known))
+            want[video, pos] = face and face["bbox"]
+    df = spark.createDataFrame(rows, "video string, pos long, candidates array<struct<bbox:array<int>,score:double,landmarks:map<string,array<double>>>>, known array<int>").repartition(7)
+    for stretch in (16, 100_000):
+        out = detections.choose_main_face(df, ["video"], "known", stretch)
+        assert {(x.video, x.pos): x.chosen and x.chosen.bbox for x in out.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = detections.choose_main_face(df, ["video"], "known", 16).filter("video = 'long'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks == 4
+
+
+def test_stretch_maps_compose():
+    """A stretch's map applied to any box before it is the fold over the stretch."""
+    r = random.Random(12)
+    face = lambda: {"bbox": [x := r.randrange(40), y := r.randrange(40), x + 20, y + 25], "score": r.random()}
+    for _ in range(300):
+        frames = [None if r.random() < 0.4 else [face() for _ in range(r.randrange(1, 4))] for _ in range(r.randrange(12))]
+        own = detections.StretchMap()
+        for f in frames:
+            own.add(f, None)
+        for before in (None, [0, 0, 30, 30], face()["bbox"]):
+            box = before
+            for f in frames:
+                if f:
+                    box = f[detections.main_face(f, box)]["bbox"]
+            got = before if not own.boxes else own.boxes[0 if own.first is None else detections.main_face(own.first, before)]
+            assert got == box
