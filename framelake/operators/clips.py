@@ -7,27 +7,40 @@ from pyspark.sql import functions as F
 
 from framelake.functions.scores import OF_EIGHT, center_candidates, default_position, inside_clip
 from framelake.functions.text import clip_label_text, draw
+from framelake.operators import stretches
 
 
-def build_clips(frames: DataFrame, by: list[str], clip_len: int = 8, frame_stride: int = 1, clip_stride: int = 6, video_path: str = "video_id", carry: tuple[str, ...] = ()) -> DataFrame:
+def build_clips(frames: DataFrame, by: list[str], clip_len: int = 8, frame_stride: int = 1, clip_stride: int = 6, video_path: str = "video_id", carry: tuple[str, ...] = (), stretch: int | None = None) -> DataFrame:
     """One row per clip of frames that follow each other at `frame_stride`.
 
     Frames (frame_number, original_frame_index, key, timestamp, binary_label) are ordered in each video; windows start at
     every `clip_stride`-th position, and only windows without gaps get a clip number. `carry`: columns that a clip takes
-    from its first frame.
+    from its first frame. With `stretch`, for videos too long for one task, a video is sorted by ranges and its windows run over so many
+    positions at a time (see `stretches`).
     """
-    order = Window.partitionBy(*by).orderBy("frame_number", "original_frame_index", "key")
+    ordering = ["frame_number", "original_frame_index", "key"]
+    if stretch is None:
+        order = Window.partitionBy(*by).orderBy(*ordering)
+        placed = frames.withColumn("clip_start", F.row_number().over(order) - 1)
+    else:
+        reach = (clip_len - 1) * frame_stride
+        order = Window.partitionBy(*by, "_stretch").orderBy("pos")
+        placed = stretches.bordered(stretches.with_position(frames, by, ordering), reach, max(stretch, reach)).withColumn("clip_start", F.col("pos"))
     frame = F.struct("frame_number", "original_frame_index", "timestamp", "key")
     ahead = {f"_frame{k}": F.lead(frame, k * frame_stride).over(order) for k in range(1, clip_len)}
-    placed = frames.withColumns({"clip_start": F.row_number().over(order) - 1, "_frame0": frame, **ahead})
+    placed = placed.withColumns({"_frame0": frame, **ahead})
     starts = placed.filter((F.col("clip_start") % clip_stride == 0) & F.col(f"_frame{clip_len - 1}").isNotNull())
+    starts = starts if stretch is None else starts.filter(~F.col("_border"))
     picked = starts.withColumn("_own", F.array(*[F.col(f"_frame{k}") for k in range(clip_len)])).drop(*[f"_frame{k}" for k in range(clip_len)])
     numbers = F.col("_own.frame_number")
     steps = F.zip_with(F.slice(numbers, 2, clip_len - 1), F.slice(numbers, 1, clip_len - 1), lambda b, a: b - a)
     whole = picked.filter(F.forall(steps, lambda d: d == max(1, frame_stride)))
-    clip_id = F.row_number().over(Window.partitionBy(*by).orderBy("clip_start")) - 1
+    if stretch is None:
+        whole = whole.withColumn("clip_id", F.row_number().over(Window.partitionBy(*by).orderBy("clip_start")) - 1)
+    else:
+        whole = stretches.ranked(whole, by, "clip_start", "clip_id", max(stretch, reach)).withColumn("clip_id", F.col("clip_id").cast("int"))
     centers = center_candidates(clip_len)
-    return whole.withColumn("clip_id", clip_id).select(
+    return whole.select(
         *by,
         F.concat(F.col(video_path).cast("string"), F.format_string("/clip_%06d", "clip_id")).alias("key"),
         "clip_id",

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import lerp_bbox, lerp_landmarks, square_crop_box
+from framelake.operators import stretches
 
 
 def with_position(frames: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds pos, the 0-based place of the frame in its video, and frames_in_video."""
+    """Adds pos, the 0-based place of the frame in its video, and frames_in_video; for very long videos see `stretches.with_position`."""
     w = Window.partitionBy(*by)
     return frames.withColumns({"pos": F.row_number().over(w.orderBy(*order)) - 1, "frames_in_video": F.count("*").over(w)})
 
@@ -157,21 +158,26 @@ def second_pass(frames: DataFrame, found: DataFrame, by: list[str]) -> DataFrame
     ).select(*frames.columns)
 
 
-def interpolate_detections(positioned: DataFrame, detections: DataFrame, by: list[str]) -> DataFrame:
+def interpolate_detections(positioned: DataFrame, detections: DataFrame, by: list[str], stretch: int | None = None) -> DataFrame:
     """Frames with their detection: keyframes keep theirs; frames between two good keyframes get the box between them.
 
     `detections`: by, pos, status, num_faces, confidence, bbox, landmarks. Adds these and source; frames outside have nulls.
+    With `stretch`, for videos too long for one task, keyframes are looked for in so many positions at a time, and those
+    of other stretches come from a summary of each (see `stretches`).
     """
     good = (F.col("status") == "ok") & F.col("bbox").isNotNull()
     joined = positioned.join(detections.select(*by, "pos", "status", "num_faces", "confidence", "bbox", "landmarks"), [*by, "pos"], "left")
     record = F.when(F.col("status") == "ok", F.struct("pos", "num_faces", "confidence", "bbox", "landmarks"))
-    w = Window.partitionBy(*by).orderBy("pos")
-    seen = joined.withColumns(
-        {
-            "_last": F.last(record, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "_next": F.first(record, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        }
-    )
+    if stretch is None:
+        w = Window.partitionBy(*by).orderBy("pos")
+        seen = joined.withColumns(
+            {
+                "_last": F.last(record, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                "_next": F.first(record, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+            }
+        )
+    else:
+        seen = stretches.carried(joined, by, record, "_record", stretch).withColumnsRenamed({"last__record": "_last", "next__record": "_next"})
     last, after = F.col("_last"), F.col("_next")
     between = F.col("status").isNull() & last["bbox"].isNotNull() & after["bbox"].isNotNull()
     t = (F.col("pos") - last["pos"]) / (after["pos"] - last["pos"]).cast("double")

@@ -10,15 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.text import draw
+from framelake.operators import stretches
 
 #: Channel means and deviations of the usual image normalisation.
 MEAN, STD = np.array([0.485, 0.456, 0.406], np.float32), np.array([0.229, 0.224, 0.225], np.float32)
 
 
-def frame_difference(frames: DataFrame, by: list[str], order: list[str], pixels: str = "pixels") -> DataFrame:
-    """Adds `difference`, the absolute change of each value since the frame before (null for a first frame)."""
-    before = F.lag(pixels).over(Window.partitionBy(*by).orderBy(*order))
-    return frames.withColumn("_before", before).withColumn("difference", F.zip_with("_before", F.col(pixels), lambda a, b: F.abs(b - a))).drop("_before")
+def frame_difference(frames: DataFrame, by: list[str], order: list[str], pixels: str = "pixels", stretch: int | None = None) -> DataFrame:
+    """Adds `difference`, the absolute change of each value since the frame before (null for a first frame).
+
+    With `stretch`, for videos too long for one task, a video is compared so many positions at a time (see `stretches`).
+    """
+    if stretch is None:
+        seen = frames.withColumn("_before", F.lag(pixels).over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        placed = stretches.bordered(stretches.with_position(frames, by, order), 1, stretch)
+        compared = placed.withColumn("_before", F.lag(pixels).over(Window.partitionBy(*by, "_stretch").orderBy("pos")))
+        # the first row of a stretch is compared where it is the last one's border
+        seen = compared.filter(F.col("_border") | (F.col("pos") % stretch != 0) | (F.col("pos") == 0)).select(*frames.columns, "_before")
+    return seen.withColumn("difference", F.zip_with("_before", F.col(pixels), lambda a, b: F.abs(b - a))).drop("_before")
 
 
 def motion_magnitude(differences: DataFrame, by: list[str]) -> DataFrame:

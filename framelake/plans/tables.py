@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import samples, text
-from framelake.operators import clips, detections, history, metrics, pixels, reports, resume, sampling, splits
+from framelake.operators import clips, detections, history, metrics, pixels, reports, resume, sampling, splits, stretches
 from framelake.plans import bindings as B
 from framelake.plans.registry import query
 
@@ -774,3 +774,45 @@ def x7_crop_pixels(spark, sf_dir):
 @query("SELECT event_id, value IS NOT NULL AS has_value, category || '|' || video_id || '|val' AS video_key FROM frames", B.FRAMES)
 def p6_video_key(spark, sf_dir):
     return B.frames(spark, sf_dir).select("event_id", F.col("value").isNotNull().alias("has_value"), text.video_key("category", "video_id", F.lit("val")).alias("video_key"))
+
+
+# one long video: all events in order of their number
+
+
+def one_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "events")
+    return e.select(F.lit("all").alias("video_id"), F.col("event_id").alias("frame_number"), F.col("event_id").alias("original_frame_index"), F.col("event_id").cast("string").alias("key"), F.lit(0.0).alias("timestamp"), F.lit(0).alias("binary_label"), "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query(
+    """SELECT (row_number() OVER (ORDER BY clip_start) - 1)::INTEGER AS clip_id, clip_start::BIGINT AS clip_start, array_to_string(nums, ',') AS frame_numbers FROM (SELECT row_number() OVER w - 1 AS clip_start, array_agg(event_id) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS nums
+    FROM events WHERE event_type <> 'error' WINDOW w AS (ORDER BY event_id)) WHERE clip_start % 6 = 0 AND len(nums) = 8 AND nums[8] - nums[1] = 7"""
+)
+def w7_one_long_video(spark, sf_dir):
+    """Its windows run over stretches in many tasks."""
+    own = one_video(spark, sf_dir).filter("event_type <> 'error'")
+    return clips.build_clips(own, ["video_id"], stretch=500).select("clip_id", "clip_start", F.concat_ws(",", F.col("frame_numbers").cast("array<string>")).alias("frame_numbers"))
+
+
+@query(
+    """SELECT pos, CASE WHEN NOT key_frame AND a IS NOT NULL AND b IS NOT NULL THEN 'interpolated' WHEN ok THEN 'detected' END AS source, CASE WHEN ok THEN x ELSE CASE WHEN NOT key_frame THEN round_even((1 - (pos - a.pos) / (b.pos - a.pos)::DOUBLE) * a.x + (pos - a.pos) / (b.pos - a.pos)::DOUBLE * b.x, 0)::INTEGER END END AS x1,
+    CASE WHEN ok THEN n ELSE CASE WHEN NOT key_frame AND a IS NOT NULL AND b IS NOT NULL THEN greatest(a.n, b.n) END END::INTEGER AS num_faces FROM n""",
+    """p AS (SELECT event_type, floor(value)::INTEGER % 300 AS x, 1 + floor(value)::INTEGER % 3 AS n, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () AS total FROM events),
+ k AS (SELECT *, pos % 5 = 0 OR pos = total - 1 AS key_frame, (pos % 5 = 0 OR pos = total - 1) AND event_type NOT IN ('error', 'view') AS ok FROM p),
+ r AS (SELECT *, CASE WHEN ok THEN {'pos': pos, 'x': x, 'n': n} END AS rec FROM k),
+ n AS (SELECT *, last_value(rec IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(rec IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM r)""",
+)
+def j5_one_long_video(spark, sf_dir):
+    """Positions by a range sort; keyframes before and after from the stretch or from summaries of others."""
+    placed = stretches.with_position(one_video(spark, sf_dir), ["video_id"], ["frame_number"])
+    x, n = F.floor("value").cast("int") % 300, 1 + F.floor("value").cast("int") % 3
+    ok = ~F.col("event_type").isin("error", "view")
+    found = detections.keyframes(placed).select("video_id", "pos", F.when(ok, "ok").otherwise("no_face").alias("status"), F.when(ok, n).alias("num_faces"), F.when(ok, 0.5).alias("confidence"), F.when(ok, F.array(x, F.lit(0), x + 9, F.lit(9))).alias("bbox"), F.lit(None).cast("map<string,array<double>>").alias("landmarks"))
+    out = detections.interpolate_detections(placed, found, ["video_id"], stretch=500)
+    return out.select(F.col("pos").cast("long").alias("pos"), "source", F.col("bbox")[0].alias("x1"), F.col("num_faces").cast("int").alias("num_faces"))
+
+
+@query("SELECT event_id AS frame_number, round(abs(value - lag(value) OVER (ORDER BY event_id)), 6) AS difference FROM events")
+def w8_one_long_video(spark, sf_dir):
+    own = one_video(spark, sf_dir).select("video_id", "frame_number", F.array("value").alias("pixels"))
+    return pixels.frame_difference(own, ["video_id"], ["frame_number"], stretch=500).select("frame_number", F.round(F.col("difference")[0], 6).alias("difference"))
