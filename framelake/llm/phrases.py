@@ -27,6 +27,8 @@ from framelake.llm.common import drop_staged, mix, partitions, pieces, returning
 LONGEST = 5
 #: Least count of a candidate; phrases reported for a language.
 LEAST, TOP = 100, 2000
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 #: Text of a bucket and of a slice, in bytes; edges of a sample that the ranges are fitted on, for each bucket.
 BUCKET, SLICE, SAMPLED = 8 << 20, 16 << 20, 16
 #: Bits of each of the first four words' hashes in an edge's order.
@@ -332,5 +334,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     found = staged(counts(read, least), "counts")
     along, within = paths(found)
     rated = scored(found, candidates(found, along, within))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return rated.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    # first the best of each of many parts of a language, then the best of these
+    dealt = rated.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    some = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).filter(F.col("rank") <= top)
+    order = Window.partitionBy("lang").orderBy(*best)
+    return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
