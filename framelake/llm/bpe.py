@@ -121,6 +121,7 @@ class PrefixTrie:
                 if not self._reachable(token):
                     del table[text]
         self.reach = {id(table): self._reach(table) for table in (self.inner, self.final)}
+        self.longest = max(max(x.values(), default=2) for x in self.reach.values())
 
     @staticmethod
     def _reach(table: dict[str, int]) -> dict[str, int]:
@@ -163,14 +164,14 @@ class PrefixTrie:
             known = self.fits[key] = self._meets(left, right, float("inf"))
         return known
 
-    def last_token(self, text: str, table: dict[str, int], before: list[int]) -> int:
-        """The last token of `text`; before[n] is that of its first n symbols."""
-        n = len(text)
-        for start in range(max(0, n - self.reach[id(table)].get(text[-3:], 2)), n):
-            token = table.get(text[start:])
+    def last_token(self, end: str, n: int, table: dict[str, int], before: list[int]) -> int:
+        """The last token of a text of `n` symbols with the given end; before[k] is that of its first k symbols."""
+        skipped = n - len(end)
+        for start in range(max(0, n - self.reach[id(table)].get(end[-3:], 2)), n):
+            token = table.get(end[start - skipped :])
             if token is not None and (start == 0 or self.adjoin(before[start], token)):
                 return token
-        raise ValueError(f"no encoding for {text!r}")
+        raise ValueError(f"no encoding for {end!r}")
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
         """Token ids of each distinct non-empty word, by tries of `TRIE_WORDS` neighbours in order, so that tries stay small."""
@@ -189,21 +190,23 @@ class PrefixTrie:
                 node = node.setdefault(symbol, {})
             node[""] = node.get("", "") + word[-1]
         out: dict[str, list[int]] = {}
-        last = [-1]
+        last, path = [-1], []
+        # of a long path only the end that a token may cover goes along
         stack: list[tuple[int, str, dict]] = [(0, "", root)]
         while stack:
-            depth, text, node = stack.pop()
-            del last[max(depth, 1) :]
+            depth, end, node = stack.pop()
             if depth:
-                last.append(self.last_token(text, self.inner, last))
+                del last[depth:], path[depth - 1 :]
+                path.append(end[-1])
+                last.append(self.last_token(end, depth, self.inner, last))
             for symbol in node.get("", ()):
-                ids = [self.last_token(text + symbol, self.final, last)]
+                ids = [self.last_token(end + symbol, depth + 1, self.final, last)]
                 at = depth + 1 - self.size[ids[0]]
                 while at:
                     ids.append(last[at])
                     at -= self.size[last[at]]
-                out[text + symbol] = ids[::-1]
-            stack.extend((depth + 1, text + symbol, child) for symbol, child in node.items() if symbol)
+                out["".join(path[:depth]) + symbol] = ids[::-1]
+            stack.extend((depth + 1, (end + symbol)[-self.longest :], child) for symbol, child in node.items() if symbol)
         return out
 
 

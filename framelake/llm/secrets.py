@@ -38,6 +38,7 @@ RUNS = tuple(re.compile(rf"[{c}]{{40,}}(?:{BREAK}[{c}]+)*={{0,2}}") for c in ("A
 BASE64_START = re.compile(r"(?=(M[A-I])|(b3BlbnNzaC1rZXktdjEA)|(LS0tLS1CRUdJTi))")
 HEX_START = re.compile(r"(?=(30(?:82|81|[2-7]))|(6f70656e7373682d6b65792d763100))", re.IGNORECASE)
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
 #: Header of an encrypted PEM body: the cipher and its start value.
 DEK_INFO = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,32}\b")
@@ -46,13 +47,16 @@ ENCRYPTING = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c
 MAGIC = b"openssh-key-v1\0"
 
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+ITEMS = 16
+#: Parts of a run are views, never copies: a long run may have a start at every few characters.
+Bytes = bytes | memoryview
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of consecutive DER items that fill `data` exactly; else None."""
+def der_items(data: Bytes) -> list[tuple[int, Bytes]] | None:
+    """(tag, content) of consecutive DER items that fill `data` exactly; else None. No key has more than `ITEMS` at one level."""
     out, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
+        if at + 2 > len(data) or len(out) == ITEMS:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size >= 0x80:
@@ -69,7 +73,7 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: Bytes) -> bool:
     """A private key: PKCS#1 (nine integers), DSA (six), PKCS#8 (version, algorithm, nested key; or encrypted) or SEC 1 (version 1, key octets)."""
     top = der_items(data)
     if not top or len(top) != 1 or top[0][0] != SEQUENCE or not (items := der_items(top[0][1])):
@@ -77,7 +81,7 @@ def is_der_key(data: bytes) -> bool:
     tags = [tag for tag, _ in items]
     if tags == [SEQUENCE, OCTETS]:
         algorithm = der_items(items[0][1])
-        return bool(algorithm) and algorithm[0][0] == OBJECT and algorithm[0][1].startswith(ENCRYPTING) and len(items[1][1]) >= 16
+        return bool(algorithm) and algorithm[0][0] == OBJECT and bytes(algorithm[0][1]).startswith(ENCRYPTING) and len(items[1][1]) >= 16
     if tags[0] != INTEGER:
         return False
     if len(items) >= 9 and tags[:9] == [INTEGER] * 9:
@@ -90,7 +94,7 @@ def is_der_key(data: bytes) -> bool:
     return items[0][1] == b"\1" and tags[1:2] == [OCTETS] and len(items[1][1]) in (24, 28, 32, 48, 66)
 
 
-def der_size(data: bytes) -> int:
+def der_size(data: Bytes) -> int:
     """The bytes of the DER sequence that `data` begins with, by its header; 0 if no key begins like that."""
     if len(data) < 8 or data[0] != SEQUENCE:
         return 0
@@ -103,10 +107,10 @@ def der_size(data: bytes) -> int:
     return 2 + wide + (int.from_bytes(data[2 : 2 + wide]) if wide else data[1])
 
 
-def ssh_size(data: bytes) -> int:
+def ssh_size(data: Bytes) -> int:
     """The bytes of the OpenSSH private key file that `data` begins with: magic, cipher, kdf, kdf options, number of keys,
     the public keys and, unless the data end there, the private part, each with its length; 0 if they don't fit."""
-    if not data.startswith(MAGIC):
+    if bytes(data[: len(MAGIC)]) != MAGIC:
         return 0
     at = len(MAGIC)
 
@@ -136,7 +140,7 @@ def from_base64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
-def key_size(data: bytes | None, exact: bool = False) -> tuple[int, str] | None:
+def key_size(data: Bytes | None, exact: bool = False) -> tuple[int, str] | None:
     """(bytes, kind) of the key that `data` begins with, or with `exact` is; None without one."""
     if not data:
         return None
@@ -180,27 +184,46 @@ class Folded:
         return start + k - joined
 
 
+class Decoded:
+    """A run of base64 or hex decoded once for each place in a group of characters that its bytes may begin at."""
+
+    def __init__(self, chars: str, width: int):
+        self.chars, self.width, self.made = chars, width, {}
+
+    def at(self, place: int) -> tuple[bytes, int]:
+        """The bytes of the run from some place on, and where in them those of `place` begin."""
+        first = place % self.width
+        if first not in self.made:
+            own = self.chars[first:]
+            if self.width == 2:
+                self.made[first] = bytes.fromhex(own[: len(own) // 2 * 2])
+            else:
+                own = own.rstrip("=")
+                self.made[first] = from_base64(own if len(own) % 4 != 1 else own[:-1]) or b""
+        return self.made[first], (place - first) // self.width * (3 if self.width == 4 else 1)
+
+
 def keys_in_base64(chars: str) -> Iterator[tuple[int, int, str]]:
     """(first character, end, kind) of the keys in a string of base64, wherever they begin."""
-    done = 0
+    done, decoded, texts = 0, Decoded(chars, 4), {}
     for m in BASE64_START.finditer(chars):
         at = m.start()
         if at < done:
             continue
+        raw, begin = decoded.at(at)
+        data = memoryview(raw)
         if m[1]:
-            size = der_size(from_base64(chars[at : at + 16]) or b"")
-            stop = at + -(-size * 4 // 3)  # characters that hold the bytes
-            if not size or stop > len(chars):
+            size = der_size(data[begin : begin + 12])
+            if not size or at + -(-size * 4 // 3) > len(chars):  # characters that hold the bytes
                 continue
-            found = key_size((from_base64(chars[at : at + -(-size // 3) * 4]) or from_base64(chars[at:stop]) or b"")[:size])
+            found = key_size(data[begin : begin + size])
         elif m[2]:
-            found = key_size(from_base64(chars[at : at + (len(chars) - at) // 4 * 4]) or from_base64(chars[at:]))
+            found = key_size(data[begin:])
         else:
-            body = chars[at : at + (len(chars.rstrip("=")) - at) // 4 * 4]
-            tail = chars[at:].rstrip("=")
-            raw = (from_base64(tail) or from_base64(body) or b"").decode("latin-1")
-            inner = PEM.match(raw)
-            found = (inner.end(), "pem") if inner and is_pem_body(inner[2]) else None
+            if at % 4 not in texts:
+                texts[at % 4] = raw.decode("latin-1")
+            inner = PEM.match(texts[at % 4], begin)
+            found = (inner.end() - begin, "pem") if inner and is_pem_body(inner[2]) else None
         if found:
             done = at + -(-found[0] * 4 // 3)
             while done < len(chars) and chars[done] == "=" and (done - at) % 4:
@@ -210,14 +233,15 @@ def keys_in_base64(chars: str) -> Iterator[tuple[int, int, str]]:
 
 def keys_in_hex(digits: str) -> Iterator[tuple[int, int, str]]:
     """The same for a string of hex digits."""
-    done = 0
+    done, decoded = 0, Decoded(digits, 2)
     for m in HEX_START.finditer(digits):
         at = m.start()
         if at < done:
             continue
-        own = digits[at : at + (len(digits) - at) // 2 * 2]
-        size = der_size(bytes.fromhex(own[:16])) if m[1] else len(own) // 2
-        if size and 2 * size <= len(own) and (found := key_size(bytes.fromhex(own[: 2 * size]))):
+        raw, begin = decoded.at(at)
+        data = memoryview(raw)[begin:]
+        size = der_size(data[:8]) if m[1] else len(data)
+        if size and size <= len(data) and (found := key_size(data[:size])):
             done = at + 2 * found[0]
             yield at, done, found[1]
 
@@ -231,6 +255,16 @@ def is_signed_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(payload, dict) and isinstance(header.get("alg"), str)
 
 
+def tokens(text: str) -> Iterator[re.Match]:
+    """Matches of TOKEN from left to right. A run of its characters is tried once: where its first start fails, all do."""
+    at = text.find("eyJ")
+    while at >= 0:
+        m = TOKEN.match(text, at)
+        if m:
+            yield m
+        at = text.find("eyJ", m.end() if m else TOKEN_RUN.match(text, at).end())
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, end exclusive, by start and then kind as in KINDS."""
     found: list[tuple[int, int, str]] = []
@@ -245,13 +279,15 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     keys = {(m.start() + a, m.start() + b, kind) for m in HEX_ANY.finditer(text) for a, b, kind in keys_in_hex(m[0])}
     for pattern, url in zip(RUNS, (False, True), strict=True):
         for m in pattern.finditer(text):
+            if url and "-" not in m[0] and "_" not in m[0]:
+                continue  # part of a run in the first alphabet
             mark = m[0].find("----")  # of a PEM file, whose dashes the second alphabet has
             run = Folded(text, m.start(), m.end() if mark < 0 else m.start() + mark)
             chars = run.chars.replace("-", "+").replace("_", "/") if url else run.chars
             keys |= {(run.place(a), run.place(b - 1) + 1, kind) for a, b, kind in keys_in_base64(chars)}
     found += [x for x in keys if not any(a <= x[0] and x[1] <= b for a, b in pems)]  # a PEM file's key is that file
     if "eyJ" in text:
-        found += [(*m.span(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+        found += [(*m.span(), "jwt") for m in tokens(text) if is_signed_token(m[0])]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
