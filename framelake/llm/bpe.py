@@ -214,7 +214,7 @@ _loaded: dict[tuple[str, str], object] = {}
 
 
 def local_file(path: str) -> str:
-    """A vocabulary file on this machine: the path itself, or the copy that `ship` has sent along."""
+    """A vocabulary file on this machine: the path itself, or the copy that `SparkContext.addFile` has sent along."""
     import os
 
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))

@@ -115,11 +115,20 @@ def token_counts(tokens: DataFrame, width: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def borders(tokens: DataFrame, parts: int, sampled: int = 64) -> np.ndarray:
+    """doc_ids between `parts` parts of about the same size, from a sample of so many doc_ids a part; only the balance hangs on it."""
+    n = tokens.count()
+    some = tokens.select("doc_id").filter("doc_id is not null")
+    chosen = some if n <= parts * sampled else some.sample(parts * sampled / n, seed=1)
+    ids = np.sort(np.array([r.doc_id for r in chosen.collect()], np.int64))
+    return np.unique(ids[np.arange(1, parts) * len(ids) // parts]) if len(ids) else ids
+
+
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, block_tokens: int = 1 << 20) -> None:
     """Writes the corpus to the new folder `folder`.
 
-    The rank table is at most as long as the vocabulary file and the parts are a few for each shuffle partition; nothing
-    else passes through the driver. Null texts are empty and consist of the end id; null doc_ids come first, and rows of
+    The rank table is at most as long as the vocabulary file and the parts are a few for each shuffle partition; but for
+    these and 64 doc_ids a part nothing passes through the driver. Null texts are empty and consist of the end id; null doc_ids come first, and rows of
     one doc_id are in order of their number of tokens and then of their bytes.
     """
     most = max(ids_in(path), end_id + 1)
@@ -137,13 +146,14 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, block
                 batch = whole.slice(start, 1024)
                 ids, counts = flat(batch.column("ids"), width)
                 control, data, sizes = encode(rank_of[ids], counts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), cut(control, -(-counts // 4)), cut(data, sizes)], names=["doc_id", "n", "control", "data"])
-
-    coded = tokens.mapInArrow(returning(code), "doc_id long, n long, control binary, data binary")
-    parts = min(4 * partitions(spark), 1024)
-    bounds = sorted(set(tokens.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)))
-    part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    placed = coded.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)).repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "n", "data")
+                doc_id = batch.column("doc_id")
+                part = np.where(doc_id.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, doc_id.fill_null(0).to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(counts, pa.int64()), cut(control, -(-counts // 4)), cut(data, sizes), pa.array(part, pa.int32())], names=["doc_id", "n", "control", "data", "part"])
+
+    parts = 4 * partitions(spark)
+    bounds = borders(tokens, parts)
+    coded = tokens.mapInArrow(returning(code), "doc_id long, n long, control binary, data binary, part int")
+    placed = coded.repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "n", "data")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, start, held, tokens_held = -1, 0, [], 0
