@@ -22,8 +22,9 @@ SHINGLE, WIDTH, ROWS, BANDS = 5, 1024, 4, 32
 #: Two bits of each coordinate serve estimates. At similarity 0.75 they agree in a share of 0.8125, with a standard
 #: deviation of 0.0122; six of these below lies the least share at which a pair is verified.
 LEAST_AGREEMENT = 0.739
-#: Longer sketches of the documents that still meet others across components, and their limit, again six deviations below.
-LONG, LONG_AGREEMENT = 4096, 0.7759
+#: Share of agreeing coordinates at similarity 0.75, and the coordinates of longer sketches, of the documents that still meet
+#: others across components. Their deviation is half as large, and so is the distance of their limit from that share.
+AGREEMENT, LONG = 0.8125, 4096
 BLOCK = 2048
 #: Pairs of two components in a block of a band that are compared before all others.
 CLOSEST = 4
@@ -37,6 +38,11 @@ def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count((differ | differ >> np.uint8(1)) & np.uint8(0x55)).sum(1, dtype=np.int64) / (4 * differ.shape[1])
 
 
+def long_limit(least_agreement: float) -> float:
+    """The limit of long sketches that lies as many of their deviations below `AGREEMENT`; 0 stays 0, and what lies above stays."""
+    return AGREEMENT - (AGREEMENT - least_agreement) * (WIDTH / LONG) ** 0.5 if 0 < least_agreement < AGREEMENT else least_agreement
+
+
 def two_bits(coordinates: np.ndarray) -> np.ndarray:
     """Two bits of each coordinate, packed in rows of bytes."""
     bits = (mix(coordinates) & np.uint64(3)).astype(np.uint8).reshape(len(coordinates), -1, 4)
@@ -336,7 +342,8 @@ def near_duplicates(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -
 
     Links join documents of similarity 0.75 or more on 5-word shingles. Texts without words have no shingles and no
     links. A null doc_id has no component and is kept; doc_ids are taken as unique, rows that repeat one share its component.
-    Candidates whose sketches agree in a share below `least_agreement` are not compared; 0 compares all of them.
+    Candidates whose sketches agree in a share below `least_agreement` are not compared; 0 compares all of them. Longer
+    sketches, of the last turns, have a limit as many of their deviations below the share at similarity 0.75.
     """
     found = staged(sketches(docs), "sketches")
     some = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -361,7 +368,7 @@ def near_duplicates(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -
             own = texts.withColumnRenamed("doc_id", "doc").join(mixed.select("doc").distinct(), "doc", "left_semi")
             long = staged(long_sketches(own), "long")
         meeting = mixed.join(candidates.select("doc", "bands"), "doc").join(long, "doc")
-        limit = LONG_AGREEMENT if least_agreement else 0.0
+        limit = long_limit(least_agreement)
         far = staged(across(meeting, limit, closest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         drop_staged(mixed)
         if far.isEmpty():

@@ -670,7 +670,9 @@ def test_estimates_lose_less_than_the_banding():
     lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil(minhash.LEAST_AGREEMENT * n)))
     assert lost < 1e-8 < (1 - 0.75**minhash.ROWS) ** minhash.BANDS
     deviation = math.sqrt(p * (1 - p) / minhash.LONG)
-    assert (p - minhash.LONG_AGREEMENT) / deviation > 5.99
+    assert (p - minhash.long_limit(minhash.LEAST_AGREEMENT)) / deviation > 5.99
+    # what a caller asks for holds in every turn
+    assert minhash.long_limit(0.0) == 0.0 and minhash.long_limit(0.6) == pytest.approx(0.70625) and minhash.long_limit(0.9) == 0.9
 
 
 def test_recall_against_all_rows(spark):
