@@ -59,22 +59,31 @@ def _range_of(prob: Column, edges: list[float]) -> Column:
     return tree(0, len(edges))
 
 
-def running_counts(preds: DataFrame, by: list[str], extra: tuple[float, ...] = ()) -> DataFrame:
-    """Per distinct probability: pos, neg and their sums over it and all greater ones (tp, fp), with the totals p and n.
-
-    The sums run over ranges of probability between quantiles of all rows: each range is summed for itself and the
-    ranges' totals, a bounded number of rows, are added on. So no task gets more than a small share of the rows, unless
-    they are one probability, which is one row here. `extra` thresholds are probabilities that no row has (`own` is false).
-    """
-    edges = preds.agg(F.percentile_approx("prob_positive", [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("edges")).first().edges
+def grouped_counts(preds: DataFrame, by: list[str], extra: tuple[float, ...] = ()) -> DataFrame:
+    """Per distinct probability: pos and neg. `extra` thresholds are probabilities that no row has (`own` is false)."""
     label, own = F.col("label"), F.lit(True)
     rows = preds.select(*by, "prob_positive", (label == 1).cast("int").alias("_pos"), (label == 0).cast("int").alias("_neg"), own.alias("own"))
     if extra:
         thresholds = F.explode(F.array(*[F.lit(float(t)) for t in extra])).alias("prob_positive")
         groups = preds.select(*by).distinct() if by else preds.sparkSession.range(1)
         rows = rows.unionByName(groups.select(*by, thresholds, F.lit(0).alias("_pos"), F.lit(0).alias("_neg"), F.lit(False).alias("own")))
-    grouped = rows.groupBy(*by, "prob_positive").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"), F.max("own").alias("own"))
-    placed = grouped.withColumn("_cell", _range_of(F.col("prob_positive"), sorted(set(edges or []))))
+    return rows.groupBy(*by, "prob_positive").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"), F.max("own").alias("own"))
+
+
+def range_edges(preds: DataFrame) -> list[float]:
+    """Edges of ranges that hold about as many rows each; only the balance of tasks hangs on them. This runs a job."""
+    edges = preds.agg(F.percentile_approx("prob_positive", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("edges")).first().edges
+    return sorted(set(edges or []))
+
+
+def running_counts(grouped: DataFrame, by: list[str], edges: list[float]) -> DataFrame:
+    """Of `grouped_counts`, per distinct probability: pos, neg and their sums over it and all greater ones (tp, fp), with the totals p and n.
+
+    The sums run over the ranges between `edges` (see `range_edges`): each range is summed for itself and the ranges'
+    totals, a bounded number of rows, are added on. So no task gets more than a small share of the rows, unless they are
+    one probability, which is one row here.
+    """
+    placed = grouped.withColumn("_cell", _range_of(F.col("prob_positive"), edges))
     inside = Window.partitionBy(*by, "_cell").orderBy(F.desc("prob_positive"))
     cells = placed.groupBy(*by, "_cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = Window.partitionBy(*by).orderBy(F.desc("_cell"))
@@ -94,7 +103,11 @@ def running_counts(preds: DataFrame, by: list[str], extra: tuple[float, ...] = (
 def roc_auc(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; NaN with one class only."""
     by = by or []
-    run = running_counts(preds, by)
+    return auc_of(running_counts(grouped_counts(preds, by), by, range_edges(preds)), by)
+
+
+def auc_of(run: DataFrame, by: list[str]) -> DataFrame:
+    """The area from `running_counts`."""
     below = F.col("n") - F.col("fp")  # negatives with a lower probability
     area = F.sum(F.col("pos") * (2 * below + F.col("neg")))
     return run.groupBy(*by).agg(area.alias("_twice"), F.first("p").alias("p"), F.first("n").alias("n")).select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("_twice") / 2.0 / (F.col("p").cast("double") * F.col("n"))).otherwise(float("nan")).alias("auc"))
@@ -105,13 +118,13 @@ def threshold_curve(preds: DataFrame, by: list[str] | None = None, extra: tuple[
 
     `keep_own` adds own, false at thresholds that are no row's probability.
     """
-    run = running_counts(preds, by or [], extra).select(*(by or []), "threshold", "own", "tp", "fp", "p", "n")
+    run = running_counts(grouped_counts(preds, by or [], extra), by or [], range_edges(preds)).select(*(by or []), "threshold", "own", "tp", "fp", "p", "n")
     tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
     curve = run.withColumns({"fn": p - tp, "tn": n - fp, "tpr": _ratio(tp, p), "fpr": _ratio(fp, n), "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, p)}).drop("p", "n")
     return curve if keep_own else curve.drop("own")
 
 
-ONE_CLASS = "Only one class exists in labels; cannot compute ROC-based threshold."
+ONE_CLASS = "no threshold: all labels are of one class"
 
 
 def best_thresholds(preds: DataFrame) -> DataFrame:
@@ -138,7 +151,7 @@ def best_thresholds(preds: DataFrame) -> DataFrame:
 def average_precision(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sum over the thresholds of the gain in recall times the precision."""
     by = by or []
-    run = running_counts(preds, by)
+    run = running_counts(grouped_counts(preds, by), by, range_edges(preds))
     gain = F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))
     return run.groupBy(*by).agg(F.sum(gain).alias("average_precision"))
 
@@ -169,18 +182,16 @@ def failures(preds: DataFrame, threshold: float = 0.5, most: int | None = None)
     return wrong if most is None else wrong.orderBy(F.desc(F.abs(F.col("prob_positive") - threshold)), "key").limit(most)
 
 
-def failure_report(preds: DataFrame, threshold: float = 0.5, most: int | None = None, examples: int = 12) -> DataFrame:
-    """One row: threshold, a summary of counts, the wrong predictions and right examples, as nested lists in order of key.
+def failure_report(preds: DataFrame, threshold: float, most: int, examples: int = 12) -> DataFrame:
+    """One row: threshold, a summary of counts, the `most` most certain wrong predictions and right examples, as nested lists in order of key.
 
-    The lists are the feature: give `most` to bound the failures that a report names; the summary counts all.
+    The report is a document of bounded size; its counts are of all predictions. The table of all wrong ones is `failures`.
     """
     wrong = failures(preds, threshold, most).select("key", "kind", "label", "prob_positive")
     right = correct_examples(preds, examples, threshold).select("key", "label", "prob_positive")
-    listed = lambda df: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("rows"))
-    w, r = listed(wrong).withColumnRenamed("rows", "failures"), listed(right).withColumnRenamed("rows", "correct_examples")
-    one = failure_summary(preds, threshold).withColumn("_", F.lit(0))
-    joined = one.join(F.broadcast(w.withColumn("_", F.lit(0))), "_").join(F.broadcast(r.withColumn("_", F.lit(0))), "_")
+    listed = lambda df: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns)))).scalar()
     of = lambda y: F.size(F.filter("correct_examples", lambda x: x["label"] == y)).alias("correct_real_saved" if y == 0 else "correct_fake_saved")
+    joined = failure_summary(preds, threshold).withColumns({"failures": listed(wrong), "correct_examples": listed(right)})
     summary = F.struct(F.col("scanned").alias("total_scanned"), "false_positives", "false_negatives", F.size("failures").alias("failures_saved"), F.size("correct_examples").alias("correct_saved"), of(0), of(1))
     return joined.select(F.lit(threshold).alias("threshold"), summary.alias("summary"), "failures", "correct_examples")
 
@@ -221,7 +232,14 @@ def ensemble_sweep(one: DataFrame, two: DataFrame, start: float = 0.1, end: floa
     both = align_predictions(one, two)
     weights = F.explode(F.array(*[F.lit(w) for w in ensemble_weights(start, end, step)])).alias("weight")
     mixed = both.select("label", "prob_one", "prob_two", weights).select("weight", "label", (F.col("weight") * F.col("prob_one") + (1 - F.col("weight")) * F.col("prob_two")).alias("prob_positive"))
-    return roc_auc(mixed, ["weight"]).join(binary_metrics(mixed, threshold, ["weight"]).select("weight", "accuracy", "f1"), "weight")
+    # one aggregation over the mixes serves the area and the counts
+    grouped = grouped_counts(mixed, ["weight"])
+    hit, sums = F.col("prob_positive") >= threshold, lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    counts = grouped.groupBy("weight").agg(sums("pos", hit).alias("tp"), sums("neg", hit).alias("fp"), sums("pos", ~hit).alias("fn"), sums("neg", ~hit).alias("tn"))
+    at = rates(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
+    # the ends of the sweep spread as its mixes do
+    edges = range_edges(both.select(F.explode(F.array("prob_one", "prob_two")).alias("prob_positive")))
+    return auc_of(running_counts(grouped, ["weight"], edges), ["weight"]).join(counts.select("weight", at["accuracy"].alias("accuracy"), at["f1"].alias("f1")), "weight")
 
 
 def best_weight(sweep: DataFrame, metric: str = "auc") -> DataFrame:

@@ -406,7 +406,7 @@ def a12_best_thresholds(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("threshold", "score", "accuracy", "f1", "balanced_accuracy", "precision", "recall")})
 
 
-@query("SELECT NULL::VARCHAR AS criterion, NULL::DOUBLE AS threshold, NULL::BIGINT AS tp, 'Only one class exists in labels; cannot compute ROC-based threshold.' AS warning FROM preds HAVING count(*) FILTER (WHERE label = 1) = 0 OR count(*) FILTER (WHERE label = 0) = 0", B.PREDS.replace("(k >= 50)::INTEGER AS label", "1 AS label"))
+@query("SELECT NULL::VARCHAR AS criterion, NULL::DOUBLE AS threshold, NULL::BIGINT AS tp, 'no threshold: all labels are of one class' AS warning FROM preds HAVING count(*) FILTER (WHERE label = 1) = 0 OR count(*) FILTER (WHERE label = 0) = 0", B.PREDS.replace("(k >= 50)::INTEGER AS label", "1 AS label"))
 def a12_one_class(spark, sf_dir):
     return metrics.best_thresholds(B.preds(spark, sf_dir).withColumn("label", F.lit(1))).select("criterion", "threshold", "tp", "warning")
 
@@ -451,14 +451,14 @@ def a17_failure_summary(spark, sf_dir):
 
 
 @query(
-    """SELECT (SELECT count(*) FROM preds)::BIGINT AS total_scanned, (SELECT count(*) FROM w WHERE kind = 'FP')::BIGINT AS false_positives, (SELECT count(*) FROM w WHERE kind = 'FN')::BIGINT AS false_negatives, (SELECT count(*) FROM w)::INTEGER AS failures_saved,
+    """SELECT (SELECT count(*) FROM preds)::BIGINT AS total_scanned, (SELECT count(*) FROM a WHERE kind = 'FP')::BIGINT AS false_positives, (SELECT count(*) FROM a WHERE kind = 'FN')::BIGINT AS false_negatives, (SELECT count(*) FROM w)::INTEGER AS failures_saved,
     (SELECT count(*) FROM e)::INTEGER AS correct_saved, (SELECT count(*) FROM e WHERE label = 0)::INTEGER AS correct_real_saved, (SELECT count(*) FROM e WHERE label = 1)::INTEGER AS correct_fake_saved,
     (SELECT md5(string_agg(key || kind || label, ',' ORDER BY key)) FROM w) AS failures_md5, (SELECT string_agg(key, ',' ORDER BY key) FROM e) AS correct_keys""",
-    B.PREDS + """, w AS (SELECT key, label, CASE WHEN label = 0 THEN 'FP' ELSE 'FN' END AS kind FROM preds WHERE (prob_positive >= 0.2) <> (label = 1)),
+    B.PREDS + """, a AS (SELECT key, label, prob_positive, CASE WHEN label = 0 THEN 'FP' ELSE 'FN' END AS kind FROM preds WHERE (prob_positive >= 0.2) <> (label = 1)), w AS (SELECT * FROM a ORDER BY abs(prob_positive - 0.2) DESC, key LIMIT 200),
  e AS (SELECT key, label FROM (SELECT key, label, row_number() OVER (PARTITION BY label ORDER BY key) AS r FROM preds WHERE (prob_positive >= 0.2) = (label = 1)) WHERE r <= 6)""",
 )
 def a17_failure_report(spark, sf_dir):
-    out = metrics.failure_report(B.preds(spark, sf_dir), 0.2)
+    out = metrics.failure_report(B.preds(spark, sf_dir), 0.2, 200)
     named = F.transform("failures", lambda x: F.concat(x["key"], x["kind"], x["label"].cast("string")))
     return out.select("summary.*", F.md5(F.array_join(named, ",")).alias("failures_md5"), F.array_join("correct_examples.key", ",").alias("correct_keys"))
 
