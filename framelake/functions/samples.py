@@ -18,7 +18,7 @@ CLIP_FIELDS = """key string, split string, category string, video_id string, vid
  clip_stride int, clip_start int, num_differences int, frame_numbers array<long>, original_frame_indices array<long>, timestamps array<double>,
  source_keys array<string>, center_candidate_indices array<int>, default_center_index int, spatial_sampling_note string, extraction_fps double,
  video_fps double, height int, width int, rgb_dtype string, diff_dtype string"""
-NOTE = "Choose a random center frame from candidate indices during training."
+NOTE = "training draws one of the candidate positions, evaluation takes the default one"
 
 
 def names(fields: str) -> list[str]:
@@ -69,11 +69,11 @@ def crop_json(crops: DataFrame, crop_scale: float, detect_every: int, image_form
         **{f"{name}_{c}": corner(box, k) for name, box in (("bbox", "bbox"), ("crop", "crop_box")) for k, c in enumerate(("x1", "y1", "x2", "y2"))},
         "bbox_source": F.col("source"),
         "landmarks": F.col("landmarks"),
-        "alignment_mode": F.lit("none_bbox_crop"),
+        "alignment_mode": F.lit("none_bbox_crop"),  # fixed value
         "crop_scale": F.lit(float(crop_scale)),
         "crop_status": F.lit("ok"),
         "crop_size": F.greatest(corner("crop_box", 2) - corner("crop_box", 0), corner("crop_box", 3) - corner("crop_box", 1)),
-        "crop_source": F.lit("original_bbox"),
+        "crop_source": F.lit("original_bbox"),  # fixed value
         "aligned_width": F.lit(width),
         "aligned_height": F.lit(height),
         "aligned_size": F.array(F.lit(width), F.lit(height)),

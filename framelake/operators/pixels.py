@@ -114,9 +114,55 @@ def batch_samples(samples: DataFrame, size: int, drop_last: bool = False, shard:
     return batches.filter(F.size("keys") == size) if drop_last else batches
 
 
+#: Leading hex digits of a shuffled key that name its range: 4096 ranges.
+RANGE_DIGITS = 3
+
+
+def shuffle_key(seed: int, epoch: int, key: str = "key") -> Column:
+    """The place of a key in the permutation of an epoch, as 32 hex digits: the same on every run and machine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")).cast("binary"))
+
+
 def seeded_shuffle(samples: DataFrame, seed: int, epoch: int, key: str = "key") -> DataFrame:
     """A full permutation by a hash of seed, epoch and key."""
-    return samples.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
+    return samples.orderBy(shuffle_key(seed, epoch, key), key)
+
+
+def shuffle_ranges(samples: DataFrame, seed: int, epoch: int, key: str = "key") -> DataFrame:
+    """range, n, before: the samples in each range of the permutation and in those before it; at most 4096 rows.
+
+    This is all that a restart needs to know of an epoch; it can be kept with the checkpoint.
+    """
+    named = samples.select(F.substring(shuffle_key(seed, epoch, key), 1, RANGE_DIGITS).alias("range"))
+    counted = named.groupBy("range").agg(F.count("*").alias("n"))
+    return counted.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n"))
+
+
+def shuffle_ranks(samples: DataFrame, seed: int, epoch: int, key: str = "key", ranges: DataFrame | None = None, first: int = 0, stop: int | None = None) -> DataFrame:
+    """Samples with `rank`, their 0-based place in the permutation, from rank `first` up to `stop` (not included; None: the end).
+
+    A rank is the place in a range and the samples in the ranges before. Ranges that lie outside fall before anything is
+    sorted, so a stretch of an epoch costs a scan of the keys and the sorting of what it touches.
+    """
+    counted = shuffle_ranges(samples, seed, epoch, key) if ranges is None else ranges
+    inside = F.col("before") + F.col("n") > first
+    touched = counted.filter(inside if stop is None else inside & (F.col("before") < stop)).select("range", "before")
+    placed = samples.withColumn("_at", shuffle_key(seed, epoch, key)).withColumn("range", F.substring("_at", 1, RANGE_DIGITS))
+    joined = placed.join(touched, "range")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("_at", key)) - 1
+    ranked = joined.withColumn("rank", rank.cast("long")).filter(F.col("rank") >= first).select(*samples.columns, "rank")
+    return ranked if stop is None else ranked.filter(F.col("rank") < stop)
+
+
+def shuffled_batches(samples: DataFrame, size: int, seed: int, epoch: int, key: str = "key", ranges: DataFrame | None = None, first: int = 0, stop: int | None = None, drop_last: bool = False) -> DataFrame:
+    """batch, keys (in order) of the batches `first` .. `stop` - 1 of an epoch; batches run over shards.
+
+    A run that died after some batches goes on with the next one: its batches are those it would have had. A last batch
+    that is not full is left out with `drop_last`.
+    """
+    ranked = shuffle_ranks(samples.select(key), seed, epoch, key, ranges, first * size, None if stop is None else stop * size)
+    grouped = ranked.groupBy(F.floor(F.col("rank") / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("key")))), lambda x: x["key"]).alias("keys"))
+    return grouped.filter(F.size("keys") == size) if drop_last else grouped
 
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:

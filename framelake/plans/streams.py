@@ -29,7 +29,20 @@ def drained(stream: DataFrame, spark: SparkSession, mode: str = "append") -> Dat
 def r1_stream_new_samples(spark, sf_dir):
     keyed = event_stream(spark, sf_dir).select(F.floor(F.col("event_id") / 2).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     audit, out = scratch(spark, "audit"), scratch(spark, "samples")
-    streams.stream_new_samples(keyed, audit, out, scratch(spark, "checkpoint"), horizon="10000 days").awaitTermination()
+    streams.stream_new_samples(keyed, audit, out, scratch(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out).select("key")
+
+
+@query("SELECT event_id::VARCHAR AS key FROM events WHERE ts IS NOT NULL")
+def r1_replayed_samples(spark, sf_dir):
+    """All samples delivered twice, and read by two streams: the audit's days know them."""
+    path = scratch(spark, "delivered")
+    rows = B.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    audit, out = scratch(spark, "audit"), scratch(spark, "samples")
+    for _ in range(2):
+        rows.write.mode("append").parquet(path)
+        delivered = spark.readStream.schema("key string, ts timestamp").parquet(path)
+        streams.stream_new_samples(delivered, audit, out, scratch(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out).select("key")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import samples, text
@@ -645,10 +645,31 @@ def l4_first_n_missing(spark, sf_dir):
     return reports.first_n_missing(B.frames(spark, sf_dir).filter("event_type = 'error'").select("key"))
 
 
-@query("SELECT key FROM frames", B.FRAMES)
+SHUFFLED = B.FRAMES + ", sh AS (SELECT key, row_number() OVER (ORDER BY md5('42|3|' || key), key) - 1 AS rank FROM frames)"
+
+
+@query("SELECT key, rank::BIGINT AS rank FROM sh", SHUFFLED)
 def l5_seeded_shuffle(spark, sf_dir):
-    """A permutation: the same rows in another order."""
-    return pixels.seeded_shuffle(B.frames(spark, sf_dir), seed=42, epoch=3).select("key")
+    """The permutation of an epoch, as ranks from counted ranges."""
+    return pixels.shuffle_ranks(B.frames(spark, sf_dir).select("key"), seed=42, epoch=3)
+
+
+@query("SELECT key, r::BIGINT AS r FROM (SELECT key, row_number() OVER (ORDER BY rank) - 1 AS r FROM sh)", SHUFFLED)
+def l5_shuffled_order(spark, sf_dir):
+    """Rows in the order of the permutation, numbered as they stand."""
+    rows = pixels.seeded_shuffle(B.frames(spark, sf_dir).select("key"), seed=42, epoch=3)
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
+    counts = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+    own = placed.withColumn("part", F.shiftright("at", 33)).join(before, "part")
+    return own.select("key", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("r"))
+
+
+@query("SELECT (rank // 32)::BIGINT AS batch, string_agg(key, ',' ORDER BY rank) AS keys FROM sh WHERE rank >= 5 * 32 GROUP BY 1 HAVING count(*) = 32", SHUFFLED)
+def x6_resumed_batches(spark, sf_dir):
+    """Batches over all shards, taken up again at the sixth of an epoch."""
+    out = pixels.shuffled_batches(B.frames(spark, sf_dir), 32, seed=42, epoch=3, first=5, drop_last=True)
+    return out.select("batch", F.array_join("keys", ",").alias("keys"))
 
 
 @query(

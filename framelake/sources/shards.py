@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from framelake.functions.text import resolve_label
 
 SCHEMA = "shard string, key string, parts map<string, binary>"
-#: Endings of several parts that stay whole.
+#: Endings of several parts that stay whole.
 LONG_ENDINGS = ("rgb.npy", "diff.npy")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,25 +12,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
-def stream_new_samples(samples: DataFrame, audit_path: str, out_path: str, checkpoint: str, time: str = "ts", horizon: str = "1 hour") -> StreamingQuery:
-    """Each key once: repeats within the horizon go in state, older ones by an anti-join on the audit, which then grows."""
-    fresh = samples.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["key"])
+def stream_new_samples(samples: DataFrame, audit_path: str, out_path: str, checkpoint: str, time: str = "ts") -> StreamingQuery:
+    """Each key once, however late or often it comes: an anti-join on the audit, which then grows.
+
+    The audit lies in a folder for each day of `time`, and a batch reads those of its own days only: a sample that comes
+    again has the time it had, so the audit's age costs nothing. Samples without a time have a day of their own. Rows of one batch are written
+    under its name, so a batch that is run again replaces what it wrote; a stream with another checkpoint has names of its own.
+    """
+    day = F.coalesce(F.to_date(time).cast("string"), F.lit("none"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, name = batch.sparkSession, f"{zlib.crc32(checkpoint.encode()):08x}-{batch_id}"
+        dated = batch.dropDuplicates(["key"]).withColumn("day", day)
+        days = [r.day for r in dated.select("day").distinct().collect()]
         # a batch that is run again finds its own audit rows of the attempt before and keeps those samples
         try:
-            done = spark.read.parquet(audit_path).filter(F.col("batch_id") != batch_id).select("key")
+            kept = spark.read.schema("key string, status string, day string, batch string").parquet(audit_path)
+            done = kept.filter(F.col("day").isin(days) & (F.col("batch") != name)).select("key")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             done = None
-        new = batch if done is None else batch.join(done, "key", "left_anti")
-        new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path)
-        written = spark.read.parquet(out_path).filter(F.col("batch_id") == batch_id)
-        written.select("key", F.lit("complete").alias("status"), "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(audit_path)
+        new = dated if done is None else dated.join(done, "key", "left_anti")
+        new.withColumn("batch", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out_path)
+        written = spark.read.parquet(out_path).filter(F.col("batch") == name)
+        written.select(F.col("key").cast("string").alias("key"), F.lit("complete").alias("status"), F.col("day").cast("string").alias("day"), "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(audit_path)
 
-    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return samples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_status(audit: DataFrame) -> DataFrame:

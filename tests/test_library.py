@@ -556,3 +556,40 @@ def test_stretch_maps_compose():
                     box = f[detections.main_face(f, box)]["bbox"]
             got = before if not own.boxes else own.boxes[0 if own.first is None else detections.main_face(own.first, before)]
             assert got == box
+
+
+def test_new_samples_and_the_days_they_read(spark, tmp_path):
+    """Late, repeated and undated samples once each; a batch reads the audit of its own days only."""
+    folder, audit, out = (str(tmp_path / x) for x in ("in", "audit", "out"))
+
+    def deliver(rows, checkpoint):
+        df = spark.createDataFrame(rows, "key string, day string")
+        df.select("key", F.to_timestamp("day").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+        streams.stream_new_samples(spark.readStream.schema("key string, ts timestamp").parquet(folder), audit, out, str(tmp_path / checkpoint)).awaitTermination()
+
+    deliver([("a", "2024-01-01"), ("a", "2024-01-01"), ("b", "2024-01-02"), ("n", None)], "c1")
+    deliver([("c", "2024-06-01")], "c1")
+    # the audit of a day that no batch asks for may be anything
+    broken = next(p for p in (tmp_path / "audit/day=2024-06-01").rglob("*.parquet"))
+    kept = broken.read_bytes()
+    broken.write_bytes(b"broken")
+    deliver([("a", "2024-01-01"), ("late", "2024-01-01"), ("n", None)], "c1")
+    broken.write_bytes(kept)
+    assert sorted(r.key for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "late", "n"]
+    # a stream that starts anew finds nothing new
+    deliver([("d", "2024-01-02")], "c2")
+    assert sorted(r.key for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d", "late", "n"]
+
+
+def test_shuffled_batches_start_anywhere(spark):
+    df = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key"))
+    whole = {r.batch: r["keys"] for r in pixels.shuffled_batches(df, 30, 7, 2).collect()}
+    assert sorted(k for keys in whole.values() for k in keys) == sorted(f"k{n}" for n in range(1000)) and {len(k) for k in whole.values()} == {30, 10}
+    ranges = pixels.shuffle_ranges(df, 7, 2)
+    for first, stop in ((0, 4), (13, 14), (20, None), (40, None)):
+        part = {r.batch: r["keys"] for r in pixels.shuffled_batches(df, 30, 7, 2, ranges=ranges, first=first, stop=stop).collect()}
+        assert part == {b: k for b, k in whole.items() if b >= first and (stop is None or b < stop)}
+    order = [r.key for r in pixels.seeded_shuffle(df, 7, 2).collect()]
+    assert order == [k for b in sorted(whole) for k in whole[b]]
+    assert {r.batch: r["keys"] for r in pixels.shuffled_batches(df, 30, 7, 3).collect()} != whole
+    assert 33 not in {r.batch for r in pixels.shuffled_batches(df, 30, 7, 2, drop_last=True).collect()}
