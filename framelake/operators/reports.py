@@ -57,35 +57,44 @@ def pipeline_status(manifest: DataFrame, frames: DataFrame, audit: DataFrame, sh
     """
     if split is not None:
         manifest, frames = (x.filter(normalize_split("split") == split.strip().lower()) for x in (manifest, frames))
-    audit_keys, shard_keys = audit.select("key").distinct(), shards.select("key").distinct()
-    done = audit_keys.union(shard_keys).distinct().withColumn("_done", F.lit(1).cast("long"))
-    marked = frames.select(text("category").alias("category"), "video", "key").join(done, "key", "left").withColumn("_done", F.coalesce("_done", F.lit(0)))
-    by_key = marked.groupBy("video", "key").agg(F.max("_done").alias("_done"))
-    videos = by_key.groupBy("video").agg(F.count("*").alias("keys"), F.sum("_done").alias("found"))
-    full = F.col("found") == F.col("keys")
-    sums = videos.agg(
-        F.count("*").alias("videos_with_frames"),
-        F.coalesce(F.sum("found"), F.lit(0)).alias("detected_frames"),
-        F.count_if(F.col("found") > 0).alias("videos_with_detections"),
-        F.count_if(full).alias("fully_detected"),
-        F.count_if(~full & (F.col("found") > 0)).alias("partially_detected"),
-        F.count_if(F.col("found") == 0).alias("not_detected"),
-    )
-    named = lambda df, metric: df.agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("category"), "n")
-    listed = manifest.select("video").distinct()
+    # a bit for the audit, one for the shards, and beside them the rows of each frame: one grouping by key
+    done = (F.col("_done").bitwiseAND(3) != 0) & F.col("key").isNotNull()
+    marks = [x.select("key", F.lit(None).cast("struct<category:string,video:string>").alias("_frame"), F.lit(bit).alias("_bit")) for bit, x in ((1, audit), (2, shards))]
+    rows = frames.select("key", F.struct(text("category").cast("string").alias("category"), F.col("video").cast("string").alias("video")).alias("_frame"), F.lit(0).alias("_bit"))
+    counted = rows.unionByName(marks[0]).unionByName(marks[1]).groupBy("key", "_frame").agg(F.count("*").alias("_n"), F.bit_or("_bit").alias("_bit"))
+    # what has the key may be a frame, or several, and marks: few rows each
+    keys = counted.groupBy("key").agg(F.bit_or("_bit").alias("_done"), F.collect_list(F.when(F.col("_frame").isNotNull(), F.struct("_frame", "_n"))).alias("_frames"))
+    named = lambda metric, n: F.struct(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("category"), n.alias("n"))
+    stacked = lambda df, metrics: df.agg(F.array(*[named(m, n) for m, n in metrics.items()]).alias("_m")).select(F.inline("_m"))
+    marked = keys.select("key", done.cast("long").alias("_done"), F.explode("_frames").alias("_f")).select("key", "_done", "_f._frame.category", "_f._frame.video", "_f._n")
+    # a key counts once in a video, whatever categories its rows name
+    videos = marked.select("video", "key", "_done").distinct().groupBy("video").agg(F.count("*").alias("keys"), F.sum("_done").alias("found"))
+    listed = manifest.select(F.col("video").cast("string").alias("video")).distinct().withColumn("_listed", F.lit(True))
+    known = videos.withColumn("_v", F.lit(True)).join(listed, "video", "full_outer")
+    full, own = F.col("found") == F.col("keys"), F.col("_v").isNotNull()
+    count = F.count_if
+    by_category = lambda df, metric, n: df.groupBy("category").agg(n.alias("n")).select(F.lit(metric).alias("metric"), "category", "n")
     parts = [
-        named(listed, "manifest_videos"),
-        named(frames, "frame_rows"),
-        named(audit_keys, "audit_keys"),
-        named(shard_keys, "shard_keys"),
-        named(listed.join(frames.select("video").distinct(), "video", "left_anti"), "videos_without_frames"),
-        sums.unpivot([], sums.columns, "metric", "n").select("metric", F.lit(None).cast("string").alias("category"), "n"),
-        manifest.groupBy(text("category").alias("category")).agg(F.count("*").alias("n")).select(F.lit("manifest_videos").alias("metric"), "category", "n"),
-        marked.groupBy("category").agg(F.count("*").alias("n")).select(F.lit("frame_rows").alias("metric"), "category", "n"),
-        marked.filter("_done = 1").groupBy("category").agg(F.count("*").alias("n")).select(F.lit("detected_frames").alias("metric"), "category", "n"),
+        stacked(
+            known,
+            {
+                "manifest_videos": count(F.col("_listed").isNotNull()),
+                "videos_without_frames": count(F.col("_listed").isNotNull() & ~own),
+                "videos_with_frames": count(own),
+                "detected_frames": F.coalesce(F.sum("found"), F.lit(0)),
+                "videos_with_detections": count(F.col("found") > 0),
+                "fully_detected": count(own & full),
+                "partially_detected": count(own & ~full & (F.col("found") > 0)),
+                "not_detected": count(F.col("found") == 0),
+            },
+        ),
+        stacked(keys, {"audit_keys": count(F.col("_done").bitwiseAND(1) != 0), "shard_keys": count(F.col("_done").bitwiseAND(2) != 0), "frame_rows": F.coalesce(F.sum(F.aggregate("_frames", F.lit(0).cast("long"), lambda a, x: a + x["_n"])), F.lit(0))}),
+        by_category(manifest.select(text("category").alias("category")), "manifest_videos", F.count("*")),
+        by_category(marked, "frame_rows", F.sum("_n")),
+        by_category(marked.filter("_done = 1"), "detected_frames", F.sum("_n")),
     ]
     if files is not None:
-        parts.append(named(frames.join(files.select("frame_path").distinct(), "frame_path", "left_anti"), "missing_frame_files"))
+        parts.append(stacked(frames.join(files.select("frame_path").distinct(), "frame_path", "left_anti"), {"missing_frame_files": F.count("*")}))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

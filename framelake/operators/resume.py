@@ -36,11 +36,20 @@ def missing_frame_files(frames: DataFrame, listing: DataFrame) -> DataFrame:
     return frames.join(listing.select("frame_path").distinct(), "frame_path", "left_anti")
 
 
+def tagged(by: list[str], *sources: DataFrame) -> DataFrame:
+    """The distinct `by` of all sources with `sources`, a bit for each that holds it (the first is 1, the second 2 ...): one grouping."""
+    parts = [s.select(*by, F.lit(1 << k).alias("sources")) for k, s in enumerate(sources)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(*by).agg(F.bit_or("sources").alias("sources"))
+
+
 def coverage_gaps(manifest: DataFrame, frames: DataFrame, detected: DataFrame, by: list[str]) -> DataFrame:
     """Videos of the manifest without frames, and videos with frames but without detections."""
-    own, framed, found = (x.select(*by).distinct() for x in (manifest, frames, detected))
-    without = own.join(framed, by, "left_anti").withColumn("gap", F.lit("no_frames"))
-    return without.unionByName(framed.join(found, by, "left_anti").withColumn("gap", F.lit("no_detections")))
+    own = F.col("sources")
+    gap = F.when(own.bitwiseAND(3) == 1, "no_frames").when(own.bitwiseAND(6) == 2, "no_detections")
+    return tagged(by, manifest, frames, detected).select(*by, gap.alias("gap")).filter("gap is not null")
 
 
 def subset_by_videos(frames: DataFrame, n: int, real: list[str], synthetic: str) -> DataFrame:
@@ -71,10 +80,11 @@ def rebuild_frames(files: DataFrame, videos: DataFrame, plan: DataFrame) -> Data
 
 def key_algebra(audit: DataFrame, shards: DataFrame, frames: DataFrame) -> DataFrame:
     """Sizes of the key sets: done (audit or shard), done and known, known but not done, done but not known."""
-    done = audit.select("key").union(shards.select("key")).distinct()
-    known = frames.select("key").distinct()
-    named = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("keys"), "n")
-    return named(done, "done").union(named(done.intersect(known), "done_and_known")).union(named(known.subtract(done), "not_done")).union(named(done.subtract(known), "not_known"))
+    own = F.col("sources")
+    done, known = own.bitwiseAND(3) != 0, own.bitwiseAND(4) != 0
+    sets = {"done": done, "done_and_known": done & known, "not_done": known & ~done, "not_known": done & ~known}
+    counted = tagged(["key"], audit, shards, frames).agg(*[F.count_if(c).alias(name) for name, c in sets.items()])
+    return counted.unpivot([], list(sets), "keys", "n")
 
 
 def video_states(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit: DataFrame, target_fps: int = 5) -> DataFrame:
