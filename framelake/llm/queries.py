@@ -65,6 +65,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(documents(spark, sf_dir))
 
 
+def op7_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules with a limit that small tables reach: lines that two documents of a host share."""
+    return quality.quality_filter(documents(spark, sf_dir), min_docs=2, min_share=0.0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op7_common_lines": op7_common_lines,
     "op8_toxicity": op8_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_repair": op11_conversation_repair,
@@ -156,3 +162,4 @@ WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
+ORACLE_SQL["op7_common_lines"] = ORACLE_SQL["op7_quality_rules"].replace("count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) >= 0.002 * any_value(in_host)", "count(DISTINCT doc_id) >= 2")
