@@ -231,3 +231,41 @@ def s12_guarded_output(spark, sf_dir):
     tables.guarded_write(rows, path)
     tables.guarded_write(rows.filter("split = 'val'").withColumn("version", F.lit(2)), path, overwrite=True)
     return spark.read.parquet(path).select("key", "split", "version")
+
+
+def grey_image(raw: bytes):
+    """A stand-in decoder of grey maps: a line with height and width, and the pixels."""
+    import numpy as np
+
+    head, _, body = raw.partition(b"\n")
+    height, width = map(int, head.split())
+    return np.repeat(np.frombuffer(body, np.uint8).reshape(height, width, 1), 3, 2)
+
+
+@query(
+    """SELECT video_id, frame_number, CASE WHEN frame_number % 7 = 0 THEN 'missing_file' WHEN frame_number % 11 = 0 THEN 'read_fail' ELSE 'ok' END AS load_status, CASE WHEN frame_number % 7 <> 0 AND frame_number % 11 <> 0 THEN 8 END::INTEGER AS height,
+    CASE WHEN frame_number % 7 <> 0 AND frame_number % 11 <> 0 THEN md5(array_to_string(list_transform(pixels, lambda p: repeat(lpad(printf('%X', p), 2, '0'), 3)), '')) END AS pixels_md5 FROM pixels""",
+    B.PIXELS,
+)
+def s9_frame_files(spark, sf_dir):
+    """Files of grey maps, some missing and some cut off, read by their frames."""
+    root = scratch(spark, "images")
+    path = F.format_string("%s/frame_%05d.grey", "video_id", "frame_number").alias("frame_path")
+    own = B.pixels(spark, sf_dir).select("video_id", "frame_number", path, F.unhex(F.array_join(F.transform("pixels", lambda p: F.lpad(F.hex(p), 2, "0")), "")).alias("body"))
+    n = F.col("frame_number")
+    body = F.when(n % 11 == 0, F.expr("substring(body, 1, 9)")).otherwise(F.col("body"))
+    content = F.concat(F.lit(b"8 8\n"), body)
+    images.write_frame_files(own.filter(n % 7 != 0).withColumn("content", content), root)
+    out = images.read_frame_files(own.drop("body"), root, grey_image)
+    return out.select("video_id", "frame_number", "load_status", "height", F.md5(F.hex("image")).alias("pixels_md5"))
+
+
+@query("SELECT category, category || '/' || video_id || '.' || ending AS video_path, video_id FROM p WHERE category <> 'DeepFakeDetection' AND ending <> 'txt' AND NOT deep", PATHS)
+def s1_listed_videos(spark, sf_dir):
+    """The same of real files."""
+    root = scratch(spark, "videos")
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("v"), k.cast("string"), F.lit("."), B._pick(("mp4", "AVI", "txt", "webm"), k % 4))
+    path = F.concat_ws("/", B._pick(B.CATEGORIES, k % 10), F.when(k % 7 == 0, "more"), name)
+    images.write_frame_files(B.table(spark, sf_dir, "customer").select(path.alias("frame_path"), F.lit(b"0").alias("content")), root)
+    return tables.list_videos(spark, root).select("category", "video_path", "video_id")

@@ -593,3 +593,29 @@ def test_shuffled_batches_start_anywhere(spark):
     assert order == [k for b in sorted(whole) for k in whole[b]]
     assert {r.batch: r["keys"] for r in pixels.shuffled_batches(df, 30, 7, 3).collect()} != whole
     assert 33 not in {r.batch for r in pixels.shuffled_batches(df, 30, 7, 2, drop_last=True).collect()}
+
+
+def test_only_the_frames_own_files_are_opened(spark, tmp_path):
+    from pyarrow.fs import LocalFileSystem
+
+    for k in range(5):
+        (tmp_path / f"v{k}").mkdir()
+        (tmp_path / f"v{k}/a.bin").write_bytes(bytes([k] * 12))
+    opened = []
+
+    class Store:
+        def open_input_stream(self, place):
+            opened.append(place)
+            return LocalFileSystem().open_input_stream(place)
+
+        def get_file_info(self, place):
+            return LocalFileSystem().get_file_info(place)
+
+    square = lambda raw: np.frombuffer(raw, np.uint8).reshape(2, 2, 3)
+    assert images.image_of(Store(), str(tmp_path / "v3/a.bin"), square) == ("ok", 2, 2, bytes([3] * 12)) and opened == [str(tmp_path / "v3/a.bin")]
+    assert images.image_of(Store(), str(tmp_path / "v9/a.bin"), square)[0] == "missing_file"
+    assert images.image_of(Store(), str(tmp_path), square)[0] == "read_fail"
+    (tmp_path / "v4/a.bin").write_bytes(b"short")
+    frames = spark.createDataFrame([("v0/a.bin", 1), ("v4/a.bin", 2), ("none", 3), (None, 4)], "frame_path string, n int")
+    out = {r.n: r for r in images.read_frame_files(frames, str(tmp_path), square, rows=2).collect()}
+    assert [out[n].load_status for n in (1, 2, 3, 4)] == ["ok", "read_fail", "missing_file", "missing_file"] and bytes(out[1].image) == bytes(12)
