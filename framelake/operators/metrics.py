@@ -209,8 +209,18 @@ def ensemble_weights(start: float, end: float, step: float) -> list[float]:
     return [min(max(w, 0.0), 1.0) for w in (weights if weights[-1] >= end - 1e-9 else [*weights, end])]
 
 
-def align_predictions(one: DataFrame, two: DataFrame) -> DataFrame:
-    """key, label, prob_one, prob_two; unequal keys or labels are an error that names some."""
+def align_predictions(one: DataFrame, two: DataFrame, examples: int = 0) -> DataFrame:
+    """key, label, prob_one, prob_two; unequal keys or labels are an error that names a key when the rows are read.
+
+    With `examples` both sides are compared at once, and the error names so many keys that only one side has, that only
+    the other has, and whose labels differ.
+    """
+    if examples:
+        names = {"only_one": "only on the first side", "only_two": "only on the second side", "label": "with other labels"}
+        found = mismatched_predictions(one, two, examples).orderBy("kind", "key").collect()
+        said = [f"{text}: {', '.join(r.key for r in found if r.kind == kind)}" for kind, text in names.items() if any(r.kind == kind for r in found)]
+        if said:
+            raise ValueError("predictions don't match; " + "; ".join(said))
     a = one.select("key", F.col("label").alias("_a"), F.col("prob_positive").alias("prob_one"))
     b = two.select("key", F.col("label").alias("_b"), F.col("prob_positive").alias("prob_two"))
     joined = a.join(b, "key", "full_outer")

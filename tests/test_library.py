@@ -619,3 +619,11 @@ def test_only_the_frames_own_files_are_opened(spark, tmp_path):
     frames = spark.createDataFrame([("v0/a.bin", 1), ("v4/a.bin", 2), ("none", 3), (None, 4)], "frame_path string, n int")
     out = {r.n: r for r in images.read_frame_files(frames, str(tmp_path), square, rows=2).collect()}
     assert [out[n].load_status for n in (1, 2, 3, 4)] == ["ok", "read_fail", "missing_file", "missing_file"] and bytes(out[1].image) == bytes(12)
+
+
+def test_alignment_error_names_examples(spark):
+    side = lambda rows: spark.createDataFrame([(k, y, 0.5) for k, y in rows], "key string, label int, prob_positive double")
+    one, two = side([("a", 0), ("b", 1), *((f"x{k}", 1) for k in range(9))]), side([("a", 1), ("b", 1), ("z", 0)])
+    with pytest.raises(ValueError, match="first side: x0, x1, x2, x3, x4; only on the second side: z; with other labels: a$"):
+        metrics.align_predictions(one, two, examples=5)
+    assert metrics.align_predictions(one, one, examples=5).count() == 11
