@@ -134,7 +134,7 @@ class TimedClipBuilder(ClipBuilder):
             newest = max(at for at, _, _ in new)
             self.waiting.appendList(new)
             self.newest.update((max(newest, self.newest.get()[0]) if self.newest.exists() else newest,))
-            self.handle.registerTimer(newest)
+            self.handle.registerTimer(min(at for at, _, _ in new))
         yield from made([late_frame(key[0], n, name) for at, n, name in frames if at is None or at <= passed])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -143,7 +143,11 @@ class TimedClipBuilder(ClipBuilder):
         ready = [f for f in waiting if f[0] <= passed]
         if ready:
             rest = [f for f in waiting if f[0] > passed]
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(at for at, _, _ in rest))
+            else:
+                self.waiting.clear()
             yield from made(self.advanced(key[0], sorted((n, name) for _, n, name in ready)))
             waiting = rest
         if not waiting and self.newest.exists():

@@ -459,7 +459,7 @@ def test_frames_out_of_order_and_eviction(spark, tmp_path):
         [("v", n, n) for n in (3, 1, 0, 2, 5)],
         [("v", 4, 4), ("v", 7, 7), ("v", 6, 6), ("w", 0, 30)],  # the watermark stands before frame 4 yet
         [("v", 2, 2), ("w", 1, 31), ("x", 0, None)],  # now behind all frames of v
-        [("w", 2, 100)],
+        [("w", 2, 95), ("w", 4, 100), ("w", 3, 98)],  # one of three is passed at once
         [("z", 0, 500)],  # far behind w
     ]
     totals, clips, late = [], [], []
@@ -475,7 +475,7 @@ def test_frames_out_of_order_and_eviction(spark, tmp_path):
         run = stream.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
         run.awaitTermination()
         totals.append([p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]][-1])
-    assert sorted(clips) == [("v", 0, [0, 1, 2, 3]), ("v", 2, [2, 3, 4, 5]), ("v", 4, [4, 5, 6, 7])]
+    assert sorted(clips) == [("v", 0, [0, 1, 2, 3]), ("v", 2, [2, 3, 4, 5]), ("v", 4, [4, 5, 6, 7]), ("w", 0, [0, 1, 2, 3])]
     assert sorted(late) == [("v", None, [2]), ("x", None, [0])]
     assert max(totals) > totals[-1]
 
