@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,23 +23,35 @@ def sample_indices(fps: float, frames: int, target: int) -> np.ndarray:
     return first[first < frames]
 
 
-def sample_frames(videos: DataFrame, target_fps: int = 5) -> DataFrame:
-    """Rows of `videos` (original_fps, num_frames) once per kept frame, with frame_number, original_frame_index, timestamp.
+def planned(videos: DataFrame, target_fps: int = 5, digits: int | None = None) -> DataFrame:
+    """Rows of `videos` with `_at`, the original_frame_index and timestamp of each kept frame in order; videos without frames go.
 
-    The positions are worked out once for each distinct (fps, number of frames). Null rates or lengths give no frames.
+    Both are worked out, and timestamps rounded to `digits`, once for each distinct (fps, number of frames).
     """
 
     @F.pandas_udf("array<long>")
     def indices(fps: pd.Series, frames: pd.Series) -> pd.Series:
         return pd.Series([sample_indices(f, int(n), target_fps) for f, n in zip(fps, frames, strict=True)])
 
+    def placed(k: Column) -> Column:
+        at = k / F.col("original_fps")
+        return F.struct(k.alias("original_frame_index"), (at if digits is None else F.round(at, digits)).alias("timestamp"))
+
     usable = videos.filter((F.col("original_fps") > 0) & (F.col("num_frames") > 0))
     shapes = usable.select(F.col("original_fps").cast("double"), F.col("num_frames").cast("long")).distinct()
-    plan = shapes.withColumn("_at", indices("original_fps", "num_frames"))
-    placed = usable.withColumns({"original_fps": F.col("original_fps").cast("double"), "num_frames": F.col("num_frames").cast("long")}).join(plan, ["original_fps", "num_frames"])
-    columns = [c for c in videos.columns]
-    out = placed.select(*columns, F.posexplode("_at").alias("frame_number", "original_frame_index"))
-    return out.withColumn("timestamp", F.col("original_frame_index") / F.col("original_fps"))
+    plan = shapes.withColumn("_at", indices("original_fps", "num_frames")).withColumn("_at", F.transform("_at", placed))
+    typed = usable.withColumns({"original_fps": F.col("original_fps").cast("double"), "num_frames": F.col("num_frames").cast("long")})
+    return typed.join(plan, ["original_fps", "num_frames"]).select(*videos.columns, "_at")
+
+
+def sample_frames(videos: DataFrame, target_fps: int = 5, digits: int | None = None) -> DataFrame:
+    """Rows of `videos` (original_fps, num_frames) once per kept frame, with frame_number, original_frame_index, timestamp.
+
+    The positions are worked out once for each distinct (fps, number of frames). Null rates or lengths give no frames.
+    `digits`: those that timestamps are rounded to.
+    """
+    out = planned(videos, target_fps, digits).select(*videos.columns, F.posexplode("_at").alias("frame_number", "_at"))
+    return out.select(*videos.columns, "frame_number", "_at.original_frame_index", "_at.timestamp")
 
 
 def expected_samples(videos: DataFrame, target_fps: int = 5) -> DataFrame:

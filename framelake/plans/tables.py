@@ -73,7 +73,7 @@ SAMPLED = B.VIDEOS + """, plan AS (SELECT category, video_id, k::BIGINT AS frame
 
 @query("SELECT video_id, frame_number, original_frame_index, round(original_frame_index / original_fps, 6) AS timestamp FROM plan", SAMPLED)
 def w2_sample_frames(spark, sf_dir):
-    return sampling.sample_frames(B.videos(spark, sf_dir)).select("video_id", F.col("frame_number").cast("long").alias("frame_number"), "original_frame_index", F.round("timestamp", 6).alias("timestamp"))
+    return sampling.sample_frames(B.videos(spark, sf_dir), digits=6).select("video_id", F.col("frame_number").cast("long").alias("frame_number"), "original_frame_index", "timestamp")
 
 
 @query("SELECT v.video_id, count(p.frame_number)::BIGINT AS expected FROM videos v LEFT JOIN plan p ON v.video_id = p.video_id GROUP BY v.video_id", SAMPLED)

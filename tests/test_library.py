@@ -627,3 +627,10 @@ def test_alignment_error_names_examples(spark):
     with pytest.raises(ValueError, match="first side: x0, x1, x2, x3, x4; only on the second side: z; with other labels: a$"):
         metrics.align_predictions(one, two, examples=5)
     assert metrics.align_predictions(one, one, examples=5).count() == 11
+
+
+def test_sampled_frames_rounded(spark):
+    """Timestamps that are rounded once for each distinct rate and length are those of rounded rows."""
+    videos = spark.range(40).select("id", F.lit(29.97).alias("original_fps"), (F.col("id") * 20).alias("num_frames"))
+    plain = sampling.sample_frames(videos).withColumn("timestamp", F.round("timestamp", 6))
+    assert sorted(sampling.sample_frames(videos, digits=6).collect()) == sorted(plain.collect())
