@@ -123,6 +123,16 @@ def class_balance(samples: DataFrame, by: list[str] | None = None, invert: bool
     return counts.withColumns({"raw_pos_weight": raw, "effective_pos_weight": effective})
 
 
+def number_words(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group its frame numbers as bits of words: word (number // 64), bits, and the rows that name one of these numbers.
+
+    Rows of a group that lie near one another are one row before the shuffle. Rows without a number have no word.
+    """
+    n = F.col("frame_number").cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(63).cast("int"))
+    return rows.select(*by, F.shiftright(n, 6).alias("word"), bit.alias("_bit")).groupBy(*by, "word").agg(F.bit_or("_bit").alias("bits"), F.count("*").alias("rows"))
+
+
 def exactly_numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per group the number of rows, and whether their frame numbers are exactly 0 .. rows - 1, each once."""
     own = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct("frame_number").alias("_different"), F.min("frame_number").alias("_first"), F.max("frame_number").alias("_last"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.text import video_key
-from framelake.operators.reports import exactly_numbered
-from framelake.operators.sampling import expected_samples, sample_frames
+from framelake.operators.reports import exactly_numbered, number_words
+from framelake.operators.sampling import expected_samples, planned, sample_frames
 from framelake.sources.staging import scratch
 
 
@@ -72,10 +72,24 @@ def missing_partners(pairs: DataFrame, videos: DataFrame) -> DataFrame:
     return pairs.join(known, ["category", "source_id"], "left_anti").select("video_id", "category", "source_id")
 
 
-def rebuild_frames(files: DataFrame, videos: DataFrame, plan: DataFrame) -> DataFrame:
-    """Frame files (category, video_id, frame_number) with their manifest row and source frame; numbers outside the plan go."""
-    source = plan.select("category", "video_id", "frame_number", "original_frame_index", "timestamp")
-    return files.join(source, ["category", "video_id", "frame_number"]).join(videos.select("category", "video_id", "binary_label", "original_fps", "num_frames"), ["category", "video_id"])
+def rebuild_frames(files: DataFrame, videos: DataFrame, target_fps: int = 5) -> DataFrame:
+    """Frame files (category, video_id, frame_number) with their manifest row and source frame; numbers outside the sampling plan go.
+
+    A video's files meet its row of the manifest as words of bits, and the plan as one list for each (fps, number of
+    frames): neither files nor plan are rows before the result. A file that is listed twice is one, but for other columns of `files`.
+    """
+    by = ["category", "video_id"]
+    # hints: a table's files may be small enough to be sent to all tasks while its rows, or what is made of them, are not
+    own = number_words(files, by).join(videos.select(*by, "binary_label", "original_fps", "num_frames").hint("shuffle_hash"), by)
+    placed = planned(own, target_fps)
+    first = F.greatest("word", F.lit(0)) * 64
+    in_word = F.sequence(F.lit(0), F.least(F.lit(63), F.size("_at") - first - 1).cast("int"))
+    there = F.filter(in_word, lambda k: F.getbit("bits", k) == 1)
+    numbers = F.when((F.col("word") >= 0) & (first < F.size("_at")), there)
+    rows = placed.withColumn("_k", F.explode(numbers)).withColumn("_n", (first + F.col("_k")).cast("int"))
+    at = F.get("_at", F.col("_n"))
+    rebuilt = rows.select(*by, F.col("_n").cast(files.schema["frame_number"].dataType).alias("frame_number"), at["original_frame_index"].alias("original_frame_index"), at["timestamp"].alias("timestamp"), "binary_label", "original_fps", "num_frames")
+    return rebuilt if len(files.columns) == 3 else files.join(rebuilt.hint("merge"), [*by, "frame_number"])
 
 
 def key_algebra(audit: DataFrame, shards: DataFrame, frames: DataFrame) -> DataFrame:

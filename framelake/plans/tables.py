@@ -89,10 +89,9 @@ def w4_contiguous_prefix(spark, sf_dir):
 @query("SELECT p.video_id, p.frame_number, p.original_frame_index, v.binary_label FROM plan p JOIN videos v ON p.video_id = v.video_id WHERE p.frame_number % 2 = 0", SAMPLED)
 def j4_rebuild_frames(spark, sf_dir):
     v = B.videos(spark, sf_dir)
-    plan = sampling.sample_frames(v)
     # files 0, 2, 4, … up to the length in source frames: those beyond the plan go
     files = v.select("category", "video_id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("num_frames"), F.lit(1)).cast("int"), F.lit(2))).alias("frame_number"))
-    return resume.rebuild_frames(files, v, plan).select("video_id", F.col("frame_number").cast("long").alias("frame_number"), "original_frame_index", "binary_label")
+    return resume.rebuild_frames(files, v).select("video_id", F.col("frame_number").cast("long").alias("frame_number"), "original_frame_index", "binary_label")
 
 
 PLANNED = B.VIDEOS + """, plan AS (SELECT category, video_id, lower(trim(split)) AS split, original_fps, binary_label, k::BIGINT AS frame_number, greatest(k, ceil((k * 1.0::DOUBLE - 1e-9) * original_fps))::BIGINT AS original_frame_index, video_id::BIGINT % 8 AS kind

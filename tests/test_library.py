@@ -629,6 +629,22 @@ def test_alignment_error_names_examples(spark):
     assert metrics.align_predictions(one, one, examples=5).count() == 11
 
 
+def test_rebuilt_frames_by_words(spark, capsys):
+    """Numbers around the ends of words, outside the plan, without a video or listed twice; the plan is no table of rows that could be sent to all tasks."""
+    videos = spark.createDataFrame([("o", "a", 1, 10.0, 400), ("o", "b", 0, 4.0, 9), ("o", "c", 0, None, 9)], "category string, video_id string, binary_label int, original_fps double, num_frames long")
+    numbers = {"a": [0, 1, 63, 64, 65, 127, 128, 199, 200, 500, -1, None], "b": [0, 8, 9, 64, -64], "c": [0], "gone": [0]}
+    files = spark.createDataFrame([("o", v, n) for v, own in numbers.items() for n in own] + [("o", "a", 64)], "category string, video_id string, frame_number int")
+    for rows in (files, files.withColumn("path", F.lit("x"))):
+        out = resume.rebuild_frames(rows, videos)
+        plan = {(r.video_id, r.frame_number): (r.original_frame_index, r.timestamp) for r in sampling.sample_frames(videos).collect()}
+        have = out.select("video_id", "frame_number", "original_frame_index", "timestamp").collect()
+        assert {(r[0], r[1]): (r[2], r[3]) for r in have} == {k: at for k, at in plan.items() if k[1] in numbers[k[0]]}
+        assert len(have) == 10 + (rows is not files)
+    assert dict(out.dtypes)["frame_number"] == "int"
+    resume.rebuild_frames(files, videos).explain()
+    assert capsys.readouterr().out.count("posexplode") == 0
+
+
 def test_sampled_frames_rounded(spark):
     """Timestamps that are rounded once for each distinct rate and length are those of rounded rows."""
     videos = spark.range(40).select("id", F.lit(29.97).alias("original_fps"), (F.col("id") * 20).alias("num_frames"))
