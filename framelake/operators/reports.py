@@ -135,8 +135,10 @@ def number_words(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def exactly_numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per group the number of rows, and whether their frame numbers are exactly 0 .. rows - 1, each once."""
-    own = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct("frame_number").alias("_different"), F.min("frame_number").alias("_first"), F.max("frame_number").alias("_last"))
-    whole = (F.col("_different") == F.col("rows")) & (F.col("_first") == 0) & (F.col("_last") == F.col("rows") - 1)
+    last = F.max(F.col("word") * 64 + F.length(F.bin("bits")) - 1)
+    own = number_words(rows, by).groupBy(*by).agg(F.sum("rows").alias("rows"), F.sum(F.bit_count("bits")).alias("_different"), F.min("word").alias("_first"), last.alias("_last"))
+    # so many different numbers from 0 to the last are all of them
+    whole = (F.col("_different") == F.col("rows")) & (F.col("_first") >= 0) & (F.col("_last") == F.col("rows") - 1)
     return own.select(*by, "rows", F.coalesce(whole, F.lit(False)).alias("whole"))
 
 

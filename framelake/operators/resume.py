@@ -119,9 +119,12 @@ def video_states(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit
     expecting = expected_samples(manifest, target_fps).select(key, F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), F.when(usable, F.col("expected")).alias("expected"))
     listed = expecting.groupBy("video_key", "category", "video_id").agg(F.max("expected").alias("expected"))
     number = F.trim(F.col("frame_number").cast("string")).try_cast("long")
-    found = files.select(F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), number.alias("frame_number")).filter("frame_number is not null").distinct()
-    # numbers up to the expected one that have a file: all of them are there if these are as many
-    filed = listed.join(found, ["category", "video_id"], "left").groupBy("video_key").agg(F.first("expected").alias("expected"), F.count("frame_number").alias("files"), F.count_if(F.col("frame_number").between(0, F.col("expected") - 1)).alias("due"))
+    found = files.select(F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), number.alias("frame_number")).filter("frame_number is not null")
+    # numbers below the expected one that have a file: all of them are there if these are as many
+    below = F.col("expected") - F.greatest("word", F.lit(0)) * 64
+    due = F.when((F.col("word") < 0) | (below <= 0), 0).when(below >= 64, F.bit_count("bits")).otherwise(F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), below.cast("int"))))))
+    zero = F.lit(0).cast("long")
+    filed = listed.join(number_words(found, ["category", "video_id"]), ["category", "video_id"], "left").groupBy("video_key").agg(F.first("expected").alias("expected"), F.coalesce(F.sum(F.bit_count("bits")), zero).alias("files"), F.coalesce(F.sum(due), zero).alias("due"))
     written = exactly_numbered(frames.select(key, number.alias("frame_number")), ["video_key"]).withColumnRenamed("whole", "numbered")
     audited = audit.filter(F.lower(F.trim("status")) == "complete").select(key).distinct().withColumn("audited", F.lit(True))
     none = audited.agg(F.count("*") == 0).scalar()

@@ -108,14 +108,14 @@ def half_extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     v = B.videos(spark, sf_dir)
     kind, n = F.col("video_id").cast("long") % 8, F.col("frame_number")
     path = F.format_string("%s/%s_frame_%05d.jpg", "category", "video_id", "frame_number")
-    plan = sampling.sample_frames(v, 1).withColumn("frame_path", path)
+    sized = sampling.expected_samples(v, 1)
+    plan = sampling.sample_frames(sized, 1).withColumn("frame_path", path)
     text_number = F.when((kind == 4) & (n == 0), "x").otherwise(n.cast("string"))
     rows = plan.filter(~kind.isin(5, 6) & ~((kind == 1) & (n == 2)))
     rows = rows.select("category", "video_id", F.upper("split").alias("split"), "frame_path", text_number.alias("frame_number"), "original_frame_index", "timestamp", "binary_label")
     rows = rows.unionByName(rows.filter((kind == 3) & (F.col("frame_number") == "0")))
-    sizes = sampling.expected_samples(v, 1).select("video_id", "expected")
-    files = plan.select("category", "video_id", "frame_number", "frame_path").join(sizes, "video_id").filter(~((kind == 2) & (n == F.col("expected") - 1)) & ~((kind == 6) & (n == 0)))
-    more = sampling.expected_samples(v, 1).filter((kind == 7) & (F.col("expected") > 0)).select("category", "video_id", F.col("expected").cast("int").alias("frame_number"))
+    files = plan.select("category", "video_id", "frame_number", "frame_path", "expected").filter(~((kind == 2) & (n == F.col("expected") - 1)) & ~((kind == 6) & (n == 0)))
+    more = sized.filter((kind == 7) & (F.col("expected") > 0)).select("category", "video_id", F.col("expected").cast("int").alias("frame_number"))
     return v, rows, files.drop("expected").unionByName(more.withColumn("frame_path", path))
 
 

@@ -650,3 +650,27 @@ def test_sampled_frames_rounded(spark):
     videos = spark.range(40).select("id", F.lit(29.97).alias("original_fps"), (F.col("id") * 20).alias("num_frames"))
     plain = sampling.sample_frames(videos).withColumn("timestamp", F.round("timestamp", 6))
     assert sorted(sampling.sample_frames(videos, digits=6).collect()) == sorted(plain.collect())
+
+
+def test_numbered_by_words(spark):
+    """Whole numberings over several words, with gaps, repeats, negative numbers and none."""
+    groups = {"whole": range(130), "gap": [k for k in range(130) if k != 64], "twice": [*range(64), 63], "shifted": range(1, 65), "negative": range(-1, 64), "null": [0, 1, None], "none": [None], "one": [0], "word": range(64)}
+    rows = spark.createDataFrame([(g, n) for g, own in groups.items() for n in own], "g string, frame_number long").repartition(5)
+    have = {r.g: (r.rows, r.whole) for r in reports.exactly_numbered(rows, ["g"]).collect()}
+    assert have == {g: (len(list(own)), g in ("whole", "one", "word")) for g, own in groups.items()}
+    words = {r.word: r.bits & (1 << 64) - 1 for r in reports.number_words(rows.filter("g = 'negative'"), ["g"]).collect()}
+    assert words == {-1: 1 << 63, 0: (1 << 64) - 1}
+
+
+def test_video_states_by_words(spark):
+    """Files below, at and beyond the expected number around the ends of words, of which none is a row of its own in a shuffle."""
+    sizes = {"a": 64, "b": 65, "c": 127, "d": 128, "e": 200, "f": 1}
+    manifest = spark.createDataFrame([("o", v, "train", 5.0, n) for v, n in sizes.items()], "category string, video_id string, split string, original_fps double, num_frames long")
+    files = spark.createDataFrame([("o", v, k) for v, n in sizes.items() for k in range(n + (v == "e")) if (v, k) != ("d", 127)] + [("o", "a", 3), ("o", "f", -1)], "category string, video_id string, frame_number long")
+    rows = manifest.limit(0).selectExpr("category", "video_id", "split", "0L as frame_number")
+    audit = manifest.selectExpr("category", "video_id", "split", "'complete' as status")
+    out = resume.video_states(manifest, rows, files, audit, 5)
+    have = {r.video_key[2]: (r.expected, r.files, r.action) for r in out.collect()}
+    assert have == {"a": (64, 64, "rebuild"), "b": (65, 65, "rebuild"), "c": (127, 127, "rebuild"), "d": (128, 127, "lost"), "e": (200, 201, "rebuild"), "f": (1, 2, "rebuild")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan and "Aggregate [frame_number" not in plan and plan.count("bit_or") >= 2
