@@ -163,8 +163,10 @@ def reconcile(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit: D
     entries = boot.select("category", "video_id", "split", F.lit("complete").alias("status")).distinct()
     columns = ["category", "video_id", "split", "frame_path", "frame_number", "original_frame_index", "timestamp", "binary_label"]
     kept = frames.withColumn("video_key", key).join(states.filter("action = 'keep'").select("video_key"), "video_key", "left_semi").select(*columns)
-    again = sample_frames(listed.join(states.filter("action = 'rebuild'").select("video_key"), "video_key", "left_semi"), target_fps)
-    own = files.select("category", "video_id", F.col("frame_number").cast("int").alias("frame_number"), "frame_path")
+    lost = listed.join(states.filter("action = 'rebuild'").select("video_key"), "video_key", "left_semi")
+    again = sample_frames(lost, target_fps)
+    # files of other videos go before they are dealt out
+    own = files.join(lost.select("category", "video_id"), ["category", "video_id"], "left_semi").select("category", "video_id", F.col("frame_number").cast("int").alias("frame_number"), "frame_path")
     rebuilt = again.join(own, ["category", "video_id", "frame_number"])
     same = [F.col(c).cast(kept.schema[c].dataType).alias(c) for c in columns]
     return Reconciled(states, entries, kept.unionByName(rebuilt.select(*same)))
