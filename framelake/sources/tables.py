@@ -152,9 +152,13 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.select("accuracy", "balanced_accuracy", "f1", "precision", "recall", counts, labels, preds, probs).coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_failure_report(df: DataFrame, path: str) -> None:
-    """The one row of `failure_report` as a JSON document."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_failure_report(df: DataFrame, path: str, failures: DataFrame | None = None) -> None:
+    """The one row of `failure_report` as a JSON document; with `failures` these and it are the folders `failures` and `report` in `path`."""
+    if failures is None:
+        df.coalesce(1).write.mode("overwrite").json(path)
+    else:
+        df.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+        failures.write.mode("overwrite").json(f"{path}/failures")
 
 
 def read_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

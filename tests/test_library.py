@@ -673,4 +673,16 @@ def test_video_states_by_words(spark):
     have = {r.video_key[2]: (r.expected, r.files, r.action) for r in out.collect()}
     assert have == {"a": (64, 64, "rebuild"), "b": (65, 65, "rebuild"), "c": (127, 127, "rebuild"), "d": (128, 127, "lost"), "e": (200, 201, "rebuild"), "f": (1, 2, "rebuild")}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "count(distinct" not in plan and "Aggregate [frame_number" not in plan and plan.count("bit_or") >= 2
+    assert "count(distinct" not in plan and "Aggregate [frame_number" not in plan and "bit_or" in plan
+
+
+def test_failure_report_is_whole(spark):
+    """Every wrong prediction counts and is part of the MD5, in order of key; a report without any has none."""
+    import hashlib
+
+    preds = spark.createDataFrame([(f"k{n}", n % 2, 0.9 if n % 3 else 0.1) for n in range(1000)], "key string, label int, prob_positive double").repartition(5)
+    wrong = sorted(f"k{n}" + ("FN1" if n % 2 else "FP0") for n in range(1000) if (n % 3 > 0) != (n % 2 == 1))
+    row = metrics.failure_report(preds, 0.5).first()
+    wanted = ",".join(sorted(wrong, key=lambda x: x[:-3]))
+    assert (row.summary.failures_saved, row.failures_md5) == (len(wrong), hashlib.md5(wanted.encode()).hexdigest())
+    assert metrics.failure_report(preds.filter("key = 'k1'"), 0.5).first().failures_md5 is None
