@@ -17,9 +17,12 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def drained(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives until its input ends; in update and complete mode the last of each batch."""
-    out, checkpoint = scratch(spark, "stream"), scratch(spark, "checkpoint")
+def drained(stream: DataFrame, spark: SparkSession, mode: str = "append", places: tuple[str, str] | None = None) -> DataFrame:
+    """All rows that a stream gives until its input ends; in update and complete mode the last of each batch.
+
+    `places`: folders of the output and the checkpoint, for a stream that goes on from where it ended.
+    """
+    out, checkpoint = places or (scratch(spark, "stream"), scratch(spark, "checkpoint"))
     write = lambda batch, n: batch.withColumn("batch_id", F.lit(n)).write.mode("append").parquet(out)
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
@@ -89,17 +92,22 @@ ARRIVED = B.KEPT + """, a AS (SELECT *, epoch_ms(ts) AS at_ms, epoch_ms(ts) + CA
  s AS (SELECT min(came) AS lo, max(came) AS hi FROM a), p AS (SELECT a.*, least(((came - lo) * 5) // greatest(hi - lo, 1), 4) AS part FROM a, s)"""
 
 
-def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames as a stream of files in order of their arrival."""
-    path = scratch(spark, "frames")
+def arrived_clips(spark: SparkSession, sf_dir: str, delay: str) -> DataFrame:
+    """Clips of frames that arrive in parts: the stream goes on for each part, which is one batch of as many files as tasks wrote."""
+    staged, path = scratch(spark, "arriving"), scratch(spark, "frames")
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     came = at + F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 50 * 60000).otherwise(0)
-    rows = B.kept_frames(spark, sf_dir).select(F.col("video_id").alias("video"), "frame_number", "key", F.col("ts").cast("timestamp").alias("ts"), came.alias("came"))
+    # frames are numbered once
+    B.kept_frames(spark, sf_dir).select(F.col("video_id").alias("video"), "frame_number", "key", F.col("ts").cast("timestamp").alias("ts"), came.alias("came")).write.parquet(staged)
+    rows = spark.read.parquet(staged)
     ends = rows.agg(F.min("came").alias("lo"), F.max("came").alias("hi")).first()
     part = F.least(F.floor((F.col("came") - ends.lo) * ARRIVALS / max(ends.hi - ends.lo, 1)), F.lit(ARRIVALS - 1))
+    places = scratch(spark, "stream"), scratch(spark, "checkpoint")
     for k in range(ARRIVALS):
-        rows.filter(part == k).drop("came").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema("video string, frame_number long, key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+        rows.filter(part == k).drop("came").write.mode("append").parquet(path)
+        frames = spark.readStream.schema("video string, frame_number long, key string, ts timestamp").parquet(path)
+        out = drained(streams.stream_clips(frames, time="ts", delay=delay, idle_seconds=10**9), spark, places=places)
+    return out
 
 
 @query(
@@ -110,7 +118,7 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r2_out_of_order_clips(spark, sf_dir):
     """Frames that come within the hour of the watermark, in any order, give the clips of the batch up to the watermark."""
     streams.use_rocksdb(spark)
-    out = drained(streams.stream_clips(arriving(spark, sf_dir), time="ts", delay="1 hour", idle_seconds=10**9), spark)
+    out = arrived_clips(spark, sf_dir, "1 hour")
     return out.filter(~F.col("late")).select("video", "clip_id", "clip_start", F.array_join("source_keys", ",").alias("source_keys"))
 
 
@@ -118,7 +126,7 @@ def r2_out_of_order_clips(spark, sf_dir):
 def r2_late_frames(spark, sf_dir):
     """With five minutes of patience, the frames that come after the watermark has passed them."""
     streams.use_rocksdb(spark)
-    out = drained(streams.stream_clips(arriving(spark, sf_dir), time="ts", delay="5 minutes", idle_seconds=10**9), spark)
+    out = arrived_clips(spark, sf_dir, "5 minutes")
     return out.filter("late").select("video", F.col("source_keys")[0].alias("key"))
 
 

@@ -686,3 +686,15 @@ def test_failure_report_is_whole(spark):
     wanted = ",".join(sorted(wrong, key=lambda x: x[:-3]))
     assert (row.summary.failures_saved, row.failures_md5) == (len(wrong), hashlib.md5(wanted.encode()).hexdigest())
     assert metrics.failure_report(preds.filter("key = 'k1'"), 0.5).first().failures_md5 is None
+
+
+def test_arriving_frames_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A part of the frames that arrive is not one task's file."""
+    from framelake.plans import streams as plans
+
+    frames = spark.range(0, 4000, 1, 4).select((F.col("id") % 40).cast("string").alias("video_id"), F.floor(F.col("id") / 40).alias("frame_number"), F.col("id").alias("event_id"), F.col("id").cast("string").alias("key"), F.timestamp_seconds(F.col("id") * 10).alias("ts"))
+    monkeypatch.setattr(plans.B, "kept_frames", lambda spark, sf_dir: frames)
+    monkeypatch.setattr(plans, "scratch", lambda spark, name: str(tmp_path / name))
+    streams.use_rocksdb(spark)
+    plans.arrived_clips(spark, "", "1 hour").count()
+    assert len([x for x in os.listdir(tmp_path / "frames") if x.endswith(".parquet")]) > plans.ARRIVALS
