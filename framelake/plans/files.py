@@ -267,5 +267,5 @@ def s1_listed_videos(spark, sf_dir):
     k = F.col("c_custkey")
     name = F.concat(F.lit("v"), k.cast("string"), F.lit("."), B._pick(("mp4", "AVI", "txt", "webm"), k % 4))
     path = F.concat_ws("/", B._pick(B.CATEGORIES, k % 10), F.when(k % 7 == 0, "more"), name)
-    images.write_frame_files(B.table(spark, sf_dir, "customer").select(path.alias("frame_path"), F.lit(b"0").alias("content")), root)
+    images.write_frame_files(B.table(spark, sf_dir, "customer").select(path.alias("frame_path"), F.lit(b"0").alias("content")), root, tasks=int(spark.conf.get("spark.sql.shuffle.partitions")))
     return tables.list_videos(spark, root).select("category", "video_path", "video_id")

@@ -69,8 +69,12 @@ def read_frame_files(frames: DataFrame, root: str, decode: Callable[[bytes], np.
     return frames.mapInArrow(load, f"{columns}, load_status string, height int, width int, image binary")
 
 
-def write_frame_files(files: DataFrame, root: str) -> None:
-    """Writes each row's content to its frame_path under `root`; rows that are written again are replaced."""
+def write_frame_files(files: DataFrame, root: str, tasks: int | None = None) -> None:
+    """Writes each row's content to its frame_path under `root`; rows that are written again are replaced.
+
+    With `tasks` the rows are dealt to so many tasks by their paths, for many small files out of few partitions; else they are
+    written where they are.
+    """
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = FileSystem.from_uri(root)
@@ -85,4 +89,6 @@ def write_frame_files(files: DataFrame, root: str) -> None:
                     out.write(content)
         yield from ()
 
-    files.select("frame_path", "content").mapInArrow(save, "done int").write.format("noop").mode("overwrite").save()
+    own = files.select("frame_path", "content")
+    placed = own if tasks is None else own.repartition(tasks, "frame_path")
+    placed.mapInArrow(save, "done int").write.format("noop").mode("overwrite").save()

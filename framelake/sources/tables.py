@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +38,42 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False)
 
 
-def list_videos(spark: SparkSession, root: str) -> DataFrame:
-    """category, video_path (relative) and video_id of the video files directly under known category folders."""
+def list_videos(spark: SparkSession, root: str, rows: int = 10_000) -> DataFrame:
+    """category, video_path (relative) and video_id of the video files directly under known category folders.
+
+    Where `pyarrow.fs` knows the file system of `root`, a task lists each of these folders when the rows are asked for: no other
+    folder is listed, no file is opened, and no name passes through the driver. A store hands out a folder as one list, so its
+    entries are in that task's memory at once; they leave it `rows` at a time. Other stores are listed by Spark's reader, on the
+    driver and without the names that begin with `_` or `.`. A root that isn't there is an error.
+    """
+    whole = root if ":" in root else os.path.abspath(root)
+    try:
+        store, base = FileSystem.from_uri(whole)
+    except (pa.ArrowException, OSError):
+        return known_videos(files_below(spark, root))
+    if store.get_file_info(base).type != FileType.Directory:
+        raise FileNotFoundError(f"no folder {root}")
+    known = [*CATEGORY_LABELS]
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(whole)
+        for k in (k for batch in batches for k in batch.column(0).to_pylist()):
+            folder = f"{base.rstrip('/')}/{known[k]}"
+            if store.get_file_info(folder).type == FileType.Directory:
+                listed = store.get_file_info(FileSelector(folder))
+                for at in range(0, len(listed), rows):
+                    found = [f"{known[k]}/{x.base_name}" for x in listed[at : at + rows] if x.type == FileType.File]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["video_path"])
+
+    return known_videos(spark.range(0, len(known), 1, len(known)).mapInArrow(names, "video_path string"))
+
+
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """video_path, relative, of all files below `root` that Spark's readers list."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     # whole paths, with or without the scheme and authority that `root` names; a relative root is one of this machine
     below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root if ":" in root else os.path.abspath(root)).rstrip("/") + "/"
-    return known_videos(files.select(F.substring("path", F.locate(below, F.col("path")) + len(below), F.length("path")).alias("video_path")))
+    return files.select(F.substring("path", F.locate(below, F.col("path")) + len(below), F.length("path")).alias("video_path"))
 
 
 def known_videos(files: DataFrame) -> DataFrame:

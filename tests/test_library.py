@@ -621,6 +621,25 @@ def test_only_the_frames_own_files_are_opened(spark, tmp_path):
     assert [out[n].load_status for n in (1, 2, 3, 4)] == ["ok", "read_fail", "missing_file", "missing_file"] and bytes(out[1].image) == bytes(12)
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """A task for each known folder, however many files there are, and names and kinds of entries as folders hold them."""
+    files = spark.range(0, 600, 1, 1).select(F.concat(F.lit("Deepfakes/v"), "id", F.lit(".mp4")).alias("frame_path"), F.lit(b"0").alias("content"))
+    images.write_frame_files(files.unionAll(files), str(tmp_path), tasks=5)
+    for name in ("original/_one.mp4", "original/.two.AVI", "original/a b%20c.mov", "original/.mp4", "original/deep.mp4/4.mp4", "csv/5.mp4", "6.mp4", "FaceSwap"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"0")
+    want = {("original", "original/_one.mp4", "_one"), ("original", "original/.two.AVI", ".two"), ("original", "original/a b%20c.mov", "a b%20c")}
+    want |= {("Deepfakes", f"Deepfakes/v{k}.mp4", f"v{k}") for k in range(600)}
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}", f"file:{tmp_path}", os.path.relpath(tmp_path)):
+        found = tables.list_videos(spark, root, rows=7)
+        assert found.rdd.getNumPartitions() == len(text.CATEGORY_LABELS) and {tuple(r) for r in found.collect()} == want
+    assert found.count() == 603
+    with pytest.raises(FileNotFoundError):
+        tables.list_videos(spark, f"{tmp_path}/none")
+    below = {r.video_path for r in tables.files_below(spark, f"file:{tmp_path}").collect()}
+    assert {"original/a b%20c.mov", "original/deep.mp4/4.mp4", "6.mp4", "Deepfakes/v3.mp4"} <= below
+
+
 def test_alignment_error_names_examples(spark):
     side = lambda rows: spark.createDataFrame([(k, y, 0.5) for k, y in rows], "key string, label int, prob_positive double")
     one, two = side([("a", 0), ("b", 1), *((f"x{k}", 1) for k in range(9))]), side([("a", 1), ("b", 1), ("z", 0)])
