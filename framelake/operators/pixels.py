@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,22 +41,36 @@ def motion_magnitude(differences: DataFrame, by: list[str]) -> DataFrame:
     return moved.withColumn("motion_scaled", F.when(most > 0, F.col("motion") / most).otherwise(0.0))
 
 
-def stack_clips(clips: DataFrame, pixels: DataFrame) -> DataFrame:
+def stack_clips(clips: DataFrame, pixels: DataFrame, batch_bytes: int = 16 << 20) -> DataFrame:
     """key, rgb (T,3,H,W) and diff (T-1,3,H,W) bytes of clips (key, source_keys) from frames (key, image HWC bytes, height, width).
 
-    Source keys meet their pixels in one join; a clip's frames are then grouped, and only they are in memory together.
+    Source keys meet their pixels in one join; a clip's frames are then dealt to one task and sorted, and clips are stacked as
+    their frames go by: one clip and an Arrow batch are in memory together, and clips leave in batches of about `batch_bytes`.
     """
     wanted = clips.select(F.col("key").alias("clip"), F.posexplode("source_keys").alias("t", "key"))
-    joined = wanted.join(pixels.select("key", "image", "height", "width"), "key")
+    joined = wanted.join(pixels.select("key", "image", "height", "width"), "key").select("clip", "t", "height", "width", "image")
+    schema = pa.schema([("key", pa.string()), ("length", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary()), ("diff", pa.binary())])
 
-    def stack(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("t")
-        h, w = int(own["height"].iloc[0]), int(own["width"].iloc[0])
-        rgb = np.stack([np.frombuffer(x, np.uint8).reshape(h, w, 3).transpose(2, 0, 1) for x in own["image"]])
+    def stacked(clip: str, h: int, w: int, own: list[bytes]) -> dict:
+        rgb = np.stack([np.frombuffer(x, np.uint8).reshape(h, w, 3).transpose(2, 0, 1) for x in own])
         diff = np.abs(np.diff(rgb.astype(np.int16), axis=0)).astype(np.uint8)
-        return pd.DataFrame({"key": [own["clip"].iloc[0]], "length": [len(rgb)], "height": [h], "width": [w], "rgb": [rgb.tobytes()], "diff": [diff.tobytes()]})
-
-    return joined.groupBy("clip").applyInPandas(stack, "key string, length int, height int, width int, rgb binary, diff binary")
+        return {"key": clip, "length": len(own), "height": h, "width": w, "rgb": rgb.tobytes(), "diff": diff.tobytes()}
+
+    def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("clip", "height", "width", "image")), strict=True))
+        for clip, frames in itertools.groupby(rows, lambda row: row[0]):
+            (_, h, w, image), *others = frames
+            out.append(stacked(clip, h, w, [image, *(x[3] for x in others)]))
+            size += len(out[-1]["rgb"]) + len(out[-1]["diff"])
+            if size >= batch_bytes or len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    placed = joined.repartition("clip").sortWithinPartitions("clip", "t")
+    return placed.mapInArrow(stack, "key string, length int, height int, width int, rgb binary, diff binary")
 
 
 def validate_clips(samples: DataFrame, clip_len: int | None = None) -> DataFrame:

@@ -261,7 +261,7 @@ class ShardWriter(DataSourceArrowWriter):
         store, place = store_of(self.path)
         finish_commits(self.path)
         files = [file for message in sorted((m for m in messages if m), key=lambda m: m.task) for file in message.files]
-        if there(store, f"{place}/_done-{self.write_id}.json"):
+        if finished(self.path, self.write_id):
             for file in files:
                 store.delete_file(file)
             return
@@ -292,6 +292,12 @@ def there(store: FileSystem, file: str) -> bool:
     return store.get_file_info(file).type == FileType.File
 
 
+def finished(path: str, write_id: str) -> bool:
+    """Whether a write of that name has been committed to the folder."""
+    store, place = store_of(path)
+    return there(store, f"{place}/_done-{write_id}.json")
+
+
 def finish(store: FileSystem, journal: str) -> None:
     """Does what a journal says is to do; it may be done in part, or run again."""
     with store.open_input_file(journal) as file:
@@ -352,8 +358,11 @@ def read_shard_labels(spark: SparkSession, pattern: str, invert: bool = False, s
 def write_shards(samples: DataFrame, path: str, maxcount: int = 10_000, maxsize: int = 2_000_000_000, start_shard: int = 0, tasks: int | None = None, video: str = "video", write_id: str | None = None) -> None:
     """Samples (video, key, parts) as numbered tars; a video's samples stay together and in order.
 
-    With `write_id` a write that is run again under that name adds nothing if it was finished before.
+    With `write_id` a write that is run again under that name adds nothing if it was finished before; its samples are not even
+    computed.
     """
+    if write_id is not None and finished(path, write_id):
+        return
     spark = samples.sparkSession
     spark.dataSource.register(ShardSource)
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -621,6 +621,30 @@ def test_only_the_frames_own_files_are_opened(spark, tmp_path):
     assert [out[n].load_status for n in (1, 2, 3, 4)] == ["ok", "read_fail", "missing_file", "missing_file"] and bytes(out[1].image) == bytes(12)
 
 
+def test_clips_are_stacked_as_frames_go_by(spark):
+    """Clips across Arrow batches, of several sizes and lengths, with frames that are lacking or shared; no task per clip, no pandas."""
+    r = np.random.default_rng(3)
+    size = lambda n: (2 + n % 2, 3) if n < 30 else (4, 5)
+    pictures = {f"k{n}": (*size(n // 10 * 10), r.integers(0, 256, (*size(n // 10 * 10), 3)).astype(np.uint8)) for n in range(60)}
+    frames = spark.createDataFrame([(k, x.tobytes(), h, w) for k, (h, w, x) in pictures.items()], "key string, image binary, height int, width int").repartition(3)
+    source = {f"c{n}": [f"k{n // 10 * 10 + (n + t) % 10}" for t in range(2 + n % 4)] for n in range(60)} | {"lacks": ["k1", "gone", "k3"], "alone": ["k5"], "none": ["gone"]}
+    made = spark.createDataFrame(list(source.items()), "key string, source_keys array<string>")
+    want = {}
+    for key, names in source.items():
+        if own := [pictures[x] for x in names if x in pictures]:
+            rgb = np.stack([x.transpose(2, 0, 1) for _, _, x in own])
+            diff = np.abs(np.diff(rgb.astype(np.int16), axis=0)).astype(np.uint8)
+            want[key] = (len(own), *own[0][:2], rgb.tobytes(), diff.tobytes())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for most in (1, 100, 1 << 24):
+            out = pixels.stack_clips(made, frames, batch_bytes=most)
+            assert {x.key: (x.length, x.height, x.width, bytes(x.rgb), bytes(x.diff)) for x in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_folders_are_listed_by_tasks(spark, tmp_path):
     """A task for each known folder, however many files there are, and names and kinds of entries as folders hold them."""
     files = spark.range(0, 600, 1, 1).select(F.concat(F.lit("Deepfakes/v"), "id", F.lit(".mp4")).alias("frame_path"), F.lit(b"0").alias("content"))

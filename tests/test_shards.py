@@ -215,3 +215,15 @@ def test_write_again_under_its_name(spark, tmp_path):
     for name in ("a", "a", "b"):
         shards.write_shards(df, str(tmp_path), maxcount=2, tasks=2, write_id=name)
     assert shards.read_shards(spark, f"{tmp_path}/shard-*.tar").count() == 18
+
+
+def test_finished_write_computes_nothing(spark, tmp_path):
+    rows = [(f"v{k // 3}", f"v{k // 3}/clip_{k:03d}", {"json": b"{}"}) for k in range(9)]
+    df = spark.createDataFrame(rows, "video string, key string, parts map<string,binary>")
+    shards.write_shards(df, str(tmp_path), maxcount=2, tasks=2, write_id="a")
+    before = sorted(os.listdir(tmp_path))
+    broken = df.withColumn("key", F.raise_error(F.lit("computed again")).cast("string"))
+    shards.write_shards(broken, str(tmp_path), maxcount=2, tasks=2, write_id="a")
+    assert sorted(os.listdir(tmp_path)) == before and shards.read_shards(spark, f"{tmp_path}/shard-*.tar").count() == 9
+    with pytest.raises(Exception, match="computed again"):
+        shards.write_shards(broken, str(tmp_path), tasks=2, write_id="b")
