@@ -133,13 +133,22 @@ def number_words(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, F.shiftright(n, 6).alias("word"), bit.alias("_bit")).groupBy(*by, "word").agg(F.bit_or("_bit").alias("bits"), F.count("*").alias("rows"))
 
 
+def word_facts() -> dict[str, Column]:
+    """Of each row of `number_words`: how many different numbers it stands for, its word, and its last number."""
+    return {"different": F.bit_count("bits"), "first": F.col("word"), "last": F.col("word") * 64 + F.length(F.bin("bits")) - 1}
+
+
+def exact_numbers() -> Column:
+    """Whether numbers are 0 .. rows - 1, each once: by sums of `rows` and `different`, the least `first` and the greatest `last`."""
+    # so many different numbers from 0 to the last are all of them
+    return F.coalesce((F.col("different") == F.col("rows")) & (F.col("first") >= 0) & (F.col("last") == F.col("rows") - 1), F.lit(False))
+
+
 def exactly_numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per group the number of rows, and whether their frame numbers are exactly 0 .. rows - 1, each once."""
-    last = F.max(F.col("word") * 64 + F.length(F.bin("bits")) - 1)
-    own = number_words(rows, by).groupBy(*by).agg(F.sum("rows").alias("rows"), F.sum(F.bit_count("bits")).alias("_different"), F.min("word").alias("_first"), last.alias("_last"))
-    # so many different numbers from 0 to the last are all of them
-    whole = (F.col("_different") == F.col("rows")) & (F.col("_first") >= 0) & (F.col("_last") == F.col("rows") - 1)
-    return own.select(*by, "rows", F.coalesce(whole, F.lit(False)).alias("whole"))
+    facts = word_facts()
+    own = number_words(rows, by).groupBy(*by).agg(F.sum("rows").alias("rows"), F.sum(facts["different"]).alias("different"), F.min(facts["first"]).alias("first"), F.max(facts["last"]).alias("last"))
+    return own.select(*by, "rows", exact_numbers().alias("whole"))
 
 
 def metadata_complete(frames: DataFrame, expected: DataFrame, by: list[str], files: DataFrame | None = None) -> DataFrame:

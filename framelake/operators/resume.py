@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.functions.text import video_key
-from framelake.operators.reports import exactly_numbered, number_words
-from framelake.operators.sampling import expected_samples, planned, sample_frames
+from framelake.operators.reports import exact_numbers, number_words, word_facts
+from framelake.operators.sampling import expected_samples, planned, shape_plan, written_plan
 from framelake.sources.staging import scratch
 
 
@@ -81,7 +82,7 @@ def rebuild_frames(files: DataFrame, videos: DataFrame, target_fps: int = 5) ->
     by = ["category", "video_id"]
     # hints: a table's files may be small enough to be sent to all tasks while its rows, or what is made of them, are not
     own = number_words(files, by).join(videos.select(*by, "binary_label", "original_fps", "num_frames").hint("shuffle_hash"), by)
-    placed = planned(own, target_fps)
+    placed = planned(own, target_fps, plan=shape_plan(videos, target_fps))
     first = F.greatest("word", F.lit(0)) * 64
     in_word = F.sequence(F.lit(0), F.least(F.lit(63), F.size("_at") - first - 1).cast("int"))
     there = F.filter(in_word, lambda k: F.getbit("bits", k) == 1)
@@ -101,7 +102,13 @@ def key_algebra(audit: DataFrame, shards: DataFrame, frames: DataFrame) -> DataF
     return counted.unpivot([], list(sets), "keys", "n")
 
 
-def video_states(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit: DataFrame, target_fps: int = 5) -> DataFrame:
+def _number(rows: DataFrame) -> Column:
+    """frame_number, a number or its text, as long; null where it is none."""
+    n = F.col("frame_number")
+    return n.cast("long") if isinstance(rows.schema["frame_number"].dataType, T.IntegralType) else F.trim(n.cast("string")).try_cast("long")
+
+
+def video_states(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit: DataFrame, target_fps: int = 5, plan: DataFrame | None = None) -> DataFrame:
     """Where each video stands: video_key, expected, rows, files, complete, bootstrapped, action.
 
     `manifest`: category, video_id, split, original_fps, num_frames. `frames`: rows written so far (category, video_id,
@@ -110,25 +117,29 @@ def video_states(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit
 
     A video is complete if the audit says so. An audit without complete videos is made up for: then those are complete
     whose rows are numbered 0 .. expected - 1, each once, and whose files are numbered likewise. A rate or length that is
-    not known expects nothing and completes nothing. Actions: `keep` the rows; `rebuild` them from the files (complete,
-    without rows, all files there); `lost` (complete, without rows, files missing: nothing can be done, and the audit
-    stands); `extract` again, rows that there are go. Videos that only frames or the audit know have no expected number.
+    not known expects nothing and completes nothing. `plan`: a `shape_plan` of the manifest, if there is one. Actions:
+    `keep` the rows; `rebuild` them from the files (complete, without rows, all files there); `lost` (complete, without
+    rows, files missing: nothing can be done, and the audit stands); `extract` again, rows that there are go. Videos that
+    only frames or the audit know have no expected number.
     """
     key = video_key("category", "video_id", "split").alias("video_key")
     usable = (F.col("original_fps") > 0) & (F.col("num_frames") > 0)
-    expecting = expected_samples(manifest, target_fps).select(key, F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), F.when(usable, F.col("expected")).alias("expected"))
-    listed = expecting.groupBy("video_key", "category", "video_id").agg(F.max("expected").alias("expected"))
-    number = F.trim(F.col("frame_number").cast("string")).try_cast("long")
-    found = files.select(F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), number.alias("frame_number")).filter("frame_number is not null")
+    expecting = expected_samples(manifest, target_fps, plan).select(key, F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), F.when(usable, F.col("expected")).alias("expected"))
+    # dealt out once, for the grouping and for the join
+    listed = expecting.repartition("category", "video_id").groupBy("video_key", "category", "video_id").agg(F.max("expected").alias("expected"))
+    found = files.select(F.trim("category").alias("category"), F.trim("video_id").alias("video_id"), _number(files).alias("frame_number")).filter("frame_number is not null")
     # numbers below the expected one that have a file: all of them are there if these are as many
     below = F.col("expected") - F.greatest("word", F.lit(0)) * 64
     due = F.when((F.col("word") < 0) | (below <= 0), 0).when(below >= 64, F.bit_count("bits")).otherwise(F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), below.cast("int"))))))
-    zero = F.lit(0).cast("long")
-    filed = listed.join(number_words(found, ["category", "video_id"]), ["category", "video_id"], "left").groupBy("video_key").agg(F.first("expected").alias("expected"), F.coalesce(F.sum(F.bit_count("bits")), zero).alias("files"), F.coalesce(F.sum(due), zero).alias("due"))
-    written = exactly_numbered(frames.select(key, number.alias("frame_number")), ["video_key"]).withColumnRenamed("whole", "numbered")
+    filed = listed.join(number_words(found, ["category", "video_id"]), ["category", "video_id"], "left").select("video_key", "expected", F.bit_count("bits").cast("long").alias("files"), due.cast("long").alias("due"))
+    words = number_words(frames.select(key, _number(frames).alias("frame_number")), ["video_key"])
+    written = words.select("video_key", "rows", *[c.alias(name) for name, c in word_facts().items()])
     audited = audit.filter(F.lower(F.trim("status")) == "complete").select(key).distinct().withColumn("audited", F.lit(True))
     none = audited.agg(F.count("*") == 0).scalar()
-    joined = filed.join(written, "video_key", "full_outer").join(audited, "video_key", "full_outer")
+    # one grouping instead of joins
+    sums = [F.sum(c).alias(c) for c in ("files", "due", "rows", "different")]
+    joined = filed.unionByName(written, allowMissingColumns=True).unionByName(audited, allowMissingColumns=True).groupBy("video_key").agg(F.max("expected").alias("expected"), *sums, F.min("first").alias("first"), F.max("last").alias("last"), F.max("audited").alias("audited"))
+    joined = joined.withColumn("numbered", exact_numbers())
     rows, counted = F.coalesce("rows", F.lit(0)), F.coalesce("files", F.lit(0))
     all_there = (F.col("due") == F.col("expected")) & (F.col("expected") > 0)
     whole = F.coalesce(F.col("numbered") & (F.col("rows") == F.col("expected")) & all_there & (F.col("files") == F.col("expected")), F.lit(False))
@@ -138,6 +149,20 @@ def video_states(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit
     return states.select("video_key", "expected", "rows", "files", complete.alias("complete"), "bootstrapped", action.alias("action"))
 
 
+def sifted(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """`rows` without nearly all of those whose `by` is not in `keys`, so that few of them are dealt out for the join that decides.
+
+    Two bits of a word stand for a key. There are 2^20 words at most, however many keys there are: the words are sent to all
+    tasks, and with tens of millions of keys more and more rows pass.
+    """
+    hashed = F.xxhash64(*by)
+    word = F.col("_hash").bitwiseAND((1 << 20) - 1)
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("_hash", shift).bitwiseAND(63).cast("int"))
+    bits = bit(20).bitwiseOR(bit(26))
+    words = keys.select(hashed.alias("_hash")).select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_set"))
+    return rows.withColumn("_hash", hashed).join(F.broadcast(words), (word == F.col("_word")) & (bits.bitwiseAND(F.col("_set")) == bits), "left_semi").drop("_hash")
+
+
 class Reconciled(NamedTuple):
     """State of each video, audit rows that are still to be appended, and the frame rows that hold from now on."""
 
@@ -146,27 +171,33 @@ class Reconciled(NamedTuple):
     frames: DataFrame
 
 
-def reconcile(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit: DataFrame, target_fps: int = 5) -> Reconciled:
+def reconcile(manifest: DataFrame, frames: DataFrame, files: DataFrame, audit: DataFrame, target_fps: int = 5, plan: DataFrame | None = None) -> Reconciled:
     """Brings audit, frame rows and files into agreement (see `video_states`).
 
     `manifest` also has binary_label, `files` frame_path, and `frames` the columns category, video_id, split, frame_path,
     frame_number, original_frame_index, timestamp, binary_label. Rows of videos that are to be extracted again are left out, those of
-    complete videos without rows come back from their files.
+    complete videos without rows come back from their files. `plan`: as in `video_states`; timestamps are as it has them.
     """
     spark = manifest.sparkSession
     path = scratch(spark, "video_states")
-    video_states(manifest, frames, files, audit, target_fps).write.parquet(path)
+    plan = written_plan(manifest, target_fps) if plan is None else plan
+    video_states(manifest, frames, files, audit, target_fps, plan).write.parquet(path)
     states = spark.read.parquet(path)
     key = video_key("category", "video_id", "split")
     listed = manifest.withColumn("video_key", key)
     boot = listed.join(states.filter("bootstrapped").select("video_key"), "video_key", "left_semi")
     entries = boot.select("category", "video_id", "split", F.lit("complete").alias("status")).distinct()
     columns = ["category", "video_id", "split", "frame_path", "frame_number", "original_frame_index", "timestamp", "binary_label"]
-    kept = frames.withColumn("video_key", key).join(states.filter("action = 'keep'").select("video_key"), "video_key", "left_semi").select(*columns)
-    lost = listed.join(states.filter("action = 'rebuild'").select("video_key"), "video_key", "left_semi")
-    again = sample_frames(lost, target_fps)
-    # files of other videos go before they are dealt out
-    own = files.join(lost.select("category", "video_id"), ["category", "video_id"], "left_semi").select("category", "video_id", F.col("frame_number").cast("int").alias("frame_number"), "frame_path")
-    rebuilt = again.join(own, ["category", "video_id", "frame_number"])
+    # hints: as in `rebuild_frames`; after sifting few rows are dealt out for them
+    hold, again = (states.filter(F.col("action") == action).select("video_key") for action in ("keep", "rebuild"))
+    kept = sifted(frames.withColumn("video_key", key), hold, ["video_key"]).join(hold.hint("shuffle_hash"), "video_key", "left_semi").select(*columns)
+    path = scratch(spark, "rebuilt_videos")
+    sifted(listed, again, ["video_key"]).join(again, "video_key", "left_semi").select("category", "video_id", "split", "binary_label", "original_fps", "num_frames").write.parquet(path)
+    lost = spark.read.parquet(path)
+    # a video's files meet its row of the manifest, and the plan as one list
+    own = files.select("category", "video_id", F.col("frame_number").cast("int").alias("frame_number"), "frame_path")
+    own = sifted(own, lost, ["category", "video_id"]).join(lost.hint("shuffle_hash"), ["category", "video_id"])
+    at = F.get("_at", F.col("frame_number"))
+    rebuilt = planned(own, target_fps, plan=plan).filter(at.isNotNull()).withColumns({"original_frame_index": at["original_frame_index"], "timestamp": at["timestamp"]})
     same = [F.col(c).cast(kept.schema[c].dataType).alias(c) for c in columns]
     return Reconciled(states, entries, kept.unionByName(rebuilt.select(*same)))

@@ -99,24 +99,24 @@ PLANNED = B.VIDEOS + """, plan AS (SELECT category, video_id, lower(trim(split))
  sizes AS (SELECT video_id, count(*) AS expected FROM plan GROUP BY video_id)"""
 
 
-def half_extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Videos, frame rows and files of an extraction at one frame a second that was cut off in several ways, by number modulo 8.
+def half_extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Videos, frame rows, files and sampling plan of an extraction at one frame a second that was cut off in several ways, by number modulo 8.
 
     1: rows with a gap. 2: the last file missing. 3: a row twice. 4: a number that is none. 5: no rows. 6: no rows and no first
     file. 7: a file too many. Others are whole.
     """
     v = B.videos(spark, sf_dir)
-    kind, n = F.col("video_id").cast("long") % 8, F.col("frame_number")
-    path = F.format_string("%s/%s_frame_%05d.jpg", "category", "video_id", "frame_number")
-    sized = sampling.expected_samples(v, 1)
-    plan = sampling.sample_frames(sized, 1).withColumn("frame_path", path)
-    text_number = F.when((kind == 4) & (n == 0), "x").otherwise(n.cast("string"))
-    rows = plan.filter(~kind.isin(5, 6) & ~((kind == 1) & (n == 2)))
-    rows = rows.select("category", "video_id", F.upper("split").alias("split"), "frame_path", text_number.alias("frame_number"), "original_frame_index", "timestamp", "binary_label")
-    rows = rows.unionByName(rows.filter((kind == 3) & (F.col("frame_number") == "0")))
-    files = plan.select("category", "video_id", "frame_number", "frame_path", "expected").filter(~((kind == 2) & (n == F.col("expected") - 1)) & ~((kind == 6) & (n == 0)))
-    more = sized.filter((kind == 7) & (F.col("expected") > 0)).select("category", "video_id", F.col("expected").cast("int").alias("frame_number"))
-    return v, rows, files.drop("expected").unionByName(more.withColumn("frame_path", path))
+    plan = sampling.written_plan(v, 1, digits=6)
+    kind, n, size = F.col("video_id").cast("long") % 8, F.col("frame_number"), F.size("_at")
+    path = F.concat("category", F.lit("/"), "video_id", F.lit("_frame_"), F.lpad(n.cast("string"), 5, "0"), F.lit(".jpg"))
+    numbers = F.sequence(F.lit(0), size - 1)
+    numbers = F.when(kind == 1, F.array_remove(numbers, 2)).when(kind == 3, F.array_append(numbers, 0)).otherwise(numbers)
+    rows = sampling.planned(v, plan=plan).filter((size > 0) & ~kind.isin(5, 6)).withColumn("frame_number", F.explode(numbers))
+    at, text_number = F.get("_at", n), F.when((kind == 4) & (n == 0), "x").otherwise(n.cast("string"))
+    rows = rows.select("category", "video_id", F.upper("split").alias("split"), path.alias("frame_path"), text_number.alias("frame_number"), at["original_frame_index"].alias("original_frame_index"), at["timestamp"].alias("timestamp"), "binary_label")
+    first, last = (kind == 6).cast("int"), F.col("expected").cast("int") - 1 - (kind == 2).cast("int") + (kind == 7).cast("int")
+    files = sampling.expected_samples(v, plan=plan).filter((F.col("expected") > 0) & (first <= last)).select("category", "video_id", F.explode(F.sequence(first, last)).alias("frame_number"))
+    return v, rows, files.withColumn("frame_path", path), plan
 
 
 @query(
@@ -128,8 +128,8 @@ def half_extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 )
 def a8_video_states(spark, sf_dir):
     """Manifest, rows and files of each video, and what is to be done, when there is no audit."""
-    v, rows, files = half_extracted(spark, sf_dir)
-    states = resume.video_states(v, rows, files, B.audit(spark, sf_dir).filter("status = ''"), 1)
+    v, rows, files, plan = half_extracted(spark, sf_dir)
+    states = resume.video_states(v, rows, files, B.audit(spark, sf_dir).filter("status = ''"), 1, plan)
     return states.select("video_key", "expected", "rows", "files", "complete", "action")
 
 
@@ -139,8 +139,8 @@ def a8_video_states(spark, sf_dir):
 )
 def s7_bootstrapped_audit(spark, sf_dir):
     """The audit that whole rows and files make up for."""
-    v, rows, files = half_extracted(spark, sf_dir)
-    return resume.reconcile(v, rows, files, B.audit(spark, sf_dir).filter("status = ''"), 1).audit
+    v, rows, files, plan = half_extracted(spark, sf_dir)
+    return resume.reconcile(v, rows, files, B.audit(spark, sf_dir).filter("status = ''"), 1, plan).audit
 
 
 @query(
@@ -149,10 +149,10 @@ def s7_bootstrapped_audit(spark, sf_dir):
 )
 def j4_reconciled_frames(spark, sf_dir):
     """Rows that hold: those of audited videos, from their files where there are none; gapped ones go."""
-    v, rows, files = half_extracted(spark, sf_dir)
+    v, rows, files, plan = half_extracted(spark, sf_dir)
     audit = v.filter((F.col("video_id").cast("long") % 8).isin(0, 5, 6)).select("category", "video_id", "split", F.lit(" Complete").alias("status"))
-    out = resume.reconcile(v, rows, files, audit, 1).frames
-    return out.withColumns({"split": F.lower(F.trim("split")), "timestamp": F.round("timestamp", 6)})
+    out = resume.reconcile(v, rows, files, audit, 1, plan).frames
+    return out.withColumn("split", F.lower(F.trim("split")))
 
 
 INTERPOLATED = B.DETECTIONS + """, j AS (SELECT p.category, p.video_id, p.pos, d.status, d.bbox, d.confidence, d.num_faces, CASE WHEN d.status = 'ok' AND d.k % 7 <> 0 THEN d.k END AS mark,

@@ -741,3 +741,41 @@ def test_arriving_frames_are_written_by_several_tasks(spark, tmp_path, monkeypat
     streams.use_rocksdb(spark)
     plans.arrived_clips(spark, "", "1 hour").count()
     assert len([x for x in os.listdir(tmp_path / "frames") if x.endswith(".parquet")]) > plans.ARRIVALS
+
+
+def test_shapes_are_planned_once(spark):
+    """The sampling function runs above the distinct of rates and lengths, not for each video, whatever filters its result."""
+    videos = spark.range(50).select(F.lit(25.0).alias("original_fps"), (F.col("id") % 3 * 50).alias("num_frames"))
+    for out in (sampling.sample_frames(videos), sampling.expected_samples(videos).filter("expected > 3")):
+        lines = [x.strip(" :+-") for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+        calls = [k for k, x in enumerate(lines) if x.startswith("ArrowEvalPython")]
+        assert len(calls) == 1 and lines[calls[0] + 1].startswith("Aggregate")
+    odd = spark.createDataFrame([(25.0, 100), (float("nan"), 100), (None, 100), (0.0, 9), (25.0, 0)], "original_fps double, num_frames long")
+    for plan in (None, sampling.written_plan(odd)):
+        assert sorted(r.expected for r in sampling.expected_samples(odd, plan=plan).collect()) == [0, 0, 0, 0, 20]
+        assert sampling.planned(odd, plan=plan).count() == 1
+
+
+def test_rows_are_sifted(spark):
+    """No row with a key goes, nearly all others do, and a key that is null on both sides does no harm."""
+    rows = spark.range(20000).select(F.col("id").cast("string").alias("k")).union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    keys = spark.range(0, 20000, 10).select(F.col("id").cast("string").alias("k"))
+    for own in (keys, keys.union(keys)):
+        left = [r.k for r in resume.sifted(rows, own, ["k"]).collect()]
+        assert {r.k for r in keys.collect()} <= set(left) and len(left) == len(set(left)) < 2100
+    assert resume.sifted(rows, keys.limit(0), ["k"]).count() == 0
+
+
+def test_rebuilt_rows_are_not_joined_with_the_plan_by_number(spark):
+    """Files meet their video and its plan as one list, and few rows of other videos get as far as a join with the states."""
+    manifest = spark.createDataFrame([("c", f"v{k}", "train", 1, 5.0, 700) for k in range(4)], "category string, video_id string, split string, binary_label int, original_fps double, num_frames long")
+    frames = spark.range(700).selectExpr("'c' AS category", "'v0' AS video_id", "'train' AS split", "'p' AS frame_path", "cast(id AS string) AS frame_number", "id AS original_frame_index", "0.5D AS timestamp", "1 AS binary_label")
+    # twice one file, and numbers that the plan has not
+    files = spark.createDataFrame([("c", f"v{k}", n, f"{k}/{n}") for k in (1, 2) for n in [*range(702), 5, -1] if (k, n) != (2, 9)], "category string, video_id string, frame_number int, frame_path string")
+    audit = manifest.selectExpr("category", "video_id", "split", "'complete' AS status")
+    out = resume.reconcile(manifest, frames, files, audit, plan=sampling.written_plan(manifest, digits=1))
+    assert {r.video_key: r.action for r in out.states.collect()} == {"c|v0|train": "keep", "c|v1|train": "rebuild", "c|v2|train": "lost", "c|v3|train": "lost"}
+    have = sorted((int(r.frame_number), r.original_frame_index, r.timestamp) for r in out.frames.filter("video_id = 'v1'").collect())
+    assert have == sorted((n, n, round(n / 5, 1)) for n in [*range(700), 5]) and out.frames.count() == 1401
+    plan = out.frames._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "_set#" in plan
